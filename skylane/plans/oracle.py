@@ -4,9 +4,9 @@
 the driver's ``lineitem``/``supplier``/``part`` views, written separately
 from the Spark code so the comparison checks both. Conventions that keep
 the two engines bit-equal: counts cast to BIGINT, calendar fields to
-INTEGER, rounding through DECIMAL(28,10) (Spark rounds the shortest decimal
-text of a double half-up), rates computed as ``100.0 * num / den`` in
-DOUBLE.
+INTEGER, rounding through the shortest decimal text of the double (which is
+what Spark's ``round`` rounds half-up), rates computed as
+``100.0 * num / den`` in DOUBLE.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 def rnd(expr: str, digits: int) -> str:
     """DuckDB rounding equal to Spark's ``round(double, d)``."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(28,10)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
 def pct(num: str, den: str, digits: int) -> str:

@@ -12,13 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kpi
+from ..operators import diagnose, growth, kpi, routes
 from ..operators.prep import prepare
 from ..sources.fixture import flights
-from .oracle import FLIGHTS_WITH, pct
+from . import sqlapi
+from .oracle import FLIGHTS_WITH, pct, rnd
 
-# --- fixed values: constants of the test queries (FIXTURES.md §3) ---
-AIRLINE = "AIRLINE_15"
+# --- fixed values: constants of the test queries ---
+AIRLINE = "AIRLINE_15"      # the "one airline" of the per-period queries
+ORIGIN = "AP000"            # the busiest origin code (the hot key of the data)
 
 Body = Callable[[DataFrame], DataFrame]
 BODIES: dict[str, Body] = {}
@@ -69,3 +71,268 @@ def _period_sql(keys: str) -> str:
 @register("q_year_rates", _period_sql("YEAR"))
 def q_year_rates(fl: DataFrame) -> DataFrame:
     return kpi.period_rates(fl, "year", kpi.equals("AIRLINE", AIRLINE)).orderBy("YEAR")
+
+
+@register("q_prep", f"{FLIGHTS_WITH}\nSELECT * FROM flights")
+def q_prep(fl: DataFrame) -> DataFrame:
+    return fl
+
+
+@register("q_overview", f"""{FLIGHTS_WITH}
+SELECT count(*) AS Total_Flights,
+  CAST(count_if(ARR_DELAY > 15) AS BIGINT) AS Delayed_Flights,
+  CAST(count_if(ARR_DELAY <= 15) AS BIGINT) AS OnTime_Flights,
+  CAST(count_if(CANCELLED = 1) AS BIGINT) AS Cancelled_Flights,
+  CAST(count_if(DIVERTED = 1) AS BIGINT) AS Diverted_Flights,
+  CAST(count(DISTINCT AIRLINE) AS BIGINT) AS N_Airlines,
+  CAST(count_if(DISTANCE_CAT = 'Short-haul') AS BIGINT) AS Short_Haul_Flights,
+  CAST(count_if(DISTANCE_CAT = 'Medium-haul') AS BIGINT) AS Medium_Haul_Flights,
+  CAST(count_if(DISTANCE_CAT = 'Long-haul') AS BIGINT) AS Long_Haul_Flights
+FROM flights""")
+def q_overview(fl: DataFrame) -> DataFrame:
+    return kpi.overview(fl)
+
+
+@register("q_airlines", f"{FLIGHTS_WITH}\nSELECT DISTINCT AIRLINE FROM flights WHERE AIRLINE IS NOT NULL ORDER BY AIRLINE")
+def q_airlines(fl: DataFrame) -> DataFrame:
+    return kpi.distinct_values(fl, "AIRLINE")
+
+
+@register("q_hist", f"""{FLIGHTS_WITH}
+, b AS (SELECT CAST(floor((ARR_DELAY - 0.0) / 5.0) AS BIGINT) AS bin FROM flights WHERE ARR_DELAY > 15)
+SELECT bin, count(*) AS n, CAST(bin AS DOUBLE) * 5.0 + 0.0 AS bin_lo, CAST(bin + 1 AS DOUBLE) * 5.0 + 0.0 AS bin_hi
+FROM b GROUP BY bin""")
+def q_hist(fl: DataFrame) -> DataFrame:
+    return kpi.delayed_histogram(fl, 5.0)
+
+
+@register("q_quarter_rates", _period_sql("YEAR, QUARTER"))
+def q_quarter_rates(fl: DataFrame) -> DataFrame:
+    return kpi.period_rates(fl, "quarter", kpi.equals("AIRLINE", AIRLINE)).orderBy("YEAR", "QUARTER")
+
+
+@register("q_month_rates", _period_sql("YEAR, MONTH"))
+def q_month_rates(fl: DataFrame) -> DataFrame:
+    return kpi.period_rates(fl, "month", kpi.equals("AIRLINE", AIRLINE)).orderBy("YEAR", "MONTH")
+
+
+@register("q_dow_rates", _period_sql("YEAR, DAY_NUM, DAY_OF_WEEK"))
+def q_dow_rates(fl: DataFrame) -> DataFrame:
+    return kpi.period_rates(fl, "dow", kpi.equals("AIRLINE", AIRLINE)).orderBy("YEAR", "DAY_NUM")
+
+
+def _mean_sql(keys: str) -> str:
+    return (f"{FLIGHTS_WITH}\nSELECT {keys}, {rnd('avg(DEP_DELAY)', 1)} AS Avg_Departure_Delay "
+            f"FROM flights WHERE AIRLINE = '{AIRLINE}' GROUP BY {keys}")
+
+
+@register("q_hour_delay", _mean_sql("YEAR, DEP_HOUR"))
+def q_hour_delay(fl: DataFrame) -> DataFrame:
+    return kpi.hourly_delay(fl, kpi.equals("AIRLINE", AIRLINE))
+
+
+@register("q_season_delay", _mean_sql("YEAR, SEASON"))
+def q_season_delay(fl: DataFrame) -> DataFrame:
+    return kpi.seasonal_delay(fl, kpi.equals("AIRLINE", AIRLINE))
+
+
+@register("q_season_matrix", f"""
+SELECT * FROM (VALUES ('Winter', 1), ('Summer', 2), ('Spring', 3), ('Fall', 4)) lv(SEASON, SEASON_ORDER)
+LEFT JOIN (PIVOT ({FLIGHTS_WITH}
+  SELECT YEAR, SEASON, {rnd('avg(DEP_DELAY)', 1)} AS v FROM flights WHERE AIRLINE = '{AIRLINE}' GROUP BY YEAR, SEASON)
+  ON YEAR USING first(v) GROUP BY SEASON) p USING (SEASON)""")
+def q_season_matrix(fl: DataFrame) -> DataFrame:
+    return kpi.seasonal_matrix(kpi.seasonal_delay(fl, kpi.equals("AIRLINE", AIRLINE)))
+
+
+def _group_rates_sql(key: str) -> str:
+    return f"""
+  SELECT {key}, count(*) AS total_flights,
+    CAST(count_if(DEP_DELAY > 0) AS BIGINT) AS delay_flights,
+    CAST(coalesce(sum(CANCELLED), 0) AS DOUBLE) AS cancelled_flights,
+    {pct('count_if(DEP_DELAY > 0)', 'count(*)', 3)} AS delay_rate,
+    {pct('coalesce(sum(CANCELLED), 0)', 'count(*)', 3)} AS cancel_rate
+  FROM flights GROUP BY {key}"""
+
+
+def _top_sql(key: str, n: int = 5) -> str:
+    o1 = f"delay_rate DESC NULLS LAST, {key} ASC NULLS LAST"
+    o2 = f"cancel_rate DESC NULLS LAST, delay_rate DESC NULLS LAST, {key} ASC NULLS LAST"
+    return f"""{FLIGHTS_WITH}
+, r AS ({_group_rates_sql(key)})
+(SELECT 'delay' AS ranking, CAST(row_number() OVER (ORDER BY {o1}) AS INTEGER) AS position, * FROM r ORDER BY {o1} LIMIT {n})
+UNION ALL
+(SELECT 'cancel' AS ranking, CAST(row_number() OVER (ORDER BY {o2}) AS INTEGER) AS position, * FROM r ORDER BY {o2} LIMIT {n})"""
+
+
+@register("q_rates_airline", f"{FLIGHTS_WITH}\n{_group_rates_sql('AIRLINE')}")
+def q_rates_airline(fl: DataFrame) -> DataFrame:
+    return kpi.group_rates(fl, "AIRLINE")
+
+
+@register("q_rates_origin", f"{FLIGHTS_WITH}\n{_group_rates_sql('ORIGIN')}")
+def q_rates_origin(fl: DataFrame) -> DataFrame:
+    return kpi.group_rates(fl, "ORIGIN")
+
+
+@register("q_top_airline", _top_sql("AIRLINE"))
+def q_top_airline(fl: DataFrame) -> DataFrame:
+    return kpi.top_rates(fl, "AIRLINE", 5)
+
+
+@register("q_top_origin", _top_sql("ORIGIN"))
+def q_top_origin(fl: DataFrame) -> DataFrame:
+    return kpi.top_rates(fl, "ORIGIN", 5)
+
+
+_ROUTE_SQL = "concat(coalesce(ORIGIN_CITY, 'NA'), ' → ', coalesce(DEST_CITY, 'NA'))"
+
+
+def _flights_sql(col: str, val: str, n: int = 5) -> str:
+    return (f"{FLIGHTS_WITH}\nSELECT FL_NUMBER, count(*) AS Total_Flights FROM flights WHERE {col} = '{val}' "
+            f"GROUP BY FL_NUMBER ORDER BY Total_Flights DESC, FL_NUMBER ASC NULLS LAST LIMIT {n}")
+
+
+def _routes_sql(col: str, val: str, n: int = 5) -> str:
+    return (f"{FLIGHTS_WITH}\nSELECT {_ROUTE_SQL} AS ROUTE, count(*) AS Total_Flights FROM flights "
+            f"WHERE {col} = '{val}' GROUP BY ROUTE ORDER BY Total_Flights DESC, ROUTE ASC NULLS LAST LIMIT {n}")
+
+
+def _route_delay_sql(col: str, val: str, n: int = 5) -> str:
+    return (f"{FLIGHTS_WITH}\nSELECT {_ROUTE_SQL} AS ROUTE, {rnd('avg(DEP_DELAY)', 1)} AS Avg_Departure_Delay "
+            f"FROM flights WHERE {col} = '{val}' GROUP BY ROUTE "
+            f"ORDER BY Avg_Departure_Delay DESC NULLS LAST, ROUTE ASC NULLS LAST LIMIT {n}")
+
+
+@register("q_flights_airline", _flights_sql("AIRLINE", AIRLINE))
+def q_flights_airline(fl: DataFrame) -> DataFrame:
+    return routes.top_flights(fl, "AIRLINE", AIRLINE, 5)
+
+
+@register("q_flights_origin", _flights_sql("ORIGIN", ORIGIN))
+def q_flights_origin(fl: DataFrame) -> DataFrame:
+    return routes.top_flights(fl, "ORIGIN", ORIGIN, 5)
+
+
+@register("q_routes_airline", _routes_sql("AIRLINE", AIRLINE))
+def q_routes_airline(fl: DataFrame) -> DataFrame:
+    return routes.top_routes(fl, "AIRLINE", AIRLINE, 5)
+
+
+@register("q_routes_origin", _routes_sql("ORIGIN", ORIGIN))
+def q_routes_origin(fl: DataFrame) -> DataFrame:
+    return routes.top_routes(fl, "ORIGIN", ORIGIN, 5)
+
+
+@register("q_route_delay_airline", _route_delay_sql("AIRLINE", AIRLINE))
+def q_route_delay_airline(fl: DataFrame) -> DataFrame:
+    return routes.top_route_delay(fl, "AIRLINE", AIRLINE, 5)
+
+
+@register("q_route_delay_origin", _route_delay_sql("ORIGIN", ORIGIN))
+def q_route_delay_origin(fl: DataFrame) -> DataFrame:
+    return routes.top_route_delay(fl, "ORIGIN", ORIGIN, 5)
+
+
+def _growth_cols(part: str = "") -> str:
+    w = f"OVER ({part}ORDER BY YEAR)"
+    return (f"{rnd(f'(CAST(Group_Flights AS DOUBLE) / lag(Group_Flights) {w} - 1) * 100', 2)} AS Group_Growth, "
+            f"{rnd(f'(CAST(Industry_Flights AS DOUBLE) / lag(Industry_Flights) {w} - 1) * 100', 2)} AS Industry_Growth")
+
+
+@register("q_growth_origin", f"""{FLIGHTS_WITH}
+, g AS (SELECT YEAR, count(*) AS Group_Flights FROM flights WHERE ORIGIN = '{ORIGIN}' GROUP BY YEAR)
+, i AS (SELECT YEAR, count(*) AS Industry_Flights FROM flights GROUP BY YEAR)
+, o AS (SELECT g.YEAR, g.Group_Flights, i.Industry_Flights FROM g LEFT JOIN i ON g.YEAR = i.YEAR)
+SELECT YEAR, Group_Flights, Industry_Flights, {_growth_cols()} FROM o""")
+def q_growth_origin(fl: DataFrame) -> DataFrame:
+    return growth.growth(fl, "ORIGIN", ORIGIN)
+
+
+@register("q_growth_all_origins", f"""{FLIGHTS_WITH}
+, g AS (SELECT ORIGIN, YEAR, count(*) AS Group_Flights FROM flights GROUP BY ORIGIN, YEAR)
+, i AS (SELECT YEAR, count(*) AS Industry_Flights FROM flights GROUP BY YEAR)
+, o AS (SELECT g.ORIGIN, g.YEAR, g.Group_Flights, i.Industry_Flights FROM g LEFT JOIN i ON g.YEAR = i.YEAR)
+SELECT ORIGIN, YEAR, Group_Flights, Industry_Flights, {_growth_cols('PARTITION BY ORIGIN ')} FROM o""")
+def q_growth_all_origins(fl: DataFrame) -> DataFrame:
+    return growth.growth_all(fl, "ORIGIN")
+
+
+_CAUSE_NAMES = ["DELAY_DUE_CARRIER", "DELAY_DUE_WEATHER", "DELAY_DUE_NAS", "DELAY_DUE_SECURITY",
+                "DELAY_DUE_LATE_AIRCRAFT"]
+
+
+@register("q_cause", FLIGHTS_WITH + "\n" + "\nUNION ALL\n".join(
+    f"SELECT YEAR, '{c}' AS Reason, {rnd(f'avg({c})', 1)} AS Delay FROM flights GROUP BY YEAR"
+    for c in _CAUSE_NAMES))
+def q_cause(fl: DataFrame) -> DataFrame:
+    return diagnose.cause_means(fl)
+
+
+@register("q_corr", FLIGHTS_WITH + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS x, '{y}' AS y, CAST(count_if({x} IS NOT NULL AND {y} IS NOT NULL) AS BIGINT) AS n, "
+    f"{rnd(f'corr({x}, {y})', 9)} AS corr, {rnd(f'corr({x}, {y}) * corr({x}, {y})', 9)} AS r_squared FROM flights"
+    for x, y in diagnose.DEFAULT_PAIRS))
+def q_corr(fl: DataFrame) -> DataFrame:
+    return diagnose.correlations(fl)
+
+
+_SCATTER_W = [(5.0, 5.0), (5.0, 5.0), (100.0, 10.0)]
+
+
+@register("q_scatter", FLIGHTS_WITH + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS x, '{y}' AS y, CAST(floor({x} / {wx}) AS BIGINT) AS x_bin, CAST(floor({y} / {wy}) AS BIGINT) AS y_bin, "
+    f"CAST(floor({x} / {wx}) AS DOUBLE) * {wx} AS x_lo, CAST(floor({y} / {wy}) AS DOUBLE) * {wy} AS y_lo, count(*) AS n "
+    f"FROM flights WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6"
+    for (x, y), (wx, wy) in zip(diagnose.DEFAULT_PAIRS, _SCATTER_W)))
+def q_scatter(fl: DataFrame) -> DataFrame:
+    return diagnose.scatter_bins(fl, widths=_SCATTER_W)
+
+
+_WEATHER_SQL = f"""
+, d AS (SELECT YEAR, MONTH, count(*) AS Total_Flights FROM flights WHERE ARR_DELAY > 15 GROUP BY YEAR, MONTH)
+, w AS (SELECT YEAR, MONTH, count(*) AS Total_Flights_Weather FROM flights WHERE DELAY_DUE_WEATHER > 0 GROUP BY YEAR, MONTH)
+, r AS (SELECT d.YEAR, d.MONTH, d.Total_Flights, coalesce(w.Total_Flights_Weather, 0) AS Total_Flights_Weather,
+          {rnd('CAST(coalesce(w.Total_Flights_Weather, 0) AS DOUBLE) / d.Total_Flights * 100', 2)} AS Delay_Rate
+        FROM d LEFT JOIN w ON d.YEAR = w.YEAR AND d.MONTH = w.MONTH)"""
+
+
+@register("q_weather", f"{FLIGHTS_WITH}{_WEATHER_SQL}\nSELECT * FROM r")
+def q_weather(fl: DataFrame) -> DataFrame:
+    return diagnose.weather_rates(fl)
+
+
+@register("q_weather_matrix", f"""
+PIVOT ({FLIGHTS_WITH}{_WEATHER_SQL}
+  SELECT YEAR, MONTH, Delay_Rate FROM r) ON YEAR USING first(Delay_Rate) GROUP BY MONTH ORDER BY MONTH""")
+def q_weather_matrix(fl: DataFrame) -> DataFrame:
+    return diagnose.weather_matrix(diagnose.weather_rates(fl))
+
+
+# ----------------------------------------------------------- the SQL texts
+_SQL_ORACLE = {
+    "sql_1": """SELECT count(*) AS TOTAL_FLIGHTS, CAST(count_if(ARR_DELAY > 15) AS BIGINT) AS N_DELAYED_FLIGHTS,
+  CAST(count_if(CANCELLED = 1) AS BIGINT) AS N_CANCELLED_FLIGHTS, CAST(count_if(DIVERTED = 1) AS BIGINT) AS N_DIVERTED_FLIGHTS,
+  CAST(count_if(ARR_DELAY <= 15) AS BIGINT) AS N_ONTIME_FLIGHTS FROM flights""",
+    "sql_2": "SELECT DISTINCT AIRLINE FROM flights ORDER BY AIRLINE",
+    "sql_3": "SELECT YEAR, count(*) AS TOTAL_FLIGHTS FROM flights GROUP BY YEAR",
+    "sql_4": "SELECT YEAR, MONTH, count(*) AS TOTAL_FLIGHTS FROM flights GROUP BY YEAR, MONTH",
+}
+for _k in ("YEAR", "YEAR, MONTH", "YEAR, QUARTER"):
+    _SQL_ORACLE[{"YEAR": "sql_5", "YEAR, MONTH": "sql_6", "YEAR, QUARTER": "sql_7"}[_k]] = (
+        f"SELECT {_k}, count(*) AS Total_Flights, "
+        f"{pct('count_if(ARR_DELAY > 15)', 'count(*)', 2)} AS Delay_Rate, "
+        f"{pct('count_if(ARR_DELAY <= 15)', 'count(*)', 2)} AS OnTime_Rate, "
+        f"{pct('count_if(CANCELLED = 1)', 'count(*)', 2)} AS Cancel_Rate, "
+        f"{pct('count_if(DIVERTED = 1)', 'count(*)', 2)} AS Divert_Rate "
+        f"FROM flights WHERE AIRLINE = '{AIRLINE}' GROUP BY {_k}")
+
+
+def _sql_body(name: str) -> Body:
+    def body(fl: DataFrame) -> DataFrame:
+        return sqlapi.run(fl.sparkSession, name, fl, airline=AIRLINE)
+    return body
+
+
+for _name in sqlapi.SQL:
+    register(_name, f"{FLIGHTS_WITH}\n{_SQL_ORACLE[_name]}")(_sql_body(_name))
