@@ -336,3 +336,157 @@ def _sql_body(name: str) -> Body:
 
 for _name in sqlapi.SQL:
     register(_name, f"{FLIGHTS_WITH}\n{_SQL_ORACLE[_name]}")(_sql_body(_name))
+
+
+# ------------------------------------------------------ feature preparation
+from ..operators import evaluate, features  # noqa: E402
+
+_HASH_SQL = ("CAST(CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(FL_DATE AS VARCHAR), ''), "
+             "coalesce(AIRLINE, ''), coalesce(CAST(FL_NUMBER AS VARCHAR), ''), coalesce(ORIGIN, ''), "
+             "coalesce(DEST, ''), coalesce(CAST(CRS_DEP_TIME AS VARCHAR), ''), '42')), 1, 8)) AS BIGINT) AS DOUBLE)"
+             " / 4294967296.0")
+
+_DFE = f"""
+, dfe AS (SELECT {_HASH_SQL} AS ROW_KEY, MONTH, AIRLINE, ORIGIN, DEST,
+    CAST(floor(DEP_TIME / 100) AS BIGINT) AS DEP_HH, DISTANCE, CAST(floor(CRS_DEP_TIME / 100) AS BIGINT) AS CRS_DEP_HH,
+    CAST(DEP_DELAY > 15 AS INTEGER) AS IS_DELAYED
+  FROM flights WHERE DEP_DELAY IS NOT NULL)"""
+
+
+@register("fp_medians", f"{FLIGHTS_WITH}{_DFE}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, CAST(median({c}) AS DOUBLE) AS value FROM dfe" for c in features.DELAY_NUMERIC))
+def fp_medians(fl: DataFrame) -> DataFrame:
+    return features.median_table(features.delay_features(fl), features.DELAY_NUMERIC)
+
+
+_MODE_COLS = ["AIRLINE", "ORIGIN", "DEST", "DEST_CITY"]
+
+
+@register("fp_modes", f"{FLIGHTS_WITH}\n" + "\nUNION ALL\n".join(
+    f"(SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM flights WHERE {c} IS NOT NULL "
+    f"GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)" for c in _MODE_COLS))
+def fp_modes(fl: DataFrame) -> DataFrame:
+    return features.mode_table(fl, _MODE_COLS)
+
+
+@register("fp_impute_dest_city", f"""{FLIGHTS_WITH}
+, m AS (SELECT DEST_CITY AS v FROM flights WHERE DEST_CITY IS NOT NULL GROUP BY DEST_CITY ORDER BY count(*) DESC, DEST_CITY LIMIT 1)
+SELECT coalesce(DEST_CITY, (SELECT v FROM m)) AS DEST_CITY, count(*) AS n FROM flights GROUP BY 1""")
+def fp_impute_dest_city(fl: DataFrame) -> DataFrame:
+    d = features.impute_mode(fl.select("DEST_CITY"), ["DEST_CITY"])
+    return d.groupBy("DEST_CITY").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LUMP = f"""{_DFE}
+, st AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS level, count(*) AS n FROM dfe WHERE {c} IS NOT NULL GROUP BY {c}" for c in features.DELAY_CATEGORICAL)})
+, sh AS (SELECT feature, level, n, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY feature) AS share FROM st)
+, sm AS (SELECT feature, count_if(share <= 0.01) AS n_small FROM sh GROUP BY feature)
+, lump AS (SELECT sh.feature, level, n, share, CASE WHEN share > 0.01 OR n_small <= 1 THEN level ELSE 'Other' END AS lumped
+           FROM sh JOIN sm ON sh.feature = sm.feature)"""
+
+
+@register("fp_lump", f"{FLIGHTS_WITH}{_LUMP}\nSELECT * FROM lump")
+def fp_lump(fl: DataFrame) -> DataFrame:
+    return features.lump_table(features.delay_features(fl), features.DELAY_CATEGORICAL, 0.01)
+
+
+@register("fp_onehot", f"""{FLIGHTS_WITH}{_LUMP}
+, m AS (SELECT feature, lumped, CAST(sum(n) AS BIGINT) AS ones FROM lump GROUP BY feature, lumped)
+, b AS (SELECT feature, coalesce(min(lumped) FILTER (WHERE lumped <> 'Other'), 'Other') AS base FROM m GROUP BY feature)
+SELECT m.feature || '_' || m.lumped AS dummy, m.ones FROM m JOIN b ON m.feature = b.feature WHERE m.lumped <> b.base""")
+def fp_onehot(fl: DataFrame) -> DataFrame:
+    d = features.prepare_delay(fl)
+    dummies = [c for c in d.columns if c.split("_")[0] in ("AIRLINE", "ORIGIN", "DEST") and c not in
+               features.DELAY_FEATURES]
+    wide = d.agg(*[F.sum(c).alias(c) for c in dummies])
+    return wide.unpivot([], dummies, "dummy", "ones")
+
+
+@register("fp_split", f"""{FLIGHTS_WITH}{_DFE}
+SELECT CASE WHEN ROW_KEY < 0.8 THEN 'train' ELSE 'test' END AS side, count(*) AS n FROM dfe GROUP BY 1""")
+def fp_split(fl: DataFrame) -> DataFrame:
+    train, test = features.split(features.delay_features(fl), 0.8)
+    return (train.agg(F.count(F.lit(1)).alias("n")).select(F.lit("train").alias("side"), "n")
+            .unionByName(test.agg(F.count(F.lit(1)).alias("n")).select(F.lit("test").alias("side"), "n")))
+
+
+@register("fp_split_stratified", f"""{FLIGHTS_WITH}{_DFE}
+, c AS (SELECT *, count(*) OVER (PARTITION BY IS_DELAYED ORDER BY ROW_KEY RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+               count(*) OVER (PARTITION BY IS_DELAYED) AS tot FROM dfe)
+, t AS (SELECT IS_DELAYED, min(ROW_KEY) AS thr FROM c WHERE cum >= ceil(tot * 0.8) GROUP BY IS_DELAYED)
+SELECT CASE WHEN dfe.ROW_KEY <= t.thr THEN 'train' ELSE 'test' END AS side, dfe.IS_DELAYED, count(*) AS n
+FROM dfe JOIN t ON dfe.IS_DELAYED = t.IS_DELAYED GROUP BY 1, 2""")
+def fp_split_stratified(fl: DataFrame) -> DataFrame:
+    train, test = features.stratified_split(features.delay_features(fl), "IS_DELAYED", 0.8)
+    return (train.groupBy("IS_DELAYED").agg(F.count(F.lit(1)).alias("n")).select(F.lit("train").alias("side"), "IS_DELAYED", "n")
+            .unionByName(test.groupBy("IS_DELAYED").agg(F.count(F.lit(1)).alias("n"))
+                         .select(F.lit("test").alias("side"), "IS_DELAYED", "n")))
+
+
+# ------------------------------------------------ evaluation (fixed score)
+def _scored(fl: DataFrame) -> DataFrame:
+    """A model-independent score: label = departure delayed (> 15 min),
+    score = scheduled departure clock / 2500 (many tied values)."""
+    d = fl.select(F.when(F.col("DEP_DELAY").isNotNull(), (F.col("DEP_DELAY") > 15).cast("int")).alias("label"),
+                  (F.col("CRS_DEP_TIME") / F.lit(2500.0)).alias("score"))
+    return evaluate.predict_class(evaluate.valid(d))
+
+
+_SC = """
+, sc AS (SELECT CAST(DEP_DELAY > 15 AS INTEGER) AS label, CRS_DEP_TIME / CAST(2500 AS DOUBLE) AS score,
+           CAST(CRS_DEP_TIME / CAST(2500 AS DOUBLE) > 0.3 AS INTEGER) AS pred FROM flights WHERE DEP_DELAY IS NOT NULL)
+, st AS (SELECT score, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM sc GROUP BY score)
+, cu AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pos_below, coalesce(sum(neg) OVER w, 0) AS neg_below,
+           sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM st
+         WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+, a AS (SELECT *, P - pos_below AS tp, N - neg_below AS fp FROM cu)"""
+
+
+@register("ev_confusion", f"""{FLIGHTS_WITH}{_SC}
+, g AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(Predicted, Actual))
+, c AS (SELECT pred AS Predicted, label AS Actual, count(*) AS Freq FROM sc GROUP BY 1, 2)
+SELECT g.Predicted, g.Actual, coalesce(c.Freq, 0) AS Freq FROM g LEFT JOIN c ON g.Predicted = c.Predicted AND g.Actual = c.Actual""")
+def ev_confusion(fl: DataFrame) -> DataFrame:
+    return evaluate.confusion(_scored(fl))
+
+
+_M9 = ["ROC_AUC", "PR_AUC", "Accuracy", "Precision", "Recall", "F1_score"]
+
+
+@register("ev_metrics", f"""{FLIGHTS_WITH}{_SC}
+, auc AS (SELECT sum(pos * (neg_below + 0.5 * neg)) / (max(P) * max(N)) AS ROC_AUC,
+    sum((pos / CAST(P AS DOUBLE)) * (CAST(tp AS DOUBLE) / (tp + fp)
+        + CASE WHEN tp - pos + fp - neg = 0 THEN CAST(tp AS DOUBLE) / (tp + fp)
+               ELSE CAST(tp - pos AS DOUBLE) / (tp - pos + fp - neg) END) / 2) AS PR_AUC FROM a)
+, cm AS (SELECT CAST(count_if(pred = 1 AND label = 1) AS DOUBLE) AS tp, CAST(count_if(pred = 1 AND label = 0) AS DOUBLE) AS fp,
+    CAST(count_if(pred = 0 AND label = 1) AS DOUBLE) AS fn, CAST(count_if(pred = 0 AND label = 0) AS DOUBLE) AS tn FROM sc)
+, m AS (SELECT (tp + tn) / (tp + fp + fn + tn) AS Accuracy, tp / (tp + fp) AS Precision, tp / (tp + fn) AS Recall FROM cm)
+SELECT 'fixed_score' AS model_name, {rnd('ROC_AUC', 9)} AS ROC_AUC, {rnd('PR_AUC', 9)} AS PR_AUC,
+  {rnd('Accuracy', 9)} AS Accuracy, {rnd('Precision', 9)} AS Precision, {rnd('Recall', 9)} AS Recall,
+  {rnd('2.0 * Precision * Recall / (Precision + Recall)', 9)} AS F1_score FROM auc, m""")
+def ev_metrics(fl: DataFrame) -> DataFrame:
+    r = evaluate.metrics_report(_scored(fl), "fixed_score", pred="pred")
+    return r.select("model_name", *[F.round(c, 9).alias(c) for c in _M9])
+
+
+@register("ev_roc_curve", f"""{FLIGHTS_WITH}{_SC}
+SELECT score AS threshold, CAST(fp AS DOUBLE) / N AS fpr, CAST(tp AS DOUBLE) / P AS tpr FROM a
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE""")
+def ev_roc_curve(fl: DataFrame) -> DataFrame:
+    return evaluate.roc_curve(evaluate.score_table(_scored(fl)))
+
+
+@register("ev_pr_curve", f"""{FLIGHTS_WITH}{_SC}
+SELECT score AS threshold, CAST(tp AS DOUBLE) / P AS recall, CAST(tp AS DOUBLE) / (tp + fp) AS precision FROM a""")
+def ev_pr_curve(fl: DataFrame) -> DataFrame:
+    return evaluate.pr_curve(evaluate.score_table(_scored(fl)))
+
+
+@register("ev_regression", f"""{FLIGHTS_WITH}
+, e AS (SELECT ARR_DELAY AS y, DEP_DELAY AS yhat, ARR_DELAY - DEP_DELAY AS e FROM flights
+        WHERE ARR_DELAY IS NOT NULL AND DEP_DELAY IS NOT NULL)
+SELECT {rnd('avg(abs(e))', 9)} AS MAE, {rnd('sqrt(avg(e * e))', 9)} AS RMSE,
+  {rnd('1 - sum(e * e) / (var_pop(y) * count(*))', 9)} AS R2 FROM e""")
+def ev_regression(fl: DataFrame) -> DataFrame:
+    r = evaluate.regression_metrics(fl.select(F.col("ARR_DELAY").alias("y"), F.col("DEP_DELAY").alias("yhat")))
+    return r.select(*[F.round(c, 9).alias(c) for c in ("MAE", "RMSE", "R2")])
