@@ -490,3 +490,108 @@ SELECT {rnd('avg(abs(e))', 9)} AS MAE, {rnd('sqrt(avg(e * e))', 9)} AS RMSE,
 def ev_regression(fl: DataFrame) -> DataFrame:
     r = evaluate.regression_metrics(fl.select(F.col("ARR_DELAY").alias("y"), F.col("DEP_DELAY").alias("yhat")))
     return r.select(*[F.round(c, 9).alias(c) for c in ("MAE", "RMSE", "R2")])
+
+
+# ------------------------------------------------------------- time series
+from ..operators import forecast  # noqa: E402
+
+_MONTH = "CAST(date_trunc('month', FL_DATE) AS DATE)"
+
+
+def _capped(cap: float | None) -> str:
+    return "ARR_DELAY" if cap is None else f"CASE WHEN ARR_DELAY IS NOT NULL THEN least(ARR_DELAY, {cap}) END"
+
+
+def _monthly_sql(cap: float | None, keys: str = "", name: str = "ARR_DELAY") -> str:
+    k = f"{keys}, " if keys else ""
+    g = f"GROUP BY {keys}, {_MONTH}" if keys else f"GROUP BY {_MONTH}"
+    return f"SELECT {k}{_MONTH} AS Month, avg({_capped(cap)}) AS {name} FROM flights {g}"
+
+
+@register("ts_monthly_capped", f"{FLIGHTS_WITH}\n{_monthly_sql(200.0)}")
+def ts_monthly_capped(fl: DataFrame) -> DataFrame:
+    return forecast.monthly_mean(fl, "ARR_DELAY", cap=200.0)
+
+
+@register("ts_monthly_capped20", f"{FLIGHTS_WITH}\n{_monthly_sql(20.0)}")
+def ts_monthly_capped20(fl: DataFrame) -> DataFrame:
+    return forecast.monthly_mean(fl, "ARR_DELAY", cap=20.0)
+
+
+@register("ts_series_ds_y", f"{FLIGHTS_WITH}\nSELECT Month AS ds, ARR_DELAY AS y FROM ({_monthly_sql(None)})")
+def ts_series_ds_y(fl: DataFrame) -> DataFrame:
+    return forecast.monthly_mean(fl, "ARR_DELAY").withColumnsRenamed({"Month": "ds", "ARR_DELAY": "y"})
+
+
+@register("ts_calendar_origin", f"""{FLIGHTS_WITH}
+, m AS ({_monthly_sql(200.0, 'ORIGIN')})
+, s AS (SELECT ORIGIN, min(Month) AS a, max(Month) AS b FROM m GROUP BY ORIGIN)
+, g AS (SELECT ORIGIN, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS Month FROM s)
+SELECT g.ORIGIN, g.Month, m.ARR_DELAY FROM g LEFT JOIN m ON g.ORIGIN = m.ORIGIN AND g.Month = m.Month""")
+def ts_calendar_origin(fl: DataFrame) -> DataFrame:
+    return forecast.calendar(forecast.monthly_mean(fl, "ARR_DELAY", 200.0, ["ORIGIN"]), ["ORIGIN"])
+
+
+@register("ts_horizon", f"""{FLIGHTS_WITH}
+, m AS ({_monthly_sql(200.0)})
+SELECT CAST(unnest(generate_series(max(Month) + INTERVAL 1 MONTH, max(Month) + INTERVAL 12 MONTH, INTERVAL 1 MONTH)) AS DATE) AS Month FROM m""")
+def ts_horizon(fl: DataFrame) -> DataFrame:
+    return forecast.horizon(forecast.monthly_mean(fl, "ARR_DELAY", 200.0))
+
+
+@register("ts_future_frame", f"""{FLIGHTS_WITH}
+, m AS ({_monthly_sql(None)})
+SELECT CAST(unnest(generate_series(min(Month), max(Month) + INTERVAL 12 MONTH, INTERVAL 1 MONTH)) AS DATE) AS ds FROM m""")
+def ts_future_frame(fl: DataFrame) -> DataFrame:
+    return forecast.future_frame(forecast.monthly_mean(fl, "ARR_DELAY"))
+
+
+def _forecast_sql(key: str | None, cap: float = 200.0) -> str:
+    k = key or "_series"
+    src = (f"SELECT {key}, {_MONTH} AS Month, avg({_capped(cap)}) AS v FROM flights GROUP BY {key}, {_MONTH}" if key
+           else f"SELECT 0 AS _series, {_MONTH} AS Month, avg({_capped(cap)}) AS v FROM flights GROUP BY {_MONTH}")
+    z80, z95 = forecast.Z[0.80], forecast.Z[0.95]
+    out_k = f"fx.{key}, " if key else ""
+    return f"""{FLIGHTS_WITH}
+, m AS ({src})
+, f0 AS (SELECT {k}, min(Month) AS m0 FROM m GROUP BY {k})
+, d AS (SELECT m.{k}, m.Month, CAST(date_diff('month', f0.m0, m.Month) AS DOUBLE) AS t, ln(1 + v) AS y,
+          month(m.Month) AS moy FROM m JOIN f0 ON m.{k} = f0.{k} WHERE v IS NOT NULL AND v > -1)
+, fit AS (SELECT {k}, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, max(Month) AS last_m FROM d GROUP BY {k})
+, r AS (SELECT d.*, y - (a + b * t) AS res FROM d JOIN fit ON d.{k} = fit.{k})
+, se AS (SELECT {k}, moy, avg(res) AS s FROM r GROUP BY {k}, moy)
+, sp AS (SELECT r.{k}, stddev_samp(res - s) AS sigma FROM r JOIN se ON r.{k} = se.{k} AND r.moy = se.moy GROUP BY r.{k})
+, fu AS (SELECT fit.{k}, a, b, m0, CAST(unnest(generate_series(last_m + INTERVAL 1 MONTH, last_m + INTERVAL 12 MONTH,
+          INTERVAL 1 MONTH)) AS DATE) AS Month FROM fit JOIN f0 ON fit.{k} = f0.{k})
+, fx AS (SELECT fu.*, a + b * CAST(date_diff('month', m0, fu.Month) AS DOUBLE) + coalesce(se.s, 0) AS yhat,
+          coalesce(sp.sigma, 0) AS sig
+        FROM fu LEFT JOIN se ON fu.{k} = se.{k} AND month(fu.Month) = se.moy LEFT JOIN sp ON fu.{k} = sp.{k})
+SELECT {out_k}fx.Month, {rnd('greatest(exp(yhat) - 1, 0)', 6)} AS Predicted_DELAY,
+  {rnd(f'greatest(exp(yhat - {z80} * sig) - 1, 0)', 6)} AS CI_lower,
+  {rnd(f'greatest(exp(yhat + {z95} * sig) - 1, 0)', 6)} AS CI_upper FROM fx"""
+
+
+def _round_fc(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in ("Predicted_DELAY", "CI_lower", "CI_upper") else F.col(c)
+                       for c in df.columns])
+
+
+@register("ts_forecast", _forecast_sql(None))
+def ts_forecast(fl: DataFrame) -> DataFrame:
+    return _round_fc(forecast.trend_season_forecast(forecast.monthly_mean(fl, "ARR_DELAY", 200.0)))
+
+
+@register("ts_forecast_by_airline", _forecast_sql("AIRLINE"))
+def ts_forecast_by_airline(fl: DataFrame) -> DataFrame:
+    m = forecast.monthly_mean(fl, "ARR_DELAY", 200.0, ["AIRLINE"])
+    return _round_fc(forecast.trend_season_forecast(m, ["AIRLINE"]))
+
+
+@register("ts_fourier_by_airline")
+def ts_fourier_by_airline(fl: DataFrame) -> DataFrame:
+    return forecast.fourier_trend_forecast(forecast.monthly_mean(fl, "ARR_DELAY", keys=["AIRLINE"]), ["AIRLINE"])
+
+
+@register("ts_fourier")
+def ts_fourier(fl: DataFrame) -> DataFrame:
+    return forecast.fourier_trend_forecast(forecast.monthly_mean(fl, "ARR_DELAY"))
