@@ -186,15 +186,7 @@ def level_order(df: DataFrame, c: str, other: str = OTHER, max_levels: int = 200
     if len(vals) > max_levels:
         raise ValueError(f"{c} has more than {max_levels} levels; use sparse_one_hot")
 
-    def sort_key(v):
-        s = str(v)
-        if s == other:
-            return (2, 0, "")
-        try:
-            return (0, float(s), s)
-        except ValueError:
-            return (1, 0, s)
-    return [str(v) for v in sorted(vals, key=sort_key)]
+    return _ordered([str(v) for v in vals], other)
 
 
 def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True, drop_source: bool = True,
@@ -277,32 +269,48 @@ def assemble(df: DataFrame, label: str, exclude: tuple[str, ...] = ("ROW_KEY",),
     return va.transform(df.withColumn(label, F.col(label).cast("double"))), feats
 
 
+def _ordered(vals: list[str], other: str = OTHER) -> list[str]:
+    def sort_key(v):
+        if v == other:
+            return (2, 0, "")
+        try:
+            return (0, float(v), v)
+        except ValueError:
+            return (1, 0, v)
+    return sorted(set(vals), key=sort_key)
+
+
+def _design(d: DataFrame, numeric: list[str], categorical: list[str], prop: float | None,
+            onehot: list[str]) -> DataFrame:
+    from ..session import materialize
+    d = materialize(d)                       # the only pass over the source tables
+    d = impute_median(d, numeric)
+    d = impute_mode(d, categorical)
+    if prop is not None and categorical:
+        kept = kept_levels(d, categorical, prop)
+        d = lump_rare(d, categorical, prop, kept=kept)
+        levels = {c: (level_order(d, c) if kept[c] is None else _ordered([*kept[c], OTHER]))
+                  for c in categorical}
+    else:
+        levels = {c: level_order(d, c) for c in onehot}
+    return one_hot(d, onehot, levels=levels)
+
+
 def prepare_delay(fl: DataFrame, prop: float = 0.01) -> DataFrame:
     """The delay-classification design table: median/mode imputation over
     the whole table, rare levels lumped, one-hot (first level dropped),
     names sanitised."""
-    d = delay_features(fl)
-    d = impute_median(d, DELAY_NUMERIC)
-    d = impute_mode(d, DELAY_CATEGORICAL)
-    d = lump_rare(d, DELAY_CATEGORICAL, prop)
-    return one_hot(d, DELAY_CATEGORICAL)
+    return _design(delay_features(fl), DELAY_NUMERIC, DELAY_CATEGORICAL, prop, DELAY_CATEGORICAL)
 
 
 def prepare_cancel(fl: DataFrame, prop: float = 0.01) -> DataFrame:
-    d = cancel_features(fl)
-    d = impute_median(d, CANCEL_NUMERIC)
-    d = impute_mode(d, CANCEL_CATEGORICAL)
-    d = lump_rare(d, CANCEL_CATEGORICAL, prop)
-    return one_hot(d, CANCEL_CATEGORICAL)
+    return _design(cancel_features(fl), CANCEL_NUMERIC, CANCEL_CATEGORICAL, prop, CANCEL_CATEGORICAL)
 
 
 def prepare_arrival(fl: DataFrame) -> DataFrame:
     """Arrival-delay regression table: medians, one-hot of every airport
     level (no lumping), rows with any NULL dropped."""
-    d = arrival_features(fl)
-    d = impute_median(d, ARRIVAL_IMPUTE)
-    d = one_hot(d, ARRIVAL_ONEHOT)
-    return d.na.drop("any")
+    return _design(arrival_features(fl), ARRIVAL_IMPUTE, [], None, ARRIVAL_ONEHOT).na.drop("any")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -25,18 +25,31 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 MAX_GROUPS = 10_000             # groups x buckets rows are broadcast
 TARGET_ROWS_PER_BUCKET = 2_000_000
+# distinct values one task may hold for an exact percentile (value counts)
+IN_TASK_DISTINCT = 1_000_000
+
+
+def value_counts(df: DataFrame, key: str, weights: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row per distinct (``by``..., ``key``) with summed weights,
+    materialised once (the only pass over ``df``)."""
+    by = list(by or [])
+    d = (df.filter(F.col(key).isNotNull())
+         .groupBy(*by, key).agg(*[F.sum(w).alias(w) for w in weights]))
+    return materialize(d)
 
 
 def prefix_sums(df: DataFrame, key: str, weights: list[str], by: list[str] | None = None,
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, counted: bool = False) -> DataFrame:
     """One row per distinct (``by``..., ``key``) with, for each weight ``w``:
     ``w`` (sum at this key), ``w_below`` (sum over smaller keys of the
-    group) and ``w_total`` (group total). NULL keys are dropped."""
+    group) and ``w_total`` (group total). NULL keys are dropped.
+    ``counted=True`` means ``df`` already is :func:`value_counts` output."""
     by = list(by or [])
-    d = (df.filter(F.col(key).isNotNull())
-         .groupBy(*by, key).agg(*[F.sum(w).alias(w) for w in weights]))
+    d = df if counted else value_counts(df, key, weights, by)
     if buckets is None:
         n = d.count()
         buckets = int(min(4096, max(16, math.ceil(n / TARGET_ROWS_PER_BUCKET))))
@@ -75,13 +88,22 @@ def quantile_table(df: DataFrame, columns: list[str], q: float = 0.5) -> DataFra
     ignored, linear interpolation between the two neighbouring order
     statistics (the median of an even count is the mean of the middle two).
 
-    One job for all columns: the values are stacked as (column, value),
-    counted per distinct value, prefix-summed per column; only the <= 2
-    rows per column holding the target ranks survive the filter.
+    The columns are stacked as (column, value) and counted per distinct
+    value in ONE pass over ``df`` (partial aggregation; the counts are
+    materialised). If every column has at most ``IN_TASK_DISTINCT``
+    distinct values, Spark's exact ``percentile`` with the counts as
+    frequencies finishes the job (one task per column holds only its
+    distinct values). Otherwise the bucketed prefix sums locate the two
+    order statistics without any task holding a whole column.
     """
     stacked = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in columns])))
-    ps = prefix_sums(stacked.withColumn("_w", F.lit(1)), "_v", ["_w"], by=["_name"])
+    vc = value_counts(stacked.withColumn("_w", F.lit(1)), "_v", ["_w"], by=["_name"])
+    widest = vc.groupBy("_name").count().agg(F.max("count")).first()[0] or 0
+    if widest <= IN_TASK_DISTINCT:
+        return vc.groupBy("_name").agg(F.percentile("_v", float(q), F.col("_w")).alias("value")) \
+                 .select(F.col("_name").alias("feature"), "value")
+    ps = prefix_sums(vc, "_v", ["_w"], by=["_name"], counted=True)
     pos = (F.col("_w_total") - 1) * F.lit(float(q))
     lo, hi = F.floor(pos), F.ceil(pos)
 

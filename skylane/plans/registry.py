@@ -595,3 +595,114 @@ def ts_fourier_by_airline(fl: DataFrame) -> DataFrame:
 @register("ts_fourier")
 def ts_fourier(fl: DataFrame) -> DataFrame:
     return forecast.fourier_trend_forecast(forecast.monthly_mean(fl, "ARR_DELAY"))
+
+
+# ----------------------------------------------------- models (rows-only)
+from ..operators import explain, models  # noqa: E402
+
+
+def _delay_design(fl: DataFrame) -> DataFrame:
+    return features.prepare_delay(fl)
+
+
+@register("ml_delay_logistic")
+def ml_delay_logistic(fl: DataFrame) -> DataFrame:
+    return models.classification_report(_delay_design(fl), "IS_DELAYED", "logistic", "Logistic Regression")
+
+
+@register("ml_delay_forest")
+def ml_delay_forest(fl: DataFrame) -> DataFrame:
+    return models.classification_report(_delay_design(fl), "IS_DELAYED", "forest", "Random Forest")
+
+
+@register("ml_delay_boosted")
+def ml_delay_boosted(fl: DataFrame) -> DataFrame:
+    return models.classification_report(_delay_design(fl), "IS_DELAYED", "boosted", "Boosted Trees")
+
+
+@register("ml_cancel_logistic")
+def ml_cancel_logistic(fl: DataFrame) -> DataFrame:
+    return models.classification_report(features.prepare_cancel(fl), "IS_CANCELLED", "logistic",
+                                        "Logistic Regression")
+
+
+@register("ml_cancel_forest")
+def ml_cancel_forest(fl: DataFrame) -> DataFrame:
+    # a regression forest on the 0/1 target, thresholded at 0.3
+    return models.classification_report(features.prepare_cancel(fl), "IS_CANCELLED", "forest_regression",
+                                        "Random Forest (regression)")
+
+
+@register("ml_cancel_boosted")
+def ml_cancel_boosted(fl: DataFrame) -> DataFrame:
+    return models.classification_report(features.prepare_cancel(fl), "IS_CANCELLED", "boosted", "Boosted Trees")
+
+
+@register("ml_arrival_forest")
+def ml_arrival_forest(fl: DataFrame) -> DataFrame:
+    return models.regression_report(features.prepare_arrival(fl), "ARR_DELAY", "forest", "Random Forest")
+
+
+@register("ml_arrival_boosted")
+def ml_arrival_boosted(fl: DataFrame) -> DataFrame:
+    return models.regression_report(features.prepare_arrival(fl), "ARR_DELAY", "boosted", "Boosted Trees")
+
+
+def _fit_delay(fl: DataFrame, kind: str):
+    design = _delay_design(fl)
+    train, test = models.train_test(design)
+    return models.fit(train, "IS_DELAYED", kind), train, test
+
+
+@register("ex_importance_forest")
+def ex_importance_forest(fl: DataFrame) -> DataFrame:
+    m, _, _ = _fit_delay(fl, "forest")
+    return explain.importance(fl.sparkSession, m.model, m.feature_names)
+
+
+@register("ex_importance_boosted")
+def ex_importance_boosted(fl: DataFrame) -> DataFrame:
+    m, _, _ = _fit_delay(fl, "boosted")
+    return explain.importance(fl.sparkSession, m.model, m.feature_names)
+
+
+@register("ex_permutation_forest")
+def ex_permutation_forest(fl: DataFrame) -> DataFrame:
+    m, _, test = _fit_delay(fl, "forest")
+    groups = explain.feature_groups(m.feature_names, features.DELAY_CATEGORICAL)
+    return explain.permutation_importance(m.score, test, "IS_DELAYED", groups, seed=42)
+
+
+@register("ex_shapley_forest")
+def ex_shapley_forest(fl: DataFrame) -> DataFrame:
+    """Top-20 |phi| of the first training row (lowest key), background: 100
+    training rows chosen by a second hash."""
+    m, train, _ = _fit_delay(fl, "forest")
+    groups = explain.feature_groups(m.feature_names, features.DELAY_CATEGORICAL)
+    first = train.orderBy("ROW_KEY").limit(1)
+    background = train.orderBy(F.xxhash64("ROW_KEY", F.lit(7)), "ROW_KEY").limit(100)
+    phi = explain.shapley(m.score, first, background, groups, permutations=64, seed=42)
+    return explain.top_by_abs(phi, n=20)
+
+
+_LIN_W = {"MONTH": 0.5, "DEP_HH": 1.0, "CRS_DEP_HH": -0.25, "DISTANCE": 0.01}
+_LIN_COLS = list(_LIN_W)
+
+
+@register("ex_shapley_linear", f"""{FLIGHTS_WITH}
+, af AS (SELECT {_HASH_SQL} AS ROW_KEY, MONTH, CAST(floor(DEP_TIME / 100) AS BIGINT) AS DEP_HH,
+    CAST(floor(CRS_DEP_TIME / 100) AS BIGINT) AS CRS_DEP_HH, DISTANCE FROM flights
+  WHERE ARR_DELAY IS NOT NULL AND NOT isnan(ARR_DELAY) AND NOT isinf(ARR_DELAY))
+, ok AS (SELECT * FROM af WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _LIN_COLS)})
+, x AS (SELECT * FROM ok ORDER BY ROW_KEY, {', '.join(_LIN_COLS)} LIMIT 5)
+, z AS (SELECT * FROM ok ORDER BY ROW_KEY DESC, {', '.join(c + ' DESC' for c in _LIN_COLS)} LIMIT 1)
+""" + "\nUNION ALL\n".join(
+    f"SELECT x.ROW_KEY, '{c}' AS feature, {rnd(f'{w} * (x.{c} - z.{c})', 9)} AS phi FROM x, z"
+    for c, w in _LIN_W.items()))
+def ex_shapley_linear(fl: DataFrame) -> DataFrame:
+    af = features.arrival_features(fl).select("ROW_KEY", *_LIN_COLS).na.drop("any")
+    first = af.orderBy("ROW_KEY", *_LIN_COLS).limit(5)
+    background = af.orderBy(F.desc("ROW_KEY"), *[F.desc(c) for c in _LIN_COLS]).limit(1)
+    groups = {c: [c] for c in _LIN_COLS}
+    phi = explain.shapley(explain.linear_scorer(_LIN_W), first, background, groups, permutations=16, seed=1)
+    return phi.select("ROW_KEY", "feature", F.round("phi", 9).alias("phi"))

@@ -62,3 +62,25 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage for the jobs that reuse it.
+
+    With a cluster checkpoint folder (``spark.checkpoint.dir``) the rows
+    are written there (reliable: survives executor loss without
+    recomputing the upstream plan); otherwise they are persisted in
+    executor memory and disk. Used for small intermediate frames that
+    several follow-up jobs read (value counts, design tables), so the big
+    source scan runs once.
+    """
+    from pyspark import StorageLevel
+    sc = df.sparkSession.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None)
+    if d and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    if sc.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
