@@ -23,8 +23,8 @@ def col(c: str | Column) -> Column:
 def parse_date(c: str | Column) -> Column:
     """Text date in ``yyyy-MM-dd`` or ``yyyyMMdd``; anything else is NULL."""
     c = col(c)
-    return F.coalesce(F.try_to_date(c, F.lit("yyyy-MM-dd")),
-                      F.try_to_date(c, F.lit("yyyyMMdd")))
+    return F.coalesce(F.try_to_date(c, "yyyy-MM-dd"),
+                      F.try_to_date(c, "yyyyMMdd"))
 
 
 def weekday_number(d: str | Column) -> Column:

@@ -195,18 +195,17 @@ def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True, drop_source
     without the first level when ``drop_first``. A NULL source value gives
     0 in every level column."""
     levels = dict(levels or {})
-    new = {}
+    raw = []                                    # (raw name, expression)
     for c in cols:
         lv = levels.get(c) or level_order(df, c)
         use = lv[1:] if drop_first else lv
         s = F.col(c).cast("string")
         for v in use:
-            new[C.sanitize_name(f"{c}_{v}")] = F.coalesce((s == F.lit(v)).cast("int"), F.lit(0))
-    out = df.withColumns(new)
-    if drop_source:
-        out = out.drop(*cols)
-    names = C.sanitize_columns(out.columns)        # raises on a collision
-    return out.toDF(*names)
+            raw.append((f"{c}_{v}", F.coalesce((s == F.lit(v)).cast("int"), F.lit(0))))
+    keep = [c for c in df.columns if not (drop_source and c in cols)]
+    names = C.sanitize_columns(keep + [n for n, _ in raw])     # raises on a collision
+    return df.select(*[F.col(c).alias(n) for c, n in zip(keep, names)],
+                     *[e.alias(n) for (_, e), n in zip(raw, names[len(keep):])])
 
 
 def sparse_one_hot(df: DataFrame, cols: list[str], output_suffix: str = "_vec") -> DataFrame:

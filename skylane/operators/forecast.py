@@ -5,10 +5,11 @@
   from ``sequence`` + ``explode`` (one small row per key expands to its
   months), so gaps are explicit NULL months instead of silently shifted
   points.
-* :func:`trend_season_forecast` - per key, on the log1p scale: a linear
-  trend from ``regr_slope``/``regr_intercept`` over the month index, a
-  month-of-year offset (mean residual) and a residual spread for the
-  intervals. Only aggregations and joins on (key, month): no Python.
+* :func:`trend_season_forecast` - per key, on the log1p scale: the joint
+  least-squares fit of a linear trend over the month index plus a level
+  per month of year (slope from within-month deviations, ``regr_slope``),
+  and the residual spread for the intervals. Only aggregations and joins
+  on (key, month): no Python.
 * :func:`fourier_trend_forecast` - per key, a piecewise-linear trend plus
   yearly Fourier terms fitted by least squares in ``applyInPandas``; each
   group is one monthly series (a few hundred rows at most).
@@ -87,20 +88,28 @@ def trend_season_forecast(monthly: DataFrame, keys: list[str] | None = None, val
     # months whose log1p is undefined (mean <= -1) are left out of the fit
     d = (d.select(*keys, "Month", t.alias("t"), y.alias("y"), F.month("Month").alias("moy"))
          .filter(F.col("y").isNotNull() & ~F.isnan("y")))
-    # every frame below is per series (months) or per (series, month of year)
-    fit = d.groupBy(*keys).agg(F.regr_slope("y", "t").alias("b"), F.regr_intercept("y", "t").alias("a"),
-                               F.max("Month").alias("_last"))
-    r = d.join(fit, keys).withColumn("res", F.col("y") - (F.col("a") + F.col("b") * F.col("t")))
-    season = r.groupBy(*keys, "moy").agg(F.avg("res").alias("s"))
-    spread = (r.join(season, [*keys, "moy"])
-              .groupBy(*keys).agg(F.stddev_samp(F.col("res") - F.col("s")).alias("sigma")))
+    # joint least squares of y = level(month of year) + b * t: the slope
+    # comes from deviations around each month-of-year mean (so seasonal
+    # offsets cannot leak into the trend); every frame below is per
+    # series or per (series, month of year)
+    mm = d.groupBy(*keys, "moy").agg(F.avg("t").alias("tbar"), F.avg("y").alias("ybar"))
+    dev = d.join(mm, [*keys, "moy"]).select(*keys, "Month", (F.col("t") - F.col("tbar")).alias("dt"),
+                                            (F.col("y") - F.col("ybar")).alias("dy"), "t", "y")
+    fit = dev.groupBy(*keys).agg(
+        F.coalesce(F.regr_slope("dy", "dt"), F.regr_slope("y", "t"), F.lit(0.0)).alias("b"),
+        F.max("Month").alias("_last"))
+    lvl = mm.join(fit, keys).select(*keys, "moy", (F.col("ybar") - F.col("b") * F.col("tbar")).alias("lvl"))
+    spread = (d.join(lvl, [*keys, "moy"]).join(fit.select(*keys, "b"), keys)
+              .groupBy(*keys).agg(F.stddev_samp(F.col("y") - F.col("lvl") - F.col("b") * F.col("t"))
+                                  .alias("sigma"), F.avg("lvl").alias("lvl_all")))
     fut = (fit.join(first, keys)
-           .select(*keys, "a", "b", "_m0",
+           .select(*keys, "b", "_m0",
                    _months(F.add_months("_last", 1), F.add_months("_last", h)).alias("Month")))
     fut = fut.withColumns({"t": F.months_between("Month", "_m0").cast("int").cast("double"),
                            "moy": F.month("Month")})
-    fut = fut.join(season, [*keys, "moy"], "left").join(spread, keys, "left")
-    yhat = F.col("a") + F.col("b") * F.col("t") + F.coalesce(F.col("s"), F.lit(0.0))
+    fut = fut.join(lvl, [*keys, "moy"], "left").join(spread, keys, "left")
+    # a month of year never observed takes the mean level
+    yhat = F.coalesce(F.col("lvl"), F.col("lvl_all")) + F.col("b") * F.col("t")
     sig = F.coalesce(F.col("sigma"), F.lit(0.0))
     back = (lambda e: F.expm1(e)) if log else (lambda e: e)
     zl, zu = _z(lower_level), _z(upper_level)

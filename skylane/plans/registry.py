@@ -557,15 +557,17 @@ def _forecast_sql(key: str | None, cap: float = 200.0) -> str:
 , f0 AS (SELECT {k}, min(Month) AS m0 FROM m GROUP BY {k})
 , d AS (SELECT m.{k}, m.Month, CAST(date_diff('month', f0.m0, m.Month) AS DOUBLE) AS t, ln(1 + v) AS y,
           month(m.Month) AS moy FROM m JOIN f0 ON m.{k} = f0.{k} WHERE v IS NOT NULL AND v > -1)
-, fit AS (SELECT {k}, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, max(Month) AS last_m FROM d GROUP BY {k})
-, r AS (SELECT d.*, y - (a + b * t) AS res FROM d JOIN fit ON d.{k} = fit.{k})
-, se AS (SELECT {k}, moy, avg(res) AS s FROM r GROUP BY {k}, moy)
-, sp AS (SELECT r.{k}, stddev_samp(res - s) AS sigma FROM r JOIN se ON r.{k} = se.{k} AND r.moy = se.moy GROUP BY r.{k})
-, fu AS (SELECT fit.{k}, a, b, m0, CAST(unnest(generate_series(last_m + INTERVAL 1 MONTH, last_m + INTERVAL 12 MONTH,
+, mm AS (SELECT {k}, moy, avg(t) AS tbar, avg(y) AS ybar FROM d GROUP BY {k}, moy)
+, dv AS (SELECT d.*, t - tbar AS dt, y - ybar AS dy FROM d JOIN mm ON d.{k} = mm.{k} AND d.moy = mm.moy)
+, fit AS (SELECT {k}, coalesce(regr_slope(dy, dt), regr_slope(y, t), 0) AS b, max(Month) AS last_m FROM dv GROUP BY {k})
+, lv AS (SELECT mm.{k}, moy, ybar - b * tbar AS lvl FROM mm JOIN fit ON mm.{k} = fit.{k})
+, sp AS (SELECT d.{k}, stddev_samp(y - lvl - b * t) AS sigma, avg(lvl) AS lvl_all
+         FROM d JOIN lv ON d.{k} = lv.{k} AND d.moy = lv.moy JOIN fit ON d.{k} = fit.{k} GROUP BY d.{k})
+, fu AS (SELECT fit.{k}, b, m0, CAST(unnest(generate_series(last_m + INTERVAL 1 MONTH, last_m + INTERVAL 12 MONTH,
           INTERVAL 1 MONTH)) AS DATE) AS Month FROM fit JOIN f0 ON fit.{k} = f0.{k})
-, fx AS (SELECT fu.*, a + b * CAST(date_diff('month', m0, fu.Month) AS DOUBLE) + coalesce(se.s, 0) AS yhat,
+, fx AS (SELECT fu.*, coalesce(lv.lvl, sp.lvl_all) + b * CAST(date_diff('month', m0, fu.Month) AS DOUBLE) AS yhat,
           coalesce(sp.sigma, 0) AS sig
-        FROM fu LEFT JOIN se ON fu.{k} = se.{k} AND month(fu.Month) = se.moy LEFT JOIN sp ON fu.{k} = sp.{k})
+        FROM fu LEFT JOIN lv ON fu.{k} = lv.{k} AND month(fu.Month) = lv.moy LEFT JOIN sp ON fu.{k} = sp.{k})
 SELECT {out_k}fx.Month, {rnd('greatest(exp(yhat) - 1, 0)', 6)} AS Predicted_DELAY,
   {rnd(f'greatest(exp(yhat - {z80} * sig) - 1, 0)', 6)} AS CI_lower,
   {rnd(f'greatest(exp(yhat + {z95} * sig) - 1, 0)', 6)} AS CI_upper FROM fx"""
