@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from .prefix import exact_quantiles, prefix_sums, quantile_table
+from .prefix import exact_quantiles, prefix_sums, quantile_table, value_counts
 
 # --- fixed values: the three feature sets of the predictive analyses ---
 DELAY_FEATURES = ["MONTH", "AIRLINE", "ORIGIN", "DEST", "DEP_HH", "DISTANCE", "CRS_DEP_HH"]
@@ -245,11 +245,18 @@ def stratified_split(df: DataFrame, label: str, p: float = 0.8, key: str = "ROW_
         cuts = df.agg(F.percentile_approx(label, qs, 10_000)).first()[0]
         s = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda b: b < F.col(label)))
     d = df.withColumn("_stratum", s.cast("string"))
-    ps = prefix_sums(d.withColumn("_w", F.lit(1)), key, ["_w"], by=["_stratum"])
+    vc = value_counts(d.withColumn("_w", F.lit(1)), key, ["_w"], by=["_stratum"])
+    ps = prefix_sums(vc, key, ["_w"], by=["_stratum"], counted=True)
     need = F.ceil(F.col("_w_total") * F.lit(float(p)))
-    # the key at which the running count first reaches ceil(p * n)
-    thr = (ps.filter((F.col("_w_below") < need) & (F.col("_w_below") + F.col("_w") >= need))
-           .select("_stratum", F.col(key).alias("_thr")))
+    # the key at which the running count first reaches ceil(p * n): one row
+    # per stratum (at most MAX_GROUPS), collected and broadcast back
+    thr_rows = (ps.filter((F.col("_w_below") < need) & (F.col("_w_below") + F.col("_w") >= need))
+                .select("_stratum", F.col(key).alias("_thr")).collect())
+    vc.unpersist()
+    key_type = df.schema[key].dataType
+    thr = df.sparkSession.createDataFrame(
+        [(r["_stratum"], r["_thr"]) for r in thr_rows],
+        T.StructType([T.StructField("_stratum", T.StringType()), T.StructField("_thr", key_type)]))
     j = d.join(F.broadcast(thr), "_stratum", "left")
     inside = F.coalesce(F.col(key) <= F.col("_thr"), F.lit(False))
     return j.filter(inside).drop("_stratum", "_thr"), j.filter(~inside).drop("_stratum", "_thr")

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-MAX_GROUPS = 10_000             # groups x buckets rows are broadcast
+MAX_GROUPS = 1_000              # groups x buckets rows are broadcast ...
+MAX_OFFSET_ROWS = 1_000_000     # ... and never more than this many
 TARGET_ROWS_PER_BUCKET = 2_000_000
 # distinct values one task may hold for an exact percentile (value counts)
 IN_TASK_DISTINCT = 1_000_000
@@ -50,20 +51,20 @@ def prefix_sums(df: DataFrame, key: str, weights: list[str], by: list[str] | Non
     ``counted=True`` means ``df`` already is :func:`value_counts` output."""
     by = list(by or [])
     d = df if counted else value_counts(df, key, weights, by)
-    if buckets is None:
-        n = d.count()
-        buckets = int(min(4096, max(16, math.ceil(n / TARGET_ROWS_PER_BUCKET))))
     gcols = by if by else ["_g"]
     if not by:
         d = d.withColumn("_g", F.lit(0))
-    qs = [i / buckets for i in range(1, buckets)]
+    ngroups = d.select(*gcols).distinct().count() if by else 1
+    if ngroups > MAX_GROUPS:
+        raise ValueError(f"{ngroups} groups exceed {MAX_GROUPS}; use fewer groups")
+    if buckets is None:
+        n = d.count()
+        buckets = int(min(4096, max(16, math.ceil(n / TARGET_ROWS_PER_BUCKET))))
+    buckets = max(1, min(buckets, MAX_OFFSET_ROWS // max(ngroups, 1)))
+    qs = [i / buckets for i in range(1, buckets)] or [0.5]
     acc = max(10_000, 20 * buckets)
     bounds = d.groupBy(*gcols).agg(F.percentile_approx(key, qs, acc).alias("_bounds"))
-    if by:
-        ngroups = bounds.count()
-        if ngroups > MAX_GROUPS:
-            raise ValueError(f"{ngroups} groups exceed {MAX_GROUPS}; use fewer groups")
-    # bounds: one small row per group (checked above) -> broadcast join, no shuffle of d
+    # bounds: one row per group (<= MAX_GROUPS, checked) -> broadcast join, no shuffle of d
     x = (d.join(F.broadcast(bounds), gcols)
          .withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col(key))))
          .drop("_bounds"))
@@ -76,7 +77,7 @@ def prefix_sums(df: DataFrame, key: str, weights: list[str], by: list[str] | Non
     inner = Window.partitionBy(*gcols, "_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     x = x.select(*gcols, key, "_b", *weights,
                  *[F.coalesce(F.sum(w).over(inner), F.lit(0)).alias(f"_in_{w}") for w in weights])
-    out = x.join(F.broadcast(off), [*gcols, "_b"])
+    out = x.join(F.broadcast(off), [*gcols, "_b"])         # <= MAX_OFFSET_ROWS rows
     cols = [*by, key, *weights,
             *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"{w}_below") for w in weights],
             *[F.col(f"{w}_total") for w in weights]]
@@ -96,13 +97,17 @@ def quantile_table(df: DataFrame, columns: list[str], q: float = 0.5) -> DataFra
     distinct values). Otherwise the bucketed prefix sums locate the two
     order statistics without any task holding a whole column.
     """
+    return _quantiles(df, columns, q)[1]
+
+
+def _quantiles(df: DataFrame, columns: list[str], q: float) -> tuple[DataFrame, DataFrame]:
     stacked = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in columns])))
     vc = value_counts(stacked.withColumn("_w", F.lit(1)), "_v", ["_w"], by=["_name"])
     widest = vc.groupBy("_name").count().agg(F.max("count")).first()[0] or 0
     if widest <= IN_TASK_DISTINCT:
-        return vc.groupBy("_name").agg(F.percentile("_v", float(q), F.col("_w")).alias("value")) \
-                 .select(F.col("_name").alias("feature"), "value")
+        return vc, vc.groupBy("_name").agg(F.percentile("_v", float(q), F.col("_w")).alias("value")) \
+            .select(F.col("_name").alias("feature"), "value")
     ps = prefix_sums(vc, "_v", ["_w"], by=["_name"], counted=True)
     pos = (F.col("_w_total") - 1) * F.lit(float(q))
     lo, hi = F.floor(pos), F.ceil(pos)
@@ -117,7 +122,7 @@ def quantile_table(df: DataFrame, columns: list[str], q: float = 0.5) -> DataFra
     frac_lo, frac_hi = F.ceil(p) - p, p - F.floor(p)
     value = F.when(F.floor(p) == F.ceil(p), F.col("_lo_v")).otherwise(
         frac_lo * F.col("_lo_v") + frac_hi * F.col("_hi_v"))
-    return picked.select(F.col("_name").alias("feature"), value.alias("value"))
+    return vc, picked.select(F.col("_name").alias("feature"), value.alias("value"))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5) -> dict[str, float | None]:
@@ -125,5 +130,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5) -> dict[s
     column; a column with no value maps to None)."""
     out: dict[str, float | None] = {c: None for c in columns}
     if columns:
-        out.update({r["feature"]: r["value"] for r in quantile_table(df, columns, q).collect()})
+        vc, table = _quantiles(df, columns, q)
+        out.update({r["feature"]: r["value"] for r in table.collect()})
+        vc.unpersist()
     return out

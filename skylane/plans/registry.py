@@ -681,8 +681,8 @@ def ex_shapley_forest(fl: DataFrame) -> DataFrame:
     training rows chosen by a second hash."""
     m, train, _ = _fit_delay(fl, "forest")
     groups = explain.feature_groups(m.feature_names, features.DELAY_CATEGORICAL)
-    first = train.orderBy("ROW_KEY").limit(1)
-    background = train.orderBy(F.xxhash64("ROW_KEY", F.lit(7)), "ROW_KEY").limit(100)
+    first = train.orderBy("ROW_KEY", *train.columns).limit(1)
+    background = train.orderBy(F.xxhash64("ROW_KEY", F.lit(7)), "ROW_KEY", *train.columns).limit(100)
     phi = explain.shapley(m.score, first, background, groups, permutations=64, seed=42)
     return explain.top_by_abs(phi, n=20)
 
