@@ -26,9 +26,12 @@ def _airport(k: Column) -> Column:
     return F.concat(F.lit("AP"), F.lpad(code, 3, "0"))
 
 
+LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 def flights_from_tables(lineitem: DataFrame, supplier: DataFrame, part: DataFrame) -> DataFrame:
-    li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = lineitem.select(*LINEITEM_COLUMNS)
     su = supplier.select("s_suppkey", "s_nationkey")
     pa = part.select("p_partkey", "p_size")
     j = (li.join(su, li.l_suppkey == su.s_suppkey)
@@ -70,7 +73,12 @@ def flights_from_tables(lineitem: DataFrame, supplier: DataFrame, part: DataFram
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flights over ``{sf_dir}/{lineitem,supplier,part}.parquet``."""
+    """Flights over ``{sf_dir}/{lineitem,supplier,part}.parquet``.
+
+    ``lineitem`` is spread over the cores when its file layout gives fewer
+    splits than cores (see :func:`skylane.sources.readers.spread`).
+    """
+    from .readers import spread
     r = spark.read.parquet
-    return flights_from_tables(r(f"{sf_dir}/lineitem.parquet"), r(f"{sf_dir}/supplier.parquet"),
-                               r(f"{sf_dir}/part.parquet"))
+    li = r(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)
+    return flights_from_tables(spread(li), r(f"{sf_dir}/supplier.parquet"), r(f"{sf_dir}/part.parquet"))

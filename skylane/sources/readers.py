@@ -49,6 +49,20 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*(path if isinstance(path, list) else [path]))
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the scan has fewer splits than the
+    cluster can run at once (e.g. one small file with one row group).
+
+    The split count comes from file listing (no job). Large inputs — many
+    files or row groups — already have more splits than cores and are
+    returned unchanged, so no shuffle is added at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def register_view(df: DataFrame, name: str = "flights") -> DataFrame:
     """Replace-if-present table registration (no data copy)."""
     df.createOrReplaceTempView(name)
