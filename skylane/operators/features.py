@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..session import materialize
 from .prefix import exact_quantiles, prefix_sums, quantile_table, value_counts
 
 # --- fixed values: the three feature sets of the predictive analyses ---
@@ -125,8 +126,8 @@ def level_shares(df: DataFrame, cols: list[str]) -> DataFrame:
     share is of the column's non-NULL rows. One aggregation job."""
     stacked = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in cols])))
-    counts = stacked.filter(F.col("level").isNotNull()).groupBy("feature", "level").agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = materialize(stacked.filter(F.col("level").isNotNull()).groupBy("feature", "level").agg(
+        F.count(F.lit(1)).alias("n")))                  # one row per level; read twice
     totals = counts.groupBy("feature").agg(F.sum("n").alias("_tot"))
     # one row per feature column: a bounded broadcast
     return counts.join(F.broadcast(totals), "feature").select(
@@ -146,7 +147,7 @@ def lump_table(df: DataFrame, cols: list[str], prop: float = 0.01, other: str =
     A level is kept when its share is strictly greater than ``prop``; when
     at most one level would be lumped, nothing is lumped.
     """
-    shares = level_shares(df, cols)
+    shares = materialize(level_shares(df, cols))
     small = shares.groupBy("feature").agg(F.count_if(F.col("share") <= prop).alias("_n_small"))
     j = shares.join(F.broadcast(small), "feature")          # one row per feature column
     keep = (F.col("share") > prop) | (F.col("_n_small") <= 1)

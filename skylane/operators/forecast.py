@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..session import materialize
 
 # --- fixed values: normal quantiles of the two default interval levels ---
 Z = {0.80: 1.2815515655446004, 0.95: 1.959963984540054}
@@ -45,6 +46,7 @@ def calendar(monthly: DataFrame, keys: list[str] | None = None, value: str = "AR
     """Every month from each key's first to its last observed month; months
     without data carry a NULL value."""
     keys = list(keys or [])
+    monthly = materialize(monthly)          # (series x months) rows, read twice below
     span = monthly.groupBy(*keys).agg(F.min("Month").alias("_a"), F.max("Month").alias("_b"))
     grid = span.select(*keys, _months(F.col("_a"), F.col("_b")).alias("Month"))
     return grid.join(monthly.select(*keys, "Month", value), [*keys, "Month"], "left")
@@ -81,6 +83,8 @@ def trend_season_forecast(monthly: DataFrame, keys: list[str] | None = None, val
     single = not keys
     if single:                      # the whole table is one series
         monthly, keys = monthly.withColumn("_series", F.lit(0)), ["_series"]
+    # the series (keys x months) is read by every step below: compute it once
+    monthly = materialize(monthly)
     first = monthly.groupBy(*keys).agg(F.min("Month").alias("_m0"))
     d = monthly.filter(F.col(value).isNotNull()).join(first, keys)
     t = F.months_between("Month", "_m0").cast("int").cast("double")

@@ -208,7 +208,8 @@ def top_rates(df: DataFrame, group_col: str, n: int = 5) -> DataFrame:
     list (it is a re-sort of the delay-ordered table). Each list is a
     ``TakeOrderedAndProject`` over the per-group aggregate.
     """
-    rates = group_rates(df, group_col)
+    from ..session import materialize
+    rates = materialize(group_rates(df, group_col))   # one row per group, read by both lists
     k = F.asc_nulls_last(group_col)
     by_delay = rates.orderBy(F.desc_nulls_last("delay_rate"), k).limit(n)
     by_cancel = rates.orderBy(F.desc_nulls_last("cancel_rate"), F.desc_nulls_last("delay_rate"), k).limit(n)
