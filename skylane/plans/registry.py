@@ -708,3 +708,47 @@ def ex_shapley_linear(fl: DataFrame) -> DataFrame:
     groups = {c: [c] for c in _LIN_COLS}
     phi = explain.shapley(explain.linear_scorer(_LIN_W), first, background, groups, permutations=16, seed=1)
     return phi.select("ROW_KEY", "feature", F.round("phi", 9).alias("phi"))
+
+
+# ------------------------------------------------ further inventory items
+from ..sources.readers import hash_sample  # noqa: E402
+
+_OVERVIEW_COLS = ["Total_Flights", "Delayed_Flights", "OnTime_Flights", "Cancelled_Flights", "Diverted_Flights",
+                  "N_Airlines", "Short_Haul_Flights", "Medium_Haul_Flights", "Long_Haul_Flights"]
+
+
+@register("src_sample_10pct", f"{FLIGHTS_WITH}\nSELECT * FROM flights WHERE {_HASH_SQL} < 0.1")
+def src_sample_10pct(fl: DataFrame) -> DataFrame:
+    return hash_sample(fl, 0.1, features.FLIGHT_KEY)
+
+
+@register("q_overview_report", f"""{ORACLE['q_overview'].rsplit('SELECT', 1)[0]}
+, o AS (SELECT{ORACLE['q_overview'].rsplit('SELECT', 1)[1]})
+SELECT *, {', '.join(f"format('{{:,}}', {c}) AS {c}_text" for c in _OVERVIEW_COLS)} FROM o""")
+def q_overview_report(fl: DataFrame) -> DataFrame:
+    return kpi.overview_report(kpi.overview(fl))
+
+
+@register("q_year_rates_joined", _period_sql("YEAR"))
+def q_year_rates_joined(fl: DataFrame) -> DataFrame:
+    return kpi.period_rates_joined(fl, "year", kpi.equals("AIRLINE", AIRLINE))
+
+
+@register("fp_delay_features", f"{FLIGHTS_WITH}{_DFE}\nSELECT * FROM dfe")
+def fp_delay_features(fl: DataFrame) -> DataFrame:
+    return features.delay_features(fl)
+
+
+@register("fp_cancel_features", f"""{FLIGHTS_WITH}
+SELECT {_HASH_SQL} AS ROW_KEY, MONTH, ORIGIN, DEST, CAST(floor(CRS_DEP_TIME / 100) AS BIGINT) AS CRS_DEP_HH,
+  CAST(CANCELLED = 1 AS INTEGER) AS IS_CANCELLED FROM flights WHERE CANCELLED IS NOT NULL""")
+def fp_cancel_features(fl: DataFrame) -> DataFrame:
+    return features.cancel_features(fl)
+
+
+@register("fp_arrival_features", f"""{FLIGHTS_WITH}
+SELECT {_HASH_SQL} AS ROW_KEY, MONTH, CAST(floor(DEP_TIME / 100) AS BIGINT) AS DEP_HH,
+  CAST(floor(CRS_DEP_TIME / 100) AS BIGINT) AS CRS_DEP_HH, ORIGIN, DEST, DISTANCE, ARR_DELAY
+FROM flights WHERE ARR_DELAY IS NOT NULL AND NOT isnan(ARR_DELAY) AND NOT isinf(ARR_DELAY)""")
+def fp_arrival_features(fl: DataFrame) -> DataFrame:
+    return features.arrival_features(fl)

@@ -75,11 +75,15 @@ def materialize(df):
     source scan runs once.
     """
     from pyspark import StorageLevel
-    sc = df.sparkSession.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None)
-    if d and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
-    if sc.getCheckpointDir():
+    try:
+        sc = df.sparkSession.sparkContext
+        d = sc.getConf().get("spark.checkpoint.dir", None)
+        if d and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+        reliable = bool(sc.getCheckpointDir())
+    except Exception:          # no JVM context (remote session): fall back to persist
+        reliable = False
+    if reliable:
         return df.checkpoint(eager=True)
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()

@@ -57,10 +57,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     files or row groups — already have more splits than cores and are
     returned unchanged, so no shuffle is added at scale.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:          # no JVM context (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def register_view(df: DataFrame, name: str = "flights") -> DataFrame:

@@ -48,11 +48,21 @@ def test_permutation_importance_unused_feature(spark):
 
 def test_permute_group_is_permutation(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(500)], "k int, v double")
-    p = explain.permute_group(df, ["v"], seed=5, buckets=3)
+    p = explain.permute_group(df, ["v"], seed=5, buckets=3, id_col="k")
     assert sorted(r.v for r in p.collect()) == [float(i) for i in range(500)]
     assert p.filter(F.col("v") != F.col("k").cast("double")).count() > 400
 
 
+def test_permute_copies_spread_over_buckets(spark):
+    """600 identical rows: the unique id, not the content, picks the bucket."""
+    df = spark.createDataFrame([(1.0, 2.0)] * 600, "a double, b double").withColumn(
+        "_rid", F.monotonically_increasing_id())
+    b = df.select(F.pmod(F.xxhash64("_rid", F.lit(5)), F.lit(4)).alias("b")).groupBy("b").count().collect()
+    assert len(b) == 4 and max(r["count"] for r in b) < 250
+    p = explain.permute_group(df, ["a"], seed=5, buckets=4)
+    assert p.count() == 600
+
+
 def _monthly(spark, data):
     return spark.createDataFrame(data, "FL_DATE date, ARR_DELAY double")
 
