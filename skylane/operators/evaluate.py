@@ -105,6 +105,14 @@ def pr_auc(st: DataFrame) -> DataFrame:
     return a.agg(F.sum(seg).alias("PR_AUC"))
 
 
+def average_precision(st: DataFrame) -> DataFrame:
+    """Average precision: sum over thresholds of (recall step) x precision
+    (the step-wise alternative to the trapezoid PR area)."""
+    a = _at_or_above(st)
+    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
+    return a.agg(F.sum((F.col("pos") / F.col("pos_total").cast("double")) * prec).alias("AP"))
+
+
 def metrics_report(scored: DataFrame, model_name: str, label: str = "label", score: str = "score",
                    pred: str | None = None, threshold: float = CLASS_THRESHOLD) -> DataFrame:
     """One row: model_name, ROC_AUC, PR_AUC, Accuracy, Precision, Recall,

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..session import materialize
-from .prefix import exact_quantiles, prefix_sums, quantile_table, value_counts
+from .prefix import approx_quantile_table, exact_quantiles, prefix_sums, quantile_table, value_counts
 
 # --- fixed values: the three feature sets of the predictive analyses ---
 DELAY_FEATURES = ["MONTH", "AIRLINE", "ORIGIN", "DEST", "DEP_HH", "DISTANCE", "CRS_DEP_HH"]
@@ -64,9 +64,14 @@ def arrival_features(fl: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- imputation
-def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact medians (mean of the middle two for an even count), one job."""
-    return exact_quantiles(df, cols, 0.5)
+def medians(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, float | None]:
+    """Exact medians (mean of the middle two for an even count), one job;
+    ``exact=False`` uses the bounded ``percentile_approx`` sketch."""
+    if exact:
+        return exact_quantiles(df, cols, 0.5)
+    out: dict[str, float | None] = {c: None for c in cols}
+    out.update({r["feature"]: r["value"] for r in approx_quantile_table(df, cols, 0.5).collect()})
+    return out
 
 
 def median_table(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -109,10 +114,12 @@ def _fill(df: DataFrame, values: dict) -> DataFrame:
     return df.withColumns(exprs) if exprs else df
 
 
-def impute_median(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Replace NULLs by the exact median of the column (of ``fit_on`` if
-    given, e.g. the training part; by default the whole table)."""
-    return _fill(df, medians(fit_on if fit_on is not None else df, cols))
+def impute_median(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None,
+                  exact: bool = True) -> DataFrame:
+    """Replace NULLs by the median of the column (of ``fit_on`` if given,
+    e.g. the training part; by default the whole table, as the analysis
+    does)."""
+    return _fill(df, medians(fit_on if fit_on is not None else df, cols, exact))
 
 
 def impute_mode(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:

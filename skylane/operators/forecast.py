@@ -42,14 +42,29 @@ def _months(start, stop) -> F.Column:
     return F.explode(F.sequence(start, stop, F.expr("INTERVAL 1 MONTH")))
 
 
-def calendar(monthly: DataFrame, keys: list[str] | None = None, value: str = "ARR_DELAY") -> DataFrame:
+def calendar(monthly: DataFrame, keys: list[str] | None = None, value: str = "ARR_DELAY",
+             fill: float | str | None = None) -> DataFrame:
     """Every month from each key's first to its last observed month; months
-    without data carry a NULL value."""
+    without data carry a NULL value, or with ``fill`` a constant or
+    ``"previous"`` (last observed value of the series; the window holds one
+    series' months)."""
+    from pyspark.sql import Window
     keys = list(keys or [])
     monthly = materialize(monthly)          # (series x months) rows, read twice below
     span = monthly.groupBy(*keys).agg(F.min("Month").alias("_a"), F.max("Month").alias("_b"))
     grid = span.select(*keys, _months(F.col("_a"), F.col("_b")).alias("Month"))
-    return grid.join(monthly.select(*keys, "Month", value), [*keys, "Month"], "left")
+    out = grid.join(monthly.select(*keys, "Month", value), [*keys, "Month"], "left")
+    if fill is None:
+        return out
+    if fill == "previous":
+        if not keys:
+            out, part = out.withColumn("_series", F.lit(0)), ["_series"]
+        else:
+            part = keys
+        w = Window.partitionBy(*part).orderBy("Month").rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn(value, F.last(value, ignorenulls=True).over(w))
+        return out.drop("_series") if not keys else out
+    return out.withColumn(value, F.coalesce(F.col(value), F.lit(float(fill))))
 
 
 def horizon(monthly: DataFrame, keys: list[str] | None = None, h: int = 12) -> DataFrame:
@@ -202,3 +217,72 @@ def fourier_trend_forecast(monthly: DataFrame, keys: list[str] | None = None, va
         return d.groupBy("_series").applyInPandas(
             lambda pdf: fit_one(pdf.drop(columns=["_series"])), out_schema)
     return d.groupBy(*keys).applyInPandas(fit_one, out_schema)
+
+
+AR_FIELDS = [T.StructField("Month", T.DateType()), T.StructField("Predicted_DELAY", T.DoubleType()),
+             T.StructField("CI_lower", T.DoubleType()), T.StructField("CI_upper", T.DoubleType())]
+
+
+def ar_forecast(monthly: DataFrame, keys: list[str] | None = None, value: str = "ARR_DELAY", h: int = 12,
+                lags: tuple[int, ...] = (1, 12), lower_level: float = 0.80, upper_level: float = 0.95,
+                log: bool = True) -> DataFrame:
+    """Seasonal autoregression per key: y_t = c + sum_l phi_l * y_(t-l) on
+    the log1p scale (default lags 1 and 12), least squares in numpy inside
+    ``applyInPandas`` (one monthly series per group), iterated ``h`` months
+    ahead. The band widens with the horizon as sigma * sqrt(sum of squared
+    impulse responses); lower bound at ``lower_level``, upper at
+    ``upper_level``; back-transformed and floored at 0. A series too short
+    for the lags falls back to its mean."""
+    import numpy as np
+    import pandas as pd
+
+    keys = list(keys or [])
+    out_schema = T.StructType([monthly.schema[k] for k in keys] + AR_FIELDS)
+    zl, zu = _z(lower_level), _z(upper_level)
+    L = max(lags)
+
+    def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("Month")
+        y = pdf[value].to_numpy(float)
+        if log:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                y = np.where(y > -1, np.log1p(y), np.nan)
+        # months without data: carry the previous value (the lags need a grid)
+        y = pd.Series(y).ffill().bfill().to_numpy()
+        last = pd.Timestamp(pdf["Month"].iloc[-1])
+        months = pd.date_range(last + pd.offsets.MonthBegin(1), periods=h, freq="MS")
+        n = len(y)
+        if n > L + len(lags) + 1 and np.isfinite(y).all():
+            X = np.column_stack([np.ones(n - L)] + [y[L - l: n - l] for l in lags])
+            beta, *_ = np.linalg.lstsq(X, y[L:], rcond=None)
+            resid = y[L:] - X @ beta
+            sd = float(np.std(resid, ddof=len(beta))) if len(resid) > len(beta) else 0.0
+            hist = list(y)
+            psi = [1.0]                               # impulse responses for the band
+            for k in range(1, h):
+                psi.append(sum(beta[1 + i] * (psi[k - l] if k - l >= 0 else 0.0) for i, l in enumerate(lags)))
+            preds = []
+            for _ in range(h):
+                nxt = beta[0] + sum(beta[1 + i] * hist[-l] for i, l in enumerate(lags))
+                hist.append(nxt)
+                preds.append(nxt)
+            spread = sd * np.sqrt(np.cumsum(np.square(psi)))
+        else:
+            m = float(np.nanmean(y)) if np.isfinite(y).any() else float("nan")
+            sd = float(np.nanstd(y, ddof=1)) if np.isfinite(y).sum() > 1 else 0.0
+            preds, spread = [m] * h, np.full(h, sd)
+        preds = np.asarray(preds)
+        back = np.expm1 if log else (lambda v: v)
+        res = pd.DataFrame({"Month": months.date,
+                            "Predicted_DELAY": np.maximum(back(preds), 0.0),
+                            "CI_lower": np.maximum(back(preds - zl * spread), 0.0),
+                            "CI_upper": np.maximum(back(preds + zu * spread), 0.0)})
+        for k in keys:
+            res.insert(0, k, pdf[k].iloc[0])
+        return res[[f.name for f in out_schema.fields]]
+
+    d = calendar(monthly, keys, value)
+    if not keys:
+        return d.withColumn("_series", F.lit(0)).groupBy("_series").applyInPandas(
+            lambda pdf: fit_one(pdf.drop(columns=["_series"])), out_schema)
+    return d.groupBy(*keys).applyInPandas(fit_one, out_schema)

@@ -84,6 +84,14 @@ def prefix_sums(df: DataFrame, key: str, weights: list[str], by: list[str] | Non
     return out.select(*cols)
 
 
+def approx_quantile_table(df: DataFrame, columns: list[str], q: float = 0.5,
+                          accuracy: int = 10_000) -> DataFrame:
+    """(feature, value) from ``percentile_approx`` (bounded sketch per
+    column, one pass); opt-in where an exact quantile is not needed."""
+    one = df.agg(*[F.percentile_approx(F.col(c).cast("double"), float(q), accuracy).alias(c) for c in columns])
+    return one.unpivot([], columns, "feature", "value")
+
+
 def quantile_table(df: DataFrame, columns: list[str], q: float = 0.5) -> DataFrame:
     """(feature, value): exact ``q``-quantile of each numeric column, NULLs
     ignored, linear interpolation between the two neighbouring order

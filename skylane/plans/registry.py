@@ -752,3 +752,9 @@ SELECT {_HASH_SQL} AS ROW_KEY, MONTH, CAST(floor(DEP_TIME / 100) AS BIGINT) AS D
 FROM flights WHERE ARR_DELAY IS NOT NULL AND NOT isnan(ARR_DELAY) AND NOT isinf(ARR_DELAY)""")
 def fp_arrival_features(fl: DataFrame) -> DataFrame:
     return features.arrival_features(fl)
+
+
+@register("ts_ar_forecast_by_airline")
+def ts_ar_forecast_by_airline(fl: DataFrame) -> DataFrame:
+    """Seasonal autoregression per airline (capped monthly means)."""
+    return forecast.ar_forecast(forecast.monthly_mean(fl, "ARR_DELAY", 200.0, ["AIRLINE"]), ["AIRLINE"])

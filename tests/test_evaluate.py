@@ -65,3 +65,20 @@ def test_regression_perfect_and_constant(spark):
     assert (r.MAE, r.RMSE, r.R2) == (0.0, 0.0, 1.0)
     c = spark.createDataFrame([(3.0, 1.0), (3.0, 2.0)], "y double, yhat double")
     assert evaluate.regression_metrics(c).first().R2 is None
+
+
+def test_auc_matches_mllib_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    rnd = random.Random(5)
+    pairs = [(y, min(0.999, max(0.0, 0.3 * y + rnd.random() * 0.7))) for y in (rnd.randint(0, 1) for _ in range(2000))]
+    df = spark.createDataFrame([(float(y), s) for y, s in pairs], "label double, score double")
+    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC",
+                                       numBins=0)
+    ours = evaluate.roc_auc(evaluate.score_table(df)).first()[0]
+    assert ours == pytest.approx(ev.evaluate(df), abs=1e-9)
+
+
+def test_average_precision(spark):
+    pairs = [(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)]
+    ap = evaluate.average_precision(evaluate.score_table(_scored(spark, pairs))).first()[0]
+    assert ap == pytest.approx(0.5 * 1.0 + 0.5 * (2 / 3))

@@ -111,3 +111,26 @@ def test_fourier_forecast_shape(spark):
     err = max(abs(r.yhat - r.y) for r in hist)
     assert err < 1.0
     assert all(r.yhat_lower <= r.yhat <= r.yhat_upper for r in out)
+
+
+def test_calendar_fill_previous_and_constant(spark):
+    df = _monthly(spark, [(dt.date(2020, 10, 5), 1.0), (dt.date(2020, 12, 1), 3.0)])
+    m = forecast.monthly_mean(df)
+    prev = sorted((r.Month, r.ARR_DELAY) for r in forecast.calendar(m, fill="previous").collect())
+    assert prev[1] == (dt.date(2020, 11, 1), 1.0)
+    const = sorted((r.Month, r.ARR_DELAY) for r in forecast.calendar(m, fill=0.0).collect())
+    assert const[1] == (dt.date(2020, 11, 1), 0.0)
+
+
+def test_ar_forecast_recovers_ar_series(spark):
+    """y_t = 0.5 + 0.6 y_(t-1) exactly (no noise): the forecast continues it."""
+    ys, y = [], 1.0
+    for _ in range(60):
+        ys.append(y)
+        y = 0.5 + 0.6 * y
+    data = [("k", dt.date(2015 + t // 12, 1 + t % 12, 1), ys[t]) for t in range(60)]
+    m = spark.createDataFrame(data, "key string, Month date, ARR_DELAY double")
+    out = forecast.ar_forecast(m, ["key"], lags=(1,), log=False).orderBy("Month").collect()
+    assert len(out) == 12 and out[0].Month == dt.date(2020, 1, 1)
+    assert out[0].Predicted_DELAY == pytest.approx(0.5 + 0.6 * ys[-1], rel=1e-6)
+    assert out[0].CI_lower == pytest.approx(out[0].Predicted_DELAY, abs=1e-6)

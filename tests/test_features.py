@@ -125,3 +125,9 @@ def test_design_tables_numeric(spark, flights_small):
     assert features.prepare_arrival(flights_small).na.drop().count() > 0
     assert "MONTH_2" in features.prepare_cancel(flights_small).columns
     _ = F
+
+
+def test_approximate_median_opt_in(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(1, 101)], "x double")
+    assert features.medians(df, ["x"], exact=False)["x"] in (50.0, 51.0)
+    assert features.medians(df, ["x"])["x"] == 50.5
