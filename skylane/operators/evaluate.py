@@ -116,15 +116,41 @@ def average_precision(st: DataFrame) -> DataFrame:
 def metrics_report(scored: DataFrame, model_name: str, label: str = "label", score: str = "score",
                    pred: str | None = None, threshold: float = CLASS_THRESHOLD) -> DataFrame:
     """One row: model_name, ROC_AUC, PR_AUC, Accuracy, Precision, Recall,
-    F1_score. Rows with a NULL label or score are left out first."""
+    F1_score. Rows with a NULL label or score are left out first.
+
+    With classes from the threshold (``pred=None``) everything comes from
+    ONE aggregation over the per-score table: the confusion counts at the
+    threshold are sums over the distinct scores above / below it, so the
+    scored rows are read once. A separate ``pred`` column costs one more
+    pass (its own confusion counts).
+    """
     d = valid(scored, label, score)
-    if pred is None:
-        d = predict_class(d, score, threshold)
-        pred = "pred"
-    d = d.select(F.col(label).alias("label"), F.col(score).alias("score"), F.col(pred).alias("pred"))
-    st = score_table(d)
-    one = _one_row(roc_auc(st), pr_auc(st), class_metrics(d))
-    return one.select(F.lit(model_name).alias("model_name"), "*")
+    if pred is not None:
+        d = d.select(F.col(label).alias("label"), F.col(score).alias("score"), F.col(pred).alias("pred"))
+        st = score_table(d)
+        one = _one_row(roc_auc(st), pr_auc(st), class_metrics(d))
+        return one.select(F.lit(model_name).alias("model_name"), "*")
+    st = score_table(d.select(F.col(label).alias("label"), F.col(score).alias("score")))
+    a = _at_or_above(st)
+    above = F.col("score") > F.lit(float(threshold))
+    P = F.col("pos_total").cast("double")
+    prec_s = F.col("tp") / (F.col("tp") + F.col("fp"))
+    first = (F.col("tp_prev") + F.col("fp_prev")) == 0
+    prec_prev = F.when(first, prec_s).otherwise(F.col("tp_prev") / (F.col("tp_prev") + F.col("fp_prev")))
+    agg = a.agg(
+        F.try_divide(F.sum(F.col("pos") * (F.col("neg_total") - F.col("fp") + F.lit(0.5) * F.col("neg"))),
+                     F.first("pos_total") * F.first("neg_total")).alias("ROC_AUC"),
+        F.sum((F.col("pos") / P) * (prec_s + prec_prev) / F.lit(2.0)).alias("PR_AUC"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("double").alias("tp"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("double").alias("fp"),
+        F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("double").alias("fn"),
+        F.sum(F.when(~above, F.col("neg")).otherwise(0)).cast("double").alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    prec, rec = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
+    return agg.select(F.lit(model_name).alias("model_name"), "ROC_AUC", "PR_AUC",
+                      F.try_divide(tp + tn, tp + fp + fn + tn).alias("Accuracy"),
+                      prec.alias("Precision"), rec.alias("Recall"),
+                      F.try_divide(F.lit(2.0) * prec * rec, prec + rec).alias("F1_score"))
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:

@@ -465,7 +465,7 @@ SELECT 'fixed_score' AS model_name, {rnd('ROC_AUC', 9)} AS ROC_AUC, {rnd('PR_AUC
   {rnd('Accuracy', 9)} AS Accuracy, {rnd('Precision', 9)} AS Precision, {rnd('Recall', 9)} AS Recall,
   {rnd('2.0 * Precision * Recall / (Precision + Recall)', 9)} AS F1_score FROM auc, m""")
 def ev_metrics(fl: DataFrame) -> DataFrame:
-    r = evaluate.metrics_report(_scored(fl), "fixed_score", pred="pred")
+    r = evaluate.metrics_report(_scored(fl), "fixed_score")
     return r.select("model_name", *[F.round(c, 9).alias(c) for c in _M9])
 
 
