@@ -154,12 +154,13 @@ def metrics_report(scored: DataFrame, model_name: str, label: str = "label", sco
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
-    """Side-by-side union of one-row frames (a key join on a constant)."""
-    out = None
-    for f in frames:
-        f = f.withColumn("_one", F.lit(1))
-        out = f if out is None else out.join(F.broadcast(f), "_one")
-    return out.drop("_one")
+    """Side-by-side combination of one-row frames without a join: stack
+    them (missing columns NULL) and keep each column's one value."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    cols = [c for f in frames for c in f.columns]
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:

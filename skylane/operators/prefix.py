@@ -63,11 +63,16 @@ def prefix_sums(df: DataFrame, key: str, weights: list[str], by: list[str] | Non
     buckets = max(1, min(buckets, MAX_OFFSET_ROWS // max(ngroups, 1)))
     qs = [i / buckets for i in range(1, buckets)] or [0.5]
     acc = max(10_000, 20 * buckets)
-    bounds = d.groupBy(*gcols).agg(F.percentile_approx(key, qs, acc).alias("_bounds"))
-    # bounds: one row per group (<= MAX_GROUPS, checked) -> broadcast join, no shuffle of d
-    x = (d.join(F.broadcast(bounds), gcols)
-         .withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col(key))))
-         .drop("_bounds"))
+    bucket = F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
+    if by:
+        bounds = d.groupBy(*by).agg(F.percentile_approx(key, qs, acc).alias("_bounds"))
+        # bounds: one row per group (<= MAX_GROUPS, checked) -> broadcast join, no shuffle of d
+        x = d.join(F.broadcast(bounds), by).withColumn("_b", bucket).drop("_bounds")
+    else:
+        # one group: its (buckets - 1) bounds are a literal array in the plan
+        b = d.agg(F.percentile_approx(key, qs, acc)).first()[0] or []
+        x = (d.withColumn("_bounds", F.array(*[F.lit(v) for v in b]).cast(f"array<{d.schema[key].dataType.simpleString()}>"))
+             .withColumn("_b", bucket).drop("_bounds"))
     tot = x.groupBy(*gcols, "_b").agg(*[F.sum(w).alias(f"_bt_{w}") for w in weights])
     before = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*gcols)

@@ -29,7 +29,9 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "16g")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores)))
+         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
+         # remove checkpoint files of frames that are no longer referenced
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in {**RECOMMENDED, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
