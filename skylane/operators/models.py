@@ -93,8 +93,13 @@ def fit(design: DataFrame, label: str, kind: str, task: str = "classification",
     return Fitted(model, names, label, kind)
 
 
-def train_test(design: DataFrame, p: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    return features.split(design, p)
+def train_test(design: DataFrame, p: float = 0.8, stratify: str | None = None,
+               numeric_groups: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hash split on ROW_KEY; with ``stratify`` the exact per-stratum split
+    (a numeric target cut into ``numeric_groups`` quantile groups)."""
+    if stratify is None:
+        return features.split(design, p)
+    return features.stratified_split(design, stratify, p, numeric_groups=numeric_groups)
 
 
 def classification_report(design: DataFrame, label: str, kind: str, model_name: str,
@@ -106,8 +111,14 @@ def classification_report(design: DataFrame, label: str, kind: str, model_name:
     return evaluate.metrics_report(scored, model_name, label=label, score="score", threshold=threshold)
 
 
-def regression_report(design: DataFrame, label: str, kind: str, model_name: str, p: float = 0.8) -> DataFrame:
-    train, test = train_test(design, p)
+def regression_report(design: DataFrame, label: str, kind: str, model_name: str, p: float = 0.8,
+                      quartile_strata: bool = False) -> DataFrame:
+    """Split, fit, score, report MAE / RMSE / R². ``quartile_strata=True``
+    splits exactly within the target's quartiles (as the analysis'
+    partitioning does for a numeric target); the default is the hash
+    split."""
+    train, test = train_test(design, p, stratify=label if quartile_strata else None,
+                             numeric_groups=4 if quartile_strata else None)
     m = fit(train, label, kind, task="regression")
     scored = m.score(test)
     r = evaluate.regression_metrics(scored, y=label, yhat="score")
