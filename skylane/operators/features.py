@@ -251,7 +251,7 @@ def stratified_split(df: DataFrame, label: str, p: float = 0.8, key: str = "ROW_
     if numeric_groups:
         qs = [i / numeric_groups for i in range(1, numeric_groups)]
         cuts = df.agg(F.percentile_approx(label, qs, 10_000)).first()[0]
-        s = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda b: b < F.col(label)))
+        s = sum((F.col(label) > F.lit(float(x))).cast("int") for x in cuts)
     d = df.withColumn("_stratum", s.cast("string"))
     vc = value_counts(d.withColumn("_w", F.lit(1)), key, ["_w"], by=["_stratum"])
     ps = prefix_sums(vc, key, ["_w"], by=["_stratum"], counted=True)
