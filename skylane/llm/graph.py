@@ -18,16 +18,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     and a node with a third of all links is only ever partially aggregated
     and joined, never gathered.
     """
-    e = staged(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
+    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = staged(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = staged(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u > v")
-                   .unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u > v")
+        e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         open_nodes = e.select(F.col("v").alias("u")).distinct().join(e.select("u"), "u", "left_semi")
         forks = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         if open_nodes.unionByName(forks).isEmpty():

@@ -34,7 +34,6 @@ from skylane.llm.graph import components
 
 RATIO = 1.4             # sizes of one band
 PART_FILL = 0.85        # shingles per part, as a share of the most that the threshold allows
-SLICES = 3              # the tiles are joined in so many rounds, which bounds the shuffle on disk
 BLOCK = 4096            # members of a tile that are compared with each other in one task
 CHUNK = 1 << 22         # bytes of text hashed at a time
 
@@ -105,7 +104,8 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
         for d in range(len(raws)):
             lo, hi = int(first[d]), int(first[d + 1])
             if hi - lo >= k:
-                out.append(np.unique(grams[lo:hi - k + 1]))
+                g = np.sort(grams[lo:hi - k + 1])
+                out.append(g[np.concatenate(([True], g[1:] != g[:-1]))])
             elif hi > lo:
                 few = sum((int(x) * int(_C[j % 5]) for j, x in enumerate(w[lo:hi])), (hi - lo) * int(_C[4])) & (2**64 - 1)
                 out.append(_mix(np.array([few], dtype=np.uint64)))
@@ -186,30 +186,18 @@ def _digest(s: np.ndarray) -> int:
     return int((_mix(s + _C[1]).sum(dtype=np.uint64) ^ _U(len(s) * 0x9E3779B9)).astype(np.int64)) if len(s) else 0
 
 
-def _profiles(k: int):
-    """doc_id, n, node."""
-    def run(batches):
-        for b in batches:
-            sets = shingle_sets(b.column("text").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([_digest(s) for s in sets], pa.int64())], ["doc_id", "n", "node"])
-    return run
-
-
 def _signatures(k: int, scheme: Scheme):
-    """node, n, bits, keys of each distinct set of the task."""
+    """doc_id, n, node of every document; bits and keys with the first one of each set in the task."""
     def run(batches):
-        seen: set[int] = set()
+        seen: set[int] = {0}
         for b in batches:
-            rows = []
-            for s in shingle_sets(b.column("text").to_pylist(), k):
-                node = _digest(s)
-                if len(s) and node not in seen:
-                    seen.add(node)
-                    rows.append((node, len(s), scheme.bitmap(s), scheme.keys(s)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                                              pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                                             ["node", "n", "bits", "keys"])
+            sets = shingle_sets(b.column("text").to_pylist(), k)
+            nodes = [_digest(s) for s in sets]
+            new = [here and x not in seen and not seen.add(x) for x, here in zip(nodes, b.column("doc_id").is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
+                                              pa.array([scheme.bitmap(s) if y else None for s, y in zip(sets, new, strict=True)], pa.binary()),
+                                              pa.array([scheme.keys(s) if y else None for s, y in zip(sets, new, strict=True)], pa.list_(pa.int64()))],
+                                             ["doc_id", "n", "node", "bits", "keys"])
     return run
 
 
@@ -279,9 +267,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, prof: DataFrame, k: int, scheme: Scheme, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets, intersected as sorted arrays, reach the threshold."""
+def _verified(pairs: DataFrame, texts: DataFrame, prof: DataFrame, k: int, scheme: Scheme, name: str) -> DataFrame | None:
+    """The pairs (a, b) whose sets, intersected as sorted arrays, reach the threshold; None without pairs."""
     pairs = staged(pairs, f"{name}-candidates")
+    if name == "rest" and pairs.isEmpty():
+        return None
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     # one document of each set gives its shingles
     reps = prof.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(nodes, "node", "left_semi")
@@ -294,22 +284,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, prof: DataFrame, k: int, schem
 
 
 def similarity_links(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id",
-                     text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(profiles: doc_id, n, node; links: a, b between nodes that connect all similar sets).
+                     text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles: doc_id, n, node; links: a, b between nodes that connect all similar sets; node, root).
 
     The links are verified ones and as many as connect every component: a
     pair that others already connect may be missing."""
-    scheme, texts = Scheme(num, den), _texts(docs, id_col, text_col).where("doc_id is not null")
-    prof = staged(_texts(docs, id_col, text_col).mapInArrow(
-        _profiles(k), T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("n", "long").add("node", "long")), "profiles")
-    sig = staged(texts.mapInArrow(_signatures(k, scheme), "node long, n long, bits binary, keys array<long>"), "signatures")
+    scheme, texts = Scheme(num, den), _texts(docs, id_col, text_col)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("n", "long").add("node", "long")
+    sig = staged(texts.mapInArrow(_signatures(k, scheme), schema.add("bits", "binary").add("keys", T.ArrayType(T.LongType()))), "signatures")
+    prof, sig = sig.select("doc_id", "n", "node"), sig.where("keys is not null")
     rows = sig.select("node", F.explode("keys").alias("key"))
-    tiles = None
-    for i in range(SLICES):
-        mine = rows.where(F.pmod("key", F.lit(SLICES)) == i)
-        shared = mine.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-        part = staged(mine.join(staged(shared, "shared-tiles"), "key").where("node > a").select("key", "a", "node").distinct(), "tiles")
-        tiles = part if tiles is None else tiles.unionByName(part)
+    # staged by itself, so that its shuffle is off the disk before the next begins
+    shared = staged(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a"), "shared-tiles")
+    tiles = staged(rows.join(shared, "key").where("node > a").select("key", "a", "node").distinct(), "tiles")
     bits = sig.select("node", "n", "bits").dropDuplicates(["node"])
 
     # each member against the first of its tile
@@ -323,15 +310,29 @@ def similarity_links(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, i
     comp = staged(components(links), "star-components")
     members = (tiles.select("key", "node").unionByName(tiles.select("key", F.col("a").alias("node")).distinct())
                .join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")))
-    mixed = (members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo < hi and size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    mixed = (members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                        F.sum(F.xxhash64("node") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"))
+             .where("lo < hi and size > 2"))
+    # similar texts share many tiles; of tiles with the same members one is enough
+    mixed = mixed.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = (members.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "node", "comp",
                      F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side")))
     rest = (dealt.join(bits, "node").select("key", "t1", "t2", "node", "n", "bits", "comp", "side")
             .repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(_tile_pairs(scheme), PAIRS).distinct())
-    return prof, links.unionByName(_verified(rest, texts, prof, k, scheme, "rest"))
+    more = _verified(rest, texts, prof, k, scheme, "rest")
+    if more is None:
+        return prof, links, comp
+    # only roots are joined anew
+    roots = comp.select(F.col("node").alias("x"), F.col("root").alias("r"))
+    up = (more.join(roots, F.col("a") == F.col("x"), "left").select(F.coalesce("r", "a").alias("a"), "b")
+          .join(roots, F.col("b") == F.col("x"), "left").select("a", F.coalesce("r", "b").alias("b")))
+    top = staged(components(up), "root-components")
+    a, t = comp.alias("a"), top.select(F.col("node").alias("x"), F.col("root").alias("r")).alias("t")
+    moved = a.join(t, F.col("a.root") == F.col("t.x"), "left").select("a.node", F.coalesce("t.r", "a.root").alias("root"))
+    alone = top.join(comp, "node", "left_anti").select("node", "root")
+    return prof, links.unionByName(more), moved.unionByName(alone)
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,13 +349,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
       (component_id null);
     * an empty table gives an empty result; other columns are ignored.
     """
-    prof, links = similarity_links(docs, k, num, den, id_col, text_col)
-    rooted = components(links)
+    prof, _, rooted = similarity_links(docs, k, num, den, id_col, text_col)
     sets = prof.where("n > 0 and doc_id is not null")
     same_id = sets.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     if not same_id.isEmpty():                   # ids that come with several texts
         first = same_id.select("doc_id", "a")
-        rooted = components(links.unionByName(sets.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a < b").distinct()))
+        versions = sets.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a < b").distinct()
+        rooted = components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(versions))
     classes = sets.groupBy("node").agg(F.min("doc_id").alias("least")).join(rooted, "node", "left")
     classes = classes.select("node", "least", F.coalesce("root", "node").alias("root"))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
