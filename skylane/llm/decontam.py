@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 ERROR_SHARE = 0.05          # edits allowed per character of the item
 BLOCK_CHARS = 1 << 24       # characters of items that one automaton holds
-_GAP = re.compile(r"[\W_]+")
+_GAP = re.compile(r"[^\w ][\W_]*|_[\W_]*| [\W_]+")     # what is not one space already
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -6,9 +6,9 @@ chunks wherever they stand. Chunks are deduplicated to identifiers, a
 document becomes the ordered list of its chunks' identifiers (its recipe),
 and documents are compared by recipe: from then on no text moves.
 
-Identifiers are verified. Distinct contents are grouped by their bytes, not
-only by digest; contents that share a 64-bit hash get a number each, and two
-contents under one SHA-256 would stop the job instead of being merged.
+Identifiers are verified: a chunk is looked up by a 64-bit hash, and every
+hash is checked against the SHA-256 digests and lengths of all chunks that
+have it; contents that share the short hash get a number each.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from skylane.llm.common import staged, text_or_empty
 # Content-defined cut: lazily 1,024 to 4,096 characters up to a mark and a
 # space; where there is none (scripts without such marks) 4,096 characters.
 CHUNK_PATTERN = r"(?s).{1024,4096}?(?:(?<=[.,;:!?] )|\z)|.{1,4096}"
-WHITE = r"[\x20\x09-\x0D]+"
+# runs of ASCII white space, but for single spaces, which stay as they are
+WHITE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
 def normalised(text: Column) -> Column:
@@ -34,22 +35,18 @@ def chunks_of(norm: Column, pattern: str = CHUNK_PATTERN) -> Column:
 
 
 def chunk_occurrences(docs: DataFrame, id_col: str, text_col: str, pattern: str = CHUNK_PATTERN) -> DataFrame:
-    """One row per chunk of each document: key columns, place, hash, digest, content."""
+    """One row per chunk of each document: key columns, place, hash, digest with length."""
     return (docs.select(F.col(id_col).alias("doc_id"), normalised(text_or_empty(text_col)).alias("norm"))
             .select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.posexplode(chunks_of(F.col("norm"), pattern)).alias("pos", "chunk"))
             .select("doc_id", "text_sha256", "pos", F.xxhash64("chunk").alias("h"),
-                    F.unhex(F.sha2("chunk", 256)).alias("d"), "chunk"))
+                    F.concat(F.unhex(F.sha2("chunk", 256)), F.encode(F.octet_length("chunk").cast("string"), "utf-8")).alias("d")))
 
 
 def chunk_ids(occ: DataFrame) -> DataFrame:
-    """``h, ds``: for each 64-bit hash the digests of its distinct contents, sorted.
+    """``h, ds``: for each 64-bit hash the digests (with lengths) of its distinct chunks, sorted.
 
     A chunk's identifier is (h, place of its digest in ds)."""
-    contents = occ.select("h", "d", "chunk").distinct()        # grouped by the bytes themselves
-    ids = contents.groupBy("h").agg(F.sort_array(F.collect_list("d")).alias("ds"))
-    clash = F.size("ds") != F.size(F.array_distinct("ds"))
-    return ids.select("h", F.when(clash, F.raise_error(F.lit("two chunks share one SHA-256 digest"))
-                                  .cast("array<binary>")).otherwise(F.col("ds")).alias("ds"))
+    return occ.select("h", "d").distinct().groupBy("h").agg(F.sort_array(F.collect_list("d")).alias("ds"))
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = CHUNK_PATTERN) -> DataFrame:
@@ -57,8 +54,8 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     Identical rows (same id, same normalised text) share a row; ``n_rows``
     counts them."""
-    occ = chunk_occurrences(docs, id_col, text_col, pattern)
-    refs = occ.select("doc_id", "text_sha256", "pos", "h", "d").join(chunk_ids(occ), "h")
+    occ = staged(chunk_occurrences(docs, id_col, text_col, pattern), "chunks")
+    refs = occ.join(chunk_ids(occ), "h")
     place = F.struct("pos", "h", F.array_position("ds", F.col("d")).cast("int").alias("seq"))
     lists = refs.groupBy("doc_id", "text_sha256").agg(
         F.sort_array(F.collect_set(place)).alias("places"),

@@ -19,7 +19,8 @@ SMOOTHING = 0.01        # added to every bucket of a language
 PENALTY = 3.0           # log(n trigrams) times this per language in the set
 MAX_LANGUAGES = 512     # bound of the broadcast model: 512 x 2^18 x 4 bytes
 MAX_OTHER = 0.5         # share of "other" from which a document is rejected
-ROUNDS = 40
+MIN_SHARE = 0.01        # share of the full mixture from which a language may join the set
+ROUNDS = 60
 
 _letters: list = []
 
@@ -84,44 +85,50 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
     return langs, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def _em(p: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shares of the rows of ``p`` (likelihood, source x trigram) and the log-likelihood."""
-    share = np.full(len(p), 1.0 / len(p))
-    n, before = count.sum(), -np.inf
+def _em(p: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Shares of the sources (rows of ``p``: likelihood of each trigram) that maximise the likelihood."""
+    share = np.full(len(p), 1.0 / len(p), np.float32)
+    weight = count / count.sum()
     for _ in range(ROUNDS):
-        mix = share @ p
-        ll = float(count @ np.log(mix))
-        share = share * (p @ (count / mix)) / n
-        if ll - before < 1e-4 * n / 100 + 1e-6:
-            break
-        before = ll
-    return share, ll
+        new = share * (p @ (weight / (share @ p)))
+        if np.abs(new - share).max() < 1e-4:
+            return new
+        share = new
+    return share
 
 
 def infer(grams: np.ndarray, logp: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Share of each language (0 outside the chosen set) and of "other".
 
-    The set grows from the best single language: the language that the full
-    mixture gives the next largest share is added while it pays for itself."""
+    The set grows from the language with the largest share of the full
+    mixture: the next largest is added while its gain in log-likelihood pays
+    the penalty."""
     at, count = np.unique(grams, return_counts=True)
-    count = count.astype(np.float64)
+    count = count.astype(np.float32)
     langs = len(logp)
-    lp = logp[:, at].astype(np.float64)
-    p = np.vstack([np.exp(lp), np.full(len(at), 1.0 / BUCKETS)])
-    cost = penalty * np.log(count.sum() + 1.0)
-    full, _ = _em(p, count)
+    p = np.vstack([np.exp(logp[:, at]), np.full((1, len(at)), 1.0 / BUCKETS, np.float32)])
+    full = _em(p, count)
     order = np.lexsort((np.arange(langs), -full[:langs]))
+    out = np.zeros(langs)
     chosen = [int(order[0])]
-    share, ll = _em(p[[*chosen, langs]], count)
+    if langs == 1 or full[order[1]] < MIN_SHARE:
+        best, rest = float(full[chosen[0]]), float(full[langs])
+        out[chosen] = best / (best + rest)
+        return out, rest / (best + rest)
+    fit = lambda rows, share: float(count @ np.log(share @ p[rows]))
+    rows = [*chosen, langs]
+    share = _em(p[rows], count)
+    ll, cost = fit(rows, share), penalty * np.log(count.sum() + 1.0)
     for k in order[1:]:
-        if full[k] < 0.01:
+        if full[k] < MIN_SHARE:
             break
-        more, gain = _em(p[[*chosen, int(k), langs]], count)
+        rows = [*chosen, int(k), langs]
+        more = _em(p[rows], count)
+        gain = fit(rows, more)
         if gain - ll <= cost:
             break
         chosen.append(int(k))
         share, ll = more, gain
-    out = np.zeros(langs)
     out[chosen] = share[:-1]
     return out, float(share[-1])
 

@@ -40,7 +40,9 @@ TEMPLATES = [
     ("text:mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
      "associated documentation files the software to deal in the software without restriction"),
 ]
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# lower() changes letters beyond A-Z too, but the only one that becomes an
+# ASCII letter by itself is the Kelvin sign; it is made another letter before
+KELVIN, OTHER = "\u212a", "\u00e9"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 3            # words of a template k-gram; phrases are shorter and use 2
 MAX_SHIFT = 2       # diagonals this near belong to one span
@@ -48,8 +50,8 @@ MIN_COVER = 0.8     # share of the template's words that a span must hold
 
 
 def words_of(text: Column) -> Column:
-    """The words: runs of digits, letters and non-ASCII characters, A-Z lower-cased."""
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), NOT_WORD), lambda w: w != "")
+    """The words: runs of digits, letters and non-ASCII characters, lower-cased (templates are ASCII)."""
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit(KELVIN), F.lit(OTHER))), NOT_WORD), "")
 
 
 def template_grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES, gram: int = GRAM) -> DataFrame:

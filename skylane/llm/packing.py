@@ -9,6 +9,9 @@ each group is packed in one task, larger pieces first.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 
 import numpy as np
@@ -22,13 +25,18 @@ from skylane.llm.common import staged, text_or_empty
 
 CAPACITY = 2048
 GROUP_PIECES = 1 << 15      # pieces packed by one task
-WORD_CACHE = 400_000        # words remembered by a worker
+WORD_CACHE = 600_000        # words remembered by a worker
+JOINED = 2_000              # words encoded in one string
+# Fixed value: the pre-tokenizer pattern for which words may be taken apart here
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")     # what that pattern finds in ASCII words without apostrophes
 _words: dict = {}
 _tokenizers: dict = {}
 
 
 def _tokenizer(path: str):
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs a worker for each core
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
@@ -37,22 +45,60 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _known_kind(tok) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and splits by SPLITS."""
+    kind = json.loads(tok.to_str())
+    steps = [x["type"] for x in (kind["normalizer"] or {}).get("normalizers", [])]
+    split = ((kind["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    return (steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": SPLITS}
+            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"].startswith("<|") for t in kind["added_tokens"]))
+
+
+def _ids(numbers) -> bytes:
+    return np.array(numbers, dtype="<u4").tobytes()
+
+
+def _learn(new: list[str], tok, known: dict[str, bytes], parts: dict[str, bytes]) -> None:
+    """Ids of words not met before: plain ASCII words by the tokenizer's model, part by part, others by the whole tokenizer."""
+    rest = []
+    for w in new:
+        if w.isascii() and w.isprintable() and "'" not in w and "<" not in w:
+            found = _PLAIN.findall(w.lower())
+            for x in found:
+                if x not in parts:
+                    parts[x] = _ids([t.id for t in tok.model.tokenize(x)])
+            known[w] = b"".join([parts[x] for x in found])
+        else:
+            rest.append(w)
+    groups = [rest[at:at + JOINED] for at in range(0, len(rest), JOINED)]
+    for at in range(0, len(groups), 8):
+        some = groups[at:at + 8]
+        for words, e in zip(some, tok.encode_batch([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+            raw = _ids(e.ids)
+            first = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.offsets))     # place of each token
+            cuts = (4 * np.searchsorted(first, np.cumsum([0, *(len(w) + 1 for w in words)]))).tolist()
+            known.update((w, raw[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+
+
 def encode_bytes(texts: list[str], path: str, end_id: int = 0) -> list[bytes]:
     """Ids of each text and the end id, as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and none of its tokens holds a space, so
-    the ids of a text are those of its words between spaces and line ends,
-    one after the other. Each distinct word is encoded once by the library."""
-    tok, known = _tokenizer(path), _words.setdefault(path, {})
+    A tokenizer of the known kind drops white space and none of its tokens
+    holds a space, so the ids of a text are those of its words between spaces
+    and line ends, one after the other, and each distinct word is encoded
+    once. Any other tokenizer encodes whole texts."""
+    tok, end = _tokenizer(path), int(end_id).to_bytes(4, "little")
+    if path not in _words:
+        _words[path] = ({}, {}) if _known_kind(tok) else None
+    if _words[path] is None:
+        return [_ids(e.ids) + end for e in tok.encode_batch_fast(list(texts), add_special_tokens=False)]
+    known, parts = _words[path]
     if len(known) > WORD_CACHE:
         known.clear()
+    if len(parts) > WORD_CACHE:
+        parts.clear()
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*split) - known.keys())
-    for at in range(0, len(new), 1 << 14):
-        some = new[at:at + (1 << 14)]
-        for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    end = int(end_id).to_bytes(4, "little")
+    _learn(list(set().union(*split) - known.keys()), tok, known, parts)
     return [b"".join(map(known.__getitem__, words)) + end for words in split]
 
 

@@ -35,7 +35,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_RUN = re.compile(r"[A-Za-z0-9_+/=.-]{8,}")
+_DIGITS = re.compile(r"[0-9]+")
+_RUN = re.compile(r"[A-Za-z0-9_+/=.-]+")
+_RUN_CHARS = _LOCAL - frozenset("%") | frozenset("/=")
 _NAMED = re.compile(r"(?:pass(?:word|wd)?|secret|token|api[_-]?key|access[_-]?key|auth|bearer|key)[\"']?\s*[:=]?\s*[\"']?$", re.I)
 
 
@@ -72,13 +74,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _runs(text: str):
+    """Runs of key characters that hold a digit: digits are rare, so they are looked for first."""
+    done = 0
+    for m in _DIGITS.finditer(text):
+        if m.start() >= done:
+            a = m.start()
+            while a > done and text[a - 1] in _RUN_CHARS:
+                a -= 1
+            done = _RUN.match(text, m.start()).end()
+            if done - a >= 8:
+                yield a, done
+
+
 def segments(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
     """Candidate segments (start, end, base type or -1), by end; none longer than MAX_SPAN."""
     found = {(a, b): TYPES.index(k) for k, a, b in base if b - a <= MAX_SPAN}
-    for m in _RUN.finditer(text):
-        a, b = m.span()
-        run = m.group().strip(".=-_/+")
-        a += m.group().find(run) if run else 0
+    for a, b in _runs(text):
+        run = text[a:b].strip(".=-_/+")
+        a += text[a:b].find(run) if run else 0
         for x, y in {(a, a + len(run)), *((a + v.start(1), a + v.end(1)) for v in re.finditer(r"(?:^|[=.:/])([A-Za-z0-9_+-]{8,})", run))}:
             if 8 <= y - x <= MAX_SPAN and any(c in "0123456789" for c in text[x:y]) and (x, y) not in found:
                 found[x, y] = -1
