@@ -295,11 +295,13 @@ def _ordered(vals: list[str], other: str = OTHER) -> list[str]:
 
 
 def _design(d: DataFrame, numeric: list[str], categorical: list[str], prop: float | None,
-            onehot: list[str]) -> DataFrame:
+            onehot: list[str], drop_null: list[str] | None = None) -> DataFrame:
     from ..session import materialize
     d = materialize(d)                       # the only pass over the source tables
     d = impute_median(d, numeric)
     d = impute_mode(d, categorical)
+    if drop_null:                            # before encoding: a NULL level would become all zeros
+        d = d.na.drop("any", subset=drop_null)
     if prop is not None and categorical:
         kept = kept_levels(d, categorical, prop)
         d = lump_rare(d, categorical, prop, kept=kept)
@@ -324,7 +326,8 @@ def prepare_cancel(fl: DataFrame, prop: float = 0.01) -> DataFrame:
 def prepare_arrival(fl: DataFrame) -> DataFrame:
     """Arrival-delay regression table: medians, one-hot of every airport
     level (no lumping), rows with any NULL dropped."""
-    return _design(arrival_features(fl), ARRIVAL_IMPUTE, [], None, ARRIVAL_ONEHOT).na.drop("any")
+    return _design(arrival_features(fl), ARRIVAL_IMPUTE, [], None, ARRIVAL_ONEHOT,
+                   drop_null=ARRIVAL_ONEHOT).na.drop("any")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

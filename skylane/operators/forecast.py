@@ -100,8 +100,9 @@ def trend_season_forecast(monthly: DataFrame, keys: list[str] | None = None, val
         monthly, keys = monthly.withColumn("_series", F.lit(0)), ["_series"]
     # the series (keys x months) is read by every step below: compute it once
     monthly = materialize(monthly)
-    first = monthly.groupBy(*keys).agg(F.min("Month").alias("_m0"))
-    d = monthly.filter(F.col(value).isNotNull()).join(first, keys)
+    # the first and last month of the series itself, fitted or not
+    first = monthly.groupBy(*keys).agg(F.min("Month").alias("_m0"), F.max("Month").alias("_last"))
+    d = monthly.filter(F.col(value).isNotNull()).join(first.drop("_last"), keys)
     t = F.months_between("Month", "_m0").cast("int").cast("double")
     y = F.log1p(F.col(value)) if log else F.col(value)
     # months whose log1p is undefined (mean <= -1) are left out of the fit
@@ -115,13 +116,13 @@ def trend_season_forecast(monthly: DataFrame, keys: list[str] | None = None, val
     dev = d.join(mm, [*keys, "moy"]).select(*keys, "Month", (F.col("t") - F.col("tbar")).alias("dt"),
                                             (F.col("y") - F.col("ybar")).alias("dy"), "t", "y")
     fit = dev.groupBy(*keys).agg(
-        F.coalesce(F.regr_slope("dy", "dt"), F.regr_slope("y", "t"), F.lit(0.0)).alias("b"),
-        F.max("Month").alias("_last"))
+        F.coalesce(F.regr_slope("dy", "dt"), F.regr_slope("y", "t"), F.lit(0.0)).alias("b"))
     lvl = mm.join(fit, keys).select(*keys, "moy", (F.col("ybar") - F.col("b") * F.col("tbar")).alias("lvl"))
     spread = (d.join(lvl, [*keys, "moy"]).join(fit.select(*keys, "b"), keys)
               .groupBy(*keys).agg(F.stddev_samp(F.col("y") - F.col("lvl") - F.col("b") * F.col("t"))
                                   .alias("sigma"), F.avg("lvl").alias("lvl_all")))
-    fut = (fit.join(first, keys)
+    # a series without any fitted month keeps its rows, with NULL predictions
+    fut = (first.join(fit, keys, "left")
            .select(*keys, "b", "_m0",
                    _months(F.add_months("_last", 1), F.add_months("_last", h)).alias("Month")))
     fut = fut.withColumns({"t": F.months_between("Month", "_m0").cast("int").cast("double"),

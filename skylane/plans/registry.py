@@ -136,13 +136,21 @@ def q_season_delay(fl: DataFrame) -> DataFrame:
     return kpi.seasonal_delay(fl, kpi.equals("AIRLINE", AIRLINE))
 
 
-@register("q_season_matrix", f"""
+# years of the fixture's flights: the columns of the two wide matrices
+MATRIX_YEARS = list(range(1995, 2002))
+
+
+def _year_columns(value: str) -> str:
+    return ", ".join(f'max({value}) FILTER (WHERE YEAR = {y}) AS "{y}"' for y in MATRIX_YEARS)
+
+
+@register("q_season_matrix", f"""{FLIGHTS_WITH},
+m AS (SELECT YEAR, SEASON, {rnd('avg(DEP_DELAY)', 1)} AS v FROM flights WHERE AIRLINE = '{AIRLINE}' GROUP BY YEAR, SEASON),
+p AS (SELECT SEASON, {_year_columns('v')} FROM m GROUP BY SEASON)
 SELECT * FROM (VALUES ('Winter', 1), ('Summer', 2), ('Spring', 3), ('Fall', 4)) lv(SEASON, SEASON_ORDER)
-LEFT JOIN (PIVOT ({FLIGHTS_WITH}
-  SELECT YEAR, SEASON, {rnd('avg(DEP_DELAY)', 1)} AS v FROM flights WHERE AIRLINE = '{AIRLINE}' GROUP BY YEAR, SEASON)
-  ON YEAR USING first(v) GROUP BY SEASON) p USING (SEASON)""")
+LEFT JOIN p USING (SEASON)""")
 def q_season_matrix(fl: DataFrame) -> DataFrame:
-    return kpi.seasonal_matrix(kpi.seasonal_delay(fl, kpi.equals("AIRLINE", AIRLINE)))
+    return kpi.seasonal_matrix(kpi.seasonal_delay(fl, kpi.equals("AIRLINE", AIRLINE)), MATRIX_YEARS)
 
 
 def _group_rates_sql(key: str) -> str:
@@ -302,11 +310,10 @@ def q_weather(fl: DataFrame) -> DataFrame:
     return diagnose.weather_rates(fl)
 
 
-@register("q_weather_matrix", f"""
-PIVOT ({FLIGHTS_WITH}{_WEATHER_SQL}
-  SELECT YEAR, MONTH, Delay_Rate FROM r) ON YEAR USING first(Delay_Rate) GROUP BY MONTH ORDER BY MONTH""")
+@register("q_weather_matrix", f"""{FLIGHTS_WITH}{_WEATHER_SQL}
+SELECT MONTH, {_year_columns('Delay_Rate')} FROM r GROUP BY MONTH""")
 def q_weather_matrix(fl: DataFrame) -> DataFrame:
-    return diagnose.weather_matrix(diagnose.weather_rates(fl))
+    return diagnose.weather_matrix(diagnose.weather_rates(fl), MATRIX_YEARS)
 
 
 # ----------------------------------------------------------- the SQL texts
@@ -554,23 +561,23 @@ def _forecast_sql(key: str | None, cap: float = 200.0) -> str:
     out_k = f"fx.{key}, " if key else ""
     return f"""{FLIGHTS_WITH}
 , m AS ({src})
-, f0 AS (SELECT {k}, min(Month) AS m0 FROM m GROUP BY {k})
+, f0 AS (SELECT {k}, min(Month) AS m0, max(Month) AS last_m FROM m GROUP BY {k})
 , d AS (SELECT m.{k}, m.Month, CAST(date_diff('month', f0.m0, m.Month) AS DOUBLE) AS t, ln(1 + v) AS y,
           month(m.Month) AS moy FROM m JOIN f0 ON m.{k} = f0.{k} WHERE v IS NOT NULL AND v > -1)
 , mm AS (SELECT {k}, moy, avg(t) AS tbar, avg(y) AS ybar FROM d GROUP BY {k}, moy)
 , dv AS (SELECT d.*, t - tbar AS dt, y - ybar AS dy FROM d JOIN mm ON d.{k} = mm.{k} AND d.moy = mm.moy)
-, fit AS (SELECT {k}, coalesce(regr_slope(dy, dt), regr_slope(y, t), 0) AS b, max(Month) AS last_m FROM dv GROUP BY {k})
+, fit AS (SELECT {k}, coalesce(regr_slope(dy, dt), regr_slope(y, t), 0) AS b FROM dv GROUP BY {k})
 , lv AS (SELECT mm.{k}, moy, ybar - b * tbar AS lvl FROM mm JOIN fit ON mm.{k} = fit.{k})
 , sp AS (SELECT d.{k}, stddev_samp(y - lvl - b * t) AS sigma, avg(lvl) AS lvl_all
          FROM d JOIN lv ON d.{k} = lv.{k} AND d.moy = lv.moy JOIN fit ON d.{k} = fit.{k} GROUP BY d.{k})
-, fu AS (SELECT fit.{k}, b, m0, CAST(unnest(generate_series(last_m + INTERVAL 1 MONTH, last_m + INTERVAL 12 MONTH,
-          INTERVAL 1 MONTH)) AS DATE) AS Month FROM fit JOIN f0 ON fit.{k} = f0.{k})
+, fu AS (SELECT f0.{k}, b, m0, CAST(unnest(generate_series(last_m + INTERVAL 1 MONTH, last_m + INTERVAL 12 MONTH,
+          INTERVAL 1 MONTH)) AS DATE) AS Month FROM f0 LEFT JOIN fit ON fit.{k} = f0.{k})
 , fx AS (SELECT fu.*, coalesce(lv.lvl, sp.lvl_all) + b * CAST(date_diff('month', m0, fu.Month) AS DOUBLE) AS yhat,
           coalesce(sp.sigma, 0) AS sig
         FROM fu LEFT JOIN lv ON fu.{k} = lv.{k} AND month(fu.Month) = lv.moy LEFT JOIN sp ON fu.{k} = sp.{k})
-SELECT {out_k}fx.Month, {rnd('greatest(exp(yhat) - 1, 0)', 6)} AS Predicted_DELAY,
-  {rnd(f'greatest(exp(yhat - {z80} * sig) - 1, 0)', 6)} AS CI_lower,
-  {rnd(f'greatest(exp(yhat + {z95} * sig) - 1, 0)', 6)} AS CI_upper FROM fx"""
+SELECT {out_k}fx.Month, {rnd('CASE WHEN yhat IS NOT NULL THEN greatest(exp(yhat) - 1, 0) END', 6)} AS Predicted_DELAY,
+  {rnd(f'CASE WHEN yhat IS NOT NULL THEN greatest(exp(yhat - {z80} * sig) - 1, 0) END', 6)} AS CI_lower,
+  {rnd(f'CASE WHEN yhat IS NOT NULL THEN greatest(exp(yhat + {z95} * sig) - 1, 0) END', 6)} AS CI_upper FROM fx"""
 
 
 def _round_fc(df: DataFrame) -> DataFrame:

@@ -37,12 +37,28 @@ def read_flights_csv(spark: SparkSession, path: str | list[str],
     """CSV with a header row, typed by the dictionary (no inference pass).
 
     Columns are matched by *name* from the header, so files may carry any
-    subset of the dictionary in any order. ``FL_DATE`` stays text here and
-    is parsed by :func:`skylane.operators.prep.prepare`.
+    subset of the dictionary in any order. Spark takes one header for all
+    files of a read, so files are read in groups of equal headers (one
+    header line per file is looked at) and joined by name; a column that
+    some files lack is NULL there. A file without any known column fails.
+    ``FL_DATE`` stays text here and is parsed by
+    :func:`skylane.operators.prep.prepare`.
     """
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-           .option("inferSchema", False).csv(path))
-    return _typed(raw, schema or flights_schema())
+    schema = schema or flights_schema()
+    reader = lambda: spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
+    groups: dict[tuple, list[str]] = {}
+    for f in sorted(reader().csv(path).inputFiles()):
+        groups.setdefault(tuple(reader().csv(f).columns), []).append(f)
+    if len(groups) <= 1:
+        return _typed(reader().csv(path), schema)
+    known = {c.upper() for c in schema.fieldNames()}
+    out = None
+    for header, files in groups.items():
+        if not known & {c.strip().upper() for c in header}:
+            raise ValueError(f"no known column in the header of {files[0]}")
+        part = reader().csv(files)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return _typed(out, schema)
 
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -134,3 +134,13 @@ def test_ar_forecast_recovers_ar_series(spark):
     assert len(out) == 12 and out[0].Month == dt.date(2020, 1, 1)
     assert out[0].Predicted_DELAY == pytest.approx(0.5 + 0.6 * ys[-1], rel=1e-6)
     assert out[0].CI_lower == pytest.approx(out[0].Predicted_DELAY, abs=1e-6)
+
+
+def test_forecast_starts_after_the_series_and_loses_none(spark):
+    import datetime
+    from skylane.operators.forecast import trend_season_forecast
+    month = lambda i: datetime.date(2020 + i // 12, i % 12 + 1, 1)
+    rows = [("a", month(i), 5.0 + i if i < 23 else None) for i in range(24)] + [("b", month(i), -2.0) for i in range(6)]
+    got = trend_season_forecast(spark.createDataFrame(rows, "k string, Month date, ARR_DELAY double"), ["k"], h=3).collect()
+    assert min(r.Month for r in got if r.k == "a") == month(24)
+    assert [r.Predicted_DELAY for r in got if r.k == "b"] == [None] * 3

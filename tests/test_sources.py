@@ -35,3 +35,11 @@ def test_hash_sample_reproducible(spark):
     b = readers.hash_sample(df.repartition(7), 0.3, ["k"]).select("k")
     ka, kb = sorted(r.k for r in a.collect()), sorted(r.k for r in b.collect())
     assert ka == kb and 1300 < len(ka) < 1700
+
+
+def test_csv_files_with_other_column_orders(spark, tmp_path):
+    from skylane.sources.readers import read_flights_csv
+    (tmp_path / "a.csv").write_text("ARR_DELAY,DEP_DELAY,ORIGIN\n1,2,AAA\n")
+    (tmp_path / "b.csv").write_text("DEP_DELAY,ARR_DELAY\n7,99\n")
+    got = {(r.ARR_DELAY, r.DEP_DELAY, r.ORIGIN) for r in read_flights_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {(1.0, 2.0, "AAA"), (99.0, 7.0, None)}
