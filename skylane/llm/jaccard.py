@@ -35,6 +35,7 @@ from skylane.llm.graph import components
 RATIO = 1.4             # sizes of one band
 PART_FILL = 0.85        # shingles per part, as a share of the most that the threshold allows
 BLOCK = 4096            # members of a tile that are compared with each other in one task
+SCREEN = 128            # most 64-bit words of a folded bitmap
 CHUNK = 1 << 22         # bytes of text hashed at a time
 
 _U = np.uint64
@@ -232,15 +233,28 @@ def _filter_exact(scheme: Scheme):
 
 
 def _tile_pairs(scheme: Scheme):
-    """Pairs of one tile block, in different components, that the bitmaps allow; rows come sorted by tile."""
+    """Pairs of one tile block, in different components, that the bitmaps allow; rows come sorted by tile.
+
+    Bitmaps folded to one length screen a row against all that follow at a
+    time; pairs that pass are held against their full bitmaps.
+    """
+    num, den = scheme.num, scheme.den
+
     def pairs(rows):
-        out = []
-        for i, (node, n, bits, comp, side) in enumerate(rows):
-            for node2, n2, bits2, comp2, side2 in rows[i + 1:]:
-                if comp != comp2 and (side != side2 or side == 0) and node != node2:
-                    lo, hi = sorted((n, n2))
-                    if scheme.den * lo >= scheme.num * hi and scheme.may_link(n, n2, differing_bits(bits, bits2)):
-                        out.append((min(node, node2), max(node, node2)))
+        node, n, comp, side = (np.array([r[c] for r in rows], dtype=np.int64) for c in (0, 1, 3, 4))
+        bits = [np.frombuffer(r[2], np.uint64) for r in rows]
+        size = min(SCREEN, *(len(b) for b in bits))
+        screen, out = np.stack([_fold(b, size) for b in bits]), []
+        for i in range(len(rows) - 1):
+            m, s = n[i + 1:], side[i + 1:]
+            ok = (comp[i + 1:] != comp[i]) & (node[i + 1:] != node[i]) & ((s != side[i]) | (s == 0))
+            at = np.flatnonzero(ok & (den * np.minimum(m, n[i]) >= num * np.maximum(m, n[i]))) + i + 1
+            if len(at):
+                total = n[at] + n[i]
+                common = (total - np.bitwise_count(screen[at] ^ screen[i]).sum(axis=1, dtype=np.int64)) // 2
+                for j in at[den * common >= num * (total - common)]:
+                    if scheme.may_link(int(n[i]), int(n[j]), differing_bits(rows[i][2], rows[j][2])):
+                        out.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
         return out
 
     def emit(found):
