@@ -11,8 +11,11 @@ passage that many documents share does not fill a tile by itself.
 
 In a tile, each member is compared with the tile's first one; members that
 are then still in different components are compared with each other, in
-blocks. A comparison first bounds the overlap from above by parity bitmaps
-(each differing shingle can flip one bit, so the overlap is at most
+blocks. Of the pairs found so, a forest is verified first and joins their
+components, so that a large group of near copies gives no more pairs than
+members; all pairs between components that still differ come last. A
+comparison first bounds the overlap from above by parity bitmaps (each
+differing shingle can flip one bit, so the overlap is at most
 (a + b - differing bits)/2), and only then intersects the sorted arrays.
 
 Equal sets are one node (64-bit digest of the set), so copies cost nothing.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,7 @@ RATIO = 1.4             # sizes of one band
 PART_FILL = 0.85        # shingles per part, as a share of the most that the threshold allows
 BLOCK = 4096            # members of a tile that are compared with each other in one task
 SCREEN = 128            # most 64-bit words of a folded bitmap
+ROUNDS = 3              # passes over the tiles with forests, before one with all pairs that are left
 CHUNK = 1 << 22         # bytes of text hashed at a time
 
 _U = np.uint64
@@ -232,11 +237,13 @@ def _filter_exact(scheme: Scheme):
     return run
 
 
-def _tile_pairs(scheme: Scheme):
+def _tile_pairs(scheme: Scheme, forest: bool):
     """Pairs of one tile block, in different components, that the bitmaps allow; rows come sorted by tile.
 
     Bitmaps folded to one length screen a row against all that follow at a
-    time; pairs that pass are held against their full bitmaps.
+    time; pairs that pass are held against their full bitmaps. As a
+    ``forest``, a pair joins the components of its rows within the block, so
+    that there are fewer pairs than rows; the likeliest come first.
     """
     num, den = scheme.num, scheme.den
 
@@ -249,12 +256,17 @@ def _tile_pairs(scheme: Scheme):
             m, s = n[i + 1:], side[i + 1:]
             ok = (comp[i + 1:] != comp[i]) & (node[i + 1:] != node[i]) & ((s != side[i]) | (s == 0))
             at = np.flatnonzero(ok & (den * np.minimum(m, n[i]) >= num * np.maximum(m, n[i]))) + i + 1
-            if len(at):
-                total = n[at] + n[i]
-                common = (total - np.bitwise_count(screen[at] ^ screen[i]).sum(axis=1, dtype=np.int64)) // 2
-                for j in at[den * common >= num * (total - common)]:
-                    if scheme.may_link(int(n[i]), int(n[j]), differing_bits(rows[i][2], rows[j][2])):
-                        out.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+            if not len(at):
+                continue
+            total = n[at] + n[i]
+            common = (total - np.bitwise_count(screen[at] ^ screen[i]).sum(axis=1, dtype=np.int64)) // 2
+            fits = den * common >= num * (total - common)
+            at, rank = at[fits], (common / total)[fits]
+            for j in at[np.argsort(-rank, kind="stable")] if forest else at:
+                if comp[i] != comp[j] and scheme.may_link(int(n[i]), int(n[j]), differing_bits(rows[i][2], rows[j][2])):
+                    out.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+                    if forest:
+                        comp[comp == comp[j]] = comp[i]
         return out
 
     def emit(found):
@@ -321,7 +333,24 @@ def similarity_links(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, i
     links = _verified(star, texts, prof, k, scheme, "star")
 
     # tiles with members in several components: the members against each other
-    comp = staged(components(links), "star-components")
+    comp, found = staged(components(links), "star-components"), [links]
+    for forest in [True] * ROUNDS + [False]:
+        more = _verified(_across(tiles, comp, bits, scheme, forest), texts, prof, k, scheme, "rest")
+        if more is None:
+            break
+        if more.isEmpty():
+            if forest:                          # some candidates are left, and which of them link is not known yet
+                more = _verified(_across(tiles, comp, bits, scheme, False), texts, prof, k, scheme, "rest")
+                found.append(more)
+                comp = _merged(comp, more)
+            break
+        found.append(more)
+        comp = _merged(comp, more)
+    return prof, reduce(DataFrame.unionByName, found), comp
+
+
+def _across(tiles: DataFrame, comp: DataFrame, bits: DataFrame, scheme: Scheme, forest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of one tile in different components: all, or as a forest only."""
     members = (tiles.select("key", "node").unionByName(tiles.select("key", F.col("a").alias("node")).distinct())
                .join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")))
     mixed = (members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
@@ -333,12 +362,12 @@ def similarity_links(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, i
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "node", "comp",
                      F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side")))
-    rest = (dealt.join(bits, "node").select("key", "t1", "t2", "node", "n", "bits", "comp", "side")
-            .repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(_tile_pairs(scheme), PAIRS).distinct())
-    more = _verified(rest, texts, prof, k, scheme, "rest")
-    if more is None:
-        return prof, links, comp
-    # only roots are joined anew
+    return (dealt.join(bits, "node").select("key", "t1", "t2", "node", "n", "bits", "comp", "side")
+            .repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(_tile_pairs(scheme, forest), PAIRS).distinct())
+
+
+def _merged(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after more links; only roots are joined anew."""
     roots = comp.select(F.col("node").alias("x"), F.col("root").alias("r"))
     up = (more.join(roots, F.col("a") == F.col("x"), "left").select(F.coalesce("r", "a").alias("a"), "b")
           .join(roots, F.col("b") == F.col("x"), "left").select("a", F.coalesce("r", "b").alias("b")))
@@ -346,7 +375,7 @@ def similarity_links(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, i
     a, t = comp.alias("a"), top.select(F.col("node").alias("x"), F.col("root").alias("r")).alias("t")
     moved = a.join(t, F.col("a.root") == F.col("t.x"), "left").select("a.node", F.coalesce("t.r", "a.root").alias("root"))
     alone = top.join(comp, "node", "left_anti").select("node", "root")
-    return prof, links.unionByName(more), moved.unionByName(alone)
+    return staged(moved.unionByName(alone), "merged-components")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
