@@ -8,7 +8,7 @@ collect of the scores is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schema import CLASS_THRESHOLD
@@ -58,8 +58,13 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score") -> Da
 def roc_auc(st: DataFrame) -> DataFrame:
     """Area under the ROC curve (higher score = positive; never flipped).
     Mann-Whitney form with average ranks for tied scores."""
-    return st.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.lit(0.5) * F.col("neg"))),
-                               F.first("pos_total") * F.first("neg_total")).alias("ROC_AUC"))
+    return st.agg(_roc_area().alias("ROC_AUC"))
+
+
+def _roc_area() -> Column:
+    """The ROC area as an aggregate over a score table."""
+    return F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.lit(0.5) * F.col("neg"))),
+                        F.first("pos_total") * F.first("neg_total"))
 
 
 def _at_or_above(st: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def _at_or_above(st: DataFrame) -> DataFrame:
     and for "score > s" (the previous point, i.e. next higher score)."""
     tp = F.col("pos_total") - F.col("pos_below")
     fp = F.col("neg_total") - F.col("neg_below")
-    return st.select("score", "pos", "neg", "pos_total", "neg_total",
+    return st.select("score", "pos", "neg", "neg_below", "pos_total", "neg_total",
                      tp.alias("tp"), fp.alias("fp"),
                      (tp - F.col("pos")).alias("tp_prev"), (fp - F.col("neg")).alias("fp_prev"))
 
@@ -96,13 +101,15 @@ def pr_auc(st: DataFrame) -> DataFrame:
     recall; the curve starts at recall 0 with the precision of the highest
     threshold. Each segment needs only its own row's counts (the previous
     point is "score > s"), so no ordered window is needed."""
-    a = _at_or_above(st)
-    P = F.col("pos_total").cast("double")
+    return _at_or_above(st).agg(_pr_area().alias("PR_AUC"))
+
+
+def _pr_area() -> Column:
+    """The PR area as an aggregate over the rows of :func:`_at_or_above`."""
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     first = (F.col("tp_prev") + F.col("fp_prev")) == 0
     prec_prev = F.when(first, prec).otherwise(F.col("tp_prev") / (F.col("tp_prev") + F.col("fp_prev")))
-    seg = (F.col("pos") / P) * (prec + prec_prev) / F.lit(2.0)
-    return a.agg(F.sum(seg).alias("PR_AUC"))
+    return F.sum((F.col("pos") / F.col("pos_total").cast("double")) * (prec + prec_prev) / F.lit(2.0))
 
 
 def average_precision(st: DataFrame) -> DataFrame:
@@ -133,14 +140,8 @@ def metrics_report(scored: DataFrame, model_name: str, label: str = "label", sco
     st = score_table(d.select(F.col(label).alias("label"), F.col(score).alias("score")))
     a = _at_or_above(st)
     above = F.col("score") > F.lit(float(threshold))
-    P = F.col("pos_total").cast("double")
-    prec_s = F.col("tp") / (F.col("tp") + F.col("fp"))
-    first = (F.col("tp_prev") + F.col("fp_prev")) == 0
-    prec_prev = F.when(first, prec_s).otherwise(F.col("tp_prev") / (F.col("tp_prev") + F.col("fp_prev")))
     agg = a.agg(
-        F.try_divide(F.sum(F.col("pos") * (F.col("neg_total") - F.col("fp") + F.lit(0.5) * F.col("neg"))),
-                     F.first("pos_total") * F.first("neg_total")).alias("ROC_AUC"),
-        F.sum((F.col("pos") / P) * (prec_s + prec_prev) / F.lit(2.0)).alias("PR_AUC"),
+        _roc_area().alias("ROC_AUC"), _pr_area().alias("PR_AUC"),
         F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("double").alias("tp"),
         F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("double").alias("fp"),
         F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("double").alias("fn"),

@@ -217,15 +217,19 @@ def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True, drop_source
 
 
 def sparse_one_hot(df: DataFrame, cols: list[str], output_suffix: str = "_vec") -> DataFrame:
-    """Wide categorical columns as sparse vectors (MLlib), first level of the
-    alphabetical order dropped; for columns with many levels."""
+    """Wide categorical columns as sparse vectors (MLlib), for columns with
+    many levels. The alphabetically first level is dropped (its vector is
+    all zeros), so k levels give k - 1 slots. Rows with a NULL in one of
+    ``cols`` are left out: impute first to keep them."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    d = df.na.drop("any", subset=cols)
+    # descending order puts the first level last, the slot that dropLast drops
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetDesc",
-                         handleInvalid="keep") for c in cols]
+                         handleInvalid="error") for c in cols]
     enc = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}{output_suffix}" for c in cols],
-                        dropLast=True, handleInvalid="keep")
-    return Pipeline(stages=[*idx, enc]).fit(df).transform(df).drop(*[f"{c}_idx" for c in cols])
+                        dropLast=True, handleInvalid="error")
+    return Pipeline(stages=[*idx, enc]).fit(d).transform(d).drop(*[f"{c}_idx" for c in cols])
 
 
 # ------------------------------------------------------------------ splits
@@ -330,6 +334,31 @@ def prepare_arrival(fl: DataFrame) -> DataFrame:
                    drop_null=ARRIVAL_ONEHOT).na.drop("any")
 
 
+def arrival_rows(fl: DataFrame) -> DataFrame:
+    """The arrival-delay rows before encoding: medians filled in, rows with
+    any NULL dropped; ORIGIN and DEST still as text. Split this narrow table,
+    then encode the parts with one :func:`sparse_encoder`."""
+    d = materialize(arrival_features(fl))       # the only pass over the source tables
+    return impute_median(d, ARRIVAL_IMPUTE).na.drop("any")
+
+
+def sparse_encoder(df: DataFrame, numeric: list[str], categorical: list[str], output: str = "features"):
+    """(fitted pipeline, feature names): numbers and 0/1 slots of every level
+    of ``categorical`` in one sparse vector, without the alphabetically first
+    level of each; any number of levels, one expression. NULLs fail: impute
+    or drop them first."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    idx = [StringIndexer(inputCol=c, outputCol=f"_{c}_idx", stringOrderType="alphabetDesc", handleInvalid="error")
+           for c in categorical]
+    enc = OneHotEncoder(inputCols=[f"_{c}_idx" for c in categorical], outputCols=[f"_{c}_vec" for c in categorical],
+                        dropLast=True, handleInvalid="error")
+    va = VectorAssembler(inputCols=[*numeric, *[f"_{c}_vec" for c in categorical]], outputCol=output, handleInvalid="error")
+    fitted = Pipeline(stages=[*idx, enc, va]).fit(df)
+    slots = [f"{c}_{level}" for c, s in zip(categorical, fitted.stages) for level in s.labels[:-1]]
+    return fitted, C.sanitize_columns([*numeric, *slots])
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 

@@ -165,6 +165,11 @@ def fourier_trend_forecast(monthly: DataFrame, keys: list[str] | None = None, va
     year. Fitted per series with numpy least squares inside
     ``applyInPandas`` (vectorised per group; each group is one monthly
     series, so its size is bounded by the number of months).
+
+    A short series gets fewer terms, so that each has two observations at
+    least: with under four the forecast is the mean. The band uses the
+    residual degrees of freedom and is NULL where there are none (one
+    observation); a series without any has NULL forecasts.
     """
     import numpy as np
     import pandas as pd
@@ -186,24 +191,29 @@ def fourier_trend_forecast(monthly: DataFrame, keys: list[str] | None = None, va
         all_months = pd.DatetimeIndex(months).append(future)
         t_all = ((all_months.year - m0.year) * 12 + (all_months.month - m0.month)).to_numpy(float)
         span = max(idx[ok].max() if ok.any() else 1.0, 1.0)
-        cps = np.linspace(0, changepoint_range * span, n_changepoints + 2)[1:-1]
+        # at least two observations a parameter: first the trend, then pairs of the season, then hinges
+        room = int(ok.sum()) // 2
+        slope = room >= 2
+        pairs = min(order, max(0, (room - 2) // 2))
+        hinges = min(n_changepoints, max(0, room - 2 - 2 * pairs)) if pairs == order else 0
+        cps = np.linspace(0, changepoint_range * span, hinges + 2)[1:-1]
 
         def design(t, moy):
-            cols = [np.ones_like(t), t / span]
+            cols = [np.ones_like(t)] + ([t / span] if slope else [])
             cols += [np.maximum(t - c, 0.0) / span for c in cps]
-            for k in range(1, order + 1):
+            for k in range(1, pairs + 1):
                 cols += [np.sin(2 * np.pi * k * moy / 12.0), np.cos(2 * np.pi * k * moy / 12.0)]
             return np.column_stack(cols)
         X_all = design(t_all, np.asarray(all_months.month, float))
         X = X_all[: len(idx)][ok]
         pen = np.zeros(X.shape[1])
-        pen[2: 2 + len(cps)] = penalty
-        if ok.sum() > 0:
+        pen[1 + slope: 1 + slope + len(cps)] = penalty
+        beta, sd = np.full(X.shape[1], float("nan")), float("nan")
+        if ok.any():
             beta = np.linalg.solve(X.T @ X + np.diag(pen) + 1e-9 * np.eye(X.shape[1]), X.T @ y[ok])
-            resid = y[ok] - X @ beta
-            sd = float(np.std(resid, ddof=1)) if ok.sum() > 1 else 0.0
-        else:
-            beta, sd = np.zeros(X.shape[1]), float("nan")
+            resid, free = y[ok] - X @ beta, int(ok.sum()) - X.shape[1]
+            if free > 0:
+                sd = float(np.sqrt(resid @ resid / free))
         yhat = X_all @ beta
         res = pd.DataFrame({"ds": all_months.date,
                             "y": np.concatenate([y, np.full(h, np.nan)]),

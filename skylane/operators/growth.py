@@ -34,17 +34,14 @@ def growth(df: DataFrame, group_col: str, group_value) -> DataFrame:
 def growth_all(df: DataFrame, group_col: str) -> DataFrame:
     """The same table for every value of ``group_col`` in one job.
 
-    Per (group, YEAR) counts come from one scan and are kept (groups x
-    years rows); the per-YEAR industry totals are summed from them. The
-    industry side has one row per year, so AQE turns the join into a
-    broadcast from its runtime size. The lag window is partitioned by
-    group: each task holds one group's years.
+    One lazy plan: both sides read the same per (group, YEAR) counts, whose
+    exchange Spark runs once. The industry side has one row per year, so AQE
+    turns the join into a broadcast from its runtime size. The lag window is
+    partitioned by group: each task holds one group's years.
     """
     if group_col not in df.columns:
         raise ValueError(f"unknown column {group_col!r}")
-    from ..session import materialize
-    # one scan: per (group, YEAR) counts (groups x years rows), industry from them
-    g = materialize(df.groupBy(group_col, "YEAR").agg(F.count(F.lit(1)).alias("Group_Flights")))
+    g = df.groupBy(group_col, "YEAR").agg(F.count(F.lit(1)).alias("Group_Flights"))
     ind = g.groupBy("YEAR").agg(F.sum("Group_Flights").alias("Industry_Flights"))
     j = g.join(ind, "YEAR", "left")
     w = Window.partitionBy(group_col).orderBy("YEAR")

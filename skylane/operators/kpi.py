@@ -186,6 +186,10 @@ def group_rates(df: DataFrame, group_cols: str | list[str]) -> DataFrame:
     """Per group: flights, departures late (``DEP_DELAY > 0``), cancellations
     and the two rates (3 digits), ordered by delay rate then key."""
     keys = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    return _group_rates(df, keys).orderBy(F.desc_nulls_last("delay_rate"), *[F.asc_nulls_last(k) for k in keys])
+
+
+def _group_rates(df: DataFrame, keys: list[str]) -> DataFrame:
     _check(df, keys)
     agg = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_flights"),
@@ -193,11 +197,10 @@ def group_rates(df: DataFrame, group_cols: str | list[str]) -> DataFrame:
         F.coalesce(F.sum("CANCELLED"), F.lit(0.0)).alias("cancelled_flights"),
     )
     t = F.col("total_flights")
-    out = agg.withColumns({
+    return agg.withColumns({
         "delay_rate": C.pct(F.col("delay_flights"), t, 3),
         "cancel_rate": C.pct(F.col("cancelled_flights"), t, 3),
     })
-    return out.orderBy(F.desc_nulls_last("delay_rate"), *[F.asc_nulls_last(k) for k in keys])
 
 
 def top_rates(df: DataFrame, group_col: str, n: int = 5) -> DataFrame:
@@ -206,10 +209,10 @@ def top_rates(df: DataFrame, group_col: str, n: int = 5) -> DataFrame:
     ``ranking`` says which list a row belongs to, ``position`` its place.
     Ties: by key for the delay list; by delay rate then key for the cancel
     list (it is a re-sort of the delay-ordered table). Each list is a
-    ``TakeOrderedAndProject`` over the per-group aggregate.
+    ``TakeOrderedAndProject`` over the unsorted per-group aggregate, whose
+    exchange both lists share.
     """
-    from ..session import materialize
-    rates = materialize(group_rates(df, group_col))   # one row per group, read by both lists
+    rates = _group_rates(df, [group_col])
     k = F.asc_nulls_last(group_col)
     by_delay = rates.orderBy(F.desc_nulls_last("delay_rate"), k).limit(n)
     by_cancel = rates.orderBy(F.desc_nulls_last("cancel_rate"), F.desc_nulls_last("delay_rate"), k).limit(n)

@@ -73,17 +73,25 @@ class Fitted:
         a regression model) to a table holding the model's feature columns
         (other columns pass through)."""
         from pyspark.ml.feature import VectorAssembler
-        va = VectorAssembler(inputCols=self.feature_names, outputCol="_features", handleInvalid="error")
-        out = self.model.setFeaturesCol("_features").transform(va.transform(design))
+        if "features" in design.columns:        # already one vector, see features.sparse_encoder
+            out = self.model.transform(design)
+        else:
+            va = VectorAssembler(inputCols=self.feature_names, outputCol="_features", handleInvalid="error")
+            out = self.model.copy({self.model.featuresCol: "_features"}).transform(va.transform(design))
         s = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
         return out.select(*design.columns, s.alias("score"))
 
 
-def fit(design: DataFrame, label: str, kind: str, task: str = "classification", seed: int = 42) -> Fitted:
-    """Fit on a design table (numeric columns + label + ROW_KEY)."""
+def fit(design: DataFrame, label: str, kind: str, task: str = "classification", seed: int = 42,
+        names: list[str] | None = None) -> Fitted:
+    """Fit on a design table: numeric columns + label + ROW_KEY, or with
+    ``names`` one ``features`` vector of slots so named + label."""
     from pyspark import StorageLevel
     _checkpointing(design.sparkSession)
-    v, names = features.assemble(design, label)
+    if names is None:
+        v, names = features.assemble(design, label)
+    else:
+        v = design.withColumn(label, F.col(label).cast("double"))
     v = v.select("features", label).persist(StorageLevel.MEMORY_AND_DISK)   # read once per iteration
     try:
         est = classifier(kind, label, seed) if task == "classification" else regressor(kind, label, seed)
@@ -119,7 +127,22 @@ def regression_report(design: DataFrame, label: str, kind: str, model_name: str,
     split."""
     train, test = train_test(design, p, stratify=label if quartile_strata else None,
                              numeric_groups=4 if quartile_strata else None)
-    m = fit(train, label, kind, task="regression")
-    scored = m.score(test)
-    r = evaluate.regression_metrics(scored, y=label, yhat="score")
+    return _regression_row(fit(train, label, kind, task="regression"), test, model_name)
+
+
+def _regression_row(m: Fitted, test: DataFrame, model_name: str) -> DataFrame:
+    r = evaluate.regression_metrics(m.score(test), y=m.label, yhat="score")
     return r.select(F.lit(model_name).alias("model_name"), "*")
+
+
+def arrival_report(fl: DataFrame, kind: str, model_name: str, p: float = 0.8) -> DataFrame:
+    """Arrival-delay regression: the narrow rows are split within the
+    quartiles of the target, then encoded as one sparse vector (every
+    airport a slot), fitted and reported."""
+    label = "ARR_DELAY"
+    rows = features.arrival_rows(fl)
+    train, test = train_test(rows, p, stratify=label, numeric_groups=4)
+    numeric = [c for c in features.ARRIVAL_FEATURES if c not in features.ARRIVAL_ONEHOT]
+    encoder, names = features.sparse_encoder(rows, numeric, features.ARRIVAL_ONEHOT)
+    train, test = (encoder.transform(d).select("ROW_KEY", label, "features") for d in (train, test))
+    return _regression_row(fit(train, label, kind, task="regression", names=names), test, model_name)

@@ -649,12 +649,12 @@ def ml_cancel_boosted(fl: DataFrame) -> DataFrame:
 
 @register("ml_arrival_forest")
 def ml_arrival_forest(fl: DataFrame) -> DataFrame:
-    return models.regression_report(features.prepare_arrival(fl), "ARR_DELAY", "forest", "Random Forest")
+    return models.arrival_report(fl, "forest", "Random Forest")
 
 
 @register("ml_arrival_boosted")
 def ml_arrival_boosted(fl: DataFrame) -> DataFrame:
-    return models.regression_report(features.prepare_arrival(fl), "ARR_DELAY", "boosted", "Boosted Trees")
+    return models.arrival_report(fl, "boosted", "Boosted Trees")
 
 
 def _fit_delay(fl: DataFrame, kind: str):

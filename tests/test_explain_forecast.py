@@ -46,6 +46,38 @@ def test_permutation_importance_unused_feature(spark):
     assert imp["used"].base_auc == pytest.approx(1.0) and imp["used"].auc_drop > 0.3
 
 
+def test_permutation_importance_whatever_the_partitions(spark):
+    rows = [(float(i % 7), float((i * 13) % 11), 1 if (i * 5) % 9 >= 4 else 0) for i in range(300)] * 2 + [(1.0, 1.0, 1)] * 90
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    score = explain.linear_scorer({"a": 1.0, "b": 0.3})
+    got = [sorted(map(tuple, explain.permutation_importance(score, df.repartition(n), "y", {"a": ["a"], "b": ["b"]}).collect()))
+           for n in (2, 5)]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
+def test_row_ids_unique(spark):
+    rows = [(1, "x")] * 50 + [(None, "x"), (1, None), (None, None)]
+    out = explain.row_ids(spark.createDataFrame(rows, "a int, b string"), block=7)
+    assert sorted(map(str, ((r.a, r.b) for r in out.collect()))) == sorted(map(str, rows))
+    assert out.select("_rid").distinct().count() == len(rows)
+
+
+def test_shapley_equal_keys_stay_apart(spark):
+    x = spark.createDataFrame([(1, 5.0, 1.0), (1, 0.0, 4.0), (1, 0.0, 4.0)], "ROW_KEY int, x1 double, x2 double")
+    bg = spark.createDataFrame([(9, 1.0, 2.0)], "ROW_KEY int, x1 double, x2 double")
+    phi = explain.shapley(explain.linear_scorer({"x1": 2.0, "x2": -3.0}), x, bg, {"x1": ["x1"], "x2": ["x2"]}, permutations=8)
+    assert sorted((r.feature, r.phi) for r in phi.collect()) == [("x1", -2.0), ("x1", 8.0), ("x2", -6.0), ("x2", 3.0)]
+    assert explain.top_by_abs(phi, n=1).count() == 2
+
+
+def test_fourier_short_series(spark):
+    four = spark.createDataFrame([(dt.date(2020, m, 1), y) for m, y in ((1, 5.0), (2, 6.0), (3, 5.5), (4, 5.2))], "Month date, ARR_DELAY double")
+    got = forecast.fourier_trend_forecast(four).orderBy("ds").collect()
+    assert len(got) == 16 and all(r.yhat_lower < r.yhat < r.yhat_upper for r in got)
+    one = forecast.fourier_trend_forecast(four.limit(1)).collect()
+    assert len(one) == 13 and all(r.yhat == pytest.approx(5.0, abs=1e-3) and r.yhat_lower is None for r in one)
+
+
 def test_permute_group_is_permutation(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(500)], "k int, v double")
     p = explain.permute_group(df, ["v"], seed=5, buckets=3, id_col="k")

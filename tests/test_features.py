@@ -79,6 +79,22 @@ def test_onehot_name_collision_fails(spark):
         features.one_hot(df, ["c"], drop_first=False)
 
 
+def test_sparse_onehot_drops_first_level(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), (None, 4.0)], "c string, n double")
+    got = {r.c: r.c_vec.toArray().tolist() for r in features.sparse_one_hot(df, ["c"]).collect()}
+    assert got["a"] == [0.0, 0.0] and sorted(got) == ["a", "b", "c"] and got["b"] != got["c"]
+    enc, names = features.sparse_encoder(df.na.drop(), ["n"], ["c"])
+    vec = {r.c: dict(zip(names, r.features.toArray().tolist())) for r in enc.transform(df.na.drop()).collect()}
+    assert vec["b"] == {"n": 2.0, "c_b": 1.0, "c_c": 0.0} and vec["a"] == {"n": 1.0, "c_b": 0.0, "c_c": 0.0}
+
+
+def test_sparse_encoder_many_levels(spark):
+    df = spark.range(5000).select(F.concat(F.lit("L"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("c"))
+    enc, names = features.sparse_encoder(df, [], ["c"])
+    assert len(names) == 4999 and names[-1] == "c_L0001"
+    assert enc.transform(df).where("c = 'L0001'").first().features.indices.tolist() == [4998]
+
+
 def test_split_disjoint_complete_deterministic(spark, flights_small):
     d = features.delay_features(flights_small)
     tr, te = features.split(d, 0.8)
