@@ -14,6 +14,7 @@ match.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -157,12 +158,13 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> list[list[tuple]]:
-    """The items in blocks of about ``block_chars``: each block is one bounded broadcast and one pass."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
+    """The items in blocks of about ``block_chars``, one at a time: each is one bounded broadcast and one pass."""
     rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
-    return [[(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()] for b in range(n)] if total else []
+    n = -(-total // block_chars)
+    for b in range(n):
+        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
 
 
 def _scan(items, share: float):
@@ -202,8 +204,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, share: float = ERROR_S
         schema = schema.add(name, kind)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
-    blocks = item_blocks(items, item_id, item_text, block_chars)
-    for n, block in enumerate(blocks):
+    for n, block in enumerate(item_blocks(items, item_id, item_text, block_chars)):
         found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), share), schema)
         out = found if n == 0 else out.unionByName(found)
     return out

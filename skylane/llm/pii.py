@@ -13,6 +13,7 @@ secret right before them are secrets; other runs are nothing.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -139,13 +140,15 @@ class Field:
         self.v = np.zeros((t + 1, t)) if v is None else v      # last row: no entity before
 
     @staticmethod
-    def _before(chain, i) -> list[int]:
-        return [j for j in range(i) if chain[j][1] <= chain[i][0]]
+    def _before(chain) -> list[int]:
+        """For each segment, how many end where it starts or earlier; chains come sorted by end, so these are the first ones."""
+        ends = [b for _, b, *_ in chain]
+        return [bisect.bisect_right(ends, a) for a, *_ in chain]
 
     def log_partition(self, chain, x: np.ndarray):
         """Forward scores (segment x type), their total, and the segments that can stand before each."""
         score = x @ self.w.T
-        before = [self._before(chain, i) for i in range(len(chain))]
+        before = [range(n) for n in self._before(chain)]
         alpha = np.empty_like(score)
         for i in range(len(chain)):
             into = [self.v[-1]] + [alpha[j][:, None] + self.v[:-1] for j in before[i]]
@@ -180,17 +183,16 @@ class Field:
         score = x @ self.w.T
         n, t = score.shape
         best, back = np.empty((n, t)), [[None] * t for _ in range(n)]
-        # best end so far by end position: segments come sorted by end
-        for i in range(n):
+        # best path of the first m segments by the type of its last one: (n + 1) x t scores and segments
+        top, at = np.full((n + 1, t), -np.inf), np.zeros((n + 1, t), np.int64)
+        for i, m in enumerate(self._before(chain)):
+            step = top[m][:, None] + self.v[:-1]
             for k in range(t):
-                best[i, k], back[i][k] = self.v[-1, k], None
-            for j in self._before(chain, i)[-8 * t:]:
-                step = best[j][:, None] + self.v[:-1]
-                for k in range(t):
-                    p = int(step[:, k].argmax())
-                    if step[p, k] > best[i, k]:
-                        best[i, k], back[i][k] = step[p, k], (j, p)
+                p = int(step[:, k].argmax())
+                best[i, k], back[i][k] = (step[p, k], (int(at[m, p]), p)) if step[p, k] > self.v[-1, k] else (self.v[-1, k], None)
             best[i] += score[i]
+            better = best[i] > top[i]
+            top[i + 1], at[i + 1] = np.where(better, best[i], top[i]), np.where(better, i, at[i])
         i, k = divmod(int(best.argmax()), t)
         if best[i, k] <= 0:
             return []

@@ -1,6 +1,7 @@
 """Small tests of the text operators: edge cases, brute force, round trips, held-out accuracy."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -317,6 +318,34 @@ def test_semi_markov_gradient():
             assert abs((up - down) / 2e-5 - g[at]) < 1e-4
 
 
+def test_semi_markov_decoding_by_exhaustive_search():
+    rng, kinds = np.random.default_rng(1), len(pii.TYPES)
+    for _ in range(30):
+        n = int(rng.integers(1, 5))
+        starts, sizes = rng.integers(0, 30, n).tolist(), rng.integers(1, 12, n).tolist()
+        chain = sorted(((a, a + size, -1) for a, size in zip(starts, sizes)), key=lambda s: (s[1], s[0]))
+        x = rng.normal(size=(n, pii.N_FEATURES))
+        field = pii.Field(rng.normal(size=(kinds, pii.N_FEATURES)) * 0.3, rng.normal(size=(kinds + 1, kinds)))
+        score, best, want = x @ field.w.T, 0.0, []
+        for r in range(1, n + 1):
+            for sub in itertools.combinations(range(n), r):
+                if all(chain[p][1] <= chain[q][0] for p, q in zip(sub, sub[1:])):
+                    for ts in itertools.product(range(kinds), repeat=r):
+                        v = sum(score[i, t] for i, t in zip(sub, ts)) + field.v[-1, ts[0]] + sum(field.v[a, b] for a, b in zip(ts, ts[1:]))
+                        if v > best:
+                            best, want = v, list(zip(sub, ts))
+        assert field.decode(chain, x) == want
+
+
+def test_semi_markov_long_chain():
+    n, rng = 5_000, np.random.default_rng(2)
+    chain = [(10 * i, 10 * i + 9, -1) for i in range(n)]
+    field = pii.Field(rng.normal(size=(len(pii.TYPES), pii.N_FEATURES)))
+    x = np.abs(rng.normal(size=(n, pii.N_FEATURES)))
+    want = [(i, int(s.argmax())) for i, s in enumerate(x @ field.w.T) if s.max() > 0]
+    assert field.decode(chain, x) == want
+
+
 def test_license_scan(spark, odd, docs):
     full = dict(license_scan.TEMPLATES)["text:mit"]
     rows = [(1, "Released under the MIT License. The mit-license!"), (2, "General  Public\nLicense and general public"), (3, None), (4, ""),
