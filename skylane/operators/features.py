@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..session import materialize
-from .prefix import approx_quantile_table, exact_quantiles, prefix_sums, quantile_table, value_counts
+from .prefix import MAX_BROADCAST_ROWS, approx_quantile_table, exact_quantiles, prefix_sums, quantile_table, value_counts
 
 # --- fixed values: the three feature sets of the predictive analyses ---
 DELAY_FEATURES = ["MONTH", "AIRLINE", "ORIGIN", "DEST", "DEP_HH", "DISTANCE", "CRS_DEP_HH"]
@@ -249,7 +249,9 @@ def stratified_split(df: DataFrame, label: str, p: float = 0.8, key: str = "ROW_
     Strata are the label values; a numeric target is cut into
     ``numeric_groups`` quantile groups first. The per-stratum key threshold
     comes from the distributed prefix sums (no per-stratum sort in one
-    task); the thresholds (one per stratum) are broadcast.
+    task); the thresholds (one per stratum) are broadcast up to
+    ``MAX_BROADCAST_ROWS`` strata and joined beyond. Rows without a label go
+    to the test side.
     """
     s = F.col(label)
     if numeric_groups:
@@ -260,16 +262,12 @@ def stratified_split(df: DataFrame, label: str, p: float = 0.8, key: str = "ROW_
     vc = value_counts(d.withColumn("_w", F.lit(1)), key, ["_w"], by=["_stratum"])
     ps = prefix_sums(vc, key, ["_w"], by=["_stratum"], counted=True)
     need = F.ceil(F.col("_w_total") * F.lit(float(p)))
-    # the key at which the running count first reaches ceil(p * n): one row
-    # per stratum (at most MAX_GROUPS), collected and broadcast back
-    thr_rows = (ps.filter((F.col("_w_below") < need) & (F.col("_w_below") + F.col("_w") >= need))
-                .select("_stratum", F.col(key).alias("_thr")).collect())
+    # the key at which the running count first reaches ceil(p * n): one row per stratum
+    thr = materialize(ps.filter((F.col("_w_below") < need) & (F.col("_w_below") + F.col("_w") >= need))
+                      .select("_stratum", F.col(key).alias("_thr")))
+    strata = thr.count()
     vc.unpersist()
-    key_type = df.schema[key].dataType
-    thr = df.sparkSession.createDataFrame(
-        [(r["_stratum"], r["_thr"]) for r in thr_rows],
-        T.StructType([T.StructField("_stratum", T.StringType()), T.StructField("_thr", key_type)]))
-    j = d.join(F.broadcast(thr), "_stratum", "left")
+    j = d.join(F.broadcast(thr) if strata <= MAX_BROADCAST_ROWS else thr, "_stratum", "left")
     inside = F.coalesce(F.col(key) <= F.col("_thr"), F.lit(False))
     return j.filter(inside).drop("_stratum", "_thr"), j.filter(~inside).drop("_stratum", "_thr")
 

@@ -12,7 +12,8 @@ distributed steps:
    table: groups x buckets);
 3. a running sum inside each bucket (window partitioned by group and
    bucket: about N_distinct / buckets rows per task) plus the bucket's
-   offset from step 2 (broadcast: its size is groups x buckets).
+   offset from step 2 (groups x buckets rows at most: broadcast while that
+   is within ``MAX_BROADCAST_ROWS``, joined by key beyond it).
 
 The result is exact: quantile bounds only decide where buckets split, and
 any split gives the same sums.
@@ -21,14 +22,15 @@ any split gives the same sums.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-MAX_GROUPS = 1_000              # groups x buckets rows are broadcast ...
-MAX_OFFSET_ROWS = 1_000_000     # ... and never more than this many
+MAX_BROADCAST_ROWS = 1_000_000  # statistics of more groups x buckets are joined by key
 TARGET_ROWS_PER_BUCKET = 2_000_000
 # distinct values one task may hold for an exact percentile (value counts)
 IN_TASK_DISTINCT = 1_000_000
@@ -43,6 +45,16 @@ def value_counts(df: DataFrame, key: str, weights: list[str], by: list[str] | No
     return materialize(d)
 
 
+def join_stats(df: DataFrame, stats: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """``df`` with the one row of ``stats`` for its ``on`` values (NULL meets
+    NULL). ``rows`` bounds the rows of ``stats``: they are broadcast up to
+    ``MAX_BROADCAST_ROWS``, so that ``df`` is not shuffled."""
+    s = stats.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    s = F.broadcast(s) if rows <= MAX_BROADCAST_ROWS else s
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return df.join(s, same).drop(*[f"_on_{c}" for c in on])
+
+
 def prefix_sums(df: DataFrame, key: str, weights: list[str], by: list[str] | None = None,
                 buckets: int | None = None, counted: bool = False) -> DataFrame:
     """One row per distinct (``by``..., ``key``) with, for each weight ``w``:
@@ -55,19 +67,15 @@ def prefix_sums(df: DataFrame, key: str, weights: list[str], by: list[str] | Non
     if not by:
         d = d.withColumn("_g", F.lit(0))
     ngroups = d.select(*gcols).distinct().count() if by else 1
-    if ngroups > MAX_GROUPS:
-        raise ValueError(f"{ngroups} groups exceed {MAX_GROUPS}; use fewer groups")
     if buckets is None:
-        n = d.count()
-        buckets = int(min(4096, max(16, math.ceil(n / TARGET_ROWS_PER_BUCKET))))
-    buckets = max(1, min(buckets, MAX_OFFSET_ROWS // max(ngroups, 1)))
+        buckets = max(16, math.ceil(d.count() / TARGET_ROWS_PER_BUCKET))
     qs = [i / buckets for i in range(1, buckets)] or [0.5]
     acc = max(10_000, 20 * buckets)
     bucket = F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
     if by:
         bounds = d.groupBy(*by).agg(F.percentile_approx(key, qs, acc).alias("_bounds"))
-        # bounds: one row per group (<= MAX_GROUPS, checked) -> broadcast join, no shuffle of d
-        x = d.join(F.broadcast(bounds), by).withColumn("_b", bucket).drop("_bounds")
+        # one row per group, with buckets - 1 bounds each
+        x = join_stats(d, bounds, by, ngroups * buckets).withColumn("_b", bucket).drop("_bounds")
     else:
         # one group: its (buckets - 1) bounds are a literal array in the plan
         b = d.agg(F.percentile_approx(key, qs, acc)).first()[0] or []
@@ -82,7 +90,7 @@ def prefix_sums(df: DataFrame, key: str, weights: list[str], by: list[str] | Non
     inner = Window.partitionBy(*gcols, "_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     x = x.select(*gcols, key, "_b", *weights,
                  *[F.coalesce(F.sum(w).over(inner), F.lit(0)).alias(f"_in_{w}") for w in weights])
-    out = x.join(F.broadcast(off), [*gcols, "_b"])         # <= MAX_OFFSET_ROWS rows
+    out = join_stats(x, off, [*gcols, "_b"], ngroups * buckets)
     cols = [*by, key, *weights,
             *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"{w}_below") for w in weights],
             *[F.col(f"{w}_total") for w in weights]]

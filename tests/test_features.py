@@ -134,6 +134,26 @@ def test_prefix_sums_brute_force(spark):
         assert (r.w, r.w_below, r.w_total) == (at, below, tot)
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])        # 0: statistics joined by key, not broadcast
+def test_prefix_sums_many_groups_and_null_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(prefix, "MAX_BROADCAST_ROWS", limit)
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 5000 > 0 THEN id % 5000 END AS g", "id DIV 5000 AS k", "id AS w")
+    rows = prefix.prefix_sums(df, "k", ["w"], by=["g"], buckets=3).collect()
+    assert len(rows) == 20_000
+    for r in rows:
+        g = r.g or 0
+        assert r.w_below == sum(g + 5000 * j for j in range(r.k)) and r.w_total == 4 * g + 30_000
+
+
+def test_stratified_split_many_strata(spark, monkeypatch):
+    df = spark.range(6_000).selectExpr("id % 1500 AS label", "id / 6000.0D AS ROW_KEY")
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(features, "MAX_BROADCAST_ROWS", limit)
+        tr, te = features.stratified_split(df, "label", 0.5)
+        assert {r["count"] for r in tr.groupBy("label").count().collect()} == {2}
+        assert tr.count() == te.count() == 3_000
+
+
 def test_design_tables_numeric(spark, flights_small):
     for d in (features.prepare_delay(flights_small), features.prepare_cancel(flights_small)):
         bad = [f.name for f in d.schema.fields if f.dataType.simpleString() == "string"]
