@@ -4,6 +4,9 @@ Each DOM node gets a density: characters per tag below it, weighted by how
 little of that text is link text. The node whose children's densities sum to
 most is the body of the article; the least density on the path from that node
 up to the page's body is the threshold that lets neighbouring blocks in.
+
+Elements and class words of page furniture only raise a suspicion: what is
+below them is counted first, and stays if it is the page's own text.
 """
 
 from __future__ import annotations
@@ -29,33 +32,35 @@ CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": froze
              "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
              "tbody": frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), "tfoot": frozenset(["tbody", "thead", "tr", "td", "th"])}
 SCOPE = frozenset("ul ol dl table article section main div body html td th blockquote".split())
-# Class, id and role words of page furniture.
+# Class, id and role words of page furniture, held against whole words between white space.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb "
                       "breadcrumbs header footer sidebar aside cookie cookies consent notice notices popup modal newsletter subscribe share "
                       "sharing social related recommended comment comments disqus reply replies pagination pager toolbar widget form search "
-                      "contentinfo complementary masthead skip".split())
+                      "contentinfo complementary masthead skip "
+                      "cookie-banner cookie-notice cookie-consent cookie-bar site-header site-footer page-footer site-nav main-nav nav-menu "
+                      "main-menu nav-bar side-bar social-links social-share share-buttons related-posts related-articles comment-list "
+                      "comments-area comment-form search-form newsletter-signup ad-container ad-slot ad-banner skip-link".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|>|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|"
                     r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDE = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"\w")
 
 
 class Node:
-    __slots__ = ("chars", "density", "drop", "kids", "link_chars", "link_tags", "name", "sum", "tags", "up")
+    __slots__ = ("chars", "density", "drop", "holds", "kids", "link_chars", "link_tags", "name", "suspect", "sum", "tags", "up")
 
-    def __init__(self, name: str, up, drop: bool = False):
-        self.name, self.up, self.drop, self.kids = name, up, drop, []
+    def __init__(self, name: str, up, drop: bool = False, suspect: frozenset = frozenset()):
+        self.name, self.up, self.drop, self.suspect, self.kids = name, up, drop, suspect, []
+        self.holds = frozenset()
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _furniture(attrs: str) -> bool:
-    if _HIDE.search(attrs):
-        return True
-    return any(FURNITURE.intersection(_WORDS.findall(next(filter(None, m.groups()), "").lower())) for m in _NAMES.finditer(attrs))
+def _furniture(attrs: str) -> frozenset:
+    return FURNITURE.intersection(w for m in _NAMES.finditer(attrs) for w in next(filter(None, m.groups()), "").lower().split())
 
 
 def parse(page: str) -> Node:
@@ -89,7 +94,9 @@ def parse(page: str) -> Node:
             while now.up is not None:           # a head that was left open ends here
                 now = now.up
         now = _close_for(now, name)
-        node = Node(name, now, name in HIDDEN or name in FRAME or (bool(attrs) and name not in ("body", "article", "main") and _furniture(attrs)))
+        named = attrs if name not in ("body", "article", "main") else ""
+        words = _furniture(named) if named else frozenset()
+        node = Node(name, now, name in HIDDEN or bool(named and _HIDE.search(named)), words | {f"<{name}>"} if name in FRAME else words)
         now.kids.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -126,24 +133,10 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def _keep_headers(nodes_root: Node) -> None:
-    """A header inside an article that holds a heading is part of the article."""
-    stack = [(nodes_root, False)]
-    while stack:
-        node, inside = stack.pop()
-        for k in node.kids:
-            if isinstance(k, Node):
-                if inside and k.name == "header" and any(isinstance(x, Node) and x.name in ("h1", "h2", "h3") for x in k.kids):
-                    k.drop = False
-                if not k.drop:
-                    stack.append((k, inside or k.name in ("article", "main")))
-
-
-def measure(root: Node) -> list[Node]:
-    """Fill in densities and their sums; returns the nodes, parents first."""
-    _keep_headers(root)
-    nodes = _order(root)
+def _count(nodes: list[Node]) -> None:
+    """Characters, tags and links below each node (parents first), and whether an article or main is."""
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for k in node.kids:
             if isinstance(k, str):
                 size = len(_SPACE.sub(" ", _html.unescape(k) if "&" in k else k).strip())
@@ -155,8 +148,51 @@ def measure(root: Node) -> list[Node]:
                 node.tags += k.tags + 1
                 node.link_chars += k.chars if node.name == "a" else k.link_chars
                 node.link_tags += k.link_tags + (k.name == "a")
+                if k.holds or k.name in ("article", "main"):
+                    node.holds |= k.holds | {k.name} & {"article", "main"}
         if node.name == "a":
             node.link_chars = node.chars
+
+
+def _judge(root: Node) -> bool:
+    """Drop furniture; True if any was dropped.
+
+    What a word or element of furniture is on stays if a ``main`` is below
+    it, or an ``article`` while the page has none elsewhere. A class word or
+    ``form`` is also no furniture on a page where it stands over most of the
+    text that is not in links. A header inside an article that holds a
+    heading is part of the article."""
+    nodes = _order(root)
+    if not any(x.suspect for x in nodes):
+        return False
+    body = next((x for x in nodes if x.name == "body"), root)
+    over: dict[str, int] = {}                   # text below each word, nested ones once
+    seen: dict[int, tuple[frozenset, bool]] = {}        # words above a node with its own; is it in an article
+    free = False
+    for node in nodes:
+        above, inside = seen[id(node.up)] if node.up is not None else (frozenset(), False)
+        for w in node.suspect - above:
+            over[w] = over.get(w, 0) + node.chars - node.link_chars
+        mark = node.name in ("article", "main")
+        free |= mark and not above
+        seen[id(node)] = above | node.suspect, inside or mark
+    text = {w for w, n in over.items() if 2 * n > body.chars - body.link_chars and (w == "<form>" or not w.startswith("<"))}
+    dropped = False
+    for node in nodes:
+        if node.suspect - text and "main" not in node.holds and (free or "article" not in node.holds):
+            heading = node.name == "header" and seen[id(node)][1] and any(isinstance(x, Node) and x.name in ("h1", "h2", "h3") for x in node.kids)
+            node.drop = not heading
+            dropped |= node.drop
+    return dropped
+
+
+def measure(root: Node) -> list[Node]:
+    """Fill in densities and their sums; returns the nodes, parents first."""
+    nodes = _order(root)
+    _count(nodes)
+    if _judge(root):
+        nodes = _order(root)
+        _count(nodes)
     body = next((x for x in nodes if x.name == "body"), root)
     ratio = body.link_chars / max(1, body.chars)
     for node in nodes:
@@ -169,8 +205,36 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _is_inline(node: Node) -> bool:
+    return all(x.name not in BLOCK for x in _order(node))
+
+
+def _runs(node: Node, on_path: set[int]) -> list:
+    """Kids of a path node; texts and the inline elements among them come as one node that stands for the line."""
+    out, run = [], []
+
+    def flush():
+        if any(isinstance(k, str) and _WORD.search(k) for k in run):
+            line = Node("span", node)
+            line.kids = run.copy()
+            line.density = math.inf
+            out.append(line)
+        else:
+            out.extend(k for k in run if isinstance(k, Node))
+        run.clear()
+
+    for k in node.kids:
+        if isinstance(k, str) or not k.drop and id(k) not in on_path and _is_inline(k):
+            run.append(k)
+        elif not k.drop:
+            flush()
+            out.append(k)
+    flush()
+    return out
+
+
 def main_nodes(root: Node) -> list[Node]:
-    """The subtrees that make up the article, in page order."""
+    """The subtrees that make up the article, in page order; text that stands directly in a node above them is part of it."""
     nodes = measure(root)
     body = next((x for x in nodes if x.name == "body"), root)
     inner = [x for x in nodes if x is body or _below(x, body)]
@@ -193,7 +257,7 @@ def main_nodes(root: Node) -> list[Node]:
         if node is best:
             chosen.append(node)
         elif id(node) in on_path or node is body:
-            stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.drop)
+            stack.extend(reversed(_runs(node, on_path)))
         elif node.density >= threshold and node.density > 0:
             chosen.append(node)
     return chosen

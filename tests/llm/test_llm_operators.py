@@ -431,3 +431,24 @@ def test_pipeline(spark, odd, tmp_path):
         assert out.columns == odd.columns and stage(spark, odd.where("doc_id < 0"), SF).count() == 0
         out.collect()
     assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() > 0
+
+
+def test_html_furniture_words_only_where_nothing_else_says_text():
+    story = "<p>" + "</p><p>".join(["Some long sentence of the story, told in many words."] * 4) + "</p>"
+    want = ["Some long sentence of the story, told in many words."] * 4
+    get = lambda page: html_extract.extract(page).split("\n\n")
+    for c in ("layout has-sidebar", "no-sidebar", "with-header", "social-policy", "search-page", "form", "related", "sidebar"):
+        assert get(f"<body><div class='{c}'><main>{story}</main></div></body>") == want
+        assert get(f"<body><div class='{c}'>{story}</div><div class='menu'><a href=a>One</a></div></body>") == want
+    assert get(f"<body><form id=aspnet><nav><a href=x>Menu</a></nav><div>{story}</div></form></body>") == want
+    assert get(f"<body><article><div class='entry-header'><h1>Title</h1></div>{story}</article></body>") == ["Title", *want]
+    assert get(f"<body><article>{story}<div class='related'><article>Teaser</article></div></article><aside><article>Other</article></aside></body>") == want
+    assert get(f"<body><div class='sidebar'>Short words here</div><div>{story}</div></body>") == want
+    post = "<div class='comment'><p>A post of the forum, long enough to be read as text.</p></div>"
+    assert html_extract.extract(f"<body><div class='comments'>{post * 5}</div></body>").count("A post of the forum") == 5
+
+
+def test_html_text_directly_in_ancestors():
+    quote = "<blockquote><p>" + "</p><p>".join(["Quoted words of some length, said by somebody else."] * 3) + "</p></blockquote>"
+    got = html_extract.extract(f"<body><div>First para with <b>bold</b> words.<br><br>Second para.{quote}Third para.</div></body>")
+    assert got.startswith("First para with bold words. Second para.\n\nQuoted") and got.endswith("somebody else.\n\nThird para.")
