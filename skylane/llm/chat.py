@@ -1,11 +1,13 @@
 """Chat formatting by quotation linking (built-in functions only).
 
 Lines that begin with ``>`` are quotes, nested as deep as they have marks.
-Runs of lines of one depth are passages; their normalised hash is joined to
-the messages of the same conversation that hold that passage (as their whole
-own text, as one of its paragraphs or as one of its lines). A message replies
-to the original of its outermost linked quote. Quotes are taken out, and
-messages are put in reply order: each right after what it answers.
+Runs of lines of one depth are passages; the normalised hash of a run, of
+each of its paragraphs and of each of its lines is joined to the messages of
+the same conversation that hold that passage (as their whole own text, a
+paragraph or a line, or in a quote of fewer marks). A message replies to the
+original of its outermost linked quote. Quoted lines that an earlier message
+holds are taken out, others stay in the chat markup, and messages are put in
+reply order: each right after what it answers.
 """
 
 from __future__ import annotations
@@ -30,60 +32,93 @@ def _key(text: Column) -> Column:
 
 
 def lines_of(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, copy, role, line_no, depth, body`` of every line of the messages that hold a quote mark."""
+    """``conv_id, turn, mid, line_no, line, depth, body, run, para`` of every line of the messages that hold a quote mark.
+
+    A run is a row of lines of one depth; blank lines part its paragraphs."""
     m = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>"))
     lines = m.select("conv_id", "turn", "mid", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line"))
     marks = F.regexp_extract("line", MARKS, 0)
-    return lines.select("conv_id", "turn", "mid", "line_no", F.length(F.regexp_replace(marks, "[^>]", "")).alias("depth"),
-                        F.expr("substring(line, length(regexp_extract(line, '" + MARKS.replace("\\", "\\\\") + "', 0)) + 1)").alias("body"))
+    lines = lines.select("conv_id", "turn", "mid", "line_no", "line", F.length(F.regexp_replace(marks, "[^>]", "")).alias("depth"),
+                         F.expr("substring(line, length(regexp_extract(line, '" + MARKS.replace("\\", "\\\\") + "', 0)) + 1)").alias("body"))
+    w = Window.partitionBy("conv_id", "turn", "mid").orderBy("line_no")
+    new = F.coalesce((F.col("depth") != F.lag("depth").over(w)).cast("int"), F.lit(1))
+    blank = (normal(F.col("body")) == "").cast("int")
+    return lines.withColumn("new", new).select("*", F.sum("new").over(w).alias("run"), F.sum(blank).over(w).alias("para")).drop("new")
 
 
 def passages(lines: DataFrame) -> DataFrame:
-    """``conv_id, turn, mid, run, depth, body``: runs of lines of one depth, joined by line ends."""
-    w = Window.partitionBy("conv_id", "turn", "mid").orderBy("line_no")
-    new = F.coalesce((F.col("depth") != F.lag("depth").over(w)).cast("int"), F.lit(1))
-    runs = lines.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return (runs.groupBy("conv_id", "turn", "mid", "run", "depth")
-            .agg(F.sort_array(F.collect_list(F.struct("line_no", "body"))).alias("ls"))
-            .select("conv_id", "turn", "mid", "run", "depth", F.array_join(F.col("ls.body"), "\n").alias("body")))
+    """``conv_id, turn, mid, run, depth, first, last, body``: runs, their paragraphs and their lines, with the first and last line."""
+    def joined(rows: DataFrame, *by: str) -> DataFrame:
+        ls = rows.groupBy("conv_id", "turn", "mid", "run", "depth", *by).agg(F.sort_array(F.collect_list(F.struct("line_no", "body"))).alias("ls"))
+        return ls.select("conv_id", "turn", "mid", "run", "depth", F.array_min("ls.line_no").alias("first"), F.array_max("ls.line_no").alias("last"),
+                         F.array_join(F.col("ls.body"), "\n").alias("body"))
+    full = lines.where(normal(F.col("body")) != "")
+    one = full.select("conv_id", "turn", "mid", "run", "depth", F.col("line_no").alias("first"), F.col("line_no").alias("last"), "body")
+    return joined(lines).unionByName(joined(full, "para")).unionByName(one).distinct()
+
+
+def _without(lines: DataFrame, name: str) -> DataFrame:
+    """``conv_id, turn, mid`` and the given lines of each message as one text."""
+    return (lines.groupBy("conv_id", "turn", "mid").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+            .select("conv_id", "turn", "mid", F.array_join(F.col("ls.line"), "\n").alias(name)))
 
 
-def own_text(messages: DataFrame, runs: DataFrame) -> DataFrame:
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def own_text(messages: DataFrame, lines: DataFrame) -> DataFrame:
     """``conv_id, turn, mid, role, own``: the messages without their quotes."""
-    plain = (runs.where("depth = 0").groupBy("conv_id", "turn", "mid")
-             .agg(F.sort_array(F.collect_list(F.struct("run", "body"))).alias("rs"))
-             .select("conv_id", "turn", "mid", F.array_join(F.col("rs.body"), "\n").alias("plain")))
-    quoting = runs.select("conv_id", "turn", "mid").distinct()
+    plain = _without(lines.where("depth = 0"), "plain")
+    quoting = lines.select("conv_id", "turn", "mid").distinct()
     left = messages.join(quoting.withColumn("quotes", F.lit(True)), ["conv_id", "turn", "mid"], "left").join(plain, ["conv_id", "turn", "mid"], "left")
     own = F.when(F.col("quotes"), F.coalesce("plain", F.lit(""))).otherwise(F.col("text"))
-    return left.select("conv_id", "turn", "mid", "role", F.regexp_replace(own, r"^\s+|\s+$", "").alias("own"), "n_rows")
+    return left.select("conv_id", "turn", "mid", "role", _trimmed(own).alias("own"), "n_rows")
 
 
-def originals(own: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``conv_id, key, source``: the earliest turn that holds a quoted passage.
+def originals(own: DataFrame, parts: DataFrame) -> DataFrame:
+    """``conv_id, key, under, source``: the earliest turn that holds a passage under ``under`` marks.
 
     Only conversations with quotes are looked at; of many messages with the
-    same passage one row is left, however many there are."""
-    here = own.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi").where("own != ''")
-    parts = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n\s*\n"), F.split("own", r"\n")))
-    return (here.select("conv_id", "turn", F.explode(parts).alias("part")).select("conv_id", "turn", _key(F.col("part")).alias("key"))
-            .groupBy("conv_id", "key").agg(F.min("turn").alias("source")))
-
-
-def reply_links(runs: DataFrame, own: DataFrame) -> DataFrame:
+    same passage one row is left, however many there are, and of more marks
+    only one that is earlier than all with fewer."""
+    here = own.join(parts.where("depth > 0").select("conv_id").distinct(), "conv_id", "left_semi").where("own != ''")
+    split = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n\s*\n"), F.split("own", r"\n")))
+    plain = here.select("conv_id", "turn", F.lit(0).alias("under"), F.explode(split).alias("part"))
+    held = plain.unionByName(parts.select("conv_id", "turn", F.col("depth").alias("under"), F.col("body").alias("part")))
+    first = (held.select("conv_id", "turn", "under", _key(F.col("part")).alias("key"))
+             .groupBy("conv_id", "key", "under").agg(F.min("turn").alias("source")))
+    w = Window.partitionBy("conv_id", "key").orderBy("under").rowsBetween(Window.unboundedPreceding, -1)
+    return first.withColumn("before", F.min("source").over(w)).where("before is null or source < before").drop("before")
+
+
+def linked_parts(parts: DataFrame, own: DataFrame) -> DataFrame:
+    """``conv_id, turn, mid, run, depth, first, last, source``: quoted passages that an earlier message holds under fewer marks, and the earliest such."""
+    keyed = parts.where("depth > 0").where(normal(F.col("body")) != "").withColumn("key", _key(F.col("body"))).drop("body")
+    found = keyed.join(originals(own, parts), ["conv_id", "key"]).where(F.col("source") < F.col("turn")).where(F.col("under") < F.col("depth"))
+    return found.groupBy("conv_id", "turn", "mid", "run", "depth", "first", "last").agg(F.min("source").alias("source"))
+
+
+def reply_links(linked: DataFrame) -> DataFrame:
     """``conv_id, turn, mid, reply_to, n_linked``: a message replies to the source of its shallowest linked quote.
 
     Of quotes of one depth the last in the message counts (the answer stands
     below what it answers)."""
-    quotes = runs.where("depth > 0")
-    lines = quotes.select("conv_id", "turn", "mid", "run", "depth", F.explode(F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n")))).alias("part"))
-    keyed = lines.where(normal(F.col("part")) != "").select("conv_id", "turn", "mid", "run", "depth", _key(F.col("part")).alias("key"))
-    linked = keyed.join(originals(own, quotes), ["conv_id", "key"]).where(F.col("source") < F.col("turn"))
     return linked.groupBy("conv_id", "turn", "mid").agg(
         F.max_by("source", F.struct(-F.col("depth"), F.col("run"), F.col("source"))).alias("reply_to"),
         F.countDistinct("run").alias("n_linked"))
 
 
+def kept_text(lines: DataFrame, linked: DataFrame) -> DataFrame:
+    """``conv_id, turn, mid, kept, unlinked``: quoting messages without the lines that an earlier one holds; what is left of their quotes."""
+    gone = linked.select("conv_id", "turn", "mid", "run", F.explode(F.sequence("first", "last")).alias("line_no"))
+    blank = (lines.join(linked.select("conv_id", "turn", "mid", "run").distinct(), ["conv_id", "turn", "mid", "run"])
+             .where(normal(F.col("body")) == "").select("conv_id", "turn", "mid", "run", "line_no"))
+    left = lines.join(gone.unionByName(blank).distinct(), ["conv_id", "turn", "mid", "run", "line_no"], "left_anti")
+    rest = left.where("depth > 0").where(normal(F.col("body")) != "")
+    return _without(left, "kept").join(_without(rest, "unlinked"), ["conv_id", "turn", "mid"], "left").withColumn("kept", _trimmed(F.col("kept")))
+
+
 def reply_paths(links: DataFrame) -> DataFrame:
     """``conv_id, turn, path``: turns from the thread's first message down to each replying turn.
 
@@ -121,18 +156,20 @@ def _positions(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def format_chat(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                 text_col: str = "text") -> DataFrame:
-    """One row per input row: conv_id, turn, role, text, reply_to, depth, path, n_quotes, n_linked, position, formatted.
+    """One row per input row: conv_id, turn, role, text, reply_to, depth, path, n_quotes, n_linked, unlinked, position, formatted.
 
     ``text`` is the message without quotes; ``reply_to`` the turn it answers
     by quotation (null if it quotes nothing that is known); ``position`` its
     place in reply order within the conversation: threads in the order of
-    their first turn, answers right after what they answer; ``formatted``
-    the message in chat markup.
+    their first turn, answers right after what they answer; ``unlinked`` the
+    quoted lines that no earlier message holds, with their marks (null without
+    any); ``formatted`` the message in chat markup, with those lines in place.
 
     * null text counts as empty, null role as "unknown"; null conversation
       ids form one conversation without links, null turns come first;
     * a quote of a passage that several messages hold links to the earliest;
-      a quote of nothing earlier is taken out and links to nothing;
+      a quote of nothing earlier (a prompt, a block quote) links to nothing
+      and is not in ``text``, but in ``unlinked`` and ``formatted``;
     * repeated rows each get their row, side by side;
     * an empty table gives an empty result; other columns are ignored.
     """
@@ -142,21 +179,26 @@ def format_chat(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     quoted = raw.where("conv_id is not null and turn is not null")
     distinct = quoted.groupBy("conv_id", "turn", "mid", "role", "text").agg(F.count("*").alias("n_rows"))
     has = distinct.where(F.col("text").rlike(r"(?m)^[ \t]*>"))
-    runs = staged(passages(lines_of(has)), "passages")
-    involved = distinct.join(runs.select("conv_id").distinct(), "conv_id", "left_semi")
-    own = staged(own_text(involved, runs), "own-text")
-    links = staged(reply_links(runs, own), "reply-links")
+    lines = staged(lines_of(has), "quote-lines")
+    parts = staged(passages(lines), "passages")
+    involved = distinct.join(lines.select("conv_id").distinct(), "conv_id", "left_semi")
+    own = staged(own_text(involved, lines), "own-text")
+    linked = staged(linked_parts(parts, own), "linked-passages")
+    links = staged(reply_links(linked), "reply-links")
     paths = reply_paths(links)
-    counts = runs.where("depth > 0").groupBy("conv_id", "turn", "mid").agg(F.count("*").alias("n_quotes"))
+    counts = lines.where("depth > 0").groupBy("conv_id", "turn", "mid").agg(F.countDistinct("run").alias("n_quotes"))
     extra = (own.select("conv_id", "turn", "mid", "own").join(links, ["conv_id", "turn", "mid"], "left")
-             .join(counts, ["conv_id", "turn", "mid"], "left").join(paths, ["conv_id", "turn"], "left"))
+             .join(counts, ["conv_id", "turn", "mid"], "left").join(kept_text(lines, linked), ["conv_id", "turn", "mid"], "left").join(paths, ["conv_id", "turn"], "left"))
     joined = raw.join(extra.withColumn("known", F.lit(True)), ["conv_id", "turn", "mid"], "left")
-    rows = joined.select("conv_id", "turn", "role", F.when(F.col("known"), F.col("own")).otherwise(F.col("text")).alias("text"), "reply_to",
+    text = F.when(F.col("known"), F.col("own")).otherwise(F.col("text"))
+    # a message of nothing but linked quotes has a count of quotes and nothing kept
+    kept = F.when(F.col("n_quotes").isNull(), text).otherwise(F.coalesce("kept", F.lit("")))
+    rows = joined.select("conv_id", "turn", "role", text.alias("text"), kept.alias("kept"), "unlinked", "reply_to",
                          F.coalesce("path", F.array("turn")).alias("path"), F.coalesce("n_quotes", F.lit(0).cast("long")).alias("n_quotes"),
                          F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "mid")
     placed = _positions(rows, ["conv_id", "path", "turn", "mid"])
     return placed.select("conv_id", "turn", "role", "text", "reply_to", (F.size("path") - 1).alias("depth"), "path", "n_quotes", "n_linked",
-                         "position", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n")).alias("formatted"))
+                         "unlinked", "position", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "kept", F.lit("\n<|end|>\n")).alias("formatted"))
 
 
 def conversation_blocks(messages: DataFrame, block: int = 256) -> DataFrame:

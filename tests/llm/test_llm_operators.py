@@ -452,3 +452,20 @@ def test_html_text_directly_in_ancestors():
     quote = "<blockquote><p>" + "</p><p>".join(["Quoted words of some length, said by somebody else."] * 3) + "</p></blockquote>"
     got = html_extract.extract(f"<body><div>First para with <b>bold</b> words.<br><br>Second para.{quote}Third para.</div></body>")
     assert got.startswith("First para with bold words. Second para.\n\nQuoted") and got.endswith("somebody else.\n\nThird para.")
+
+
+def test_chat_keeps_quotes_that_link_to_nothing(spark):
+    three = "First one here\nis long.\n\nSecond para\nalso long.\n\nThird."
+    rows = [(1, 0, "user", "How?\n>>> x = 1\n>>> print(x)\nWhy?"), (1, 1, "assistant", three),
+            (1, 2, "user", "> First one\n> here is long.\n>\n> Second para also\n> long.\nSo?"),
+            (1, 3, "user", "> Third.\n> [never said]\nHm"), (1, 4, "user", "> >>> print(x)\nOne."), (1, 5, "user", ">>> x = 1\nMine"),
+            (2, 0, "user", "> a Markdown quote\n\nSeen"), (2, 1, "user", ">> a Markdown quote\n> Seen"), (None, 0, "user", "> q\nz")]
+    got = {(r.conv_id, r.turn): r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    body = lambda c, t: got[c, t].formatted.split("|>\n", 1)[1].removesuffix("\n<|end|>\n")
+    assert (got[1, 0].text, got[1, 0].unlinked, body(1, 0)) == ("How?\nWhy?", ">>> x = 1\n>>> print(x)", rows[0][3])
+    assert (got[1, 2].reply_to, got[1, 2].unlinked, body(1, 2)) == (1, None, "So?")     # two re-wrapped paragraphs of three
+    assert (got[1, 3].reply_to, got[1, 3].unlinked, body(1, 3)) == (1, "> [never said]", "> [never said]\nHm")
+    assert (got[1, 4].reply_to, body(1, 4)) == (0, "One.")
+    assert (got[1, 5].reply_to, body(1, 5), got[1, 5].text) == (None, rows[5][3], "Mine")
+    assert body(2, 0) == rows[6][3] and (got[2, 1].reply_to, body(2, 1), got[2, 1].n_linked) == (0, "", 2)
+    assert body(None, 0) == "> q\nz"
