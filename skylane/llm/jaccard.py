@@ -19,6 +19,10 @@ differing shingle can flip one bit, so the overlap is at most
 (a + b - differing bits)/2), and only then intersects the sorted arrays.
 
 Equal sets are one node (64-bit digest of the set), so copies cost nothing.
+
+Links between different sets stand within components only. To count them all,
+the sets of a component are dealt into blocks, and each pair of blocks
+intersects its sets exactly; only counts for each set leave the task.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ from skylane.llm.graph import components
 RATIO = 1.4             # sizes of one band
 PART_FILL = 0.85        # shingles per part, as a share of the most that the threshold allows
 BLOCK = 4096            # members of a tile that are compared with each other in one task
+BLOCK_SHINGLES = 1 << 20        # shingles of a block whose links are counted in one task
 SCREEN = 128            # most 64-bit words of a folded bitmap
 ROUNDS = 3              # passes over the tiles with forests, before one with all pairs that are left
 CHUNK = 1 << 22         # bytes of text hashed at a time
@@ -226,6 +231,47 @@ def _filter_bits(scheme: Scheme):
     return run
 
 
+def _count_links(scheme: Scheme):
+    """node, links: copies of the other sets of one block pair that a set links with; rows come sorted by block pair."""
+    num, den = scheme.num, scheme.den
+
+    def counts(rows):
+        rows = sorted(rows, key=lambda r: (r[1], len(r[3])))
+        n, side, copies = (np.array(x, dtype=np.int64) for x in ([len(r[3]) for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+        ends = np.cumsum(n)
+        flat, ids = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+        out, split = np.zeros(len(rows), np.int64), int(np.searchsorted(side, 2))
+        mark = np.zeros(len(flat), np.int8)
+        for i in range(len(rows) - 1 if split == len(rows) else split):
+            first = i + 1 if side[i] == 0 else split            # the other side; sizes rise within a side
+            lo = first + int(np.searchsorted(n[first:] * den, num * n[i]))
+            hi = first + int(np.searchsorted(n[first:] * num, den * n[i], side="right"))
+            if lo >= hi:
+                continue
+            mine, at = ids[ends[i] - n[i]:ends[i]], ends[lo] - n[lo]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[ids[at:ends[hi - 1]]], ends[lo:hi] - n[lo:hi] - at, dtype=np.int64)
+            mark[mine] = 0
+            hit = np.flatnonzero(den * common >= num * (n[i] + n[lo:hi] - common)) + lo
+            out[i] += copies[hit].sum()
+            out[hit] += copies[i]
+        at = np.flatnonzero(out)
+        return pa.RecordBatch.from_arrays([pa.array([rows[j][0] for j in at], pa.int64()), pa.array(out[at], pa.int64())], ["node", "links"])
+
+    def run(batches):
+        block, rows = None, []
+        for b in batches:
+            for at, (root, t1, t2, node, side, copies) in enumerate(zip(*(b.column(c).to_pylist() for c in ("root", "t1", "t2", "node", "side", "copies")), strict=True)):
+                if (root, t1, t2) != block:
+                    if len(rows) > 1:
+                        yield counts(rows)
+                    block, rows = (root, t1, t2), []
+                rows.append((node, side, copies, b.column("shingles")[at].values.to_numpy().view(np.uint64)))
+        if len(rows) > 1:
+            yield counts(rows)
+    return run
+
+
 def _filter_exact(scheme: Scheme):
     def run(batches):
         for b in batches:
@@ -293,8 +339,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, prof: DataFrame, k: int, scheme: Scheme, name: str) -> DataFrame | None:
-    """The pairs (a, b) whose sets, intersected as sorted arrays, reach the threshold; None without pairs."""
+def _verified(pairs: DataFrame, texts: DataFrame, prof: DataFrame, k: int, scheme: Scheme, name: str, kept: list[DataFrame]) -> DataFrame | None:
+    """The pairs (a, b) whose sets, intersected as sorted arrays, reach the threshold; None without pairs.
+
+    Their sets (node, shingles) are added to ``kept``."""
     pairs = staged(pairs, f"{name}-candidates")
     if name == "rest" and pairs.isEmpty():
         return None
@@ -303,6 +351,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, prof: DataFrame, k: int, schem
     reps = prof.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(nodes, "node", "left_semi")
     full = texts.join(reps.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text")
     sets = staged(full.mapInArrow(_sets(k), "node long, shingles array<long>").join(nodes, "node", "left_semi"), f"{name}-sets")
+    kept.append(sets)
     sets = sets.dropDuplicates(["node"])
     both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y"))
@@ -314,7 +363,14 @@ def similarity_links(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, i
     """(profiles: doc_id, n, node; links: a, b between nodes that connect all similar sets; node, root).
 
     The links are verified ones and as many as connect every component: a
-    pair that others already connect may be missing."""
+    pair that others already connect may be missing (``link_counts`` counts
+    those as well)."""
+    return _similarity(docs, k, num, den, id_col, text_col)[:3]
+
+
+def _similarity(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """The same, and the tables of sets (node, shingles) that hold all linked nodes."""
+    kept: list[DataFrame] = []
     scheme, texts = Scheme(num, den), _texts(docs, id_col, text_col)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("n", "long").add("node", "long")
     sig = staged(texts.mapInArrow(_signatures(k, scheme), schema.add("bits", "binary").add("keys", T.ArrayType(T.LongType()))), "signatures")
@@ -330,23 +386,38 @@ def similarity_links(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, i
     star = (star.join(bits.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits")), "b")
             .join(bits.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits")), "a")
             .select("a", "an", "abits", "b", "bn", "bbits").mapInArrow(_filter_bits(scheme), PAIRS))
-    links = _verified(star, texts, prof, k, scheme, "star")
+    links = _verified(star, texts, prof, k, scheme, "star", kept)
 
     # tiles with members in several components: the members against each other
     comp, found = staged(components(links), "star-components"), [links]
     for forest in [True] * ROUNDS + [False]:
-        more = _verified(_across(tiles, comp, bits, scheme, forest), texts, prof, k, scheme, "rest")
+        more = _verified(_across(tiles, comp, bits, scheme, forest), texts, prof, k, scheme, "rest", kept)
         if more is None:
             break
         if more.isEmpty():
             if forest:                          # some candidates are left, and which of them link is not known yet
-                more = _verified(_across(tiles, comp, bits, scheme, False), texts, prof, k, scheme, "rest")
+                more = _verified(_across(tiles, comp, bits, scheme, False), texts, prof, k, scheme, "rest", kept)
                 found.append(more)
                 comp = _merged(comp, more)
             break
         found.append(more)
         comp = _merged(comp, more)
-    return prof, reduce(DataFrame.unionByName, found), comp
+    return prof, reduce(DataFrame.unionByName, found), comp, kept
+
+
+def link_counts(prof: DataFrame, comp: DataFrame, kept: list[DataFrame], num: int, den: int) -> DataFrame:
+    """``node, links``: documents of other sets that each set links with, all pairs counted; sets without any are left out."""
+    nodes = prof.where("n > 0 and doc_id is not null").groupBy("node").agg(F.first("n").alias("n"), F.countDistinct("doc_id").alias("copies"))
+    members = staged(comp.join(nodes, "node").select("node", "root", "n", "copies"), "members")
+    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = (members.join(blocks, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("root", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "node", "copies",
+                     F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side")))
+    sets = reduce(DataFrame.unionByName, kept).join(comp.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return (dealt.join(sets, "node").select("root", "t1", "t2", "node", "side", "copies", "shingles")
+            .repartition("root", "t1", "t2").sortWithinPartitions("root", "t1", "t2")
+            .mapInArrow(_count_links(Scheme(num, den)), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")))
 
 
 def _across(tiles: DataFrame, comp: DataFrame, bits: DataFrame, scheme: Scheme, forest: bool) -> DataFrame:
@@ -392,7 +463,27 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
       (component_id null);
     * an empty table gives an empty result; other columns are ignored.
     """
-    prof, _, rooted = similarity_links(docs, k, num, den, id_col, text_col)
+    prof, _, comp, _ = _similarity(docs, k, num, den, id_col, text_col)
+    return _classes(prof, comp).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_join(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``jaccard_components`` with the number of links: doc_id, n_shingles, component_id, n_links, n_equal.
+
+    ``n_links`` counts the documents whose set is another one and links with
+    the row's, every pair for itself; ``n_equal`` the other documents with an
+    equal set. Both are 0 without shingles or without doc_id. A document that
+    comes with several texts counts once for each different set."""
+    prof, _, comp, kept = _similarity(docs, k, num, den, id_col, text_col)
+    links = staged(link_counts(prof, comp, kept, num, den), "link-counts")
+    copies = prof.where("n > 0 and doc_id is not null").groupBy("node").agg((F.countDistinct("doc_id") - 1).alias("equal")).where("equal > 0")
+    out = _classes(prof, comp).join(links, "node", "left").join(copies, "node", "left")
+    count = lambda c: F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.lit(0)).otherwise(F.coalesce(c, F.lit(0))).cast("long")
+    return out.select("doc_id", "n_shingles", "component_id", count("links").alias("n_links"), count("equal").alias("n_equal"))
+
+
+def _classes(prof: DataFrame, rooted: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, node of every document."""
     sets = prof.where("n > 0 and doc_id is not null")
     same_id = sets.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     if not same_id.isEmpty():                   # ids that come with several texts
@@ -404,4 +495,4 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
     out = prof.join(named, "node", "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "node")

@@ -45,7 +45,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

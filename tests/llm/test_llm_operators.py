@@ -469,3 +469,23 @@ def test_chat_keeps_quotes_that_link_to_nothing(spark):
     assert (got[1, 5].reply_to, body(1, 5), got[1, 5].text) == (None, rows[5][3], "Mine")
     assert body(2, 0) == rows[6][3] and (got[2, 1].reply_to, body(2, 1), got[2, 1].n_linked) == (0, "", 2)
     assert body(None, 0) == "> q\nz"
+
+
+def test_jaccard_join_counts_every_link(spark, odd, monkeypatch):
+    base, r = long_text(9, 300).split(), np.random.default_rng(6)
+    rows = [(i, " ".join(base[:at] + [f"w{i}"] + base[at + 1:])) for i, at in enumerate(r.integers(0, 300, 40).tolist())]      # all alike, all different
+    rows += [(100 + i, rows[3][1].upper()) for i in range(3)] + [(200 + i, " ".join(base[:300 - 9 * i])) for i in range(8)]     # copies; a chain
+    rows += [(300, "one two three four"), (301, None), (302, "one two three four five six")]
+    shingles = {i: {tuple(w[j:j + 3]) for j in range(len(w) - 2)} for i, t in rows for w in [(t or "").lower().split()]}
+    alike = lambda a, b: bool(a) and bool(b) and 10 * len(a & b) >= 9 * len(a | b)
+    want = {i: (sum(a != b and alike(a, b) for b in shingles.values()), sum(a == b for j, b in shingles.items() if a and j != i)) for i, a in shingles.items()}
+    assert want[0][0] >= 42 and want[100][1] == 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shingles_a_block in (1 << 20, 1_000):   # one block; many pairs of blocks
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles_a_block)
+        got = jaccard.jaccard_join(df).collect()
+        assert {x.doc_id: (x.n_links, x.n_equal) for x in got} == want and len(got) == len(rows)
+    got = by_id(jaccard.jaccard_join(odd))
+    assert (got[1][0].n_links, got[1][0].n_equal, got[3][0].n_links, got[3][0].n_equal) == (1, 1, 2, 0)
+    assert [(x.n_links, x.n_equal) for x in got[None] + got[4]] == [(0, 0)] * 3 and len(got[7]) == 2
+    assert jaccard.jaccard_join(odd.where("doc_id < 0")).count() == 0
