@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skylane.llm import chat, decontam, exact_dedup, html_extract, jaccard, langid, license_scan, packing, pii, token_cache
+from skylane.llm import chat, decontam, exact_dedup, hard_negatives, html_extract, jaccard, langid, lexical, license_scan, packing, pii, quality, token_cache
 from skylane.llm.common import new_folder, table
 
 
@@ -56,7 +57,21 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", hard_negatives.shifted_labels())
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_token_counts, op4_pii, op5_license_scan, op6_language_id,
-                            op7_html_text, op8_jaccard_join, op9_chat_format, op10_pack)}
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+                            op7_html_text, op8_jaccard_join, op9_chat_format, op10_pack, op11_hard_negatives, op12_quality_rank,
+                            op13_lexical_search)}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op13_lexical_search": lexical.ORACLE_SQL}
