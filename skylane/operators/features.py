@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..session import materialize
-from .prefix import MAX_BROADCAST_ROWS, approx_quantile_table, exact_quantiles, prefix_sums, quantile_table, value_counts
+from .prefix import MAX_BROADCAST_ROWS, approx_quantile_table, exact_quantiles, quantile_table
+from .select import quantiles, rank_thresholds
 
 # --- fixed values: the three feature sets of the predictive analyses ---
 DELAY_FEATURES = ["MONTH", "AIRLINE", "ORIGIN", "DEST", "DEP_HH", "DISTANCE", "CRS_DEP_HH"]
@@ -246,27 +247,21 @@ def stratified_split(df: DataFrame, label: str, p: float = 0.8, key: str = "ROW_
     ``ceil(p * n)`` smallest keys go to train (rows with equal keys stay
     together, so the count can exceed it by ties).
 
-    Strata are the label values; a numeric target is cut into
-    ``numeric_groups`` quantile groups first. The per-stratum key threshold
-    comes from the distributed prefix sums (no per-stratum sort in one
-    task); the thresholds (one per stratum) are broadcast up to
-    ``MAX_BROADCAST_ROWS`` strata and joined beyond. Rows without a label go
-    to the test side.
+    Strata are the label values; a numeric target is cut at its exact
+    quantiles into ``numeric_groups`` groups first. The key threshold of each
+    stratum is found by counting (:func:`.select.rank_thresholds`): no row
+    per key, no sort of a stratum; the thresholds (one per stratum) are
+    broadcast up to ``MAX_BROADCAST_ROWS`` strata and joined beyond. Rows
+    without a label go to the test side.
     """
     s = F.col(label)
     if numeric_groups:
-        qs = [i / numeric_groups for i in range(1, numeric_groups)]
-        cuts = df.agg(F.percentile_approx(label, qs, 10_000)).first()[0]
-        s = sum((F.col(label) > F.lit(float(x))).cast("int") for x in cuts)
-    d = df.withColumn("_stratum", s.cast("string"))
-    vc = value_counts(d.withColumn("_w", F.lit(1)), key, ["_w"], by=["_stratum"])
-    ps = prefix_sums(vc, key, ["_w"], by=["_stratum"], counted=True)
-    need = F.ceil(F.col("_w_total") * F.lit(float(p)))
-    # the key at which the running count first reaches ceil(p * n): one row per stratum
-    thr = materialize(ps.filter((F.col("_w_below") < need) & (F.col("_w_below") + F.col("_w") >= need))
-                      .select("_stratum", F.col(key).alias("_thr")))
+        cuts = quantiles(df, [label], [i / numeric_groups for i in range(1, numeric_groups)])[label]
+        s = sum((F.col(label) > F.lit(x)).cast("int") for x in cuts)
+    d = df.withColumn("_stratum", F.when(F.col(label).isNotNull(), s.cast("string")))
+    known = d.filter(F.col("_stratum").isNotNull())
+    thr = materialize(rank_thresholds(known, key, ["_stratum"], lambda n: F.ceil(n * F.lit(float(p)))).select("_stratum", "_thr"))
     strata = thr.count()
-    vc.unpersist()
     j = d.join(F.broadcast(thr) if strata <= MAX_BROADCAST_ROWS else thr, "_stratum", "left")
     inside = F.coalesce(F.col(key) <= F.col("_thr"), F.lit(False))
     return j.filter(inside).drop("_stratum", "_thr"), j.filter(~inside).drop("_stratum", "_thr")

@@ -1,22 +1,15 @@
 """Ordered prefix sums without a single-partition window.
 
-``Window.orderBy(x)`` with no partition moves every row to one task. Rank
-statistics (exact quantiles, ROC/PR curves, exact stratified splits) need
-"how much weight lies below this key", so they are built here in three
-distributed steps:
+``Window.orderBy(x)`` with no partition moves every row to one task. Running
+sums (ROC/PR curves, row numbers) are a parallel scan here:
 
 1. aggregate to one row per distinct (group, key) (partial aggregation, so
    a key holding a third of all rows is one row with a big weight);
-2. cut the distinct keys into ``buckets`` ranges at approximate quantiles
-   (bounded sketch per group) and sum the weight of each bucket (a tiny
-   table: groups x buckets);
-3. a running sum inside each bucket (window partitioned by group and
-   bucket: about N_distinct / buckets rows per task) plus the bucket's
-   offset from step 2 (groups x buckets rows at most: broadcast while that
-   is within ``MAX_BROADCAST_ROWS``, joined by key beyond it).
-
-The result is exact: quantile bounds only decide where buckets split, and
-any split gives the same sums.
+2. deal these rows out by ranges of (group, key), each range to a partition
+   of about ``RANGE_ROWS`` rows, and sum the weights of each range;
+3. a running sum inside each range, plus the sum of the group's ranges
+   before it (groups + ranges rows at most: broadcast while that is within
+   ``MAX_BROADCAST_ROWS``, joined by key beyond it).
 """
 
 from __future__ import annotations
@@ -30,10 +23,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-MAX_BROADCAST_ROWS = 1_000_000  # statistics of more groups x buckets are joined by key
-TARGET_ROWS_PER_BUCKET = 2_000_000
-# distinct values one task may hold for an exact percentile (value counts)
-IN_TASK_DISTINCT = 1_000_000
+MAX_BROADCAST_ROWS = 1_000_000  # larger statistics are joined by key
+RANGE_ROWS = 1_000_000          # distinct keys of a range
 
 
 def value_counts(df: DataFrame, key: str, weights: list[str], by: list[str] | None = None) -> DataFrame:
@@ -56,41 +47,30 @@ def join_stats(df: DataFrame, stats: DataFrame, on: list[str], rows: int) -> Dat
 
 
 def prefix_sums(df: DataFrame, key: str, weights: list[str], by: list[str] | None = None,
-                buckets: int | None = None, counted: bool = False) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """One row per distinct (``by``..., ``key``) with, for each weight ``w``:
     ``w`` (sum at this key), ``w_below`` (sum over smaller keys of the
-    group) and ``w_total`` (group total). NULL keys are dropped.
-    ``counted=True`` means ``df`` already is :func:`value_counts` output."""
+    group) and ``w_total`` (group total). NULL keys are dropped."""
     by = list(by or [])
-    d = df if counted else value_counts(df, key, weights, by)
-    gcols = by if by else ["_g"]
-    if not by:
-        d = d.withColumn("_g", F.lit(0))
-    ngroups = d.select(*gcols).distinct().count() if by else 1
-    if buckets is None:
-        buckets = max(16, math.ceil(d.count() / TARGET_ROWS_PER_BUCKET))
-    qs = [i / buckets for i in range(1, buckets)] or [0.5]
-    acc = max(10_000, 20 * buckets)
-    bucket = F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
-    if by:
-        bounds = d.groupBy(*by).agg(F.percentile_approx(key, qs, acc).alias("_bounds"))
-        # one row per group, with buckets - 1 bounds each
-        x = join_stats(d, bounds, by, ngroups * buckets).withColumn("_b", bucket).drop("_bounds")
-    else:
-        # one group: its (buckets - 1) bounds are a literal array in the plan
-        b = d.agg(F.percentile_approx(key, qs, acc)).first()[0] or []
-        x = (d.withColumn("_bounds", F.array(*[F.lit(v) for v in b]).cast(f"array<{d.schema[key].dataType.simpleString()}>"))
-             .withColumn("_b", bucket).drop("_bounds"))
-    tot = x.groupBy(*gcols, "_b").agg(*[F.sum(w).alias(f"_bt_{w}") for w in weights])
-    before = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*gcols)
-    off = tot.select(*gcols, "_b",
-                     *[F.coalesce(F.sum(f"_bt_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weights],
-                     *[F.sum(f"_bt_{w}").over(whole).alias(f"{w}_total") for w in weights])
-    inner = Window.partitionBy(*gcols, "_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.select(*gcols, key, "_b", *weights,
+    d = value_counts(df, key, weights, by)
+    ranges = buckets or max(1, math.ceil(d.count() / RANGE_ROWS))
+    order = [*by, key]
+    # written down once: the ranges rest on a sample, a second evaluation may cut them elsewhere
+    x = d.withColumn("_r", F.lit(0)) if ranges == 1 else materialize(
+        d.repartitionByRange(ranges, *order).withColumn("_r", F.spark_partition_id()))
+    groups = [*by, "_g"]
+    x = x.withColumn("_g", F.lit(0))
+    sums = x.groupBy(*groups, "_r").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+    before = Window.partitionBy(*groups).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
+    offsets = sums.select(*groups, "_r",
+                          *[F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weights],
+                          *[F.sum(f"_s_{w}").over(whole).alias(f"{w}_total") for w in weights])
+    inner = Window.partitionBy(*groups, "_r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.select(*groups, key, "_r", *weights,
                  *[F.coalesce(F.sum(w).over(inner), F.lit(0)).alias(f"_in_{w}") for w in weights])
-    out = join_stats(x, off, [*gcols, "_b"], ngroups * buckets)
+    n = ranges + (d.select(*by).distinct().count() if by else 1)
+    out = join_stats(x, offsets, [*groups, "_r"], n)
     cols = [*by, key, *weights,
             *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"{w}_below") for w in weights],
             *[F.col(f"{w}_total") for w in weights]]
@@ -106,52 +86,15 @@ def approx_quantile_table(df: DataFrame, columns: list[str], q: float = 0.5,
 
 
 def quantile_table(df: DataFrame, columns: list[str], q: float = 0.5) -> DataFrame:
-    """(feature, value): exact ``q``-quantile of each numeric column, NULLs
-    ignored, linear interpolation between the two neighbouring order
+    """(feature, value): exact ``q``-quantile of each numeric column, NULLs and
+    NaN ignored, linear interpolation between the two neighbouring order
     statistics (the median of an even count is the mean of the middle two).
-
-    The columns are stacked as (column, value) and counted per distinct
-    value in ONE pass over ``df`` (partial aggregation; the counts are
-    materialised). If every column has at most ``IN_TASK_DISTINCT``
-    distinct values, Spark's exact ``percentile`` with the counts as
-    frequencies finishes the job (one task per column holds only its
-    distinct values). Otherwise the bucketed prefix sums locate the two
-    order statistics without any task holding a whole column.
-    """
-    return _quantiles(df, columns, q)[1]
-
-
-def _quantiles(df: DataFrame, columns: list[str], q: float) -> tuple[DataFrame, DataFrame]:
-    stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in columns])))
-    vc = value_counts(stacked.withColumn("_w", F.lit(1)), "_v", ["_w"], by=["_name"])
-    widest = vc.groupBy("_name").count().agg(F.max("count")).first()[0] or 0
-    if widest <= IN_TASK_DISTINCT:
-        return vc, vc.groupBy("_name").agg(F.percentile("_v", float(q), F.col("_w")).alias("value")) \
-            .select(F.col("_name").alias("feature"), "value")
-    ps = prefix_sums(vc, "_v", ["_w"], by=["_name"], counted=True)
-    pos = (F.col("_w_total") - 1) * F.lit(float(q))
-    lo, hi = F.floor(pos), F.ceil(pos)
-
-    def holds(r):
-        return (F.col("_w_below") <= r) & (r < F.col("_w_below") + F.col("_w"))
-    picked = ps.filter(holds(lo) | holds(hi)).groupBy("_name").agg(
-        F.max(F.when(holds(lo), F.col("_v"))).alias("_lo_v"),
-        F.max(F.when(holds(hi), F.col("_v"))).alias("_hi_v"),
-        F.first(pos).alias("_pos"))
-    p = F.col("_pos")
-    frac_lo, frac_hi = F.ceil(p) - p, p - F.floor(p)
-    value = F.when(F.floor(p) == F.ceil(p), F.col("_lo_v")).otherwise(
-        frac_lo * F.col("_lo_v") + frac_hi * F.col("_hi_v"))
-    return vc, picked.select(F.col("_name").alias("feature"), value.alias("value"))
+    A column without values has no row. By radix selection (:mod:`.select`)."""
+    found = [(c, v) for c, v in exact_quantiles(df, columns, q).items() if v is not None]
+    return df.sparkSession.createDataFrame(found, "feature string, value double")
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5) -> dict[str, float | None]:
-    """:func:`quantile_table` collected as {column: value} (one small row per
-    column; a column with no value maps to None)."""
-    out: dict[str, float | None] = {c: None for c in columns}
-    if columns:
-        vc, table = _quantiles(df, columns, q)
-        out.update({r["feature"]: r["value"] for r in table.collect()})
-        vc.unpersist()
-    return out
+    """:func:`quantile_table` as {column: value} (a column with no value maps to None)."""
+    from .select import quantiles
+    return {c: v[0] for c, v in quantiles(df, columns, [float(q)]).items()}

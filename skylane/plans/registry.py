@@ -347,6 +347,7 @@ for _name in sqlapi.SQL:
 
 # ------------------------------------------------------ feature preparation
 from ..operators import evaluate, features  # noqa: E402
+from ..operators.select import quantiles, sample_rows  # noqa: E402
 
 _HASH_SQL = ("CAST(CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(FL_DATE AS VARCHAR), ''), "
              "coalesce(AIRLINE, ''), coalesce(CAST(FL_NUMBER AS VARCHAR), ''), coalesce(ORIGIN, ''), "
@@ -430,6 +431,24 @@ def fp_split_stratified(fl: DataFrame) -> DataFrame:
                          .select(F.lit("test").alias("side"), "IS_DELAYED", "n")))
 
 
+@register("fp_split_quartile", f"""{FLIGHTS_WITH}
+, a AS (SELECT {_HASH_SQL} AS ROW_KEY, ARR_DELAY FROM flights WHERE ARR_DELAY IS NOT NULL AND NOT isnan(ARR_DELAY) AND NOT isinf(ARR_DELAY))
+, q AS (SELECT quantile_cont(ARR_DELAY, 0.25) AS q1, quantile_cont(ARR_DELAY, 0.5) AS q2, quantile_cont(ARR_DELAY, 0.75) AS q3 FROM a)
+, s AS (SELECT ROW_KEY, CAST(ARR_DELAY > q1 AS INTEGER) + CAST(ARR_DELAY > q2 AS INTEGER) + CAST(ARR_DELAY > q3 AS INTEGER) AS quartile FROM a, q)
+, c AS (SELECT *, count(*) OVER (PARTITION BY quartile ORDER BY ROW_KEY RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+               count(*) OVER (PARTITION BY quartile) AS tot FROM s)
+, t AS (SELECT quartile, min(ROW_KEY) AS thr FROM c WHERE cum >= ceil(tot * 0.8) GROUP BY quartile)
+SELECT CASE WHEN s.ROW_KEY <= t.thr THEN 'train' ELSE 'test' END AS side, s.quartile, count(*) AS n
+FROM s JOIN t ON s.quartile = t.quartile GROUP BY 1, 2""")
+def fp_split_quartile(fl: DataFrame) -> DataFrame:
+    rows = features.arrival_features(fl)
+    cuts = quantiles(rows, ["ARR_DELAY"], [0.25, 0.5, 0.75])["ARR_DELAY"]
+    train, test = features.stratified_split(rows, "ARR_DELAY", 0.8, numeric_groups=4)
+    quartile = sum((F.col("ARR_DELAY") > F.lit(x)).cast("int") for x in cuts)
+    both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return both.groupBy("side", quartile.alias("quartile")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ------------------------------------------------ evaluation (fixed score)
 def _scored(fl: DataFrame) -> DataFrame:
     """A model-independent score: label = departure delayed (> 15 min),
@@ -729,6 +748,15 @@ def src_sample_10pct(fl: DataFrame) -> DataFrame:
     return hash_sample(fl, 0.1, features.FLIGHT_KEY)
 
 
+SAMPLE_N = 5_000        # fixed value: rows of the sample of a given size
+
+
+@register("src_sample_n", f"""{FLIGHTS_WITH}
+SELECT * FROM flights ORDER BY {_HASH_SQL}, {', '.join(f'{c} NULLS FIRST' for c in features.FLIGHT_KEY)} LIMIT {SAMPLE_N}""")
+def src_sample_n(fl: DataFrame) -> DataFrame:
+    return sample_rows(fl, SAMPLE_N, features.FLIGHT_KEY)
+
+
 @register("q_overview_report", f"""{ORACLE['q_overview'].rsplit('SELECT', 1)[0]}
 , o AS (SELECT{ORACLE['q_overview'].rsplit('SELECT', 1)[1]})
 SELECT *, {', '.join(f"format('{{:,}}', {c}) AS {c}_text" for c in _OVERVIEW_COLS)} FROM o""")

@@ -14,13 +14,12 @@ def test_median_even_count(spark):
     assert features.medians(df, ["x"]) == {"x": 2.5}
 
 
-def test_median_prefix_path_matches_numpy(spark, monkeypatch):
+def test_median_matches_numpy(spark):
     import numpy as np
     rnd = random.Random(3)
     vals = [float(rnd.randint(0, 500)) for _ in range(3001)] + [None] * 5
     other = [float(rnd.random()) for _ in range(3006)]
     df = spark.createDataFrame(list(zip(vals, other)), "a double, b double")
-    monkeypatch.setattr(prefix, "IN_TASK_DISTINCT", 0)          # force the bucketed path
     got = features.medians(df, ["a", "b"])
     assert got["a"] == pytest.approx(float(np.median([v for v in vals if v is not None])))
     assert got["b"] == pytest.approx(float(np.median(other)))
