@@ -135,7 +135,7 @@ def metrics_report(scored: DataFrame, model_name: str, label: str = "label", sco
     if pred is not None:
         d = d.select(F.col(label).alias("label"), F.col(score).alias("score"), F.col(pred).alias("pred"))
         st = score_table(d)
-        one = _one_row(roc_auc(st), pr_auc(st), class_metrics(d))
+        one = side_by_side(roc_auc(st), pr_auc(st), class_metrics(d))
         return one.select(F.lit(model_name).alias("model_name"), "*")
     st = score_table(d.select(F.col(label).alias("label"), F.col(score).alias("score")))
     a = _at_or_above(st)
@@ -154,7 +154,7 @@ def metrics_report(scored: DataFrame, model_name: str, label: str = "label", sco
                       F.try_divide(F.lit(2.0) * prec * rec, prec + rec).alias("F1_score"))
 
 
-def _one_row(*frames: DataFrame) -> DataFrame:
+def side_by_side(*frames: DataFrame) -> DataFrame:
     """Side-by-side combination of one-row frames without a join: stack
     them (missing columns NULL) and keep each column's one value."""
     out = frames[0]

@@ -187,15 +187,12 @@ def lump_rare(df: DataFrame, cols: list[str], prop: float = 0.01, other: str = O
 
 
 # ----------------------------------------------------------------- one-hot
-def level_order(df: DataFrame, c: str, other: str = OTHER, max_levels: int = 2000) -> list[str]:
+def level_order(df: DataFrame, c: str, other: str = OTHER) -> list[str]:
     """Level order of a column: natural order of the values (numbers
-    numerically), with ``other`` last."""
-    vals = [r[0] for r in df.select(c).distinct().filter(F.col(c).isNotNull())
-            .limit(max_levels + 1).collect()]
-    if len(vals) > max_levels:
-        raise ValueError(f"{c} has more than {max_levels} levels; use sparse_one_hot")
-
-    return _ordered([str(v) for v in vals], other)
+    numerically), with ``other`` last. One name per level reaches the driver,
+    as many as the plan of :func:`one_hot` has columns; for columns with many
+    levels see :mod:`.design`."""
+    return _ordered([str(r[0]) for r in df.select(c).distinct().filter(F.col(c).isNotNull()).collect()], other)
 
 
 def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True, drop_source: bool = True,
@@ -327,14 +324,6 @@ def prepare_arrival(fl: DataFrame) -> DataFrame:
                    drop_null=ARRIVAL_ONEHOT).na.drop("any")
 
 
-def arrival_rows(fl: DataFrame) -> DataFrame:
-    """The arrival-delay rows before encoding: medians filled in, rows with
-    any NULL dropped; ORIGIN and DEST still as text. Split this narrow table,
-    then encode the parts with one :func:`sparse_encoder`."""
-    d = materialize(arrival_features(fl))       # the only pass over the source tables
-    return impute_median(d, ARRIVAL_IMPUTE).na.drop("any")
-
-
 def sparse_encoder(df: DataFrame, numeric: list[str], categorical: list[str], output: str = "features"):
     """(fitted pipeline, feature names): numbers and 0/1 slots of every level
     of ``categorical`` in one sparse vector, without the alphabetically first

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from ..sources.schema import CLASS_THRESHOLD
 from . import evaluate, features
+from .design import Design
 
 
 def _checkpointing(spark) -> bool:
@@ -73,7 +74,7 @@ class Fitted:
         a regression model) to a table holding the model's feature columns
         (other columns pass through)."""
         from pyspark.ml.feature import VectorAssembler
-        if "features" in design.columns:        # already one vector, see features.sparse_encoder
+        if "features" in design.columns:        # already one vector, see .design
             out = self.model.transform(design)
         else:
             va = VectorAssembler(inputCols=self.feature_names, outputCol="_features", handleInvalid="error")
@@ -82,16 +83,15 @@ class Fitted:
         return out.select(*design.columns, s.alias("score"))
 
 
-def fit(design: DataFrame, label: str, kind: str, task: str = "classification", seed: int = 42,
-        names: list[str] | None = None) -> Fitted:
-    """Fit on a design table: numeric columns + label + ROW_KEY, or with
-    ``names`` one ``features`` vector of slots so named + label."""
+def fit(design: DataFrame | Design, label: str, kind: str, task: str = "classification", seed: int = 42) -> Fitted:
+    """Fit on a :class:`.design.Design`, or on a dense design table: numeric
+    columns + label + ROW_KEY."""
     from pyspark import StorageLevel
-    _checkpointing(design.sparkSession)
-    if names is None:
-        v, names = features.assemble(design, label)
+    if isinstance(design, Design):
+        v, names = design.rows.withColumn(label, F.col(label).cast("double")), design.names
     else:
-        v = design.withColumn(label, F.col(label).cast("double"))
+        v, names = features.assemble(design, label)
+    _checkpointing(v.sparkSession)
     v = v.select("features", label).persist(StorageLevel.MEMORY_AND_DISK)   # read once per iteration
     try:
         est = classifier(kind, label, seed) if task == "classification" else regressor(kind, label, seed)
@@ -101,33 +101,61 @@ def fit(design: DataFrame, label: str, kind: str, task: str = "classification",
     return Fitted(model, names, label, kind)
 
 
-def train_test(design: DataFrame, p: float = 0.8, stratify: str | None = None,
-               numeric_groups: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Hash split on ROW_KEY; with ``stratify`` the exact per-stratum split
-    (a numeric target cut into ``numeric_groups`` quantile groups)."""
-    if stratify is None:
-        return features.split(design, p)
-    return features.stratified_split(design, stratify, p, numeric_groups=numeric_groups)
+def train_test(design: DataFrame | Design, p: float = 0.8):
+    """Hash split on ROW_KEY."""
+    return design.split(p) if isinstance(design, Design) else features.split(design, p)
 
 
-def classification_report(design: DataFrame, label: str, kind: str, model_name: str,
-                          threshold: float = CLASS_THRESHOLD, p: float = 0.8) -> DataFrame:
-    """Split, fit on train, score test, one-row metrics (EV-9 layout)."""
+def _rows(part: DataFrame | Design) -> DataFrame:
+    return part.rows if isinstance(part, Design) else part
+
+
+def fit_and_score(design: DataFrame | Design, label: str, kind: str, p: float = 0.8, seed: int = 42) -> DataFrame:
+    """(label, score) of the test side by a classifier fitted on the train side."""
     train, test = train_test(design, p)
-    m = fit(train, label, kind)
-    scored = m.score(test)
-    return evaluate.metrics_report(scored, model_name, label=label, score="score", threshold=threshold)
+    return fit(train, label, kind, seed=seed).score(_rows(test)).select(F.col(label).alias("label"), "score")
 
 
-def regression_report(design: DataFrame, label: str, kind: str, model_name: str, p: float = 0.8,
-                      quartile_strata: bool = False) -> DataFrame:
-    """Split, fit, score, report MAE / RMSE / R². ``quartile_strata=True``
-    splits exactly within the target's quartiles (as the analysis'
-    partitioning does for a numeric target); the default is the hash
-    split."""
-    train, test = train_test(design, p, stratify=label if quartile_strata else None,
-                             numeric_groups=4 if quartile_strata else None)
-    return _regression_row(fit(train, label, kind, task="regression"), test, model_name)
+def classification_report(design: DataFrame | Design, label: str, kind: str, model_name: str,
+                          threshold: float = CLASS_THRESHOLD, p: float = 0.8) -> DataFrame:
+    """Split, fit on train, score test, one-row metrics (EV-9 layout)."""
+    return evaluate.metrics_report(fit_and_score(design, label, kind, p), model_name, threshold=threshold)
+
+
+def classification_tables(design: DataFrame | Design, label: str, kind: str, threshold: float = CLASS_THRESHOLD,
+                          p: float = 0.8) -> DataFrame:
+    """The three tables behind the plots of a classifier, stacked: (part, x, y, n).
+
+    ``confusion``: x predicted, y actual, n rows; ``roc``: x false, y true
+    positive rate; ``pr``: x recall, y precision, n NULL. One training, one
+    scoring; the curves come from one table of distinct scores."""
+    scored = evaluate.valid(fit_and_score(design, label, kind, p))
+    st = evaluate.score_table(scored)
+    cells = evaluate.confusion(evaluate.predict_class(scored, threshold=threshold)).select(
+        F.lit("confusion").alias("part"), F.col("Predicted").cast("double").alias("x"), F.col("Actual").cast("double").alias("y"), F.col("Freq").cast("long").alias("n"))
+    none = F.lit(None).cast("long").alias("n")
+    roc = evaluate.roc_curve(st).select(F.lit("roc").alias("part"), F.col("fpr").alias("x"), F.col("tpr").alias("y"), none)
+    pr = evaluate.pr_curve(st).select(F.lit("pr").alias("part"), F.col("recall").alias("x"), F.col("precision").alias("y"), none)
+    return cells.unionByName(roc).unionByName(pr)
+
+
+def classification_facts(design: DataFrame | Design, label: str, kind: str, model_name: str, threshold: float = CLASS_THRESHOLD,
+                         p: float = 0.8) -> DataFrame:
+    """What must hold of any classifier's test side: rows, positives, scores
+    outside 0..1, and rows the confusion counts add up to."""
+    scored = fit_and_score(design, label, kind, p)
+    y, s = F.col("label"), F.col("score")
+    facts = scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(y == 1).alias("n_positive"),
+                       F.count_if(s.isNull() | F.isnan(s) | (s < 0) | (s > 1)).alias("n_outside"))
+    cells = evaluate.confusion(evaluate.predict_class(evaluate.valid(scored), threshold=threshold)).agg(F.sum("Freq").cast("long").alias("confusion_total"))
+    one = evaluate.side_by_side(facts, cells)
+    return one.select(F.lit(model_name).alias("model_name"), "*")
+
+
+def regression_report(design: DataFrame, label: str, kind: str, model_name: str, p: float = 0.8) -> DataFrame:
+    """Split by the hash key, fit, score, report MAE / RMSE / R²."""
+    train, test = train_test(design, p)
+    return _regression_row(fit(train, label, kind, task="regression"), _rows(test), model_name)
 
 
 def _regression_row(m: Fitted, test: DataFrame, model_name: str) -> DataFrame:
@@ -135,14 +163,7 @@ def _regression_row(m: Fitted, test: DataFrame, model_name: str) -> DataFrame:
     return r.select(F.lit(model_name).alias("model_name"), "*")
 
 
-def arrival_report(fl: DataFrame, kind: str, model_name: str, p: float = 0.8) -> DataFrame:
-    """Arrival-delay regression: the narrow rows are split within the
-    quartiles of the target, then encoded as one sparse vector (every
-    airport a slot), fitted and reported."""
-    label = "ARR_DELAY"
-    rows = features.arrival_rows(fl)
-    train, test = train_test(rows, p, stratify=label, numeric_groups=4)
-    numeric = [c for c in features.ARRIVAL_FEATURES if c not in features.ARRIVAL_ONEHOT]
-    encoder, names = features.sparse_encoder(rows, numeric, features.ARRIVAL_ONEHOT)
-    train, test = (encoder.transform(d).select("ROW_KEY", label, "features") for d in (train, test))
-    return _regression_row(fit(train, label, kind, task="regression", names=names), test, model_name)
+def arrival_report(design: Design, kind: str, model_name: str, p: float = 0.8) -> DataFrame:
+    """Arrival-delay regression, split within the quartiles of the target, fitted and reported."""
+    train, test = design.split(p, strata_groups=4)
+    return _regression_row(fit(train, design.label, kind, task="regression"), test.rows, model_name)

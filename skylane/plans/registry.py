@@ -346,7 +346,7 @@ for _name in sqlapi.SQL:
 
 
 # ------------------------------------------------------ feature preparation
-from ..operators import evaluate, features  # noqa: E402
+from ..operators import design, evaluate, features  # noqa: E402
 from ..operators.select import quantiles, sample_rows  # noqa: E402
 
 _HASH_SQL = ("CAST(CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(FL_DATE AS VARCHAR), ''), "
@@ -403,11 +403,32 @@ def fp_lump(fl: DataFrame) -> DataFrame:
 , b AS (SELECT feature, coalesce(min(lumped) FILTER (WHERE lumped <> 'Other'), 'Other') AS base FROM m GROUP BY feature)
 SELECT m.feature || '_' || m.lumped AS dummy, m.ones FROM m JOIN b ON m.feature = b.feature WHERE m.lumped <> b.base""")
 def fp_onehot(fl: DataFrame) -> DataFrame:
-    d = features.prepare_delay(fl)
-    dummies = [c for c in d.columns if c.split("_")[0] in ("AIRLINE", "ORIGIN", "DEST") and c not in
-               features.DELAY_FEATURES]
-    wide = d.agg(*[F.sum(c).alias(c) for c in dummies])
-    return wide.unpivot([], dummies, "dummy", "ones")
+    rows = features.delay_features(fl)
+    d = design.level_dictionary(rows, features.DELAY_CATEGORICAL, 0.01)
+    ones = design.entries(rows, [], features.DELAY_CATEGORICAL, [], dictionary=d).groupBy("slot").agg(F.count(F.lit(1)).alias("ones"))
+    names = d.filter(F.col("slot").isNotNull()).select("slot", F.concat_ws("_", "feature", "lumped").alias("dummy")).distinct()
+    return names.join(ones, "slot").select("dummy", "ones")
+
+
+_ENTRY_NUMBERS = "\nUNION ALL\n".join(
+    f"SELECT ROW_KEY, {i} AS slot, coalesce(CAST({c} AS DOUBLE), m{i}) AS value FROM dfe, med WHERE coalesce(CAST({c} AS DOUBLE), m{i}) <> 0"
+    for i, c in enumerate(features.DELAY_NUMERIC))
+_ENTRY_LEVELS = "\nUNION ALL\n".join(
+    f"SELECT ROW_KEY, slot, 1.0::DOUBLE AS value FROM dfe JOIN slots ON slots.feature = '{c}' AND slots.level = dfe.{c}" for c in features.DELAY_CATEGORICAL)
+
+
+@register("fp_design_entries", f"""{FLIGHTS_WITH}{_LUMP}
+, med AS (SELECT {', '.join(f'CAST(median({c}) AS DOUBLE) AS m{i}' for i, c in enumerate(features.DELAY_NUMERIC))} FROM dfe)
+, lv AS (SELECT DISTINCT feature, lumped FROM lump)
+, od AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY lumped = 'Other', lumped) AS place FROM lv)
+, nb AS (SELECT feature, lumped, CAST({len(features.DELAY_NUMERIC)} - 1 + row_number() OVER (ORDER BY list_position({features.DELAY_CATEGORICAL!r}, feature), place) AS INTEGER) AS slot FROM od WHERE place > 1)
+, slots AS (SELECT lump.feature, lump.level, nb.slot FROM lump JOIN nb ON lump.feature = nb.feature AND lump.lumped = nb.lumped)
+{_ENTRY_NUMBERS}
+UNION ALL
+{_ENTRY_LEVELS}""")
+def fp_design_entries(fl: DataFrame) -> DataFrame:
+    """Every entry of the delay design that is not zero (slots: numbers, then levels by column and name)."""
+    return design.entries(features.delay_features(fl), features.DELAY_NUMERIC, features.DELAY_CATEGORICAL, ["ROW_KEY"], 0.01)
 
 
 @register("fp_split", f"""{FLIGHTS_WITH}{_DFE}
@@ -625,92 +646,130 @@ def ts_fourier(fl: DataFrame) -> DataFrame:
     return forecast.fourier_trend_forecast(forecast.monthly_mean(fl, "ARR_DELAY"))
 
 
-# ----------------------------------------------------- models (rows-only)
-from ..operators import explain, models  # noqa: E402
-
-
-def _delay_design(fl: DataFrame) -> DataFrame:
-    return features.prepare_delay(fl)
-
+# ------------------------------------------------------------------ models
+from ..operators import explain, models, trees  # noqa: E402
 
-@register("ml_delay_logistic")
-def ml_delay_logistic(fl: DataFrame) -> DataFrame:
-    return models.classification_report(_delay_design(fl), "IS_DELAYED", "logistic", "Logistic Regression")
 
+def _delay_design(fl: DataFrame) -> design.Design:
+    return design.delay_design(fl)
 
-@register("ml_delay_forest")
-def ml_delay_forest(fl: DataFrame) -> DataFrame:
-    return models.classification_report(_delay_design(fl), "IS_DELAYED", "forest", "Random Forest")
 
+_CLASSIFIERS = [("ml_delay_logistic", design.delay_design, "IS_DELAYED", "logistic", "Logistic Regression"),
+                ("ml_delay_forest", design.delay_design, "IS_DELAYED", "forest", "Random Forest"),
+                ("ml_delay_boosted", design.delay_design, "IS_DELAYED", "boosted", "Boosted Trees"),
+                ("ml_cancel_logistic", design.cancel_design, "IS_CANCELLED", "logistic", "Logistic Regression"),
+                # a regression forest on the 0/1 target, thresholded at 0.3
+                ("ml_cancel_forest", design.cancel_design, "IS_CANCELLED", "forest_regression", "Random Forest (regression)"),
+                ("ml_cancel_boosted", design.cancel_design, "IS_CANCELLED", "boosted", "Boosted Trees")]
 
-@register("ml_delay_boosted")
-def ml_delay_boosted(fl: DataFrame) -> DataFrame:
-    return models.classification_report(_delay_design(fl), "IS_DELAYED", "boosted", "Boosted Trees")
+for _name, _build, _label, _kind, _title in _CLASSIFIERS:
+    register(_name)(lambda fl, b=_build, y=_label, k=_kind, t=_title: models.classification_report(b(fl), y, k, t))
 
+# confusion counts and curves of each classifier
+for _name, _build, _label, _kind, _title in _CLASSIFIERS:
+    register(f"{_name}_tables")(lambda fl, b=_build, y=_label, k=_kind: models.classification_tables(b(fl), y, k))
 
-@register("ml_cancel_logistic")
-def ml_cancel_logistic(fl: DataFrame) -> DataFrame:
-    return models.classification_report(features.prepare_cancel(fl), "IS_CANCELLED", "logistic",
-                                        "Logistic Regression")
 
-
-@register("ml_cancel_forest")
-def ml_cancel_forest(fl: DataFrame) -> DataFrame:
-    # a regression forest on the 0/1 target, thresholded at 0.3
-    return models.classification_report(features.prepare_cancel(fl), "IS_CANCELLED", "forest_regression",
-                                        "Random Forest (regression)")
+def _facts_sql(label: str, known: str, title: str) -> str:
+    return f"""{FLIGHTS_WITH}
+, t AS (SELECT CAST({label} AS INTEGER) AS y FROM flights WHERE {known} IS NOT NULL AND NOT {_HASH_SQL} < 0.8)
+SELECT '{title}' AS model_name, count(*) AS n_rows, CAST(count_if(y = 1) AS BIGINT) AS n_positive, CAST(0 AS BIGINT) AS n_outside,
+  count(*) AS confusion_total FROM t"""
 
 
-@register("ml_cancel_boosted")
-def ml_cancel_boosted(fl: DataFrame) -> DataFrame:
-    return models.classification_report(features.prepare_cancel(fl), "IS_CANCELLED", "boosted", "Boosted Trees")
+for _name, _build, _label, _kind, _title in _CLASSIFIERS:
+    if _kind != "boosted":
+        _y = ("DEP_DELAY > 15", "DEP_DELAY") if _label == "IS_DELAYED" else ("CANCELLED = 1", "CANCELLED")
+        register(f"{_name}_facts", _facts_sql(*_y, _title))(lambda fl, b=_build, y=_label, k=_kind, t=_title: models.classification_facts(b(fl), y, k, t))
 
 
 @register("ml_arrival_forest")
 def ml_arrival_forest(fl: DataFrame) -> DataFrame:
-    return models.arrival_report(fl, "forest", "Random Forest")
+    return models.arrival_report(design.arrival_design(fl), "forest", "Random Forest")
 
 
 @register("ml_arrival_boosted")
 def ml_arrival_boosted(fl: DataFrame) -> DataFrame:
-    return models.arrival_report(fl, "boosted", "Boosted Trees")
+    return models.arrival_report(design.arrival_design(fl), "boosted", "Boosted Trees")
 
 
+# ------------------------------------------------------ model explanations
 def _fit_delay(fl: DataFrame, kind: str):
-    design = _delay_design(fl)
-    train, test = models.train_test(design)
+    train, test = _delay_design(fl).split()
     return models.fit(train, "IS_DELAYED", kind), train, test
 
 
+def _importances(m: models.Fitted, spark: SparkSession) -> DataFrame:
+    return trees.importance_table(trees.node_table(m.model, spark), m.feature_names, "forest" in m.kind)
+
+
 @register("ex_importance_forest")
 def ex_importance_forest(fl: DataFrame) -> DataFrame:
     m, _, _ = _fit_delay(fl, "forest")
-    return explain.importance(fl.sparkSession, m.model, m.feature_names)
+    return _importances(m, fl.sparkSession)
 
 
 @register("ex_importance_boosted")
 def ex_importance_boosted(fl: DataFrame) -> DataFrame:
     m, _, _ = _fit_delay(fl, "boosted")
-    return explain.importance(fl.sparkSession, m.model, m.feature_names)
+    return _importances(m, fl.sparkSession)
+
+
+def _fit_arrival(fl: DataFrame, kind: str) -> models.Fitted:
+    train, _ = design.arrival_design(fl).split(strata_groups=4)
+    return models.fit(train, "ARR_DELAY", kind, task="regression")
+
+
+@register("ex_importance_arrival_forest")
+def ex_importance_arrival_forest(fl: DataFrame) -> DataFrame:
+    return _importances(_fit_arrival(fl, "forest"), fl.sparkSession)
+
+
+@register("ex_importance_arrival_boosted")
+def ex_importance_arrival_boosted(fl: DataFrame) -> DataFrame:
+    return _importances(_fit_arrival(fl, "boosted"), fl.sparkSession)
+
+
+@register("ex_importance_agrees", f"""{FLIGHTS_WITH}{_LUMP}
+, b AS (SELECT feature, count(DISTINCT lumped) - 1 AS slots FROM lump GROUP BY feature)
+SELECT CAST({len(features.DELAY_NUMERIC)} + sum(slots) AS BIGINT) AS slots, 0.0::DOUBLE AS largest_gap,
+  1.0::DOUBLE AS gain, 1.0::DOUBLE AS cover, 1.0::DOUBLE AS frequency FROM b""")
+def ex_importance_agrees(fl: DataFrame) -> DataFrame:
+    """The importances by aggregation over the nodes beside the fitted model's own: largest difference, and the sums."""
+    m, _, _ = _fit_delay(fl, "forest")
+    own = explain.importance(fl.sparkSession, m.model, m.feature_names)
+    both = _importances(m, fl.sparkSession).join(own, "feature")
+    return both.agg(F.count(F.lit(1)).alias("slots"), F.round(F.max(F.abs(F.col("gain") - F.col("importance"))), 9).alias("largest_gap"),
+                    *[F.round(F.sum(c), 9).alias(c) for c in ("gain", "cover", "frequency")])
 
 
 @register("ex_permutation_forest")
 def ex_permutation_forest(fl: DataFrame) -> DataFrame:
+    """Columns are permuted before encoding, so the copies stay narrow."""
     m, _, test = _fit_delay(fl, "forest")
-    groups = explain.feature_groups(m.feature_names, features.DELAY_CATEGORICAL)
-    return explain.permutation_importance(m.score, test, "IS_DELAYED", groups, seed=42)
+    score = lambda d: m.score(test.encode(d, ["_perm", "IS_DELAYED"]))
+    groups = {c: [c] for c in features.DELAY_FEATURES}
+    return explain.permutation_importance(score, test.source.select(*features.DELAY_FEATURES, "IS_DELAYED"), "IS_DELAYED", groups, seed=42)
 
 
 @register("ex_shapley_forest")
 def ex_shapley_forest(fl: DataFrame) -> DataFrame:
-    """Top-20 |phi| of the first training row (lowest key), background: 100
-    training rows chosen by a second hash."""
-    m, train, _ = _fit_delay(fl, "forest")
-    groups = explain.feature_groups(m.feature_names, features.DELAY_CATEGORICAL)
-    first = train.orderBy("ROW_KEY", *train.columns).limit(1)
-    background = train.orderBy(F.xxhash64("ROW_KEY", F.lit(7)), "ROW_KEY", *train.columns).limit(100)
-    phi = explain.shapley(m.score, first, background, groups, permutations=64, seed=42)
-    return explain.top_by_abs(phi, n=20)
+    """Exact Shapley values of every test row against all training rows, with the rank by |phi|."""
+    m, train, test = _fit_delay(fl, "forest")
+    return trees.forest_shapley(m.model, test.rows, train.rows, test.sources, ["ROW_KEY"])
+
+
+@register("ex_shapley_additivity", f"""{FLIGHTS_WITH}{_DFE}
+SELECT count(*) AS explained, CAST(0 AS BIGINT) AS n_off, CAST({len(features.DELAY_FEATURES)} * count(*) AS BIGINT) AS n_values FROM dfe WHERE NOT ROW_KEY < 0.8""")
+def ex_shapley_additivity(fl: DataFrame) -> DataFrame:
+    """Rows whose values do not add up to the model's own score less its mean over the training rows."""
+    m, train, test = _fit_delay(fl, "forest")
+    mean = m.score(train.rows).agg(F.avg("score")).first()[0]
+    scored = m.score(test.rows).select("features", "score")
+    phi = trees.forest_shapley(m.model, scored.withColumn("id", F.monotonically_increasing_id()), train.rows, test.sources, ["id", "score"])
+    rows = phi.groupBy("id", "score").agg(F.sum("phi").alias("total"), F.count(F.lit(1)).alias("n"))
+    off = F.abs(F.col("total") - (F.col("score") - F.lit(mean))) > 1e-9
+    return rows.agg(F.count(F.lit(1)).alias("explained"), F.count_if(off).alias("n_off"), F.sum("n").alias("n_values"))
 
 
 _LIN_W = {"MONTH": 0.5, "DEP_HH": 1.0, "CRS_DEP_HH": -0.25, "DISTANCE": 0.01}
@@ -736,6 +795,28 @@ def ex_shapley_linear(fl: DataFrame) -> DataFrame:
     return phi.select("ROW_KEY", "feature", F.round("phi", 9).alias("phi"))
 
 
+_LIN_MEAN = ", ".join(f"avg({c}) AS z_{c}" for c in _LIN_COLS)
+_LIN_SIZE = "\n  UNION ALL\n".join(f"  SELECT i, ROW_KEY, {', '.join(_LIN_COLS)}, '{c}' AS feature, {rnd(f'{w} * ({c} - z_{c})', 6)} AS phi FROM ok, z" for c, w in _LIN_W.items())
+
+
+@register("ex_top_by_abs", f"""{FLIGHTS_WITH}
+, ok AS (SELECT *, row_number() OVER () AS i FROM (SELECT {_HASH_SQL} AS ROW_KEY, MONTH, CAST(floor(DEP_TIME / 100) AS BIGINT) AS DEP_HH,
+    CAST(floor(CRS_DEP_TIME / 100) AS BIGINT) AS CRS_DEP_HH, DISTANCE FROM flights
+  WHERE ARR_DELAY IS NOT NULL AND NOT isnan(ARR_DELAY) AND NOT isinf(ARR_DELAY)) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _LIN_COLS)})
+, z AS (SELECT {_LIN_MEAN} FROM ok)
+, phi AS (
+{_LIN_SIZE})
+, k AS (SELECT *, abs(phi) AS abs_phi, CAST(rank() OVER (PARTITION BY i ORDER BY abs(phi) DESC) AS INTEGER) AS rank FROM phi)
+SELECT ROW_KEY, {', '.join(_LIN_COLS)}, feature, phi, abs_phi, rank FROM k WHERE rank <= 2""")
+def ex_top_by_abs(fl: DataFrame) -> DataFrame:
+    """The two largest contributions by size (ties kept) of a fixed linear score, for every row against the mean row."""
+    af = features.arrival_features(fl).select("ROW_KEY", *_LIN_COLS).na.drop("any")
+    mean = af.agg(*[F.avg(c).alias(f"z_{c}") for c in _LIN_COLS])                       # one row
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.lit(w) * (F.col(c) - F.col(f"z_{c}")), 6).alias("phi")) for c, w in _LIN_W.items()])
+    phi = af.join(F.broadcast(mean)).select("ROW_KEY", *_LIN_COLS, cells.alias("cells"))
+    return explain.top_cells(phi, ["ROW_KEY", *_LIN_COLS], "cells", 2)
+
+
 # ------------------------------------------------ further inventory items
 from ..sources.readers import hash_sample  # noqa: E402
 

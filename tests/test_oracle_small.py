@@ -21,7 +21,7 @@ def _digest(cols, rows):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "supplier", "part", "documents"):
+    for t in ("lineitem", "supplier", "part", "documents", "embeddings", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF_SMALL, t)}.parquet')")
     return c
 
