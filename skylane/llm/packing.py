@@ -12,7 +12,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -25,12 +28,16 @@ from skylane.llm.common import staged, text_or_empty
 
 CAPACITY = 2048
 GROUP_PIECES = 1 << 15      # pieces packed by one task
-WORD_CACHE = 600_000        # words remembered by a worker
+KNOWN_PARTS = 200_000       # parts of text a worker remembers during a task
+LONGEST_KNOWN = 64          # characters of such a part at most
 JOINED = 2_000              # words encoded in one string
-# Fixed value: the pre-tokenizer pattern for which words may be taken apart here
+# Fixed value: the pre-tokenizer pattern for which texts may be taken apart here
 SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")     # what that pattern finds in ASCII words without apostrophes
-_words: dict = {}
+# Texts of printable ASCII (but "<", which may begin a special token), accented Latin letters, spaces and line
+# ends; and what the pattern above finds in them once they are in lower case
+_FAMILIAR = re.compile(r"[ \n!-;=-~À-ÖØ-öø-ÿ]*").fullmatch
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \na-z0-9ß-öø-ÿ]+").findall
+_known: dict = {}
 _tokenizers: dict = {}
 
 
@@ -54,56 +61,81 @@ def _known_kind(tok) -> bool:
             and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"].startswith("<|") for t in kind["added_tokens"]))
 
 
-def _ids(numbers) -> bytes:
-    return np.array(numbers, dtype="<u4").tobytes()
+def _ids(numbers: list[int]) -> bytes:
+    out = array("I", numbers)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
-def _learn(new: list[str], tok, known: dict[str, bytes], parts: dict[str, bytes]) -> None:
-    """Ids of words not met before: plain ASCII words by the tokenizer's model, part by part, others by the whole tokenizer."""
-    rest = []
-    for w in new:
-        if w.isascii() and w.isprintable() and "'" not in w and "<" not in w:
-            found = _PLAIN.findall(w.lower())
-            for x in found:
-                if x not in parts:
-                    parts[x] = _ids([t.id for t in tok.model.tokenize(x)])
-            known[w] = b"".join([parts[x] for x in found])
-        else:
-            rest.append(w)
-    groups = [rest[at:at + JOINED] for at in range(0, len(rest), JOINED)]
+class _PartIds(dict):
+    """Ids of a part, by the tokenizer's model. Parts in use stay known: when
+    half the room is full the parts known so far step back, and those met again return."""
+
+    def __init__(self, tok) -> None:
+        self.model, self.old = tok.model, {}
+        # the model wants letters beyond ASCII byte by byte, as the pre-tokenizer writes them
+        accented = [chr(i) for i in range(0xDF, 0x100) if i != 0xF7]
+        self.by_bytes = str.maketrans({c: tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in accented})
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = _ids([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.by_bytes))])
+        if len(part) <= LONGEST_KNOWN:
+            if len(self) >= KNOWN_PARTS // 2:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
+def _familiar_ids(text: str, known: _PartIds) -> bytes:
+    parts = _PARTS(text.lower())
+    return b"".join(itemgetter(*parts)(known)) if len(parts) > 1 else b"".join([known[x] for x in parts])
+
+
+def _word_ids(words: list[str], tok) -> dict[str, bytes]:
+    """Ids of each word by the whole tokenizer, many words at a time."""
+    out: dict[str, bytes] = {}
+    groups = [words[at:at + JOINED] for at in range(0, len(words), JOINED)]
     for at in range(0, len(groups), 8):
         some = groups[at:at + 8]
-        for words, e in zip(some, tok.encode_batch([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+        for group, e in zip(some, tok.encode_batch([" ".join(x) for x in some], add_special_tokens=False), strict=True):
             raw = _ids(e.ids)
             first = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.offsets))     # place of each token
-            cuts = (4 * np.searchsorted(first, np.cumsum([0, *(len(w) + 1 for w in words)]))).tolist()
-            known.update((w, raw[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+            cuts = (4 * np.searchsorted(first, np.cumsum([0, *(len(w) + 1 for w in group)]))).tolist()
+            out.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+    return out
 
 
 def encode_bytes(texts: list[str], path: str, end_id: int = 0) -> list[bytes]:
     """Ids of each text and the end id, as little-endian 32-bit numbers.
 
     A tokenizer of the known kind drops white space and none of its tokens
-    holds a space, so the ids of a text are those of its words between spaces
-    and line ends, one after the other, and each distinct word is encoded
-    once. Any other tokenizer encodes whole texts."""
+    holds a space, so the ids of a text are those of its parts, one after the
+    other. Texts of familiar characters are parted here, and each distinct part is
+    encoded once; of other texts the unfamiliar words go through the whole
+    tokenizer. Any other tokenizer encodes whole texts."""
     tok, end = _tokenizer(path), int(end_id).to_bytes(4, "little")
-    if path not in _words:
-        _words[path] = ({}, {}) if _known_kind(tok) else None
-    if _words[path] is None:
+    if path not in _known:
+        _known[path] = _PartIds(tok) if _known_kind(tok) else None
+    known = _known[path]
+    if known is None:
         return [_ids(e.ids) + end for e in tok.encode_batch_fast(list(texts), add_special_tokens=False)]
-    known, parts = _words[path]
-    if len(known) > WORD_CACHE:
-        known.clear()
-    if len(parts) > WORD_CACHE:
-        parts.clear()
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    _learn(list(set().union(*split) - known.keys()), tok, known, parts)
-    return [b"".join(map(known.__getitem__, words)) + end for words in split]
+    split = {i: t.replace("\n", " ").split(" ") for i, t in enumerate(texts) if not _FAMILIAR(t)}
+    odd = _word_ids([w for w in set().union(*split.values()) if not _FAMILIAR(w)], tok)
+    return [b"".join([odd[w] if w in odd else _familiar_ids(w, known) for w in split[i]]) + end if i in split
+            else _familiar_ids(t, known) + end for i, t in enumerate(texts)]
+
+
+def forget() -> None:
+    """Drops what a worker remembers of the texts it encoded."""
+    _known.clear()
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
-    def run(batches):
+    def cut(batches):
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text")
             at = 0
@@ -131,6 +163,12 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
                 at = end
+
+    def run(batches):
+        try:
+            yield from cut(batches)
+        finally:
+            forget()        # workers serve other tasks afterwards
     return run
 
 
