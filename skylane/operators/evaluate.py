@@ -112,6 +112,26 @@ def _pr_area() -> Column:
     return F.sum((F.col("pos") / F.col("pos_total").cast("double")) * (prec + prec_prev) / F.lit(2.0))
 
 
+def pr_auc_interpolated(st: DataFrame) -> DataFrame:
+    """Area under the precision-recall curve with the points between two
+    scores interpolated by counts (false positives grow in proportion to true
+    ones), so precision is not linear in recall; the exact integral.
+
+    On the way from (TP, FP) to (TP', FP') the precision at t true positives
+    is t / (t + FP + h (t - TP)), h = (FP' - FP) / (TP' - TP): with
+    k = 1 + h and c = FP - h TP its integral is t / k - c / k^2 ln(k t + c)."""
+    return _at_or_above(st).agg(_pr_area_interpolated().alias("PR_AUC_interpolated"))
+
+
+def _pr_area_interpolated() -> Column:
+    rise = F.col("pos").cast("double")
+    h = F.col("neg") / rise
+    k, c = F.lit(1.0) + h, F.col("fp_prev") - h * F.col("tp_prev")
+    bent = F.when(c == 0, 0.0).otherwise(c / (k * k) * F.log((F.col("tp") + F.col("fp")) / (F.col("tp_prev") + F.col("fp_prev"))))
+    step = F.when(F.col("pos") > 0, rise / k - bent).otherwise(0.0)
+    return F.try_divide(F.sum(step), F.first("pos_total").cast("double"))
+
+
 def average_precision(st: DataFrame) -> DataFrame:
     """Average precision: sum over thresholds of (recall step) x precision
     (the step-wise alternative to the trapezoid PR area)."""

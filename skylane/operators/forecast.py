@@ -11,12 +11,18 @@
   and the residual spread for the intervals. Only aggregations and joins
   on (key, month): no Python.
 * :func:`fourier_trend_forecast` - per key, a piecewise-linear trend plus
-  yearly Fourier terms fitted by least squares in ``applyInPandas``; each
-  group is one monthly series (a few hundred rows at most).
+  yearly Fourier terms; the normal equations are sums over the rows, and
+  one small row per series is solved.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,9 +153,77 @@ def _z(level: float) -> float:
     return NormalDist().inv_cdf(0.5 + level / 2.0)
 
 
-FOURIER_FIELDS = [T.StructField("ds", T.DateType()), T.StructField("y", T.DoubleType()),
-                  T.StructField("yhat", T.DoubleType()), T.StructField("yhat_lower", T.DoubleType()),
-                  T.StructField("yhat_upper", T.DoubleType())]
+def fourier_design(monthly: DataFrame, keys: list[str] | None = None, value: str = "ARR_DELAY", h: int = 12, order: int = 3,
+                   n_changepoints: int = 5, changepoint_range: float = 0.8, penalty: float = 1.0) -> DataFrame:
+    """(keys..., ds, y, x, ridge, n_terms): a row per month of the history
+    (gaps too, y NULL) and of ``h`` months beyond, with the values ``x`` of
+    all terms: 1, the slope, ``n_changepoints`` hinges, ``order`` sine/cosine
+    pairs. Terms that a short series does without are 0 throughout.
+
+    Terms in use (``n_terms``): each has two observations at least; first the
+    slope, then pairs of the season, then hinges, evenly spaced over the
+    first ``changepoint_range`` of the history. ``ridge`` is the penalty of
+    each term (hinges only)."""
+    keys = list(keys or [])
+    d = calendar(monthly, keys, value)
+    by = keys or ["_series"]
+    d = d if keys else d.withColumn("_series", F.lit(0))
+    ok = F.col(value).isNotNull() & ~F.isnan(value)
+    months = lambda a, b: ((F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)).cast("double")
+    # a row per series
+    one = d.groupBy(*by).agg(F.min("Month").alias("first"), F.max("Month").alias("last"), F.max(F.when(ok, F.col("Month"))).alias("seen"),
+                             F.count_if(ok).cast("int").alias("n"))
+    room = F.floor(F.col("n") / 2).cast("int")
+    pairs = F.least(F.lit(order), F.greatest(F.lit(0), F.floor((room - 2) / 2).cast("int")))
+    one = one.select(*by, "first", "last", (room >= 2).alias("slope"), pairs.alias("pairs"),
+                     F.greatest(F.lit(1.0), F.coalesce(months(F.col("seen"), F.col("first")), F.lit(1.0))).alias("span"),
+                     F.when(pairs == order, F.least(F.lit(n_changepoints), F.greatest(F.lit(0), room - 2 - 2 * pairs))).otherwise(0).alias("hinges"))
+    grid = one.select("*", F.explode(F.sequence("first", F.add_months("last", h), F.expr("interval 1 month"))).alias("ds"))
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"g.{k}")) for k in by] + [F.col("m.Month") == F.col("g.ds")]
+    rows = grid.alias("g").join(d.alias("m"), reduce(and_, same), "left").select("g.*", F.when(ok, F.col(f"m.{value}")).alias("y"))
+    t, span, turn = months(F.col("ds"), F.col("first")), F.col("span"), F.month("ds") * (math.pi / 6.0)
+    hinge = [F.when(F.col("hinges") >= i, F.greatest(F.lit(0.0), t - F.lit(changepoint_range) * span * (i / (F.col("hinges") + 1.0))) / span).otherwise(0.0)
+             for i in range(1, n_changepoints + 1)]
+    waves = [F.when(F.col("pairs") >= k, f(turn * k)).otherwise(0.0) for k in range(1, order + 1) for f in (F.sin, F.cos)]
+    x = [F.lit(1.0), F.when(F.col("slope"), t / span).otherwise(0.0), *hinge, *waves]
+    ridge = [0.0, 0.0, *[float(penalty)] * n_changepoints, *[0.0] * (2 * order)]
+    n_terms = F.lit(1) + F.col("slope").cast("int") + F.col("hinges") + 2 * F.col("pairs")
+    return rows.select(*keys, "ds", "y", F.array(*x).alias("x"), F.array(*[F.lit(r) for r in ridge]).alias("ridge"), n_terms.cast("int").alias("n_terms"))
+
+
+def fourier_fit(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., beta, n, n_terms): least squares with the ridge of each term, per
+    series, from the summed normal equations (a small row per series, solved by itself).
+
+    A series without observations has no row."""
+    @F.pandas_udf("array<double>")
+    def solved(xx: pd.Series, xy: pd.Series, ridge: pd.Series) -> pd.Series:
+        out = []
+        for a, b, r in zip(xx, xy, ridge, strict=True):
+            size = len(b)
+            m = np.zeros((size, size))
+            m[np.triu_indices(size)] = a
+            m = m + np.triu(m, 1).T + np.diag(r) + np.diag((np.diagonal(m) == 0).astype(float))       # terms not in use: 0
+            out.append(np.linalg.lstsq(m, np.asarray(b), rcond=1e-13)[0])
+        return pd.Series(out)
+
+    keys = list(keys or [])
+    size = len(rows.select("ridge").first()[0]) if rows.select("ridge").head(1) else 0
+    x = [F.col("x")[i] for i in range(size)]
+    known = rows.filter(F.col("y").isNotNull())
+    sums = known.groupBy(*keys).agg(F.array(*[F.sum(x[i] * x[j]) for i in range(size) for j in range(i, size)]).alias("xx"),
+                                    F.array(*[F.sum(a * F.col("y")) for a in x]).alias("xy"), F.first("ridge").alias("ridge"),
+                                    F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
+    return sums.filter(F.col("n") > 0).select(*keys, solved("xx", "xy", "ridge").alias("beta"), "n", "n_terms")
+
+
+def _with_fit(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with beta, n and the value fitted; NULL where a series has no fit."""
+    f = fit.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "beta", "n")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]) if keys else F.lit(True)
+    d = rows.join(f, same, "left").drop(*[f"_of_{k}" for k in keys]) if keys else rows.join(F.broadcast(f), same, "left")    # one row
+    products = F.zip_with("x", "beta", lambda a, b: a * b)
+    return d.withColumn("yhat", F.when(F.col("beta").isNotNull(), F.aggregate(products, F.lit(0.0), lambda s, p: s + p)))
 
 
 def fourier_trend_forecast(monthly: DataFrame, keys: list[str] | None = None, value: str = "ARR_DELAY",
@@ -159,75 +233,41 @@ def fourier_trend_forecast(monthly: DataFrame, keys: list[str] | None = None, va
     """Additive trend + yearly seasonality per key, history and ``h`` future
     months (keys..., ds, y, yhat, yhat_lower, yhat_upper).
 
-    Trend: slope plus hinge terms at ``n_changepoints`` evenly spaced
-    points of the first ``changepoint_range`` of the history, ridge
-    penalised; seasonality: ``order`` sine/cosine pairs of the month of
-    year. Fitted per series with numpy least squares inside
-    ``applyInPandas`` (vectorised per group; each group is one monthly
-    series, so its size is bounded by the number of months).
-
-    A short series gets fewer terms, so that each has two observations at
-    least: with under four the forecast is the mean. The band uses the
-    residual degrees of freedom and is NULL where there are none (one
-    observation); a series without any has NULL forecasts.
-    """
-    import numpy as np
-    import pandas as pd
+    Trend: slope plus ridge-penalised hinges; seasonality: sine/cosine pairs
+    (:func:`fourier_design`), fitted from sums over the rows
+    (:func:`fourier_fit`), so a series is never gathered in one task.
 
+    A short series gets fewer terms: with under four observations the
+    forecast is the mean. The band uses the residual degrees of freedom and
+    is NULL where there are none; a series without any observation has NULL
+    forecasts.
+    """
     keys = list(keys or [])
-    key_fields = [monthly.schema[k] for k in keys]
-    out_schema = T.StructType(key_fields + FOURIER_FIELDS)
-    z = _z(interval)
-
-    def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Month")
-        months = pd.to_datetime(pdf["Month"])
-        m0 = months.iloc[0]
-        last = months.iloc[-1]
-        idx = ((months.dt.year - m0.year) * 12 + (months.dt.month - m0.month)).to_numpy(float)
-        y = pdf[value].to_numpy(float)
-        ok = ~np.isnan(y)
-        future = pd.date_range(last + pd.offsets.MonthBegin(1), periods=h, freq="MS")
-        all_months = pd.DatetimeIndex(months).append(future)
-        t_all = ((all_months.year - m0.year) * 12 + (all_months.month - m0.month)).to_numpy(float)
-        span = max(idx[ok].max() if ok.any() else 1.0, 1.0)
-        # at least two observations a parameter: first the trend, then pairs of the season, then hinges
-        room = int(ok.sum()) // 2
-        slope = room >= 2
-        pairs = min(order, max(0, (room - 2) // 2))
-        hinges = min(n_changepoints, max(0, room - 2 - 2 * pairs)) if pairs == order else 0
-        cps = np.linspace(0, changepoint_range * span, hinges + 2)[1:-1]
-
-        def design(t, moy):
-            cols = [np.ones_like(t)] + ([t / span] if slope else [])
-            cols += [np.maximum(t - c, 0.0) / span for c in cps]
-            for k in range(1, pairs + 1):
-                cols += [np.sin(2 * np.pi * k * moy / 12.0), np.cos(2 * np.pi * k * moy / 12.0)]
-            return np.column_stack(cols)
-        X_all = design(t_all, np.asarray(all_months.month, float))
-        X = X_all[: len(idx)][ok]
-        pen = np.zeros(X.shape[1])
-        pen[1 + slope: 1 + slope + len(cps)] = penalty
-        beta, sd = np.full(X.shape[1], float("nan")), float("nan")
-        if ok.any():
-            beta = np.linalg.solve(X.T @ X + np.diag(pen) + 1e-9 * np.eye(X.shape[1]), X.T @ y[ok])
-            resid, free = y[ok] - X @ beta, int(ok.sum()) - X.shape[1]
-            if free > 0:
-                sd = float(np.sqrt(resid @ resid / free))
-        yhat = X_all @ beta
-        res = pd.DataFrame({"ds": all_months.date,
-                            "y": np.concatenate([y, np.full(h, np.nan)]),
-                            "yhat": yhat, "yhat_lower": yhat - z * sd, "yhat_upper": yhat + z * sd})
-        for k in keys:
-            res.insert(0, k, pdf[k].iloc[0])
-        return res[[f.name for f in out_schema.fields]]
-
-    d = calendar(monthly, keys, value)
-    if not keys:
-        d = d.withColumn("_series", F.lit(0))
-        return d.groupBy("_series").applyInPandas(
-            lambda pdf: fit_one(pdf.drop(columns=["_series"])), out_schema)
-    return d.groupBy(*keys).applyInPandas(fit_one, out_schema)
+    rows = materialize(fourier_design(monthly, keys, value, h, order, n_changepoints, changepoint_range, penalty))     # a row per series and month
+    d = _with_fit(rows, fourier_fit(rows, keys), keys)
+    error = F.col("y") - F.col("yhat")
+    free = F.col("n") - F.col("n_terms")
+    spread = d.groupBy(*keys).agg(F.sum(error * error).alias("_sse"), F.first(free, True).alias("_free"))
+    spread = spread.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.when(F.col("_free") > 0, F.sqrt(F.col("_sse") / F.col("_free"))).alias("_sd"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]) if keys else F.lit(True)
+    d = d.join(spread, same, "left") if keys else d.join(F.broadcast(spread), same, "left")                            # one row
+    band = F.lit(_z(interval)) * F.col("_sd")
+    return d.select(*keys, "ds", "y", "yhat", (F.col("yhat") - band).alias("yhat_lower"), (F.col("yhat") + band).alias("yhat_upper"))
+
+
+def fourier_residual(monthly: DataFrame, keys: list[str] | None = None, value: str = "ARR_DELAY", h: int = 12) -> DataFrame:
+    """(keys..., n_months, n_known, largest): rows of the grid, observations, and
+    the largest size of a normal equation X'(y - Xb) - ridge b at the fitted b,
+    relative to the largest X'y; 0 for the least-squares solution."""
+    keys = list(keys or [])
+    rows = materialize(fourier_design(monthly, keys, value, h))
+    d = _with_fit(rows, fourier_fit(rows, keys), keys)
+    size = len(rows.select("ridge").first()[0])
+    e = F.col("y") - F.col("yhat")
+    gaps = [F.sum(F.col("x")[i] * e) - F.first(F.col("ridge")[i] * F.col("beta")[i], True) for i in range(size)]
+    scale = [F.abs(F.sum(F.col("x")[i] * F.col("y"))) for i in range(size)]
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_months"), F.count("y").alias("n_known"),
+                                (F.array_max(F.array(*[F.abs(g) for g in gaps])) / F.greatest(F.lit(1.0), F.array_max(F.array(*scale)))).alias("largest"))
 
 
 AR_FIELDS = [T.StructField("Month", T.DateType()), T.StructField("Predicted_DELAY", T.DoubleType()),
@@ -244,9 +284,6 @@ def ar_forecast(monthly: DataFrame, keys: list[str] | None = None, value: str =
     impulse responses); lower bound at ``lower_level``, upper at
     ``upper_level``; back-transformed and floored at 0. A series too short
     for the lags falls back to its mean."""
-    import numpy as np
-    import pandas as pd
-
     keys = list(keys or [])
     out_schema = T.StructType([monthly.schema[k] for k in keys] + AR_FIELDS)
     zl, zu = _z(lower_level), _z(upper_level)

@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def pivot_values(df: DataFrame, column: str, max_values: int = 1000) -> list:
-    """Sorted distinct non-NULL values of ``column`` (bounded, checked)."""
-    vals = [r[0] for r in df.select(column).distinct().filter(F.col(column).isNotNull())
-            .orderBy(column).limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{column} has more than {max_values} values; refusing to pivot")
-    return vals
+def pivot_values(df: DataFrame, column: str) -> list:
+    """Sorted distinct non-NULL values of ``column``: one per column of the pivoted result."""
+    return [r[0] for r in df.select(column).distinct().filter(F.col(column).isNotNull()).orderBy(column).collect()]
 
 
 def pivot_wide(df: DataFrame, ids: list[str], names_from: str, values_from: str,
                values: list | None = None) -> DataFrame:
     """Long -> wide: one column per value of ``names_from`` (sorted), missing
-    cells NULL. Pass ``values`` to skip the distinct-values job."""
+    cells NULL. Pass ``values`` to skip the distinct-values job; a row with
+    another value then fails the query, so that none is lost in silence."""
     vals = values if values is not None else pivot_values(df, names_from)
+    if values is not None:
+        name = F.col(names_from)
+        wrong = F.raise_error(F.concat(F.lit(f"{names_from} has a value without a column: "), name.cast("string")))
+        df = df.withColumn(names_from, F.when(name.isNull() | name.isin(*vals), name).otherwise(wrong.cast(df.schema[names_from].dataType)))
     out = df.groupBy(*ids).pivot(names_from, vals).agg(F.first(values_from))
     return out.select(*ids, *[F.col(str(v)) for v in vals])
 

@@ -516,6 +516,15 @@ def ev_metrics(fl: DataFrame) -> DataFrame:
     return r.select("model_name", *[F.round(c, 9).alias(c) for c in _M9])
 
 
+@register("ev_metrics_interpolated", f"""{FLIGHTS_WITH}{_SC}
+, g AS (SELECT P, CAST(pos AS DOUBLE) AS dt, CAST(neg AS DOUBLE) AS df, CAST(tp - pos AS DOUBLE) AS t0, CAST(fp - neg AS DOUBLE) AS f0 FROM a)
+, h AS (SELECT P, dt, 1 + df / dt AS k, f0 - df / dt * t0 AS c, t0 + f0 AS n0, t0 + f0 + dt + df AS n1 FROM g WHERE dt > 0)
+SELECT 'fixed_score' AS model_name, {rnd('sum(dt / k - CASE WHEN c = 0 THEN 0 ELSE c / (k * k) * ln(n1 / n0) END) / max(P)', 9)} AS PR_AUC_interpolated FROM h""")
+def ev_metrics_interpolated(fl: DataFrame) -> DataFrame:
+    area = evaluate.pr_auc_interpolated(evaluate.score_table(evaluate.valid(_scored(fl))))
+    return area.select(F.lit("fixed_score").alias("model_name"), F.round("PR_AUC_interpolated", 9).alias("PR_AUC_interpolated"))
+
+
 @register("ev_roc_curve", f"""{FLIGHTS_WITH}{_SC}
 SELECT score AS threshold, CAST(fp AS DOUBLE) / N AS fpr, CAST(tp AS DOUBLE) / P AS tpr FROM a
 UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE""")
@@ -646,8 +655,38 @@ def ts_fourier(fl: DataFrame) -> DataFrame:
     return forecast.fourier_trend_forecast(forecast.monthly_mean(fl, "ARR_DELAY"))
 
 
+def _residual_sql(key: str | None) -> str:
+    by = f"{key}, " if key else ""
+    return f"""{FLIGHTS_WITH}
+, m AS (SELECT {by}{_MONTH} AS Month, avg(ARR_DELAY) AS v FROM flights GROUP BY {by}{_MONTH})
+SELECT {by}date_diff('month', min(Month), max(Month)) + 13 AS n_months, count(v) AS n_known, 0.0::DOUBLE AS largest FROM m {f'GROUP BY {key}' if key else ''}"""
+
+
+@register("ts_fourier_residual", _residual_sql(None))
+def ts_fourier_residual(fl: DataFrame) -> DataFrame:
+    """The normal equations at the fitted coefficients: largest residual, 0 for the least-squares fit."""
+    r = forecast.fourier_residual(forecast.monthly_mean(fl, "ARR_DELAY"))
+    return r.select("n_months", "n_known", F.round("largest", 6).alias("largest"))
+
+
+@register("ts_fourier_residual_by_airline", _residual_sql("AIRLINE"))
+def ts_fourier_residual_by_airline(fl: DataFrame) -> DataFrame:
+    r = forecast.fourier_residual(forecast.monthly_mean(fl, "ARR_DELAY", keys=["AIRLINE"]), ["AIRLINE"])
+    return r.select("AIRLINE", "n_months", "n_known", F.round("largest", 6).alias("largest"))
+
+
+@register("ts_fourier_grid_by_airline", f"""{FLIGHTS_WITH}
+, m AS (SELECT AIRLINE, {_MONTH} AS Month, avg(ARR_DELAY) AS v FROM flights GROUP BY AIRLINE, {_MONTH})
+, g AS (SELECT AIRLINE, CAST(unnest(generate_series(min(Month), max(Month) + INTERVAL 12 MONTH, INTERVAL 1 MONTH)) AS DATE) AS ds FROM m GROUP BY AIRLINE)
+SELECT g.AIRLINE, g.ds, {rnd('m.v', 9)} AS y, true AS in_band FROM g LEFT JOIN m ON m.AIRLINE = g.AIRLINE AND m.Month = g.ds""")
+def ts_fourier_grid_by_airline(fl: DataFrame) -> DataFrame:
+    """The forecast frame: its months and observations, and that every forecast lies inside its band."""
+    f = forecast.fourier_trend_forecast(forecast.monthly_mean(fl, "ARR_DELAY", keys=["AIRLINE"]), ["AIRLINE"])
+    return f.select("AIRLINE", "ds", F.round("y", 9).alias("y"), F.col("yhat").between(F.col("yhat_lower"), F.col("yhat_upper")).alias("in_band"))
+
+
 # ------------------------------------------------------------------ models
-from ..operators import explain, models, trees  # noqa: E402
+from ..operators import explain, logistic, models, trees  # noqa: E402
 
 
 def _delay_design(fl: DataFrame) -> design.Design:
@@ -683,6 +722,43 @@ for _name, _build, _label, _kind, _title in _CLASSIFIERS:
         register(f"{_name}_facts", _facts_sql(*_y, _title))(lambda fl, b=_build, y=_label, k=_kind, t=_title: models.classification_facts(b(fl), y, k, t))
 
 
+def _gradient_sql(source: str, numeric: list[str], categorical: list[str]) -> str:
+    """The slots of a design and the gradient that the maximum of the likelihood has."""
+    levels = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS level, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY {c}" for c in categorical)
+    numbers = " UNION ALL ".join(f"SELECT '{c}' AS feature" for c in ("(Intercept)", *numeric))
+    return f"""{FLIGHTS_WITH}, d AS ({source})
+, st AS ({levels})
+, sh AS (SELECT feature, level, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY feature) AS share FROM st)
+, sm AS (SELECT feature, count_if(share <= 0.01) AS n_small FROM sh GROUP BY feature)
+, lv AS (SELECT DISTINCT sh.feature, CASE WHEN share > 0.01 OR n_small <= 1 THEN level ELSE 'Other' END AS lumped FROM sh JOIN sm ON sh.feature = sm.feature)
+, od AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY lumped = 'Other', TRY_CAST(lumped AS DOUBLE) NULLS LAST, lumped) AS place FROM lv)
+SELECT feature, 0.0::DOUBLE AS gradient FROM ({numbers} UNION ALL SELECT feature || '_' || lumped FROM od WHERE place > 1)"""
+
+
+def _gradient(d: design.Design) -> DataFrame:
+    train, _ = d.split()
+    return logistic.gradient(logistic.fit_logistic(train), train).select("feature", F.round("gradient", 8).alias("gradient"))
+
+
+@register("ml_delay_logistic_gradient", _gradient_sql("SELECT MONTH, AIRLINE, ORIGIN, DEST FROM flights WHERE DEP_DELAY IS NOT NULL",
+                                                      features.DELAY_NUMERIC, features.DELAY_CATEGORICAL))
+def ml_delay_logistic_gradient(fl: DataFrame) -> DataFrame:
+    """Mean gradient of the likelihood at the Newton fit, recomputed from rows and coefficients: 0 marks its only maximum."""
+    return _gradient(design.delay_design(fl))
+
+
+@register("ml_cancel_logistic_gradient", _gradient_sql("SELECT MONTH, ORIGIN, DEST FROM flights WHERE CANCELLED IS NOT NULL",
+                                                       features.CANCEL_NUMERIC, features.CANCEL_CATEGORICAL))
+def ml_cancel_logistic_gradient(fl: DataFrame) -> DataFrame:
+    return _gradient(design.cancel_design(fl))
+
+
+@register("ml_delay_logistic_coefficients")
+def ml_delay_logistic_coefficients(fl: DataFrame) -> DataFrame:
+    train, _ = design.delay_design(fl).split()
+    return logistic.fit_logistic(train).table(fl.sparkSession)
+
+
 @register("ml_arrival_forest")
 def ml_arrival_forest(fl: DataFrame) -> DataFrame:
     return models.arrival_report(design.arrival_design(fl), "forest", "Random Forest")
