@@ -17,7 +17,6 @@ Nothing is sampled, and the work per row does not grow with the background.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import new_folder
 
 CHUNK_ROWS = 1 << 15        # rows explained with one set of leaf tables
 BATCH_ROWS = 1 << 13        # rows walked down a tree at once
@@ -45,7 +44,7 @@ def node_table(model, spark) -> DataFrame:
     class 1 of a classification forest, else the prediction. The sum over the
     trees of weight x value of the leaf reached is the score (for boosted
     classification the margin)."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/skylane-models/{uuid.uuid4().hex}"
+    path = new_folder(spark, "model")
     model.write().save(path)
     trees = spark.read.parquet(f"{path}/treesMetadata")
     trees = trees.select(F.col(trees.columns[0]).alias("tree"), F.col(trees.columns[2]).cast("double").alias("weight"))

@@ -348,6 +348,7 @@ for _name in sqlapi.SQL:
 # ------------------------------------------------------ feature preparation
 from ..operators import design, evaluate, features  # noqa: E402
 from ..operators.select import quantiles, sample_rows  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 _HASH_SQL = ("CAST(CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(FL_DATE AS VARCHAR), ''), "
              "coalesce(AIRLINE, ''), coalesce(CAST(FL_NUMBER AS VARCHAR), ''), coalesce(ORIGIN, ''), "
@@ -431,6 +432,26 @@ def fp_design_entries(fl: DataFrame) -> DataFrame:
     return design.entries(features.delay_features(fl), features.DELAY_NUMERIC, features.DELAY_CATEGORICAL, ["ROW_KEY"], 0.01)
 
 
+@register("fp_design_vectors", ORACLE["fp_design_entries"])
+def fp_design_vectors(fl: DataFrame) -> DataFrame:
+    """The same entries read back from the assembled sparse vectors."""
+    cells = design.delay_design(fl).rows.select("ROW_KEY", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return cells.filter(F.col("value") != 0)
+
+
+_SANITISED = ["DISTANCE_CAT", "SEASON"]
+
+
+@register("fp_sanitised_levels", f"""{FLIGHTS_WITH}
+, lv AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS level FROM flights WHERE {c} IS NOT NULL" for c in _SANITISED)})
+SELECT regexp_replace(feature || '_' || level, '[^0-9A-Za-z_]', '_', 'g') AS dummy, count(*) AS ones FROM lv GROUP BY 1""")
+def fp_sanitised_levels(fl: DataFrame) -> DataFrame:
+    """0/1 columns of levels whose names hold other signs than letters, digits and underscores."""
+    wide = features.one_hot(fl.select(*_SANITISED), _SANITISED, drop_first=False)
+    sums = wide.agg(*[F.sum(c).alias(c) for c in wide.columns])
+    return sums.unpivot([], wide.columns, "dummy", "ones")
+
+
 @register("fp_split", f"""{FLIGHTS_WITH}{_DFE}
 SELECT CASE WHEN ROW_KEY < 0.8 THEN 'train' ELSE 'test' END AS side, count(*) AS n FROM dfe GROUP BY 1""")
 def fp_split(fl: DataFrame) -> DataFrame:
@@ -764,6 +785,20 @@ def ml_arrival_forest(fl: DataFrame) -> DataFrame:
     return models.arrival_report(design.arrival_design(fl), "forest", "Random Forest")
 
 
+@register("ml_arrival_forest_facts", f"""{ORACLE['fp_split_quartile'].rsplit('SELECT CASE', 1)[0]}
+, l AS (SELECT CASE WHEN s.ROW_KEY <= t.thr THEN 0 ELSE 1 END AS test FROM s JOIN t ON s.quartile = t.quartile)
+SELECT 'Random Forest' AS model_name, CAST(sum(test) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_outside FROM l""")
+def ml_arrival_forest_facts(fl: DataFrame) -> DataFrame:
+    """Rows of the test side, and forecasts outside the range of the training target (a forest has none)."""
+    train, test = design.arrival_design(fl).split(strata_groups=4)
+    m = models.fit(train, "ARR_DELAY", "forest", task="regression")
+    low, high = train.rows.agg(F.min("ARR_DELAY"), F.max("ARR_DELAY")).first()
+    s = F.col("score")
+    outside = s.isNull() | F.isnan(s) | ~s.between(low - 1e-9, high + 1e-9)
+    return m.score(test.rows).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(outside).alias("n_outside")).select(
+        F.lit("Random Forest").alias("model_name"), "*")
+
+
 @register("ml_arrival_boosted")
 def ml_arrival_boosted(fl: DataFrame) -> DataFrame:
     return models.arrival_report(design.arrival_design(fl), "boosted", "Boosted Trees")
@@ -828,6 +863,20 @@ def ex_permutation_forest(fl: DataFrame) -> DataFrame:
     return explain.permutation_importance(score, test.source.select(*features.DELAY_FEATURES, "IS_DELAYED"), "IS_DELAYED", groups, seed=42)
 
 
+@register("ex_permutation_fixed", f"""{FLIGHTS_WITH}
+, sc AS (SELECT CAST(DEP_DELAY > 15 AS INTEGER) AS label, CRS_DEP_TIME / CAST(2500 AS DOUBLE) AS score FROM flights WHERE DEP_DELAY IS NOT NULL)
+, st AS (SELECT score, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM sc GROUP BY score)
+, cu AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below, sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM st)
+, auc AS (SELECT {rnd('sum(pos * (neg_below + 0.5 * neg)) / (max(P) * max(N))', 9)} AS base FROM cu)
+SELECT f AS feature, base AS base_auc, base AS permuted_auc, 0.0::DOUBLE AS auc_drop FROM auc, (VALUES ('MONTH'), ('DISTANCE')) v(f)""")
+def ex_permutation_fixed(fl: DataFrame) -> DataFrame:
+    """Permutation importances of columns that a fixed score does not use: the area stays, to the last digit shown."""
+    d = fl.filter(F.col("DEP_DELAY").isNotNull()).select((F.col("DEP_DELAY") > 15).cast("int").alias("label"), "CRS_DEP_TIME", "MONTH", "DISTANCE")
+    score = lambda x: x.withColumn("score", F.col("CRS_DEP_TIME") / F.lit(2500.0))
+    r = explain.permutation_importance(score, d, "label", {"MONTH": ["MONTH"], "DISTANCE": ["DISTANCE"]}, seed=42)
+    return r.select("feature", *[F.round(c, 9).alias(c) for c in ("base_auc", "permuted_auc")], F.abs(F.round("auc_drop", 9)).alias("auc_drop"))
+
+
 @register("ex_shapley_forest")
 def ex_shapley_forest(fl: DataFrame) -> DataFrame:
     """Exact Shapley values of every test row against all training rows, with the rank by |phi|."""
@@ -894,12 +943,34 @@ def ex_top_by_abs(fl: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------ further inventory items
-from ..sources.readers import hash_sample  # noqa: E402
+from ..session import new_folder  # noqa: E402
+from ..sources.readers import hash_sample, read_flights_csv  # noqa: E402
 
 _OVERVIEW_COLS = ["Total_Flights", "Delayed_Flights", "OnTime_Flights", "Cancelled_Flights", "Diverted_Flights",
                   "N_Airlines", "Short_Haul_Flights", "Medium_Haul_Flights", "Long_Haul_Flights"]
 
 
+_CSV_COLS = ["FL_DATE", "AIRLINE", "ORIGIN", "DEST", "CRS_DEP_TIME", "DEP_DELAY", "ARR_DELAY", "CANCELLED", "DIVERTED", "DISTANCE"]
+
+
+@register("src_csv_scan", f"""{FLIGHTS_WITH}
+SELECT AIRLINE, YEAR, MONTH, DAY_OF_WEEK, count(*) AS n, CAST(count(ARR_DELAY) AS BIGINT) AS n_arrived, sum(ARR_DELAY) AS arr_delay, sum(DEP_DELAY) AS dep_delay,
+  sum(CANCELLED) AS cancelled, sum(DISTANCE) AS distance, min(FL_DATE) AS first_day, max(FL_DATE) AS last_day
+FROM flights GROUP BY AIRLINE, YEAR, MONTH, DAY_OF_WEEK""")
+def src_csv_scan(fl: DataFrame) -> DataFrame:
+    """The flights written as CSV files of two column orders and date forms, read back by header, typed, prepared and summed."""
+    spark = fl.sparkSession
+    folder = new_folder(spark, "flights-csv")
+    rows, even = fl.select(*_CSV_COLS), F.col("CRS_DEP_TIME") % 2 == 0
+    text = lambda d, form: d.withColumn("FL_DATE", F.date_format("FL_DATE", form))
+    text(rows.filter(even), "yyyyMMdd").write.option("header", True).option("nullValue", "NA").csv(f"{folder}/a")
+    text(rows.filter(~even), "yyyy-MM-dd").select(*_CSV_COLS[::-1]).write.option("header", True).csv(f"{folder}/b")
+    back = prepare(read_flights_csv(spark, [f"{folder}/a", f"{folder}/b"], required=_CSV_COLS))
+    return back.groupBy("AIRLINE", "YEAR", "MONTH", "DAY_OF_WEEK").agg(
+        F.count(F.lit(1)).alias("n"), F.count("ARR_DELAY").alias("n_arrived"), F.sum("ARR_DELAY").alias("arr_delay"), F.sum("DEP_DELAY").alias("dep_delay"),
+        F.sum("CANCELLED").alias("cancelled"), F.sum("DISTANCE").alias("distance"), F.min("FL_DATE").alias("first_day"), F.max("FL_DATE").alias("last_day"))
+
+
 @register("src_sample_10pct", f"{FLIGHTS_WITH}\nSELECT * FROM flights WHERE {_HASH_SQL} < 0.1")
 def src_sample_10pct(fl: DataFrame) -> DataFrame:
     return hash_sample(fl, 0.1, features.FLIGHT_KEY)

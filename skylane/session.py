@@ -7,6 +7,9 @@ operator's configuration.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Settings every job of the library relies on. AQE re-plans joins and
@@ -66,6 +69,16 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return d
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for tables derived on the way.
+
+    In the cluster's checkpoint folder; a local session without one (tests)
+    gets a temporary folder, any other master must name a folder."""
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    fallback = tempfile.mkdtemp(prefix="skylane-shared-") if local and not spark.sparkContext.getCheckpointDir() else None
+    return f"{checkpoint_dir(spark, fallback).rstrip('/')}/skylane/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df):
     """Compute ``df`` once and cut its lineage for the jobs that reuse it.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,33 +35,69 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
+def _first_lines(batches):
+    """Rows (path, header) where the task's block is the beginning of a file; the rest of the block is not read."""
+    for b in batches:
+        if b.num_rows and b.column("start")[0].as_py() == 0:
+            yield b.slice(0, 1).select(["path", "value"]).rename_columns(["path", "header"])
+        return
+
+
+def file_headers(spark: SparkSession, path: str | list[str], split_bytes: int | None = None) -> DataFrame:
+    """(path, header): the first line of every file, found in tasks by one job.
+
+    Blocks are read by a session of their own that gives each a task (blocks
+    of several files in one task would hide all headers but the first), and
+    a task ends after its first rows."""
+    one = spark.newSession()
+    one.conf.set("spark.sql.files.openCostInBytes", str(1 << 40))
+    if split_bytes:
+        one.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    meta = F.col("_metadata")
+    rows = one.read.text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), "value")
+    return rows.mapInArrow(_first_lines, "path string, header string")
+
+
+def _columns(header: str) -> list[str]:
+    """Column names of a header line (a first line of a CSV file; names may be quoted)."""
+    names = next(csv.reader([header.lstrip("\ufeff")]), [])
+    return [n.strip() or f"_c{i}" for i, n in enumerate(names)]
+
+
 def read_flights_csv(spark: SparkSession, path: str | list[str],
-                     schema: T.StructType | None = None) -> DataFrame:
+                     schema: T.StructType | None = None, required: Iterable[str] = ()) -> DataFrame:
     """CSV with a header row, typed by the dictionary (no inference pass).
 
     Columns are matched by *name* from the header, so files may carry any
-    subset of the dictionary in any order. Spark takes one header for all
-    files of a read, so files are read in groups of equal headers (one
-    header line per file is looked at) and joined by name; a column that
-    some files lack is NULL there. A file without any known column fails.
-    ``FL_DATE`` stays text here and is parsed by
+    subset of the dictionary in any order; a column that some files lack is
+    NULL there. Spark takes one header for all files of a read, so files are
+    read in groups of equal headers, joined by name. The headers are found
+    in tasks by one job, whatever the number of files. A file without any
+    known column, or without one of ``required``, fails; empty files have no
+    rows. ``FL_DATE`` stays text here and is parsed by
     :func:`skylane.operators.prep.prepare`.
     """
     schema = schema or flights_schema()
-    reader = lambda: spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
-    groups: dict[tuple, list[str]] = {}
-    for f in sorted(reader().csv(path).inputFiles()):
-        groups.setdefault(tuple(reader().csv(f).columns), []).append(f)
-    if len(groups) <= 1:
-        return _typed(reader().csv(path), schema)
+    # a row per distinct header; the paths are those Spark has listed on the driver anyway
+    groups = file_headers(spark, path).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files")).orderBy("header").collect()
     known = {c.upper() for c in schema.fieldNames()}
     out = None
-    for header, files in groups.items():
-        if not known & {c.strip().upper() for c in header}:
-            raise ValueError(f"no known column in the header of {files[0]}")
-        part = reader().csv(files)
+    for r in groups:
+        names = _columns(r["header"])
+        if not known & {c.upper() for c in names}:
+            raise ValueError(f"no known column in the header of {r['files'][0]}")
+        missing = [c for c in required if c not in names]
+        if missing:
+            raise ValueError(f"no column {missing} in the header of {r['files'][0]}")
+        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        part = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").csv([_path(f) for f in r["files"]])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return _typed(out, schema)
+    return _typed(spark.createDataFrame([], T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])) if out is None else out, schema)
+
+
+def _path(file: str) -> str:
+    """A file's path as a reader takes it: decoded, and without wildcards."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
 
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -43,3 +43,49 @@ def test_csv_files_with_other_column_orders(spark, tmp_path):
     (tmp_path / "b.csv").write_text("DEP_DELAY,ARR_DELAY\n7,99\n")
     got = {(r.ARR_DELAY, r.DEP_DELAY, r.ORIGIN) for r in read_flights_csv(spark, str(tmp_path / "*.csv")).collect()}
     assert got == {(1.0, 2.0, "AAA"), (99.0, 7.0, None)}
+
+
+def test_many_files_are_planned_by_a_fixed_number_of_jobs(spark, tmp_path):
+    from skylane.sources.readers import read_flights_csv
+    orders = ["ARR_DELAY,ORIGIN,DEP_DELAY", "DEP_DELAY,ARR_DELAY,ORIGIN", '"ORIGIN","ARR_DELAY"']
+    for i in range(400):
+        names = orders[i % 3].replace('"', "").split(",")
+        line = {"ARR_DELAY": str(i), "ORIGIN": f"A{i}", "DEP_DELAY": str(-i)}
+        (tmp_path / f"f {i:03d}[x].csv").write_text(orders[i % 3] + "\n" + ",".join(line[n] for n in names) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    sc = spark.sparkContext
+    sc.setJobGroup("headers", "headers")
+    try:
+        df = read_flights_csv(spark, str(tmp_path))
+        assert len(sc.statusTracker().getJobIdsForGroup("headers")) < 15
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    got = {(r.ORIGIN, r.ARR_DELAY, r.DEP_DELAY) for r in df.collect()}
+    assert got == {(f"A{i}", float(i), None if i % 3 == 2 else float(-i)) for i in range(400)}
+
+
+def test_header_of_a_file_in_several_blocks(spark, tmp_path):
+    from skylane.sources.readers import file_headers, read_flights_csv
+    (tmp_path / "a.csv").write_text("ORIGIN,ARR_DELAY\n" + "".join(f"X{i},{i}\n" for i in range(20_000)))
+    (tmp_path / "b.csv").write_text("ARR_DELAY,ORIGIN\n1,Y\n")
+    for i in range(30):
+        (tmp_path / f"c{i}.csv").write_text("DEP_DELAY\n3\n")
+    for size in (None, 20_000):
+        found = file_headers(spark, str(tmp_path), size)
+        assert found.rdd.getNumPartitions() > (40 if size else 31)
+        assert sorted(r.header for r in found.collect()) == ["ARR_DELAY,ORIGIN", *["DEP_DELAY"] * 30, "ORIGIN,ARR_DELAY"]
+    df = read_flights_csv(spark, str(tmp_path))
+    assert df.count() == 20_031 and df.where("ORIGIN = 'Y'").first().ARR_DELAY == 1.0
+
+
+def test_wrong_headers_fail(spark, tmp_path):
+    import pytest
+    from skylane.sources.readers import read_flights_csv
+    (tmp_path / "a.csv").write_text("foo,bar\n1,2\n")
+    with pytest.raises(ValueError):
+        read_flights_csv(spark, str(tmp_path))
+    (tmp_path / "a.csv").write_text("ORIGIN,bar\nA,2\n")
+    with pytest.raises(ValueError):
+        read_flights_csv(spark, str(tmp_path), required=["DEST"])
+    (tmp_path / "a.csv").write_text("")
+    assert read_flights_csv(spark, str(tmp_path)).count() == 0
