@@ -35,10 +35,12 @@ def _exact_parts(text: str) -> list[str]:
 
     No piece of the vocabulary holds the white-space mark after another
     character (checked on loading), so no merge crosses a single space
-    between two other characters; and the space itself is what the library
-    puts before each part again."""
+    between two visible ASCII signs; and the space itself is what the library
+    puts before each part again. Other neighbours could be a literal
+    white-space mark, or become one or a space when the library normalises:
+    there a text is not cut."""
     parts, at = [], 0
-    for m in re.finditer(r"(?<=[^ \n]) (?=[^ \n])", text):
+    for m in re.finditer(r"(?<=[!-~]) (?=[!-~])", text):
         if m.start() - at >= LONG_TEXT:
             parts.append(text[at:m.start()])
             at = m.end()
