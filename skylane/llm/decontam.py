@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skylane.llm.common import staged
+
 ERROR_SHARE = 0.05          # edits allowed per character of the item
-BLOCK_CHARS = 1 << 24       # characters of items that one automaton holds
+BLOCK_CHARS = 1 << 20       # characters of items that one automaton holds (about 60 MB in a worker)
 _GAP = re.compile(r"[^\w ][\W_]*|_[\W_]*| [\W_]+")     # what is not one space already
 _WORD = re.compile(r"[^\W_]+")
 
@@ -196,7 +198,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, share: float = ERROR_S
     * of overlapping places of one item the nearest is reported; different
       items, repeated items and repeated rows are each reported;
     * empty tables give an empty result; other columns are ignored; documents
-      are read whole, once per block of items (one block up to 16 M characters).
+      are read whole, once per block of items (one block up to 1 M characters).
     """
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_id].dataType)])
@@ -212,13 +214,31 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, share: float = ERROR_S
 
 def is_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", share: float = ERROR_SHARE,
                     item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> Column:
-    """True where a text holds a test item: for filters that keep the rows as they are."""
+    """True where a text holds a test item: for filters that keep the rows as they are. For items of several
+    blocks prefer :func:`without_items`, which holds one block at a time."""
     spark, out = docs.sparkSession, F.lit(False)
     for block in item_blocks(items, item_id, item_text, block_chars):
         out = out | _holds_item(spark.sparkContext.broadcast(block), share)(F.col(text_col).cast("string"))
     return out
 
 
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", share: float = ERROR_SHARE,
+                  item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows whose text holds no test item, as they are.
+
+    Each block of items is one pass over the rows still kept; between two
+    passes these are written to the shared folder, so a worker holds the
+    automaton of one block only. Null texts stay; no items, no change."""
+    spark, blocks = docs.sparkSession, item_blocks(items, item_id, item_text, block_chars)
+    out, block = docs, next(blocks, None)
+    while block is not None:
+        out = out.where(~_holds_item(spark.sparkContext.broadcast(block), share)(F.col(text_col).cast("string")))
+        block = next(blocks, None)
+        if block is not None:
+            out = staged(out, "decontaminated")
+    return out
+
+
 def _holds_item(shared, share: float):
     made: list[Matcher] = []
 
