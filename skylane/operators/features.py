@@ -131,11 +131,11 @@ def impute_mode(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None)
 # ----------------------------------------------------------------- lumping
 def level_shares(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, level, n, share) for every non-NULL level of every column;
-    share is of the column's non-NULL rows. One aggregation job."""
+    share is of the column's non-NULL rows. Lazy: one pass over ``df``, as
+    both uses of the counts share one exchange."""
     stacked = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in cols])))
-    counts = materialize(stacked.filter(F.col("level").isNotNull()).groupBy("feature", "level").agg(
-        F.count(F.lit(1)).alias("n")))                  # one row per level; read twice
+    counts = stacked.filter(F.col("level").isNotNull()).groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("feature").agg(F.sum("n").alias("_tot"))
     # one row per feature column: a bounded broadcast
     return counts.join(F.broadcast(totals), "feature").select(
@@ -155,7 +155,7 @@ def lump_table(df: DataFrame, cols: list[str], prop: float = 0.01, other: str =
     A level is kept when its share is strictly greater than ``prop``; when
     at most one level would be lumped, nothing is lumped.
     """
-    shares = materialize(level_shares(df, cols))
+    shares = level_shares(df, cols)
     small = shares.groupBy("feature").agg(F.count_if(F.col("share") <= prop).alias("_n_small"))
     j = shares.join(F.broadcast(small), "feature")          # one row per feature column
     keep = (F.col("share") > prop) | (F.col("_n_small") <= 1)
@@ -166,7 +166,9 @@ def lump_table(df: DataFrame, cols: list[str], prop: float = 0.01, other: str =
 def kept_levels(df: DataFrame, cols: list[str], prop: float = 0.01) -> dict[str, list[str] | None]:
     """Levels kept by proportion lumping, per column (``None``: no lumping).
     At most ``1/prop`` levels can be kept, so the driver receives a bounded
-    list whatever the data size."""
+    list whatever the data size; ``prop`` must be positive."""
+    if not prop > 0:
+        raise ValueError("prop must be positive")
     out: dict[str, list[str] | None] = {c: None for c in cols}
     for r in _lump_stats(df, cols, prop).collect():
         out[r["feature"]] = None if r["n_small"] <= 1 else sorted(r["kept"])
