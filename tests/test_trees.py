@@ -31,7 +31,16 @@ ESTIMATORS = {
 }
 
 
+FITTED = {}
+
+
 def _fit(data, kind):
+    if kind not in FITTED:
+        FITTED[kind] = _new_fit(data, kind)
+    return FITTED[kind]
+
+
+def _new_fit(data, kind):
     return ESTIMATORS[kind]().fit(data.rows.withColumn("y", design.F.col("y").cast("double")))
 
 
