@@ -19,7 +19,7 @@ from pyspark.sql import Window
 from skylane.llm.common import staged, text_or_empty
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
-MAX_ROUNDS = 64         # of doubling: reply chains of up to 2^64 messages
+MAX_ROUNDS = 64         # of doubling: conversations of up to 2^63 messages
 
 
 def normal(text: Column) -> Column:
@@ -28,7 +28,7 @@ def normal(text: Column) -> Column:
 
 
 def _key(text: Column) -> Column:
-    return F.xxhash64(normal(text), F.length(normal(text)))
+    return F.unhex(F.sha2(normal(text), 256))
 
 
 def lines_of(messages: DataFrame) -> DataFrame:
@@ -119,22 +119,49 @@ def kept_text(lines: DataFrame, linked: DataFrame) -> DataFrame:
     return _without(left, "kept").join(_without(rest, "unlinked"), ["conv_id", "turn", "mid"], "left").withColumn("kept", _trimmed(F.col("kept")))
 
 
-def reply_paths(links: DataFrame) -> DataFrame:
-    """``conv_id, turn, path``: turns from the thread's first message down to each replying turn.
-
-    Parents are earlier turns, so there are no circles; each round joins every
-    open chain to its parent's chain, which doubles what is resolved."""
-    one = links.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("top"))
-    paths = staged(one.select("conv_id", "turn", "top", F.array("top", "turn").alias("path")), "reply-paths")
+def _indexed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``idx``, their place from 0 in the order of ``keys``: ranges of the order, each counted by itself."""
+    order = [F.col(k) for k in keys]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = staged(dealt.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "indexed")
+    piece = dealt.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n"))          # a row per range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(piece.select("part", (before - F.col("first")).alias("shift")), "part").select(*rows.columns, (F.col("at") + F.col("shift")).alias("idx"))
+
+
+def reply_order(turns: DataFrame, links: DataFrame) -> DataFrame:
+    """``conv_id, turn, seq, depth``: order of the turns (growing along the conversation) and their depth in the thread.
+
+    ``turns`` are all turns of the conversations with links. Each turn is
+    entered and left on a walk through the replies; every step knows the next
+    one, and doubling these pointers counts for every step what is entered
+    after it and how deep it stands. So a long chain of replies costs rounds
+    that grow with its logarithm, and rows of fixed size."""
+    one = links.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("up"))
+    tree = _indexed(turns.join(one, ["conv_id", "turn"], "left").select("conv_id", "up", "turn"), ["conv_id", "up", "turn"])
+    tree = staged(tree, "reply-tree")
+    if tree.isEmpty():
+        return tree.select("conv_id", "turn", F.col("idx").alias("seq"), F.lit(0).cast("long").alias("depth"))
+    after = tree.select(F.col("conv_id").alias("c2"), F.col("up").alias("u2"), (F.col("idx") - 1).alias("idx"), F.col("idx").alias("sibling"))
+    child = tree.where("up is not null").groupBy("conv_id", "up").agg(F.min("idx").alias("child"))
+    parent = tree.select("conv_id", F.col("turn").alias("up"), F.col("idx").alias("parent"))
+    t = tree.join(after, "idx", "left")
+    t = t.withColumn("sibling", F.when((F.col("conv_id") == F.col("c2")) & F.col("up").eqNullSafe(F.col("u2")), F.col("sibling"))).drop("c2", "u2")
+    t = t.join(parent, ["conv_id", "up"], "left").join(child.withColumnRenamed("up", "turn"), ["conv_id", "turn"], "left")
+    enter = F.struct((F.col("idx") * 2).alias("id"), F.coalesce(F.col("child") * 2, F.col("idx") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("level"))
+    leave = F.struct((F.col("idx") * 2 + 1).alias("id"), F.coalesce(F.col("sibling") * 2, F.col("parent") * 2 + 1).alias("next"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("level"))
+    steps = staged(t.select(F.inline(F.array(enter, leave))), "reply-steps")
     for _ in range(MAX_ROUNDS):
-        up = paths.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("top2"), F.col("path").alias("path2"))
-        if paths.join(up, ["conv_id", "top"], "left_semi").isEmpty():
-            return paths.select("conv_id", "turn", "path")
-        far = paths.join(up, ["conv_id", "top"], "left")
-        paths = staged(far.select("conv_id", "turn", F.coalesce("top2", "top").alias("top"),
-                                  F.when(F.col("path2").isNull(), F.col("path")).otherwise(
-                                      F.concat("path2", F.slice("path", 2, F.size("path") - 1))).alias("path")), "reply-paths")
-    raise ValueError("reply chains did not resolve")
+        if steps.where("next is not null").isEmpty():
+            break
+        far = steps.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("n").alias("n2"), F.col("level").alias("level2"))
+        joined = steps.join(far, "next", "left")
+        steps = staged(joined.select("id", F.col("next2").alias("next"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"),
+                                     (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level")), "reply-steps")
+    # what is entered from a turn on falls along the walk; the levels from a turn on add up to less the turns around it
+    entered = steps.where("id % 2 = 0").select((F.col("id") / 2).cast("long").alias("idx"), (-F.col("n")).alias("seq"), (-F.col("level")).alias("depth"))
+    return tree.join(entered, "idx").select("conv_id", "turn", "seq", "depth")
 
 
 def _positions(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,10 +183,11 @@ def _positions(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def format_chat(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                 text_col: str = "text") -> DataFrame:
-    """One row per input row: conv_id, turn, role, text, reply_to, depth, path, n_quotes, n_linked, unlinked, position, formatted.
+    """One row per input row: conv_id, turn, role, text, reply_to, depth, n_quotes, n_linked, unlinked, position, formatted.
 
     ``text`` is the message without quotes; ``reply_to`` the turn it answers
-    by quotation (null if it quotes nothing that is known); ``position`` its
+    by quotation (null if it quotes nothing that is known); ``depth`` the
+    number of turns above it in its thread; ``position`` its
     place in reply order within the conversation: threads in the order of
     their first turn, answers right after what they answer; ``unlinked`` the
     quoted lines that no earlier message holds, with their marks (null without
@@ -185,19 +213,20 @@ def format_chat(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     own = staged(own_text(involved, lines), "own-text")
     linked = staged(linked_parts(parts, own), "linked-passages")
     links = staged(reply_links(linked), "reply-links")
-    paths = reply_paths(links)
+    order = reply_order(involved.join(links.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn").distinct(), links)
     counts = lines.where("depth > 0").groupBy("conv_id", "turn", "mid").agg(F.countDistinct("run").alias("n_quotes"))
     extra = (own.select("conv_id", "turn", "mid", "own").join(links, ["conv_id", "turn", "mid"], "left")
-             .join(counts, ["conv_id", "turn", "mid"], "left").join(kept_text(lines, linked), ["conv_id", "turn", "mid"], "left").join(paths, ["conv_id", "turn"], "left"))
+             .join(counts, ["conv_id", "turn", "mid"], "left").join(kept_text(lines, linked), ["conv_id", "turn", "mid"], "left").join(order, ["conv_id", "turn"], "left"))
     joined = raw.join(extra.withColumn("known", F.lit(True)), ["conv_id", "turn", "mid"], "left")
     text = F.when(F.col("known"), F.col("own")).otherwise(F.col("text"))
     # a message of nothing but linked quotes has a count of quotes and nothing kept
     kept = F.when(F.col("n_quotes").isNull(), text).otherwise(F.coalesce("kept", F.lit("")))
     rows = joined.select("conv_id", "turn", "role", text.alias("text"), kept.alias("kept"), "unlinked", "reply_to",
-                         F.coalesce("path", F.array("turn")).alias("path"), F.coalesce("n_quotes", F.lit(0).cast("long")).alias("n_quotes"),
+                         F.when(F.col("turn").isNotNull(), F.coalesce("seq", F.lit(0).cast("long"))).alias("seq"), F.coalesce("depth", F.lit(0).cast("long")).cast("int").alias("depth"),
+                         F.coalesce("n_quotes", F.lit(0).cast("long")).alias("n_quotes"),
                          F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "mid")
-    placed = _positions(rows, ["conv_id", "path", "turn", "mid"])
-    return placed.select("conv_id", "turn", "role", "text", "reply_to", (F.size("path") - 1).alias("depth"), "path", "n_quotes", "n_linked",
+    placed = _positions(rows, ["conv_id", "seq", "turn", "mid"])         # seq: null first, and the same for all turns where nothing is linked
+    return placed.select("conv_id", "turn", "role", "text", "reply_to", "depth", "n_quotes", "n_linked",
                          "unlinked", "position", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "kept", F.lit("\n<|end|>\n")).alias("formatted"))
 
 
