@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": froze
              "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
              "tbody": frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), "tfoot": frozenset(["tbody", "thead", "tr", "td", "th"])}
 SCOPE = frozenset("ul ol dl table article section main div body html td th blockquote".split())
+LISTS = frozenset("ul ol dl table select".split())
+_STOPS = SCOPE | LISTS | {"p"}.union(*CLOSED_BY.values())       # elements at which a search for one to close looks
 # Class, id and role words of page furniture, held against whole words between white space.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb "
                       "breadcrumbs header footer sidebar aside cookie cookies consent notice notices popup modal newsletter subscribe share "
@@ -50,11 +53,12 @@ _WORD = re.compile(r"\w")
 
 
 class Node:
-    __slots__ = ("chars", "density", "drop", "holds", "kids", "link_chars", "link_tags", "name", "suspect", "sum", "tags", "up")
+    __slots__ = ("chars", "density", "drop", "holds", "kids", "link_chars", "link_tags", "name", "stop", "suspect", "sum", "tags", "up")
 
     def __init__(self, name: str, up, drop: bool = False, suspect: frozenset = frozenset()):
         self.name, self.up, self.drop, self.suspect, self.kids = name, up, drop, suspect, []
         self.holds = frozenset()
+        self.stop = self if name in _STOPS else up and up.stop      # the nearest of _STOPS, this one or above
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -64,9 +68,20 @@ def _furniture(attrs: str) -> frozenset:
 
 
 def parse(page: str) -> Node:
-    """The page as a tree; texts are the strings among a node's kids. Unclosed and stray tags are mended as browsers do."""
+    """The page as a tree; texts are the strings among a node's kids. Unclosed and stray tags are mended as browsers do.
+
+    Time grows with the page whatever its nesting: nothing is searched for
+    that is not open, and what is passed on the way up is closed."""
     root = Node("html", None)
     now, at, n = root, 0, len(page)
+    is_open: dict[str, int] = defaultdict(int)
+
+    def leave(node: Node, to: Node) -> Node:
+        while node is not to:
+            is_open[node.name] -= 1
+            node = node.up
+        return to
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -81,19 +96,18 @@ def parse(page: str) -> Node:
                 now.kids.append(_html.escape(m.group()[9:-3]))
             continue
         if m.group(1) or m.group(4):
-            node = now
-            while node is not None and node.name != name:
-                node = node.up
-            if node is not None and node.up is not None:
-                now = node.up
+            if is_open[name]:
+                node = now
+                while node.name != name:
+                    node = node.up
+                now = leave(now, node.up)
             continue
         attrs = m.group(3) or m.group(6) or ""
         if name == "html":
             continue
         if name == "body":
-            while now.up is not None:           # a head that was left open ends here
-                now = now.up
-        now = _close_for(now, name)
+            now = leave(now, root)              # a head that was left open ends here
+        now = leave(now, _close_for(now, name, is_open))
         named = attrs if name not in ("body", "article", "main") else ""
         words = _furniture(named) if named else frozenset()
         node = Node(name, now, name in HIDDEN or bool(named and _HIDE.search(named)), words | {f"<{name}>"} if name in FRAME else words)
@@ -103,23 +117,25 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
         elif name not in VOID and not attrs.endswith("/"):
             now = node
+            is_open[name] += 1
     return root
 
 
-def _close_for(now: Node, name: str) -> Node:
+def _close_for(now: Node, name: str, is_open: dict[str, int]) -> Node:
     """The node that a new element of this name goes into."""
-    if name in CLOSES_P:
-        node = now
+    above = lambda node: node.up and node.up.stop
+    if name in CLOSES_P and is_open["p"]:
+        node = now.stop
         while node is not None and node.name != "p" and node.name not in SCOPE:
-            node = node.up
+            node = above(node)
         if node is not None and node.name == "p":
             now = node.up
-    if name in CLOSED_BY:
-        node, last = now, None
-        while node is not None and node.name not in ("ul", "ol", "dl", "table", "select"):
+    if name in CLOSED_BY and any(is_open[x] for x in CLOSED_BY[name]):
+        node, last = now.stop, None
+        while node is not None and node.name not in LISTS:
             if node.name in CLOSED_BY[name]:
                 last = node
-            node = node.up
+            node = above(node)
         if last is not None:
             now = last.up
     return now
@@ -237,8 +253,7 @@ def main_nodes(root: Node) -> list[Node]:
     """The subtrees that make up the article, in page order; text that stands directly in a node above them is part of it."""
     nodes = measure(root)
     body = next((x for x in nodes if x.name == "body"), root)
-    inner = [x for x in nodes if x is body or _below(x, body)]
-    best = max(inner, key=lambda x: x.sum)      # of equal sums the outermost
+    best = max(_order(body), key=lambda x: x.sum)      # of equal sums the outermost
     if best.sum <= 0:
         best = body
     path, node = [], best
@@ -263,14 +278,6 @@ def main_nodes(root: Node) -> list[Node]:
     return chosen
 
 
-def _below(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.up
-    return False
-
-
 def blocks(top: Node) -> list[str]:
     """Texts of the blocks below a node, white space as one space, character references decoded."""
     out, line = [], []
