@@ -394,7 +394,7 @@ def test_chat(spark):
     got = chat.format_chat(df).collect()
     one = {r.turn: r for r in got if r.conv_id == 1}
     assert (one[3].reply_to, one[3].text, one[3].depth) == (0, "Ten minutes.", 1)
-    assert (one[4].reply_to, one[4].text, one[4].path, one[4].n_quotes, one[4].n_linked) == (3, "Sure?", [0, 3, 4], 2, 2)
+    assert (one[4].reply_to, one[4].text, one[4].depth, one[4].n_quotes, one[4].n_linked) == (3, "Sure?", 2, 2, 2)
     assert (one[5].reply_to, one[5].text) == (None, "Hm")
     assert [r.turn for r in sorted(one.values(), key=lambda r: r.position)] == [0, 3, 4, 1, 2, 5]
     assert next(r for r in got if r.conv_id == 2 and r.turn == 1).reply_to is None
@@ -489,3 +489,134 @@ def test_jaccard_join_counts_every_link(spark, odd, monkeypatch):
     assert (got[1][0].n_links, got[1][0].n_equal, got[3][0].n_links, got[3][0].n_equal) == (1, 1, 2, 0)
     assert [(x.n_links, x.n_equal) for x in got[None] + got[4]] == [(0, 0)] * 3 and len(got[7]) == 2
     assert jaccard.jaccard_join(odd.where("doc_id < 0")).count() == 0
+
+
+def test_token_counts_of_odd_signs_at_small_cuts(monkeypatch):
+    """Literal white-space marks, kinds of white space and combining marks beside the places where long texts are cut."""
+    import sentencepiece
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = np.random.default_rng(11)
+    signs = list("ab1.,") + ["\u2581", "\u2581\u2581", "\u3000", "\u00a0", "\u200b", "\u0301", "\t", "\n", "é", "日", "\u2028"]
+    signs += [" "] * len(signs)
+    texts = ["".join(r.choice(signs, int(r.integers(1, 60)))) for _ in range(6000)]
+    want = [len(sp.encode(t)) for t in texts]
+    monkeypatch.setattr(token_cache, "LONG_TEXT", 8)
+    assert any(len(token_cache._exact_parts(t)) > 1 for t in texts)
+    assert token_cache.counter(path)(texts) == want
+
+
+def test_a_language_with_many_letters_is_at_home(spark):
+    """3,500 letters and few labelled rows: most trigrams of a clean text are new, yet it stays; another script goes."""
+    r = np.random.default_rng(4)
+    p = 1 / np.arange(1, 3501)
+    text = lambda base: " ".join("".join(chr(base + int(x)) for x in r.choice(3500, 4, p=p / p.sum())) for _ in range(300))
+    rows = [(i, text(0x4E00), "zh") for i in range(75)] + [(i, text(0x4E00), None) for i in range(100, 140)]
+    rows += [(i, text(0xAC00), None) for i in range(200, 220)] + [(300, "123 !", "zh"), (301, None, None), (302, "", "zh")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", langid.F.lit(1))
+    kept = {x.doc_id for x in langid.without_foreign(df, df).collect()}
+    assert kept == {i for i, _, _ in rows if i < 200}
+    assert langid.without_foreign(df, df).columns == df.columns
+    # nothing learned: every text with a letter stays
+    none = langid.without_foreign(df, df.where("lang = 'xx'"))
+    assert {x.doc_id for x in none.collect()} == {i for i, _, _ in rows if i < 300}
+
+
+def test_rows_without_items_block_by_block(spark):
+    items = spark.createDataFrame([(i, long_text(100 + i, 12)) for i in range(4)] + [(9, None)], "item_id long, text string")
+    held = [r.text for r in items.orderBy("item_id").collect()]
+    docs = [(i, f"{long_text(i, 30)} {held[i % 5] if i % 3 == 0 and held[i % 5] else ''} {long_text(50 + i, 20)}") for i in range(30)] + [(99, None), (98, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("distance", decontam.F.lit("x"))
+    want = {i for i, t in docs if not t or not any(x and x in t for x in held)}
+    for chars in (1 << 20, 40):
+        got = decontam.without_items(df, items, block_chars=chars)
+        assert {r.doc_id for r in got.collect()} == want and got.columns == df.columns
+    assert decontam.without_items(df, items.limit(0)).count() == len(docs)
+
+
+def test_license_passages_keep_apart(spark):
+    """Every passage gets its own label, whole or with a word added; names are not confused with longer ones."""
+    names = [n for n, _ in license_scan.TEMPLATES]
+    assert len(set(names)) == len(names)
+    rows = [(i, f"Intro words {t.upper()} outro") for i, (_, t) in enumerate(license_scan.TEMPLATES)]
+    rows += [(100 + i, f"x {' '.join(t.split()[:5])} INSERTED {' '.join(t.split()[5:])}") for i, (_, t) in enumerate(license_scan.TEMPLATES)]
+    got = by_id(license_scan.license_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, (name, t) in enumerate(license_scan.TEMPLATES):
+        assert name in got[i][0].labels.split(",") and got[i][0].score == 1.0
+        if len(t.split()) >= 12 and name not in license_scan.KEYS:
+            assert name in got[100 + i][0].labels.split(",")
+    at = {n: got[i][0].labels.split(",") for i, n in enumerate(names)}
+    assert "notice:gpl" not in at["notice:lgpl"] and "text:gpl" not in at["text:agpl"] and "notice:cc-by-4.0" not in at["notice:cc-by-sa-4.0"]
+    assert "notice:mit" not in at["text:mit"] and at["text:mpl-2.0"] == ["text:mpl-2.0"]
+
+
+def test_html_time_grows_with_the_page():
+    """Deep nesting, stray end tags and elements that would close far ones: no search is repeated."""
+    import time
+    n = 100_000
+    pages = ["<div>" * n + "text", "<b>" * (n // 2) + "</i>" * n + "text", "<p>" + "<b>" * (n // 2) + "<div></div>" * (n // 2) + "text",
+             "<table>" + "<b>" * (n // 2) + "<td></td>" * (n // 2) + "text", "<ul>" * 50 + "<b>" * (n // 2) + "<li></li>" * (n // 2) + "text"]
+    for page in pages:
+        start = time.process_time()
+        assert "text" in html_extract.extract(page)
+        assert time.process_time() - start < 12           # some 2 s on an idle machine; minutes if it were quadratic
+
+
+def test_reply_order_against_a_walk(spark):
+    """Random trees, a long chain and a message that thousands answer, by a plain walk."""
+    r = np.random.default_rng(9)
+    up = {(c, t): (None if t == 0 or r.random() < 0.3 else int(r.integers(0, t))) for c in range(6) for t in range(int(r.integers(1, 40)))}
+    up |= {(50, t): t - 1 if t else None for t in range(700)} | {(51, t): 0 if t else None for t in range(900)}
+    turns = spark.createDataFrame(list(up), "conv_id long, turn int")
+    links = spark.createDataFrame([(c, t, 0, u, 1) for (c, t), u in up.items() if u is not None], "conv_id long, turn int, mid long, reply_to int, n_linked long")
+    got = {(x.conv_id, x.turn): (x.seq, x.depth) for x in chat.reply_order(turns, links).collect()}
+    want = {}
+    for c in {c for c, _ in up}:
+        kids = defaultdict(list)
+        for (c2, t), u in sorted(up.items(), key=lambda x: x[0]):
+            if c2 == c:
+                kids[u].append(t)
+        stack = [(t, 0) for t in reversed(kids[None])]
+        while stack:
+            t, depth = stack.pop()
+            want[c, t] = (sum(k[0] == c for k in want), depth)
+            stack += [(k, depth + 1) for k in reversed(kids[t])]
+    assert len(got) == len(want) and all(got[k][1] == want[k][1] for k in want)
+    for c in {c for c, _ in up}:
+        order = sorted((k for k in got if k[0] == c), key=lambda k: got[k][0])
+        assert order == sorted((k for k in want if k[0] == c), key=lambda k: want[k][0])
+
+
+def test_chain_of_quotes(spark):
+    """Each message quotes the last one's words: depth grows by one, rows stay small."""
+    rows = [(1, t, "user", (f"> answer {t - 1}\n" if t else "") + f"answer {t}") for t in range(300)]
+    got = sorted(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect(), key=lambda x: x.position)
+    assert [(x.turn, x.depth, x.text, x.reply_to) for x in got] == [(t, t, f"answer {t}", t - 1 if t else None) for t in range(300)]
+
+
+def test_language_counts_of_many_languages(spark):
+    """More languages than a task adds up itself: the same counts; more than the model holds: refused before they are collected."""
+    rows = [(i, f"wort{i % 40} und text {i}", f"l{i % 40:02d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    langs, logp = langid.train(df)
+    assert langs == sorted({x for _, _, x in rows})
+    for i in (0, 39):
+        n = np.zeros(langid.BUCKETS)
+        for _, t, x in rows:
+            if x == langs[i]:
+                np.add.at(n, langid.trigrams(t), 1)
+        n += langid.SMOOTHING
+        assert np.allclose(logp[i], np.log(n / n.sum()), atol=1e-5)
+    with pytest.raises(ValueError):
+        langid.train(spark.range(2000).selectExpr("id AS doc_id", "'some text' AS text", "concat('x', id) AS lang"))
+
+
+def test_mixture_shares_maximise_the_likelihood():
+    """The shares found against a fine search over two languages and the flat source."""
+    r = np.random.default_rng(7)
+    p = np.vstack([r.dirichlet(np.ones(50) * 0.2, 2), np.full((1, 50), 1 / 50)]).astype(np.float32)
+    count = r.multinomial(400, 0.7 * p[0] + 0.3 * p[1]).astype(np.float32)
+    share = langid._em(p, count)
+    like = lambda s: float(count @ np.log(s @ p + 1e-30))
+    grid = [(a / 100, b / 100, 1 - (a + b) / 100) for a in range(101) for b in range(101 - a)]
+    assert like(share) >= max(like(np.array(s)) for s in grid) - 0.05 and abs(share.sum() - 1) < 1e-3
