@@ -9,6 +9,7 @@ only if the gain in log-likelihood pays a penalty per extra language.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ BUCKETS = 1 << 18       # trigram hash buckets of the model
 SMOOTHING = 0.01        # added to every bucket of a language
 PENALTY = 3.0           # log(n trigrams) times this per language in the set
 MAX_LANGUAGES = 512     # bound of the broadcast model: 512 x 2^18 x 4 bytes
+DENSE_LANGUAGES = 16    # languages that a task adds up itself: 16 x 2 MiB
 MAX_OTHER = 0.5         # share of "other" from which a document is rejected
 MIN_SHARE = 0.01        # share of the full mixture from which a language may join the set
 ROUNDS = 60
@@ -50,20 +52,29 @@ def trigrams(text: str | None) -> np.ndarray | None:
 
 
 def _count_batches(batches):
+    """Rows lang, bucket, n. The first ``DENSE_LANGUAGES`` languages of a task are added up in it, others leave text by
+    text, so the memory of a task does not grow with the languages."""
     total: dict[str, np.ndarray] = {}
+
+    def rows(lang: str, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             g = trigrams(text)
-            if g is not None:
-                if lang not in total:
-                    total[lang] = np.zeros(BUCKETS, np.int64)
-                total[lang] += np.bincount(g, minlength=BUCKETS) if len(g) > 4096 else 0
-                if len(g) <= 4096:
-                    np.add.at(total[lang], g, 1)
+            if g is None:
+                continue
+            if lang not in total and len(total) < DENSE_LANGUAGES:
+                total[lang] = np.zeros(BUCKETS, np.int64)
+            if lang not in total:
+                yield rows(lang, *np.unique(g, return_counts=True))
+            elif len(g) > 4096:
+                total[lang] += np.bincount(g, minlength=BUCKETS)
+            else:
+                np.add.at(total[lang], g, 1)
     for lang, n in total.items():
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())],
-                                         ["lang", "bucket", "n"])
+        yield rows(lang, at, n[at])
 
 
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
@@ -71,18 +82,26 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
 
     Counts are summed in the tasks and by language and bucket; only the
     finished model (languages x buckets) reaches the driver."""
+    return learn(labelled, lang_col, text_col)[:2]
+
+
+def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As :func:`train`, and for each language the share of trigrams that a new text of it can be expected to
+    show for the first time: the share of those met once among all met (Good and Turing)."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    found = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()       # before any count is collected
+    if found > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; the model is bounded to as many")
     counts = (rows.mapInArrow(_count_batches, "lang string, bucket int, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     table = counts.toPandas()
     langs = sorted(table["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model is bounded to {MAX_LANGUAGES}")
     n = np.zeros((len(langs), BUCKETS), np.float64)
     n[table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), table["bucket"].to_numpy(int)] = table["n"]
+    new = (n == 1).sum(axis=1) / np.maximum(n.sum(axis=1), 1)
     n += SMOOTHING
-    return langs, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
+    return langs, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32), new
 
 
 def _em(p: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -190,3 +209,31 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, id_col: str =
 def accepted(pred: DataFrame, max_other: float = MAX_OTHER) -> DataFrame:
     """Predictions of documents in a learned language: not ``und``, and not mostly "other"."""
     return pred.where((F.col("lang_pred") != "und") & (F.col("other") < max_other))
+
+
+def is_foreign(text: str | None, langs: list[str], logp: np.ndarray, new: np.ndarray, max_other: float = MAX_OTHER) -> bool:
+    """Whether a text has no letter, or is mostly in none of the learned languages.
+
+    New trigrams go to "other" too, and a language with many letters or few
+    labelled texts shows many: of a text's share of "other" only what exceeds
+    the expected share of new trigrams of its main language speaks against it.
+    Where nothing was learned, every text with a letter is at home."""
+    grams = trigrams(text)
+    if grams is None:
+        return True
+    if not langs:
+        return False
+    share, other = infer(grams, logp)
+    expected = new[int(share.argmax())]
+    return other >= expected + (1 - expected) * max_other
+
+
+def without_foreign(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are not foreign, as they are; learns from the rows of ``learn_from`` that are not held out."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(learn_from.where(~held_out(id_col)), lang_col, text_col))
+
+    @F.pandas_udf("boolean")
+    def at_home(texts: pd.Series) -> pd.Series:
+        return pd.Series([not is_foreign(t, *model.value) for t in texts], dtype=bool)
+
+    return docs.where(at_home(F.col(text_col).cast("string")))
