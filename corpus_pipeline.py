@@ -12,7 +12,6 @@ the second; extra columns are carried along; an empty table stays empty.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,37 +23,30 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language."""
-    langs, logp = langid.train(docs.where(~langid.held_out()))
-    model = spark.sparkContext.broadcast(logp)
-
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        found = (langid.trigrams(t) if langs else None for t in texts)
-        return pd.Series([g is not None and langid.infer(g, model.value)[1] < langid.MAX_OTHER for g in found], dtype=bool)
-
-    return docs.where(keep(F.col("text").cast("string")))
+    """Keeps documents in a learned language; null and letterless texts go, and where no row names a language
+    every other text stays. Each row is judged by its own text, so repeated rows go or stay together."""
+    return langid.without_foreign(docs, docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts."""
+    """Keeps one row of each group of equal texts, the smallest doc_id; null counts as empty."""
     return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies; documents without words stay."""
+    """Keeps one document of each group of near copies, the smallest doc_id; null texts and documents without words stay."""
     classes = jaccard.jaccard_components(docs, SHINGLE, NUM, DEN)
     gone = classes.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item."""
-    return docs.where(~decontam.is_contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Keeps documents that hold no benchmark item; null texts hold none, repeated rows go or stay together."""
+    return decontam.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 2,048 tokens."""
+    """Pieces of the documents and their places in sequences of 2,048 tokens; null counts as empty."""
     import public_tokenizers
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
