@@ -45,6 +45,7 @@ PART_FILL = 0.85        # shingles per part, as a share of the most that the thr
 BLOCK = 4096            # members of a tile that are compared with each other in one task
 BLOCK_SHINGLES = 1 << 20        # shingles of a block whose links are counted in one task
 SCREEN = 128            # most 64-bit words of a folded bitmap
+KEYS_HELD = 64          # tiles of a set that its rows carry along
 ROUNDS = 3              # passes over the tiles with forests, before one with all pairs that are left
 CHUNK = 1 << 22         # bytes of text hashed at a time
 
@@ -286,14 +287,19 @@ def _filter_exact(scheme: Scheme):
 def _tile_pairs(scheme: Scheme, forest: bool):
     """Pairs of one tile block, in different components, that the bitmaps allow; rows come sorted by tile.
 
+    A pair that meets in several tiles comes from the smallest of them only
+    where both rows hold their tiles (``keys``); pairs of others, that lie in
+    more than ``KEYS_HELD`` tiles, are told apart later.
+
     Bitmaps folded to one length screen a row against all that follow at a
     time; pairs that pass are held against their full bitmaps. As a
     ``forest``, a pair joins the components of its rows within the block, so
-    that there are fewer pairs than rows; the likeliest come first.
+    that there are fewer pairs than rows; the likeliest come first, from any
+    tile.
     """
     num, den = scheme.num, scheme.den
 
-    def pairs(rows):
+    def pairs(rows, tile):
         node, n, comp, side = (np.array([r[c] for r in rows], dtype=np.int64) for c in (0, 1, 3, 4))
         bits = [np.frombuffer(r[2], np.uint64) for r in rows]
         size = min(SCREEN, *(len(b) for b in bits))
@@ -309,6 +315,8 @@ def _tile_pairs(scheme: Scheme, forest: bool):
             fits = den * common >= num * (total - common)
             at, rank = at[fits], (common / total)[fits]
             for j in at[np.argsort(-rank, kind="stable")] if forest else at:
+                if rows[i][5] and rows[j][5] and min(rows[i][5] & rows[j][5]) != tile:
+                    continue
                 if comp[i] != comp[j] and scheme.may_link(int(n[i]), int(n[j]), differing_bits(rows[i][2], rows[j][2])):
                     out.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
                     if forest:
@@ -321,14 +329,15 @@ def _tile_pairs(scheme: Scheme, forest: bool):
     def run(batches):
         tile, rows = None, []
         for b in batches:
-            for key, t1, t2, node, n, bits, comp, side in zip(*(b.column(c).to_pylist() for c in ("key", "t1", "t2", "node", "n", "bits", "comp", "side")), strict=True):
+            columns = ("key", "t1", "t2", "node", "n", "bits", "comp", "side", "keys")
+            for key, t1, t2, node, n, bits, comp, side, keys in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 if (key, t1, t2) != tile:
                     if len(rows) > 1:
-                        yield emit(pairs(rows))
+                        yield emit(pairs(rows, tile[0]))
                     tile, rows = (key, t1, t2), []
-                rows.append((node, n, bits, comp, side))
+                rows.append((node, n, bits, comp, side, keys and set(keys)))
         if len(rows) > 1:
-            yield emit(pairs(rows))
+            yield emit(pairs(rows, tile[0]))
     return run
 
 
@@ -433,7 +442,12 @@ def _across(tiles: DataFrame, comp: DataFrame, bits: DataFrame, scheme: Scheme,
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "node", "comp",
                      F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side")))
-    return (dealt.join(bits, "node").select("key", "t1", "t2", "node", "n", "bits", "comp", "side")
+    if forest:
+        held = bits.withColumn("keys", F.lit(None).cast("array<long>"))
+    else:       # a set lies in as many tiles as it has parts: thousands, if its text is long
+        held = bits.join(dealt.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+        held = held.withColumn("keys", F.when(F.size("keys") <= KEYS_HELD, F.col("keys")))
+    return (dealt.join(held, "node").select("key", "t1", "t2", "node", "n", "bits", "comp", "side", "keys")
             .repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(_tile_pairs(scheme, forest), PAIRS).distinct())
 
 
