@@ -1,7 +1,7 @@
 """Logistic regression by Newton steps (iteratively reweighted least squares).
 
-Every step sums X'WX and X'(y - p) over the rows in the tasks; only these
-sums, as large as the square of the model's width, reach the driver, which
+Every step sums X'WX and X'(y - p) over the rows in the tasks, in one pass over
+rows kept by the entries that are not zero; only these sums, as large as the square of the model's width, reach the driver, which
 solves for the next coefficients. At the end the same matrix gives the
 standard errors. No penalty: the maximum of the likelihood itself.
 """
@@ -48,42 +48,67 @@ class LogisticFit:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
 
 
+def _packed(batches):
+    """Blocks of rows: how many entries each row has that are not zero, their slots and values, and the labels."""
+    for b in batches:
+        v = dict(zip([f.name for f in b.column("features").type], b.column("features").flatten(), strict=True))
+        size = v["values"].value_lengths().to_numpy(zero_copy_only=False)
+        values = v["values"].flatten().to_numpy(zero_copy_only=False)
+        slot = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)               # dense vectors: the place itself
+        sparse = np.repeat(v["type"].to_numpy(zero_copy_only=False) == 0, size)
+        if sparse.any():
+            slot[sparse] = v["indices"].flatten().to_numpy(zero_copy_only=False)              # indices are null for dense vectors
+        row = np.repeat(np.arange(b.num_rows), size)[values != 0]
+        parts = [np.bincount(row, minlength=b.num_rows).astype(np.int32), slot[values != 0].astype(np.int32), values[values != 0],
+                 b.column("y").to_numpy(zero_copy_only=False)]
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["size", "slot", "value", "y"])
+
+
+def _blocks(batches, width: int):
+    """(x, y) of at most CELLS cells each, x dense with a first column of ones."""
+    step = max(1, CELLS // width)
+    for b in batches:
+        for size, slot, value, y in zip(*(b.column(c).to_pylist() for c in ("size", "slot", "value", "y")), strict=True):
+            size, slot, value, y = np.frombuffer(size, np.int32), np.frombuffer(slot, np.int32), np.frombuffer(value), np.frombuffer(y)
+            first = np.concatenate([[0], np.cumsum(size)])
+            for at in range(0, len(y), step):
+                n = min(step, len(y) - at)
+                of = slice(first[at], first[at + n])
+                x = np.zeros((n, width))
+                x[:, 0] = 1.0
+                x[np.repeat(np.arange(n), size[at:at + n]), slot[of] + 1] = value[of]
+                yield x, y[at:at + n]
+
+
 def _sums(beta: np.ndarray):
-    """Rows (i, values): row i of X'WX; i = -1: X'(y - p), the log-likelihood and the number of rows."""
+    """Rows (i, values): row i of X'WX; i = -1: X'(y - p), the log-likelihood and the number of rows. All of one length."""
     width = len(beta)
 
     def run(batches):
-        xwx, xr, ll, n = np.zeros((width, width)), np.zeros(width), 0.0, 0
-        for b in batches:
-            x_all, y_all = b.column("x"), b.column("y").to_numpy()
-            for at in range(0, b.num_rows, max(1, CELLS // width)):
-                part = x_all.slice(at, max(1, CELLS // width))
-                x = np.ones((len(part), width))
-                x[:, 1:] = part.flatten().to_numpy().reshape(len(part), width - 1)
-                y = y_all[at:at + len(part)]
-                eta = x @ beta
-                p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-                xwx += (x * (p * (1 - p))[:, None]).T @ x
-                xr += x.T @ (y - p)
-                ll += float((y * eta - np.logaddexp(0, eta)).sum())
-                n += len(part)
+        xwx, xr, ll, n = np.zeros((width, width + 2)), np.zeros(width), 0.0, 0
+        for x, y in _blocks(batches, width):
+            eta = x @ beta
+            p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+            xwx[:, :width] += (x * (p * (1 - p))[:, None]).T @ x
+            xr += x.T @ (y - p)
+            ll += float((y * eta - np.logaddexp(0, eta)).sum())
+            n += len(y)
         rows = [*xwx, np.concatenate([xr, [ll, n]])]
         yield pa.RecordBatch.from_arrays([pa.array([*range(width), -1], pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["i", "values"])
     return run
 
 
 def _totals(rows: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """One pass over the packed rows, one job."""
     width = len(beta)
     parts = rows.mapInArrow(_sums(beta), "i int, values array<double>")
-    # the last row is longer by two: kept apart, as vectors of one size are summed
-    out = {}
-    for where in (F.col("i") >= 0, F.col("i") < 0):
-        found = parts.filter(where).groupBy("i").agg(Summarizer.sum(array_to_vector("values")).alias("s"))
-        out |= {r["i"]: r["s"].toArray() for r in found.collect()}
+    found = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("values")).alias("s"))
+    out = {r["i"]: r["s"].toArray() for r in found.collect()}
     if not out:
         return np.zeros((width, width)), np.zeros(width), 0.0, 0
     last = out[-1]
-    return np.array([out[i] for i in range(width)]), last[:width], float(last[width]), int(last[width + 1])
+    return np.array([out[i][:width] for i in range(width)]), last[:width], float(last[width]), int(last[width + 1])
 
 
 def independent(m: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
@@ -103,8 +128,8 @@ def fit_logistic(design: Design, max_steps: int = 30, tolerance: float = 1e-10)
     a step that would lower the likelihood is halved. With separated classes there is no maximum: the fit stops
     after ``max_steps`` and says so in ``converged``."""
     from pyspark import StorageLevel
-    rows = design.rows.select(vector_to_array("features").alias("x"), F.col(design.label).cast("double").alias("y"))
-    rows = rows.filter(F.col("y").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)        # read once per step
+    rows = design.rows.select("features", F.col(design.label).cast("double").alias("y")).filter(F.col("y").isNotNull())
+    rows = rows.mapInArrow(_packed, "size binary, slot binary, value binary, y binary").persist(StorageLevel.MEMORY_AND_DISK)        # read once per step
     try:
         beta = np.zeros(1 + len(design.names))
         m, g, ll, n = _totals(rows, beta)

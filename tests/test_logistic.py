@@ -60,3 +60,20 @@ def test_no_rows_and_separated_classes(spark):
     assert not logistic.fit_logistic(empty).converged
     df = spark.createDataFrame([(i, float(i), int(i > 9)) for i in range(20)], "ROW_KEY long, a double, y int")
     assert not logistic.fit_logistic(design.build(df, "y", ["a"], []), max_steps=12).converged
+
+
+def test_a_step_is_one_job_over_packed_rows(spark):
+    d, _, _ = _data(spark)
+    rows = d.rows.select("features", d.rows.y.cast("double").alias("y")).mapInArrow(logistic._packed, "size binary, slot binary, value binary, y binary").persist()
+    n = rows.count()
+    assert n < 600 and sum(len(r["value"]) for r in rows.collect()) <= 600 * 2 * 8       # no zero is kept
+    spark.sparkContext.setJobGroup("step", "step")
+    try:
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("step"))
+        m, g, ll, count = logistic._totals(rows, np.zeros(4))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("step")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        rows.unpersist()
+    plain = spark.range(100).groupBy("id").count()
+    assert count == 600 and jobs <= 2 and m.shape == (4, 4) and ll == pytest.approx(600 * np.log(0.5)) and plain.count() == 100
