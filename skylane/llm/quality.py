@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from skylane.llm.common import staged
 
-SAMPLE_DOCS = 4000      # labelled documents of each label that the fit uses: those with the smallest hash of the text
 PAIRS_PER_DOC = 4
 PASS_SCORE = 0.7        # score at the cut
 _KINDS = 16             # kinds of characters; the features count their bigrams
+_OTHERS = 9             # measures beside the bigrams
 # Kinds of ASCII signs; letters, digits, spaces and the rest are told apart in _kinds
 _SIGNS = {7: ".", 8: ",;:", 9: "!?", 10: "|", 11: "()[]{}<>", 12: "\"'`", 13: "-_/\\", 14: "#$%&*+=@^~"}
 _table: list = []
@@ -57,8 +57,8 @@ def _spread(items: list[str]) -> tuple[float, float]:
     return len(counts) / len(items), max(counts.values()) / len(items)
 
 
-def features(text: str | None) -> np.ndarray:
-    """Shares (square roots) of the bigrams of character kinds, then size, word and line measures; of the whole text."""
+def _measures(text: str | None) -> tuple[np.ndarray, list[float]]:
+    """Counts of the bigrams of character kinds, then size, word and line measures; of the whole text."""
     text = text or ""
     kinds = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     kinds = np.concatenate(([0], kinds, [0])).astype(np.int64)
@@ -67,16 +67,35 @@ def features(text: str | None) -> np.ndarray:
     distinct, most = _spread(words)
     distinct_lines, most_line = _spread(lines)
     letters = sum(map(len, words)) / max(1, len(words))
-    extra = [math.log1p(len(words)) / 10, 0.0 if words else 1.0, distinct, most, distinct * math.log1p(len(words)) / 10, distinct_lines, most_line,
-             min(letters, 40.0) / 10, min(len(words) / max(1, len(lines)), 200.0) / 100]
-    return np.concatenate([np.sqrt(bigrams / bigrams.sum()), extra])
+    return bigrams, [math.log1p(len(words)) / 10, 0.0 if words else 1.0, distinct, most, distinct * math.log1p(len(words)) / 10, distinct_lines, most_line,
+                     min(letters, 40.0) / 10, min(len(words) / max(1, len(lines)), 200.0) / 100]
+
+
+def features(text: str | None) -> np.ndarray:
+    """Shares (square roots) of the bigrams of character kinds, then the other measures."""
+    return unpacked(packed(text))
+
+
+def packed(text: str | None) -> bytes:
+    """The measures of a text in some hundred bytes: the others, the bigrams' places and their counts."""
+    bigrams, extra = _measures(text)
+    at = np.flatnonzero(bigrams)
+    return np.array(extra).tobytes() + at.astype(np.uint8).tobytes() + bigrams[at].astype(np.int64).tobytes()
+
+
+def unpacked(p: bytes) -> np.ndarray:
+    n = (len(p) - 8 * _OTHERS) // 9
+    at, counts = np.frombuffer(p, np.uint8, n, 8 * _OTHERS), np.frombuffer(p, np.int64, n, 8 * _OTHERS + n)
+    bigrams = np.zeros(_KINDS * _KINDS)
+    bigrams[at] = counts
+    return np.concatenate([np.sqrt(bigrams / bigrams.sum()), np.frombuffer(p, np.float64, _OTHERS)])
 
 
 def _described(batches):
     for b in batches:
         cols = [c for c in b.schema.names if c != "text"]
-        x = [features(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(x, pa.list_(pa.float64()))], [*cols, "x"])
+        x = [packed(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(x, pa.binary())], [*cols, "x"])
 
 
 @dataclass
@@ -98,22 +117,37 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(True))
 
 
-def preference_pairs(sample: DataFrame, per_doc: int = PAIRS_PER_DOC) -> DataFrame:
-    """``label, x``: differences of the features of a good and a bad document, every second one turned round.
-
-    ``sample`` (quality 0/1, place from 0 in its label, x) is bounded; each
-    document of the larger side stands in ``per_doc`` pairs, the others in as many or more."""
+def _paired(sample: DataFrame, per_doc: int) -> DataFrame:
+    """``id, g, b``: the features of a good and a bad document of each pair."""
     n = {r["quality"]: r["count"] for r in sample.groupBy("quality").count().collect()}
     draws = sample.sparkSession.range(per_doc * max(n.values())).select(
         F.col("id"), (F.col("id") % n[1]).alias("good"), ((F.col("id") + F.floor(F.col("id") / max(n.values())) * 7919) % n[0]).alias("bad"))
     good = sample.where("quality = 1").select(F.col("place").alias("good"), F.col("x").alias("g"))
     bad = sample.where("quality = 0").select(F.col("place").alias("bad"), F.col("x").alias("b"))
+    return draws.hint("merge").join(good, "good").hint("merge").join(bad, "bad").select("id", "g", "b")
+
+
+def preference_pairs(sample: DataFrame, per_doc: int = PAIRS_PER_DOC) -> DataFrame:
+    """``label, x``: differences of the features of a good and a bad document, every second one turned round.
+
+    ``sample`` has quality 0/1, place from 0 in its label, and x (an array, or packed); each document
+    of the larger side stands in ``per_doc`` pairs, the others in as many or more."""
     turn = F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0)
-    return draws.join(good, "good").join(bad, "bad").select(
+    pairs = _paired(sample, per_doc)
+    if sample.schema["x"].dataType.typeName() == "binary":
+        pairs = pairs.mapInArrow(_opened, "id long, g array<double>, b array<double>")
+    return pairs.select(
         F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0).alias("label"),
         F.zip_with("g", "b", lambda g, b: (g - b) * turn).alias("x"))
 
 
+def _opened(batches):
+    for b in batches:
+        cols = [c for c in b.schema.names if c not in ("g", "b")]
+        sides = [[unpacked(x) for x in b.column(c).to_pylist()] for c in ("g", "b")]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), *(pa.array(x, pa.list_(pa.float64())) for x in sides)], [*cols, "g", "b"])
+
+
 def _cut(raw: np.ndarray, quality: np.ndarray, bad_share: float) -> float:
     """Quantile ``bad_share`` of the scores, each label weighing as in the whole set; halfway between the two scores beside it."""
     weight = np.where(quality == 0, bad_share / (quality == 0).sum(), (1 - bad_share) / (quality == 1).sum())
@@ -123,42 +157,77 @@ def _cut(raw: np.ndarray, quality: np.ndarray, bad_share: float) -> float:
     return float(raw[order[below - 1]] + raw[order[below]]) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality") -> Model:
-    """Learns from the documents that ``labels`` (id, 0/1) marks; other labels and nulls are left out.
+def _placed(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``place``, the number (from 0) of each row in this order: sorted in ranges, numbered within, then shifted by the rows before."""
+    at = F.monotonically_increasing_id()         # the part above 33 bits, the row in it below
+    ranged = staged(df.orderBy(*order).withColumns({"part": F.shiftright(at, 33), "place": at.bitwiseAND(F.lit((1 << 33) - 1))}), "ordered")
+    before, rows = 0, []
+    for r in sorted(ranged.groupBy("part").count().collect()):      # a row per range
+        rows.append((r["part"], before))
+        before += r["count"]
+    shift = df.sparkSession.createDataFrame(rows, "part long, before long")
+    return ranged.join(F.broadcast(shift), "part").withColumn("place", F.col("place") + F.col("before")).drop("part", "before")
+
+
+def _weighed(weights):
+    def run(batches):
+        w = weights.value
+        for b in batches:
+            raw = [float(unpacked(x) @ w) for x in b.column("x").to_pylist()]
+            cols = [c for c in b.schema.names if c != "x"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(raw, pa.float64())], [*cols, "raw"])
+    return run
+
 
-    Uses ``sample_docs`` documents of each label at most. With one label only there is nothing to prefer."""
-    spark = docs.sparkSession
+def _middle(known: DataFrame, weights: np.ndarray, n_bad: int) -> float:
+    """:func:`_cut` of all labelled documents, where each weighs the same: halfway between the ``n_bad`` lowest scores and the others."""
+    shared = known.sparkSession.sparkContext.broadcast(weights)
+    schema = f"h long, doc_id {known.schema['doc_id'].dataType.simpleString()}, raw double"
+    raw = _placed(known.select("h", "doc_id", "x").mapInArrow(_weighed(shared), schema), "raw", "h", "doc_id")      # equal scores of many are dealt too
+    beside = raw.where(F.col("place").isin(n_bad - 1, n_bad)).agg(F.min("raw").alias("low"), F.max("raw").alias("high")).first()
+    return (beside["low"] + beside["high"]) / 2
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, held_out, h, x: the packed measures of every text and its hash, computed once."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
+    return staged(rows.mapInArrow(_described, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, h long, x binary"), "measured")
+
+
+def _learned(measured: DataFrame, labels: DataFrame, sample_docs: int | None, id_col: str, label_col: str) -> Model:
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
-    keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
-    marked = staged(keys.join(marks, "doc_id"), "labelled")
-    n = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
+    placed = _placed(measured.join(marks, "doc_id").select("quality", "h", "doc_id", "x"), "quality", "h", "doc_id")
+    n = {r["quality"]: r["count"] for r in placed.groupBy("quality").count().collect()}
     if len(n) < 2:
         return Model(None)
-    firsts = [marked.where(F.col("quality") == q).orderBy("h", "doc_id").limit(sample_docs).collect() for q in (0, 1)]
-    places = [(r["doc_id"], q, i) for q, rows in enumerate(firsts) for i, r in enumerate(rows)]
-    chosen = spark.createDataFrame(places, f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, quality int, place long")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 x sample_docs rows
-    sample = staged(texts.select("quality", "place", "text").mapInArrow(_described, "quality int, place long, x array<double>"), "sample")
-    pairs = staged(preference_pairs(sample).select("label", array_to_vector("x").alias("features")), "pairs")
-    found = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60, tol=1e-6).fit(pairs)
-    w = found.coefficients.toArray()
-    known = sample.toPandas()       # 2 x sample_docs rows at most
-    raw = np.vstack(known["x"].to_numpy()) @ w
-    return Model(w, _cut(raw, known["quality"].to_numpy(), n[0] / (n[0] + n[1])))
+    known = placed.withColumn("place", F.col("place") - F.when(F.col("quality") == 1, n[0]).otherwise(0))
+    used = known if sample_docs is None else known.where(F.col("place") < sample_docs)
+    pairs = preference_pairs(used).select("label", array_to_vector("x").alias("features"))
+    w = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60, tol=1e-6).fit(pairs).coefficients.toArray()
+    return Model(w, _middle(known, w, n[0]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text",
+        label_col: str = "quality") -> Model:
+    """Learns from the documents that ``labels`` (id, 0/1) marks; other labels and nulls are left out.
+
+    All of them count, unless ``sample_docs`` names a number for each label: then the weights are learned from those
+    with the smallest hash of the text. With one label only there is nothing to prefer."""
+    return _learned(_measured(docs, id_col, text_col), labels, sample_docs, id_col, label_col)
 
 
 def _scored(model):
     def run(batches):
         m = model.value
         for b in batches:
-            cols = [c for c in b.schema.names if c != "text"]
-            s = [m.score(features(t)) for t in b.column("text").to_pylist()]
+            cols = [c for c in b.schema.names if c != "x"]
+            s = [m.score(unpacked(x)) for x in b.column("x").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(s, pa.float64())], [*cols, "score"])
     return run
 
 
-def rank_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text",
+def rank_quality(docs: DataFrame, labels: DataFrame, sample_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "quality") -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 from PASS_SCORE).
 
@@ -169,10 +238,10 @@ def rank_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
     * repeated rows each get the same row; of repeated labels each counts;
     * texts are read whole; an empty table gives an empty result; other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out(id_col)), labels, sample_docs, id_col, text_col, label_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    measured = _measured(docs, id_col, text_col)
+    model = docs.sparkSession.sparkContext.broadcast(_learned(measured.where("NOT held_out"), labels, sample_docs, id_col, label_col))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double"
-    return rows.mapInArrow(_scored(model), schema).withColumn("predicted", (F.col("score") >= PASS_SCORE).cast("int"))
+    return measured.select("doc_id", "held_out", "x").mapInArrow(_scored(model), schema).withColumn("predicted", (F.col("score") >= PASS_SCORE).cast("int"))
 
 
 def best_share(scored: DataFrame, share: float, accuracy: int = 100_000) -> DataFrame:

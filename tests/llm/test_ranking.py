@@ -230,6 +230,25 @@ def test_cut_is_a_quantile_by_label_weight():
     assert m.score(np.array([2.0])) == pytest.approx(quality.PASS_SCORE) and m.score(np.array([-1e6])) == 0.0 and m.score(np.array([1e6])) == 1.0
 
 
+def test_fit_uses_every_labelled_document(spark):
+    r = np.random.default_rng(5)
+    n = 4400            # of each label
+    sizes = [*r.integers(1, 40, n), *r.integers(10, 60, n)]
+    docs = [(i, " ".join("".join(r.choice(list("abcd-E. "), 4)) for _ in range(k))) for i, k in enumerate(sizes)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    m = quality.fit(df, spark.createDataFrame([(i, int(i >= n)) for i in range(2 * n)], "doc_id long, quality int"))
+    raw = np.array([quality.features(t) @ m.weights for _, t in docs])
+    assert (raw < m.cut).sum() == n
+    one = quality.fit(df, spark.createDataFrame([(i, int(i >= n)) for i in range(2 * n)], "doc_id long, quality int"), sample_docs=50)
+    assert not np.allclose(one.weights, m.weights)
+
+
+def test_places_run_through_the_whole_order(spark):
+    got = quality._placed(spark.range(1000).selectExpr("id * 7 % 1000 AS v").repartition(6), "v").collect()
+    assert [x.place for x in sorted(got, key=lambda x: x.v)] == [*range(1000)]
+    assert quality._placed(spark.range(0).selectExpr("id AS v"), "v").count() == 0
+
+
 def test_features_read_the_whole_text():
     a, b = "word " * 50_000, "word " * 50_000 + "|"
     assert (quality.features(a) != quality.features(b)).any() and quality.features(None).tolist() == quality.features("").tolist()
