@@ -28,3 +28,14 @@ def test_classifier_sanity(spark, design, kind):
 def test_regression_forest_sanity(spark, design):
     r = models.regression_report(design.withColumn("t", F.col("a") * 2.0).drop("y"), "t", "forest", "rf").first()
     assert r.R2 > 0.9
+
+
+@pytest.mark.parametrize("build", [lambda: models.classifier("forest", "y"), lambda: models.classifier("forest_regression", "y"), lambda: models.regressor("forest", "y")])
+def test_forests_keep_node_ids_and_grow_the_same_trees(spark, design, build):
+    est = build()
+    assert est.getCacheNodeIds() and est.getNumTrees() == 100 and est.getMaxDepth() == 10
+    rows = models.features.assemble(design.withColumn("y", F.col("y").cast("double")), "y")[0].select("features", "y").cache()
+    kept = est.copy({est.numTrees: 5}).fit(rows)
+    walked = est.copy({est.numTrees: 5, est.cacheNodeIds: False}).fit(rows)
+    assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:] and len(kept.trees) == 5
+    rows.unpersist()
