@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylane.llm.common import staged
+from skylane.operators.prefix import prefix_sums
 
 PAIRS_PER_DOC = 4
 PASS_SCORE = 0.7        # score at the cut
@@ -174,18 +175,25 @@ def _weighed(weights):
         w = weights.value
         for b in batches:
             raw = [float(unpacked(x) @ w) for x in b.column("x").to_pylist()]
-            cols = [c for c in b.schema.names if c != "x"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(raw, pa.float64())], [*cols, "raw"])
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(raw, pa.float64())], ["quality", "raw"])
     return run
 
 
-def _middle(known: DataFrame, weights: np.ndarray, n_bad: int) -> float:
-    """:func:`_cut` of all labelled documents, where each weighs the same: halfway between the ``n_bad`` lowest scores and the others."""
-    shared = known.sparkSession.sparkContext.broadcast(weights)
-    schema = f"h long, doc_id {known.schema['doc_id'].dataType.simpleString()}, raw double"
-    raw = _placed(known.select("h", "doc_id", "x").mapInArrow(_weighed(shared), schema), "raw", "h", "doc_id")      # equal scores of many are dealt too
-    beside = raw.where(F.col("place").isin(n_bad - 1, n_bad)).agg(F.min("raw").alias("low"), F.max("raw").alias("high")).first()
-    return (beside["low"] + beside["high"]) / 2
+def _whole_cut(sample: DataFrame, weights: np.ndarray, bad_share: float) -> float:
+    """:func:`_cut` of all rows of ``sample`` (quality, x), whatever their number: from running counts of both labels by score."""
+    shared = sample.sparkSession.sparkContext.broadcast(weights)
+    raw = sample.select("quality", "x").mapInArrow(_weighed(shared), "quality int, raw double")
+    sums = staged(prefix_sums(raw.select("raw", *[(F.col("quality") == q).cast("long").alias(f"n{q}") for q in (0, 1)]), "raw", ["n0", "n1"]), "scores")
+    heavy = (bad_share / F.col("n0_total"), (1 - bad_share) / F.col("n1_total"))                # what a row of each label weighs
+    upto = lambda n0, n1: F.col(n0) * heavy[0] + F.col(n1) * heavy[1]
+    first = F.least(*[F.when(F.col(f"n{q}") > 0, heavy[q]) for q in (0, 1)])
+    most = F.lit(bad_share + 1e-9)
+    some, all_ = upto("n0_below", "n1_below") + first <= most, upto("n0_below", "n1_below") + upto("n0", "n1") <= most
+    lowest = [(r["raw"], r["n"]) for r in sums.select("raw", (F.col("n0") + F.col("n1")).alias("n")).orderBy("raw").limit(2).collect()]
+    low, high, last = sums.agg(F.max(F.when(some, F.col("raw"))), F.min(F.when(~all_, F.col("raw"))), F.max("raw")).first()
+    if low is None:             # one row is below the cut at least
+        low, high = lowest[0][0], lowest[0][0] if lowest[0][1] > 1 else lowest[1][0]
+    return (low + (last if high is None else high)) / 2
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -197,23 +205,25 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _learned(measured: DataFrame, labels: DataFrame, sample_docs: int | None, id_col: str, label_col: str) -> Model:
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
-    placed = _placed(measured.join(marks, "doc_id").select("quality", "h", "doc_id", "x"), "quality", "h", "doc_id")
+    placed = _placed(measured.join(marks, "doc_id").select("quality", "h", "doc_id"), "quality", "h", "doc_id")
     n = {r["quality"]: r["count"] for r in placed.groupBy("quality").count().collect()}
     if len(n) < 2:
         return Model(None)
-    known = placed.withColumn("place", F.col("place") - F.when(F.col("quality") == 1, n[0]).otherwise(0))
-    used = known if sample_docs is None else known.where(F.col("place") < sample_docs)
-    pairs = preference_pairs(used).select("label", array_to_vector("x").alias("features"))
+    chosen = placed.select("quality", "doc_id", (F.col("place") - F.when(F.col("quality") == 1, n[0]).otherwise(0)).alias("place"))
+    if sample_docs is not None:
+        chosen = chosen.where(F.col("place") < sample_docs)
+    sample = staged(chosen.join(measured.select("doc_id", "x"), "doc_id").select("quality", "place", "x"), "sample")
+    pairs = preference_pairs(sample).select("label", array_to_vector("x").alias("features"))
     w = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60, tol=1e-6).fit(pairs).coefficients.toArray()
-    return Model(w, _middle(known, w, n[0]))
+    return Model(w, _whole_cut(sample, w, n[0] / (n[0] + n[1])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality") -> Model:
     """Learns from the documents that ``labels`` (id, 0/1) marks; other labels and nulls are left out.
 
-    All of them count, unless ``sample_docs`` names a number for each label: then the weights are learned from those
-    with the smallest hash of the text. With one label only there is nothing to prefer."""
+    All of them count, unless ``sample_docs`` names a number for each label: then those with the smallest hash of
+    the text. With one label only there is nothing to prefer."""
     return _learned(_measured(docs, id_col, text_col), labels, sample_docs, id_col, label_col)
 
 

@@ -243,6 +243,16 @@ def test_fit_uses_every_labelled_document(spark):
     assert not np.allclose(one.weights, m.weights)
 
 
+@pytest.mark.parametrize("n_bad, share", [(30, 0.3), (1, 0.01), (99, 0.9), (50, 0.2)])
+def test_whole_cut_equals_the_plain_one(spark, n_bad, share):
+    r = np.random.default_rng(n_bad)
+    texts = ["ab. " * int(k) + "x" * int(j) for k, j in zip(r.integers(0, 9, 100), r.integers(0, 5, 100))]      # many share a score
+    w, marks = r.normal(size=265), np.array([0] * n_bad + [1] * (100 - n_bad))
+    sample = spark.createDataFrame([(int(q), bytearray(quality.packed(t))) for q, t in zip(marks, texts)], "quality int, x binary").repartition(3)
+    raw = np.array([quality.features(t) @ w for t in texts])
+    assert quality._whole_cut(sample, w, share) == pytest.approx(quality._cut(raw, marks, share), abs=1e-9)
+
+
 def test_places_run_through_the_whole_order(spark):
     got = quality._placed(spark.range(1000).selectExpr("id * 7 % 1000 AS v").repartition(6), "v").collect()
     assert [x.place for x in sorted(got, key=lambda x: x.v)] == [*range(1000)]
