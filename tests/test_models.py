@@ -39,3 +39,42 @@ def test_forests_keep_node_ids_and_grow_the_same_trees(spark, design, build):
     walked = est.copy({est.numTrees: 5, est.cacheNodeIds: False}).fit(rows)
     assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:] and len(kept.trees) == 5
     rows.unpersist()
+
+
+class _Counted:
+    """Stands for a fitted model; counts the rows it scores."""
+
+    def __init__(self, spark, label):
+        self.calls, self.label = spark.sparkContext.accumulator(0), label
+
+    def score(self, rows):
+        calls = self.calls
+
+        @F.udf("double")
+        def slow(a):
+            calls.add(1)
+            return a / 10.0
+        return rows.withColumn("score", slow("a"))
+
+
+@pytest.mark.parametrize("report", ["report", "tables", "facts"])
+def test_each_test_row_is_scored_once(spark, design, monkeypatch, report):
+    m = _Counted(spark, "y")
+    monkeypatch.setattr(models, "fit", lambda *a, **k: m)
+    test_rows = models.train_test(design)[1].count()
+    if report == "report":
+        models.classification_report(design, "y", "logistic", "m").collect()
+    elif report == "tables":
+        got = {r.part for r in models.classification_tables(design, "y", "logistic").collect()}
+        assert got == {"confusion", "roc", "pr"}
+    else:
+        r = models.classification_facts(design, "y", "logistic", "m").first()
+        assert r.n_rows == r.confusion_total == test_rows and r.n_outside == 0
+    assert m.calls.value == test_rows
+
+
+def test_each_test_row_of_a_regression_is_scored_once(spark, design, monkeypatch):
+    m = _Counted(spark, "b")
+    monkeypatch.setattr(models, "fit", lambda *a, **k: m)
+    r = models.regression_report(design, "b", "forest", "m").first()
+    assert r.R2 is not None and m.calls.value == models.train_test(design)[1].count()
