@@ -176,3 +176,17 @@ def test_forecast_starts_after_the_series_and_loses_none(spark):
     got = trend_season_forecast(spark.createDataFrame(rows, "k string, Month date, ARR_DELAY double"), ["k"], h=3).collect()
     assert min(r.Month for r in got if r.k == "a") == month(24)
     assert [r.Predicted_DELAY for r in got if r.k == "b"] == [None] * 3
+
+
+def test_permutation_importance_scores_each_copy_of_a_row_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(a, b):
+        calls.add(1)
+        return a + 0.3 * b
+
+    rows = [(float(i % 7), float((i * 13) % 11), 1 if (i * 5) % 9 >= 4 else 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    got = explain.permutation_importance(lambda d: d.withColumn("score", slow("a", "b")), df, "y", {"a": ["a"], "b": ["b"]}).collect()
+    assert len(got) == 2 and calls.value == 300 * 3
