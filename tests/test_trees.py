@@ -127,3 +127,46 @@ def test_score_is_the_sum_of_the_leaves(spark, data):
             total[fails == 0] += value
     scored = Fitted(model, data.names, "y", "forest").score(data.rows).orderBy("ROW_KEY").collect()
     assert total == pytest.approx(np.array([r["score"] for r in scored]), abs=1e-12)
+
+
+@pytest.mark.parametrize("groups", [4, 1, 40])          # as they are; one group for all slots; a group per slot
+@pytest.mark.parametrize("kind", ["forest", "boosted_regression"])
+def test_leaves_counted_by_splits_show_the_patterns_of_the_walk(spark, data, kind, groups):
+    nodes = trees.node_table(_fit(data, kind), spark).toPandas()
+    names = sorted(set(data.sources))
+    group = [names.index(s) if groups == 4 else slot % groups for slot, s in enumerate(data.sources)]
+    rows = trees.Rows(data.rows.toArrow().column("features").combine_chunks())
+    for _, pdf in nodes.groupby("tree"):
+        tree = trees.Tree(pdf, group)
+        counted = list(tree.counts(rows.goes_left, rows.n))
+        walked = [np.unique(fails, return_counts=True) for fails in tree.walk(rows.goes_left, rows.n)]
+        assert len(counted) == len(tree.leaves) == len(walked)
+        for (at, found), (want_at, want) in zip(counted, walked, strict=True):
+            assert at.tolist() == want_at.tolist() and found.tolist() == want.tolist()
+
+
+def test_patterns_are_as_narrow_as_the_paths(spark, data):
+    nodes = trees.node_table(_fit(data, "forest"), spark).toPandas()
+    group = [sorted(set(data.sources)).index(s) for s in data.sources]
+    rows = trees.Rows(data.rows.toArrow().column("features").combine_chunks())
+    for _, pdf in nodes.groupby("tree"):
+        assert {fails.dtype for fails in trees.Tree(pdf, group).walk(rows.goes_left, rows.n)} == {np.dtype(np.uint8)}
+
+
+def test_long_paths_keep_all_their_groups():
+    """A path of 20 groups, more than a table of patterns is made for: left is a leaf, right goes on."""
+    import pandas as pd
+    n, deep = 200, 20
+    inner = [(2 * i, i, 2 * i + 1, 2 * i + 2) for i in range(deep)]
+    cells = [(node, float(f), 0.5, None, left, right, 0.0) for node, f, left, right in inner]
+    cells += [(2 * i + 1, None, None, None, None, None, 1.0) for i in range(deep)] + [(2 * deep, None, None, None, None, None, 2.0)]
+    pdf = pd.DataFrame(cells, columns=["node", "feature", "threshold", "categories", "left", "right", "value"]).assign(weight=1.0)
+    pdf["categories"] = pdf["categories"].astype(object).where(pdf["categories"].notna(), None)
+    tree = trees.Tree(pdf, list(range(deep)))
+    x = np.random.default_rng(2).integers(0, 2, (n, deep))
+    goes_left = lambda slot, border: x[:, slot] <= border
+    counted = list(tree.counts(goes_left, n))
+    for (at, found), fails in zip(counted, tree.walk(goes_left, n), strict=True):
+        want_at, want = np.unique(fails, return_counts=True)
+        assert at.tolist() == want_at.tolist() and found.tolist() == want.tolist()
+    assert len(counted) == deep + 1 and max(len(p) for _, p in tree.leaves) == deep
