@@ -9,7 +9,10 @@ because that is what the analysis fits.
 
 Training is distributed by MLlib; boosted trees checkpoint every 10
 iterations into the cluster's ``spark.checkpoint.dir`` when one is set, so
-a lost executor never replays the whole iteration history. Forests keep the
+a lost executor never replays the whole iteration history. On large tables
+boosted trees are grown by :mod:`.boosting`, which visits only the entries
+of a row that are not zero; the model is MLlib's, the trees are the same up
+to rounding between equal gains. Forests keep the
 node that each row has reached in each tree, so that a pass over the rows
 does not walk every tree from its root; the trees are the same.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, materialize
 from ..sources.schema import CLASS_THRESHOLD
-from . import evaluate, features
+from . import boosting, evaluate, features
 from .design import Design
 
 
@@ -97,7 +100,7 @@ def fit(design: DataFrame | Design, label: str, kind: str, task: str = "classifi
     v = v.select("features", label).persist(StorageLevel.MEMORY_AND_DISK)   # read once per iteration
     try:
         est = classifier(kind, label, seed) if task == "classification" else regressor(kind, label, seed)
-        model = est.fit(v)
+        model = boosting.fit(est, v, len(names)) if kind == "boosted" else est.fit(v)
     finally:
         v.unpersist()
     return Fitted(model, names, label, kind)
