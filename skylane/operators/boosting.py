@@ -5,12 +5,14 @@ thresholds, losses, splits and stopping rules) and hands them over as MLlib's
 model. MLlib visits every slot of every row at every level, a one-hot level
 that the row does not have among them, and keeps a number per slot and row.
 Here a row is kept as its *cells*: the bin of each number, and the 0/1 slots
-that are 1. A level of a tree is one job: each task sums rows, answers and
-squared answers per node and cell of its rows; where a 0/1 slot is 0 is the
-node's total less the slot's sums. These sums, as large as the model's width,
-reach the driver, which picks the splits. The predictions so far are kept with
-the rows. Every ``ANEW`` rounds they are made anew from all trees, so that a
-lost executor replays a bounded number of rounds and nothing is written.
+that are 1. No tree can tell rows of the same cells apart, so they are kept
+once, with their number, the sum of their labels and of the squares; what the
+next tree is fitted to follows from these. A level of a tree is one job: each
+task sums rows, answers and squared answers per node and cell; where a 0/1 slot
+is 0 is the node's total less the slot's sums. These sums, as large as the
+model's width, reach the driver, which picks the splits. The predictions so far
+are kept with the rows. Every ``ANEW`` rounds they are made anew from all trees,
+so that a lost executor replays a bounded number of rounds and nothing is written.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ from .trees import Rows, _batches
 
 FEW_CELLS = 100_000_000     # rows x slots up to which MLlib's own pass over every slot is quicker than a Python job a level
 BLOCK_ROWS = 1 << 16        # rows of a block
+PART_ROWS = 4_000_000       # rows of a partition, where that makes more than one a core
 ANEW = 25                   # rounds after which the predictions are made anew
 FLAT_PARTS = 64             # sums of more tasks are added up in two steps
 EPSILON = float(np.finfo(float).eps)
 TIE = 1e-13                 # gains that differ by less, against the mean square of the answers, are equal
 
-Block = tuple[np.ndarray, np.ndarray, np.ndarray]           # cells (columns x rows), label, prediction so far
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]           # cells (columns x rows), sums of the labels (see _block), prediction so far
 
 
 @dataclass
@@ -55,33 +58,46 @@ class Layout:
     def kind(self) -> type:
         return np.uint16 if self.cells < 1 << 16 else np.uint32
 
+    @property
+    def kept(self) -> type:
+        """The kind that blocks are kept in: every job reads them."""
+        return np.uint8 if self.cells < 1 << 8 else self.kind
+
 
 @dataclass
 class Grown:
-    """A tree by heap number (root 1): rows with a cell within ``span`` of ``low`` go to ``inside``, the others to
-    ``outside``; a leaf leads to itself. ``value`` is the node's answer."""
+    """A tree by heap number (root 1, children 2i and 2i + 1). Bit i of ``hits[0]``, by cell, says that the cell is among
+    those of node i's split; bit i of ``left[0]`` that these go left. Word w holds nodes 64w and on. ``value`` is the
+    node's answer; rows at a leaf go on to the left, where the answer is the same."""
 
-    low: np.ndarray
-    span: np.ndarray
-    inside: np.ndarray
-    outside: np.ndarray
+    hits: np.ndarray
+    left: np.ndarray
     value: np.ndarray
 
     @staticmethod
-    def root(depth: int, kind: type) -> Grown:
-        size = 2 << depth
-        return Grown(np.zeros(size, kind), np.zeros(size, kind), np.arange(size), np.arange(size), np.zeros(size))
+    def root(depth: int, n_cells: int) -> Grown:
+        words = max(1, (1 << depth) >> 6)
+        return Grown(np.zeros((words, n_cells), np.uint64), np.zeros(words, np.uint64), np.zeros(2 << depth))
+
+    def split(self, node: int, low: int, span: int, cells_left: bool) -> None:
+        """Rows with a cell within ``span`` of ``low`` go to one side of ``node``, the others to the other side."""
+        word, bit = node >> 6, np.uint64(1 << (node & 63))
+        self.hits[word, low:low + span + 1] |= bit
+        if cells_left:
+            self.left[word] |= bit
 
     def walk(self, cells: np.ndarray, levels: int) -> np.ndarray:
         """The node that each row has reached after so many levels."""
-        at = np.ones(cells.shape[1], np.intp)
-        for _ in range(levels):
-            low, span = self.low[at], self.span[at]
-            hit = np.zeros(len(at), bool)
-            for c in cells:
-                hit |= (c - low) <= span            # unsigned: below low wraps to a large number
-            at = np.where(hit, self.inside[at], self.outside[at])
-        return at
+        at = np.ones(cells.shape[1], np.uint64)
+        for level in range(levels):
+            if level == 0 or level >= 6:                # the first six levels are in one word
+                word = (at >> 6).astype(np.intp) if level else 0
+                right = np.zeros(len(at), np.uint64)
+                for c in cells:
+                    right |= self.hits[word, c] if level else self.hits[0].take(c)
+                right ^= self.left[word]
+            at = 2 * at + ((right >> (at & 63)) & 1)
+        return at.astype(np.intp)
 
 
 @dataclass
@@ -149,7 +165,7 @@ def _layout(rows: DataFrame, width: int, binary: set[int], n: int, max_bins: int
 
 
 def _packed(layout: Layout, classes: bool):
-    """Blocks of rows: their cells, column by column, and the labels."""
+    """Blocks of rows: their cells, column by column, and for each row 1, the label (-1 or 1 of two classes) and its square."""
     def run(batches):
         numbers = np.array(sorted(layout.borders), int)
         for batch in _batches(batches, BLOCK_ROWS):
@@ -176,45 +192,100 @@ def _packed(layout: Layout, classes: bool):
             rest = np.full((int(each.max(initial=0)), rows.n), layout.cells - 2)
             rest[np.arange(len(row)) - (np.cumsum(each) - each)[row], row] = layout.first[slot]
             cells = np.vstack([*[c[None] for c in columns], rest]).astype(layout.kind)
-            yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["cells", "y"])
+            y = 2.0 * y - 1.0 if classes else y
+            yield _record(cells, np.array([np.ones(rows.n), y, y * y]))
+    return run
+
+
+def _record(cells: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (cells, sums)], ["cells", "sums"])
+
+
+def _keyed(layout: Layout):
+    """The rows of blocks, alike ones of a block as one: their cells as ``key``, rows, sum of the labels and of the squares."""
+    names, kind = ["key", "n", "s", "q"], np.dtype(layout.kind)
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                sums = np.frombuffer(r["sums"]).reshape(3, -1)
+                cells = np.frombuffer(r["cells"], kind).reshape(-1, sums.shape[1]).T
+                known = cells != layout.cells - 2                     # short rows of another block may be filled up to another width
+                ends = np.concatenate([[0], np.cumsum(known.sum(axis=1))]) * kind.itemsize
+                key = pa.Array.from_buffers(pa.large_binary(), len(cells), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(cells[known])])
+                alike = pa.table([key.cast(pa.binary()), *[pa.array(x) for x in sums]], names).group_by("key", use_threads=False)
+                yield from alike.aggregate([(x, "sum") for x in "nsq"]).select(["key", "n_sum", "s_sum", "q_sum"]).rename_columns(names).to_batches()
+    return run
+
+
+def _blocked(layout: Layout):
+    """Blocks of the rows that :func:`_keyed` gives."""
+    kind = np.dtype(layout.kind)
+
+    def run(batches):
+        for batch in _batches(batches, BLOCK_ROWS):
+            key = batch.column("key").cast(pa.large_binary())
+            ends = np.frombuffer(key.buffers()[1], np.int64)[key.offset:key.offset + len(key) + 1] // kind.itemsize
+            each = np.diff(ends)
+            cells = np.full((len(key), int(each.max(initial=0))), layout.cells - 2, kind)
+            cells[np.arange(cells.shape[1]) < each[:, None]] = np.frombuffer(key.buffers()[2], kind)[ends[0]:ends[-1]] if ends[-1] else []
+            yield _record(cells.T.astype(layout.kept, order="C"), np.array([batch.column(x).to_numpy(zero_copy_only=False) for x in "nsq"]))
     return run
 
 
 def _block(kind: type, classes: bool):
+    """A block from its record. The sums are a row each: rows, sum of the labels, of their squares (left out for two classes, always 1)."""
     def run(r) -> Block:
-        y = np.frombuffer(r["y"])
-        return np.frombuffer(r["cells"], kind).reshape(-1, len(y)), 2.0 * y - 1.0 if classes else y, np.zeros(len(y))
+        sums = np.frombuffer(r["sums"]).reshape(3, -1)
+        cells = np.frombuffer(r["cells"], kind).reshape(-1, sums.shape[1])
+        if classes:
+            most = sums[0].max(initial=0)
+            sums = sums[:2].astype(next((t for t in (np.int8, np.int16, np.int32) if most <= np.iinfo(t).max), float))
+        return cells, sums.T, np.zeros(len(sums.T))
     return run
 
 
+def _alike_once(rows: DataFrame, layout: Layout, classes: bool, n_parts: int) -> DataFrame:
+    """Blocks of the distinct rows. Partitions and their order depend on the rows only; the order is one by hashes, as
+    neighbours in the same cell would slow the sums down."""
+    keyed = (rows.mapInArrow(_packed(layout, classes), "cells binary, sums binary")
+             .mapInArrow(_keyed(layout), "key binary, n double, s double, q double"))
+    once = keyed.repartition(n_parts, "key").groupBy("key").agg(*[F.sum(x).alias(x) for x in "nsq"])
+    return once.sortWithinPartitions(F.xxhash64("key"), "key").mapInArrow(_blocked(layout), "cells binary, sums binary")
+
+
 # ----------------------------------------------------------------- a level
 def _moved(trees: list[tuple[Grown, float]], depth: int):
     """A block with the answers of the trees added to its predictions."""
     def run(block: Block) -> Block:
-        cells, y, margin = block
+        cells, sums, margin = block
         for tree, weight in trees:
             margin = margin + tree.value[tree.walk(cells, depth)] * weight
-        return cells, y, margin
+        return cells, sums, margin
     return run
 
 
-def _target(y: np.ndarray, margin: np.ndarray, classes: bool, first: bool) -> np.ndarray:
-    """What the next tree is fitted to: the label, then the loss's negative gradient."""
+def _answers(sums: np.ndarray, margin: np.ndarray, classes: bool, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, sum and squared sum of what the next tree is fitted to: the label, then the loss's negative gradient."""
+    n, s = sums[:, 0].astype(float), sums[:, 1].astype(float)
+    q = n if classes else sums[:, 2]
     if first:
-        return y
+        return n, s, q
     if not classes:
-        return 2.0 * (y - margin)
+        rest = s - n * margin
+        return n, 2.0 * rest, 4.0 * (np.maximum(q - s * s / n, 0.0) + rest * rest / n)
     with np.errstate(over="ignore"):
-        return 4.0 * y / (1.0 + np.exp(2.0 * y * margin))
+        one, zero = 4.0 / (1.0 + np.exp(2.0 * margin)), -4.0 / (1.0 + np.exp(-2.0 * margin))
+    ones, zeros = (n + s) / 2.0 * one, (n - s) / 2.0 * zero
+    return n, ones + zeros, ones * one + zeros * zero
 
 
 def _sums(tree: Grown, level: int, place: np.ndarray, nodes: int, n_cells: int, classes: bool, first: bool):
     """Rows, answers and squared answers by node of the level and cell; rows at other nodes are left out."""
     def run(blocks: Iterator[Block]):
         total = np.zeros((3, (nodes + 1) * n_cells))
-        for cells, y, margin in blocks:
-            t = _target(y, margin, classes, first)
-            weights = (None, t, t * t)
+        for cells, labels, margin in blocks:
+            weights = _answers(labels, margin, classes, first)
             start = place[tree.walk(cells, level)] * n_cells
             for c in (*cells, n_cells - 1):
                 at = start + c
@@ -283,7 +354,7 @@ def _split(total: np.ndarray, layout: Layout, nodes: list[Node]) -> list[tuple[n
 
 def _grow(blocks, layout: Layout, depth: int, classes: bool, first: bool, n_parts: int) -> tuple[Grown, dict[int, Node]]:
     """A tree, level by level: the tree as the tasks walk it, and its nodes by heap number."""
-    tree = Grown.root(depth, layout.kind)
+    tree = Grown.root(depth, layout.cells)
     nodes: dict[int, Node] = {}
     open_, level = [1], 0
     while open_ and level < depth:
@@ -298,14 +369,17 @@ def _grow(blocks, layout: Layout, depth: int, classes: bool, first: bool, n_part
         for i, found in zip(open_, _split(total, layout, [nodes[i] for i in open_]), strict=True):
             if found is None:
                 continue
-            left, right, tree.low[i], tree.span[i], cells_left = found
-            tree.inside[i], tree.outside[i] = (2 * i, 2 * i + 1) if cells_left else (2 * i + 1, 2 * i)
+            left, right, low, span, cells_left = found
+            tree.split(i, low, span, cells_left)
             for child, stats in ((2 * i, left), (2 * i + 1, right)):
                 nodes[child] = Node(stats, float(_impurity(stats)))
                 tree.value[child] = nodes[child].answer
                 if abs(nodes[child].impurity) >= EPSILON:
                     after.append(child)
         open_, level = after, level + 1
+    for i in range(1, 1 << depth):
+        if 2 * i not in nodes:
+            tree.value[2 * i] = tree.value[2 * i + 1] = tree.value[i]
     return tree, nodes
 
 
@@ -368,10 +442,11 @@ def fit(est, rows: DataFrame, width: int):
     spark, classes = rows.sparkSession, "Classifier" in type(est).__name__
     depth = est.getMaxDepth()
     layout = _layout(rows, width, {a["idx"] for a in attrs.get("binary", [])}, n, est.getMaxBins(), est.getSeed())
-    packed = rows.select("features", F.col(est.getLabelCol()).alias("y")).mapInArrow(_packed(layout, classes), "cells binary, y binary").rdd
-    n_parts = max(1, min(packed.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism))
-    keep = StorageLevel.MEMORY_AND_DISK
-    base = packed.coalesce(n_parts).map(_block(layout.kind, classes)).persist(keep)
+    cores = spark.sparkContext.defaultParallelism
+    n_parts = cores * max(1, -(-n // (cores * PART_ROWS)))          # alike in size, as dealt by hashes
+    once = _alike_once(rows.select("features", F.col(est.getLabelCol()).alias("y")), layout, classes, n_parts)
+    keep = StorageLevel.MEMORY_AND_DISK_DESER          # bytes as they are: the other level packs them, which every job has to undo
+    base = once.rdd.map(_block(layout.kept, classes)).persist(keep)
     state, trees, grown = base, [], []
     try:
         for r in range(est.getMaxIter()):
