@@ -241,13 +241,14 @@ def split(df: DataFrame, p: float = 0.8, key: str = "ROW_KEY") -> tuple[DataFram
 
 
 def stratified_split(df: DataFrame, label: str, p: float = 0.8, key: str = "ROW_KEY",
-                     numeric_groups: int | None = None) -> tuple[DataFrame, DataFrame]:
+                     numeric_groups: int | None = None, cuts: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
     """Split keeping the class balance: in each stratum the rows with the
     ``ceil(p * n)`` smallest keys go to train (rows with equal keys stay
     together, so the count can exceed it by ties).
 
     Strata are the label values; a numeric target is cut at its exact
-    quantiles into ``numeric_groups`` groups first. The key threshold of each
+    quantiles into ``numeric_groups`` groups first (``cuts``, where these are
+    known already). The key threshold of each
     stratum is found by counting (:func:`.select.rank_thresholds`): no row
     per key, no sort of a stratum; the thresholds (one per stratum) are
     broadcast up to ``MAX_BROADCAST_ROWS`` strata and joined beyond. Rows
@@ -255,7 +256,7 @@ def stratified_split(df: DataFrame, label: str, p: float = 0.8, key: str = "ROW_
     """
     s = F.col(label)
     if numeric_groups:
-        cuts = quantiles(df, [label], [i / numeric_groups for i in range(1, numeric_groups)])[label]
+        cuts = cuts if cuts is not None else quantiles(df, [label], [i / numeric_groups for i in range(1, numeric_groups)])[label]
         s = sum((F.col(label) > F.lit(x)).cast("int") for x in cuts)
     d = df.withColumn("_stratum", F.when(F.col(label).isNotNull(), s.cast("string")))
     known = d.filter(F.col("_stratum").isNotNull())

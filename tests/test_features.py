@@ -166,3 +166,26 @@ def test_approximate_median_opt_in(spark):
     df = spark.createDataFrame([(float(x),) for x in range(1, 101)], "x double")
     assert features.medians(df, ["x"], exact=False)["x"] in (50.0, 51.0)
     assert features.medians(df, ["x"])["x"] == 50.5
+
+
+def test_quartile_split_reads_the_flights_once(spark, flights_small):
+    from skylane.plans import registry
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    fl = flights_small.filter(F.col("ARR_DELAY").isNotNull())
+    want = sorted(map(tuple, registry.fp_split_quartile(fl).collect()))
+    got = sorted(map(tuple, registry.fp_split_quartile(fl.withColumn("ARR_DELAY", counted("ARR_DELAY"))).collect()))
+    assert got == want and len(got) == 8 and sum(n for *_, n in got) == fl.count()
+    assert seen.value <= 2 * fl.count()             # the filter and the column may each evaluate it; before, once a pass
+
+
+def test_stratified_split_takes_known_cuts(spark, flights_small):
+    a = features.arrival_features(flights_small)
+    cuts = features.quantiles(a, ["ARR_DELAY"], [0.25, 0.5, 0.75])["ARR_DELAY"]
+    one = [d.count() for d in features.stratified_split(a, "ARR_DELAY", 0.8, numeric_groups=4)]
+    assert one == [d.count() for d in features.stratified_split(a, "ARR_DELAY", 0.8, numeric_groups=4, cuts=cuts)]
